@@ -1,0 +1,141 @@
+"""Exact global order by (score desc, key asc) without a single-task sort.
+
+Two-level prefix:
+
+1. one aggregation (an action, bounded result) draws approximate quantiles of
+   the score and of the key over the whole table;
+2. each row gets a *range bucket* by binary search on those edges (MLlib
+   ``Bucketizer``, JVM side).  Equal scores always share a bucket, and buckets
+   are ordered like the scores, so any edges give an exact result;
+3. a score value that holds more than ~1/B of the rows (a hot tie) is isolated
+   in its own bucket and split again by key ranges, since inside such a bucket
+   the order is the key alone;
+4. per-bucket totals (tiny: groups x buckets) give running offsets; row-level
+   windows then only run inside one bucket at a time.
+
+The bucket id is a deterministic function of the row and the collected edges,
+so re-running a lost task gives the same buckets.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scorelens.session import shuffle_partitions
+
+BUCKET = "_bk"
+
+
+def default_buckets(spark) -> int:
+    """About four buckets per shuffle partition, within [64, 65536]."""
+    return int(min(max(4 * shuffle_partitions(spark), 64), 65536))
+
+
+@dataclass(frozen=True)
+class OrderSplits:
+    score_splits: tuple[float, ...]
+    key_splits: tuple[float, ...]
+    hot_values: tuple[float, ...]
+
+    @property
+    def n_score(self) -> int:
+        return len(self.score_splits) - 1
+
+    @property
+    def n_key(self) -> int:
+        return len(self.key_splits) - 1
+
+
+def _splits(values) -> tuple[float, ...]:
+    inner = sorted({float(v) for v in values if v is not None and not math.isnan(float(v))
+                    and not math.isinf(float(v))})
+    if not inner:
+        inner = [0.0]
+    return tuple([-math.inf] + inner + [math.inf])
+
+
+def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None = None) -> OrderSplits:
+    """Action: approximate quantiles of score and key (result size ~2B doubles)."""
+    b = n_buckets or default_buckets(df.sparkSession)
+    b = max(int(b), 2)
+    probs = [i / b for i in range(1, b)]
+    acc = max(10_000, 8 * b)
+    row = df.agg(
+        F.percentile_approx(F.col(score), probs, acc).alias("s"),
+        F.percentile_approx(F.col(key).cast("double"), probs, acc).alias("k"),
+    ).first()
+    sq = [v for v in (row["s"] or []) if v is not None]
+    kq = [v for v in (row["k"] or []) if v is not None]
+    # A value repeated among the quantiles holds at least ~1/B of the rows.
+    seen, hot = set(), set()
+    for v in sq:
+        (hot if v in seen else seen).add(v)
+    hot = {v for v in hot if not math.isnan(v) and not math.isinf(v)}
+    edges = set(sq) | {math.nextafter(h, math.inf) for h in hot}
+    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)))
+
+
+def add_bucket(df: DataFrame, score: str, key: str, splits: OrderSplits, out: str = BUCKET,
+               split_hot: bool = True) -> DataFrame:
+    """Add ``out`` (long): ascending bucket id consistent with (score desc, key asc).
+
+    NaN scores come first (Spark orders NaN above every number) and null
+    scores last, matching ``desc_nulls_last``.  With ``split_hot=False`` a hot
+    score value stays in one bucket (for callers that aggregate by score).
+    """
+    tmp_s, tmp_k, tmp_kd = f"{out}_s", f"{out}_k", f"{out}_kd"
+    nb, nk = splits.n_score, splits.n_key
+    # Bucketizer reads doubles; stage a double copy of the key.
+    staged = df.withColumn(tmp_kd, F.col(key).cast("double"))
+    bz = Bucketizer(
+        splitsArray=[list(splits.score_splits), list(splits.key_splits)],
+        inputCols=[score, tmp_kd],
+        outputCols=[tmp_s, tmp_k],
+        handleInvalid="keep",
+    )
+    b = bz.transform(staged)
+    s_idx = F.col(tmp_s).cast("long")
+    desc_idx = (
+        F.when(F.col(score).isNull(), F.lit(nb + 1))
+        .when(F.isnan(F.col(score)), F.lit(-1))
+        .otherwise(F.lit(nb - 1) - s_idx)
+    )
+    if split_hot and splits.hot_values:
+        sub = F.when(F.col(score).isin(list(splits.hot_values)), F.col(tmp_k).cast("long") + 1).otherwise(0)
+    else:
+        sub = F.lit(0).cast("long")
+    bucket = (desc_idx + 1) * F.lit(nk + 2) + sub
+    return b.withColumn(out, bucket.cast("long")).drop(tmp_s, tmp_k, tmp_kd)
+
+
+def order_within_bucket(by: list[str], score: str, key: str, bucket: str = BUCKET):
+    """Window spec: rows of one bucket in (score desc, key asc) order."""
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*by, bucket).orderBy(F.desc_nulls_last(score), F.asc(key))
+
+
+def bucket_offsets(stats: DataFrame, by: list[str], cols: list[str], bucket: str = BUCKET) -> DataFrame:
+    """Exclusive running sums of ``cols`` over buckets, plus group totals.
+
+    ``stats`` holds one row per (by, bucket): at most groups x buckets rows.
+    """
+    from pyspark.sql import Window
+
+    w_prev = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
+    out = stats
+    for c in cols:
+        out = out.withColumn(f"off_{c}", F.coalesce(F.sum(c).over(w_prev), F.lit(0)).cast(stats.schema[c].dataType))
+        out = out.withColumn(f"tot_{c}", F.sum(c).over(w_all))
+    return out
+
+
+def desc_rank_expr(offset: Column, window) -> Column:
+    """0-based global position = bucket offset + position inside the bucket."""
+    return offset + F.row_number().over(window) - 1
