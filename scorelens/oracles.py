@@ -96,3 +96,92 @@ def roc_points_sql(by=("sample",), where: str = "") -> str:
     body = (f"select {sel} score as threshold, round(tp / \"P\", 10) as tpr, "
             f"round(fp / \"N\", 10) as fpr from c")
     return with_sample(body, roc_ctes(by, where))
+
+
+SAMPLES = ("dev", "val", "oft1", "oft2", "oft3")
+
+
+def band_rows_sql(n_bands: int) -> str:
+    from scorelens.functions.bands import score_band_sql
+
+    return with_sample(f"select row_id, score, {score_band_sql('score', n_bands)} as band from sample")
+
+
+def score_distribution_sql(n_bands: int = 20) -> str:
+    from scorelens.functions.bands import score_band_sql
+
+    cnt = ", ".join(f"count(*) filter (where sample = '{s}') as n_{s}" for s in SAMPLES)
+    ncols = ", ".join(f"cast(n_{s} as bigint) as n_{s}" for s in SAMPLES)
+    pcts = ", ".join(f"round(n_{s} / sum(n_{s}) over (), 10) as pct_{s}" for s in SAMPLES)
+    ctes = (f"b as (select {score_band_sql('score', n_bands)} as band, sample from sample), "
+            f"c as (select band, {cnt} from b where band is not null group by band)")
+    return with_sample(f"select band, {ncols}, {pcts} from c", ctes)
+
+
+def band_counts_sql(n_bands: int = 20, where: str = "") -> str:
+    from scorelens.functions.bands import score_band_sql
+
+    ctes = f"b as (select {score_band_sql('score', n_bands)} as band from sample {where})"
+    return with_sample("select band, count(*) as n from b where band is not null group by band", ctes)
+
+
+def psi_sql(k: int, others=("val",), base: str = "dev") -> str:
+    ins = ", ".join(f"'{s}'" for s in others)
+    ctes = f"""
+dev as (select score, row_number() over (order by score desc, row_id) - 1 as pos
+        from sample where sample = '{base}'),
+mm as (select count(*) // {k} as m, count(*) as n_dev from dev),
+inner_e as (select t.j, d.score as e from range(1, {k}) t(j) cross join mm join dev d on d.pos = mm.m * t.j),
+ext as (select sample, max(score) as mx, min(score) as mn, count(*) as n_cmp
+        from sample where sample in ({ins}) group by sample),
+bands as (select x.sample, b.band,
+            case when b.band = 0 then x.mx else hi_e.e end as hi,
+            case when b.band = {k - 1} then x.mn else lo_e.e end as lo, x.n_cmp
+          from ext x cross join range(0, {k}) b(band)
+          left join inner_e hi_e on hi_e.j = b.band
+          left join inner_e lo_e on lo_e.j = b.band + 1),
+cmpc as (select b.sample, b.band, count(s.score) as c from bands b
+         left join sample s on s.sample = b.sample and s.score <= b.hi
+           and (s.score > b.lo or (b.band = {k - 1} and s.score >= b.lo))
+         group by b.sample, b.band),
+devc as (select b.sample, b.band, count(d.score) as c from bands b
+         left join dev d on d.score <= b.hi and (d.score > b.lo or (b.band = {k - 1} and d.score >= b.lo))
+         group by b.sample, b.band),
+g as (select b.sample, b.band, b.hi, b.lo, devc.c / mm.n_dev as ds, cmpc.c / b.n_cmp as vs
+      from bands b join cmpc using (sample, band) join devc using (sample, band) cross join mm),
+t as (select *, case when ds = 0 or vs = 0 then 1.0 else (ds - vs) * ln(ds / vs) end as term from g)
+"""
+    body = """select sample, cast(band as int) as band, hi, lo, round(ds, 10) as dev_share,
+  round(vs, 10) as cmp_share, round(term, 10) as term,
+  round(sum(term) over (partition by sample), 10) as psi from t"""
+    return with_sample(body, ctes)
+
+
+def psi_monitor_sql(k: int = 20, others=("val", "oft1", "oft2", "oft3")) -> str:
+    return f"select sample, max(psi) as psi from ({psi_sql(k, others)}) group by sample"
+
+
+def histogram_sql(bins: int = 20) -> str:
+    ctes = f"""
+ext0 as (select sample, min(score) as mn0, max(score) as mx0, count(score) as n
+         from sample where score is not null group by sample),
+ext as (select sample, n, case when mn0 = mx0 then mn0 - 0.5 else mn0 end as mn,
+          case when mn0 = mx0 then mx0 + 0.5 else mx0 end as mx from ext0),
+e2 as (select *, (mx - mn) / {float(bins)} as step from ext),
+r as (select s.sample, s.score as x, e.mn, e.mx, e.step,
+        least(cast(trunc(((s.score - e.mn) / (e.mx - e.mn)) * {float(bins)}) as int), {bins - 1}) as i0
+      from sample s join e2 e using (sample) where s.score is not null),
+r1 as (select *, case when x < (case when i0 >= {bins} then mx else i0 * step + mn end)
+                      then i0 - 1 else i0 end as i1 from r),
+r2 as (select *, case when x >= (case when i1 + 1 >= {bins} then mx else (i1 + 1) * step + mn end)
+                       and i1 != {bins - 1} then i1 + 1 else i1 end as i from r1),
+c as (select sample, i, count(*) as cnt from r2 group by sample, i),
+g as (select e2.*, t.i from e2 cross join range(0, {bins}) t(i)),
+j as (select g.*, coalesce(c.cnt, 0) as cnt,
+        case when g.i >= {bins} then g.mx else g.i * g.step + g.mn end as lo,
+        case when g.i + 1 >= {bins} then g.mx else (g.i + 1) * g.step + g.mn end as hi
+      from g left join c using (sample, i))
+"""
+    body = """select sample, cast(i + 1 as int) as bin, round(lo, 10) as lo, round(hi, 10) as hi,
+  cast(cnt as bigint) as count, round(cnt / (hi - lo) / n, 10) as density from j"""
+    return with_sample(body, ctes)

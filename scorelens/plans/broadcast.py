@@ -16,6 +16,7 @@ def checked_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
     count is one action.  Beyond the limit the plain DataFrame is returned and
     Catalyst/AQE plan a shuffle join instead.
     """
+    small = small.persist()  # counted now, read again by the join
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 

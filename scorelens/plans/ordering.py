@@ -41,6 +41,7 @@ class OrderSplits:
     score_splits: tuple[float, ...]
     key_splits: tuple[float, ...]
     hot_values: tuple[float, ...]
+    n_rows: int = 0
 
     @property
     def n_score(self) -> int:
@@ -68,6 +69,7 @@ def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None =
     row = df.agg(
         F.percentile_approx(F.col(score), probs, acc).alias("s"),
         F.percentile_approx(F.col(key).cast("double"), probs, acc).alias("k"),
+        F.count(F.lit(1)).alias("n"),
     ).first()
     sq = [v for v in (row["s"] or []) if v is not None]
     kq = [v for v in (row["k"] or []) if v is not None]
@@ -77,7 +79,7 @@ def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None =
         (hot if v in seen else seen).add(v)
     hot = {v for v in hot if not math.isnan(v) and not math.isinf(v)}
     edges = set(sq) | {math.nextafter(h, math.inf) for h in hot}
-    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)))
+    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)), int(row["n"] or 0))
 
 
 def add_bucket(df: DataFrame, score: str, key: str, splits: OrderSplits, out: str = BUCKET,

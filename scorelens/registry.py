@@ -84,3 +84,51 @@ def q_normal_report(spark, sf):
 @register("sample_metrics", O.roc_summary_sql(by=("sample",)))
 def q_sample_metrics(spark, sf):
     return ev.roc_summary(sample_view(spark, sf), by=["sample"])
+
+
+@register("ks_curve", O.gains_sql(20, by=("sample",)) + """ union all
+  select sample, 0 as bin, 0 as cum_bad_num, 0 as cum_good_num, 0.0 as cum_bad_pct, 0.0 as cum_good_pct,
+  0.0 as avg_score, 0.0 as ks_value from (select distinct sample from sample)""")
+def q_ks_curve(spark, sf):
+    return ev.ks_curve(q_gains_by_sample(spark, sf), by=["sample"])
+
+
+# --- 2F monitoring -------------------------------------------------------------------------
+
+from scorelens.functions.bands import score_band  # noqa: E402
+from scorelens.operators import monitor as mon  # noqa: E402
+
+
+@register("score_band_10", O.band_rows_sql(10))
+def q_score_band_10(spark, sf):
+    return sample_view(spark, sf).select("row_id", "score", score_band("score", 10).alias("band"))
+
+
+@register("score_band_20", O.band_rows_sql(20))
+def q_score_band_20(spark, sf):
+    return sample_view(spark, sf).select("row_id", "score", score_band("score", 20).alias("band"))
+
+
+@register("score_distribution", O.score_distribution_sql(20))
+def q_score_distribution(spark, sf):
+    return mon.score_distribution(sample_view(spark, sf))
+
+
+@register("value_counts", O.band_counts_sql(20, "where sample = 'dev'"))
+def q_value_counts(spark, sf):
+    return mon.band_counts(_dev(spark, sf))
+
+
+@register("score_psi", O.psi_sql(10, ("val",)))
+def q_score_psi(spark, sf):
+    return mon.score_psi(sample_view(spark, sf), others=("val",), k=10)
+
+
+@register("psi_monitor", O.psi_monitor_sql(20))
+def q_psi_monitor(spark, sf):
+    return mon.psi_monitor(sample_view(spark, sf), k=20)
+
+
+@register("score_histogram", O.histogram_sql(20))
+def q_score_histogram(spark, sf):
+    return mon.score_histogram(sample_view(spark, sf))
