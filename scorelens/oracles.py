@@ -185,3 +185,65 @@ j as (select g.*, coalesce(c.cnt, 0) as cnt,
     body = """select sample, cast(i + 1 as int) as bin, round(lo, 10) as lo, round(hi, 10) as hi,
   cast(cnt as bigint) as count, round(cnt / (hi - lo) / n, 10) as density from j"""
     return with_sample(body, ctes)
+
+
+# Columns of the `sample` view and their kinds, for generated oracle SQL.
+SAMPLE_COLUMNS = [
+    ("row_id", "int"), ("sample", "str"), ("target", "int"), ("score", "dbl"), ("balance", "dec"),
+    ("totalprice", "dbl"), ("acctbal", "dbl"), ("sparse_num", "dbl"), ("segment", "str"),
+    ("priority", "str"), ("nation", "str"), ("location", "str"), ("segment_null", "str"), ("num_text", "str"),
+]
+
+
+def _sel(c, kind):
+    return f"cast({c} as double) as {c}" if kind == "dec" else c
+
+
+def split_x_y_sql() -> str:
+    cols = ", ".join(_sel(c, k) for c, k in SAMPLE_COLUMNS if c != "target")
+    return with_sample(f"select {cols} from sample")
+
+
+def fill_constant_sql(value=0) -> str:
+    out = []
+    for c, k in SAMPLE_COLUMNS:
+        if k == "str":
+            out.append(f"coalesce({c}, '{value}') as {c}")
+        elif k == "dbl":
+            out.append(f"case when {c} is null or isnan({c}) then {float(value)} else {c} end as {c}")
+        elif k == "dec":
+            out.append(f"coalesce(cast({c} as double), {float(value)}) as {c}")
+        else:
+            out.append(f"coalesce({c}, {value}) as {c}")
+    return with_sample(f"select {', '.join(out)} from sample")
+
+
+def fill_mean_sql(cols=("totalprice", "acctbal", "sparse_num")) -> str:
+    sel = ", ".join(f"round(coalesce({c}, (select avg({c}) from sample)), 10) as {c}" for c in cols)
+    return with_sample(f"select row_id, {sel} from sample")
+
+
+def sparse_report_sql(nan_ratio: float = 0.5) -> str:
+    parts = [f"select '{c}' as column_name, count({c}) as non_null, count(*) as n_rows from sample"
+             for c, _ in SAMPLE_COLUMNS]
+    body = (f"select column_name, non_null, n_rows, not (non_null / n_rows < {1.0 - nan_ratio}::double) as kept "
+            f"from ({' union all '.join(parts)})")
+    return with_sample(body)
+
+
+def stratified_sql(frac1=0.7, frac0=0.7, seed=1) -> str:
+    ctes = f"""r as (select row_id, target, sample,
+    row_number() over (partition by target order by md5(cast(row_id as varchar) || '#{seed}'), row_id) as rn,
+    count(*) over (partition by target) as n from sample where target in (0, 1))"""
+    body = (f"select row_id, target, sample from r where rn <= floor(case when target = 1 "
+            f"then {float(frac1)}::double else {float(frac0)}::double end * n)")
+    return with_sample(body, ctes)
+
+
+def dev_val_split_sql(test_size=0.3, seed=1) -> str:
+    ctes = f"""r as (select row_id,
+    row_number() over (order by md5(cast(row_id as varchar) || '#{seed}'), row_id) as rn,
+    count(*) over () as n from sample)"""
+    body = (f"select row_id, case when rn <= n - ceil({float(test_size)}::double * n) then 'dev' else 'val' end "
+            f"as split from r")
+    return with_sample(body, ctes)

@@ -132,3 +132,76 @@ def q_psi_monitor(spark, sf):
 @register("score_histogram", O.histogram_sql(20))
 def q_score_histogram(spark, sf):
     return mon.score_histogram(sample_view(spark, sf))
+
+
+# --- 2B projections, filters, scalar functions -----------------------------------------------
+
+from scorelens.functions.predicates import NUMERIC_PATTERN, is_num  # noqa: E402
+from scorelens.operators import prep  # noqa: E402
+from scorelens.operators import sampling  # noqa: E402
+from scorelens.spec import SAMPLE_SPEC  # noqa: E402
+
+
+def _sample_dbl(spark, sf):
+    """The sample view with balance as double (decimals hash differently across engines)."""
+    return sample_view(spark, sf).withColumn("balance", F.col("balance").cast("double"))
+
+
+@register("split_x_y", O.split_x_y_sql())
+def q_split_x_y(spark, sf):
+    return prep.split_x_y(_sample_dbl(spark, sf), "target")[0]
+
+
+@register("x_y_split", O.with_sample(f"select {', '.join(SAMPLE_SPEC.varlist)} from sample"))
+def q_x_y_split(spark, sf):
+    return prep.x_y_split(sample_view(spark, sf), SAMPLE_SPEC)[0]
+
+
+@register("is_num", O.with_sample(
+    f"select row_id, regexp_matches(num_text, '{NUMERIC_PATTERN}') as is_num from sample"))
+def q_is_num(spark, sf):
+    return sample_view(spark, sf).select("row_id", is_num("num_text").alias("is_num"))
+
+
+@register("location_split", O.with_sample(
+    "select row_id, location, string_split(location, ',')[1] as location_prov, "
+    "string_split(location, ',')[2] as location_city from sample"))
+def q_location_split(spark, sf):
+    return prep.location_split(sample_view(spark, sf), cols=("location",)).select(
+        "row_id", "location", "location_prov", "location_city")
+
+
+@register("fill_constant", O.fill_constant_sql(0))
+def q_fill_constant(spark, sf):
+    return prep.fill_constant(_sample_dbl(spark, sf), 0)
+
+
+@register("fill_mean", O.fill_mean_sql())
+def q_fill_mean(spark, sf):
+    cols = ["totalprice", "acctbal", "sparse_num"]
+    out = prep.fill_mean(sample_view(spark, sf), cols=cols)
+    return out.select("row_id", *[F.round(c, 10).alias(c) for c in cols])
+
+
+@register("drop_sparse_columns", O.sparse_report_sql(0.5))
+def q_drop_sparse_columns(spark, sf):
+    return prep.sparse_column_report(_sample_dbl(spark, sf), 0.5)
+
+
+@register("filter_class", O.with_sample("select row_id, sample, score, segment from sample where target = 1"))
+def q_filter_class(spark, sf):
+    return sample_view(spark, sf).where(F.col("target") == 1).select("row_id", "sample", "score", "segment")
+
+
+# --- 2C sampling ---------------------------------------------------------------------------
+
+
+@register("stratified_sample", O.stratified_sql(0.7, 0.7, 1))
+def q_stratified_sample(spark, sf):
+    return sampling.stratified_sample(sample_view(spark, sf), "target", "row_id", 0.7, 0.7, 1).select(
+        "row_id", "target", "sample")
+
+
+@register("dev_val_split", O.dev_val_split_sql(0.3, 1))
+def q_dev_val_split(spark, sf):
+    return sampling.dev_val_split(sample_view(spark, sf), "row_id", 0.3, 1).select("row_id", "split")
