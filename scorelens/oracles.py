@@ -247,3 +247,85 @@ def dev_val_split_sql(test_size=0.3, seed=1) -> str:
     body = (f"select row_id, case when rn <= n - ceil({float(test_size)}::double * n) then 'dev' else 'val' end "
             f"as split from r")
     return with_sample(body, ctes)
+
+
+CHAR = ("segment", "priority", "nation", "segment_null")
+BUILD = "sample in ('dev', 'val')"
+
+
+def long_cte(features=CHAR) -> str:
+    parts = [f"select row_id, sample, target, '{f}' as feature, cast({f} as varchar) as level from sample"
+             for f in features]
+    return "long as (" + " union all ".join(parts) + ")"
+
+
+def woe_map_ctes(where: str = BUILD, features=CHAR) -> str:
+    one = lambda x: f"(case when {x} = 0 then 1 else {x} end)"
+    return f"""{long_cte(features)},
+wc as (select feature, level, count(*) as n, count(*) filter (where target = 1) as bad,
+         count(*) filter (where target = 0) as good0 from long where {where} group by feature, level),
+ww as (select *, sum(bad) over (partition by feature) as "B", sum(good0) over (partition by feature) as "G" from wc),
+wm as (select feature, level, n, bad, n - bad as good,
+         round(ln(cast({one('bad')} as double) * {one('"G"')} / {one('"B"')} / {one('n - bad')}), 10) as woe
+       from ww)"""
+
+
+def woe_map_sql(where: str = BUILD) -> str:
+    return with_sample("select feature, level, n, bad, good, woe from wm", woe_map_ctes(where))
+
+
+def woe_apply_sql(fit_where: str, apply_where: str, fill=None, features=CHAR) -> str:
+    joins, cols = [], []
+    for i, f in enumerate(features):
+        joins.append(f"left join (select level, woe from wm where feature = '{f}') m{i} "
+                     f"on cast(s.{f} as varchar) is not distinct from m{i}.level")
+        cols.append(f"coalesce(m{i}.woe, {fill}) as {f}" if fill is not None else f"m{i}.woe as {f}")
+    body = f"select s.row_id, {', '.join(cols)} from sample s {' '.join(joins)} where {apply_where}"
+    return with_sample(body, woe_map_ctes(fit_where, features))
+
+
+def category_stats_ctes(where: str = BUILD, features=CHAR, name: str = "cs") -> str:
+    return f"""{name}_c as (select feature, level, count(*) filter (where target = 0) as good,
+        count(*) filter (where target = 1) as bad from long
+        where {where} and target in (0, 1) and level is not null group by feature, level),
+{name} as (select feature, level, good, bad, bad / (bad + good) as bad_ratio,
+        row_number() over (partition by feature order by bad / (bad + good), level) - 1 as idx from {name}_c)"""
+
+
+def category_stats_sql(where: str = BUILD) -> str:
+    body = "select feature, level, good, bad, round(bad_ratio, 10) as bad_ratio, idx from cs"
+    return with_sample(body, f"{long_cte()}, {category_stats_ctes(where)}")
+
+
+def grouped_ks_sql(where: str = BUILD) -> str:
+    ctes = f"""{long_cte()}, {category_stats_ctes(where)},
+k as (select feature, abs(sum(good) over w / sum(good) over (partition by feature)
+        - sum(bad) over w / sum(bad) over (partition by feature)) as k from cs
+      window w as (partition by feature order by idx rows between unbounded preceding and current row))"""
+    return with_sample("select feature, round(max(k), 10) as ks from k group by feature", ctes)
+
+
+def grouped_iv_sql(where: str = BUILD) -> str:
+    ctes = f"""{long_cte()}, {category_stats_ctes(where)},
+s as (select feature, good / sum(good) over (partition by feature) as gp,
+        bad / sum(bad) over (partition by feature) as bp from cs)"""
+    body = ("select feature, round(coalesce(sum(case when gp != 0 and bp != 0 then ln(bp / gp) * (bp - gp) end), 0), 10)"
+            " as iv from s group by feature")
+    return with_sample(body, ctes)
+
+
+def category_psi_sql(build: str = BUILD, off: str = "sample = 'oft1'") -> str:
+    ctes = f"""{long_cte()}, {category_stats_ctes(build, name='b')}, {category_stats_ctes(off, name='o')},
+j as (select b.feature, b.good + b.bad as bn, o.good + o.bad as on_ from b join o using (feature, level)),
+t as (select feature, bn / sum(bn) over (partition by feature) as p, on_ / sum(on_) over (partition by feature) as q from j)"""
+    return with_sample("select feature, round(sum(ln(p / q) * (p - q)), 10) as psi from t group by feature", ctes)
+
+
+def group_woe_sql(where: str = BUILD) -> str:
+    ctes = f"""{long_cte()}, {category_stats_ctes(where)},
+s as (select feature, level, bad, good, sum(bad) over (partition by feature) as "B",
+        sum(good) over (partition by feature) as "G" from cs)"""
+    body = """select feature, level, round(case when bad = 0 and good = 0 then -99.0
+  when bad = 0 then '-inf'::double when good = 0 then 'inf'::double
+  else ln((bad / "B") / (good / "G")) end, 10) as woe from s"""
+    return with_sample(body, ctes)

@@ -205,3 +205,65 @@ def q_stratified_sample(spark, sf):
 @register("dev_val_split", O.dev_val_split_sql(0.3, 1))
 def q_dev_val_split(spark, sf):
     return sampling.dev_val_split(sample_view(spark, sf), "row_id", 0.3, 1).select("row_id", "split")
+
+
+# --- 2D weight of evidence -----------------------------------------------------------------
+
+from scorelens.operators import woe as W  # noqa: E402
+
+CHAR = list(SAMPLE_SPEC.char)
+
+
+def _build(spark, sf):
+    return sample_view(spark, sf).where(F.col("sample").isin("dev", "val"))
+
+
+def _round_cols(df, cols, d=10):
+    return df.select(*[F.round(c, d).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("woe_map", O.woe_map_sql())
+def q_woe_map(spark, sf):
+    return W.woe_map(_build(spark, sf), CHAR, "target")
+
+
+@register("woe_fit_transform", O.woe_apply_sql("sample = 'dev'", "s.sample = 'dev'"))
+def q_woe_fit_transform(spark, sf):
+    return W.woe_fit_transform(_dev(spark, sf), CHAR, "target").select("row_id", *CHAR)
+
+
+@register("woe_fit_apply", O.woe_apply_sql("sample = 'dev'", "s.sample != 'dev'", fill=0.0))
+def q_woe_fit_apply(spark, sf):
+    s = sample_view(spark, sf)
+    return W.woe_fit_apply(s.where(F.col("sample") == "dev"), s.where(F.col("sample") != "dev"), CHAR,
+                           "target").select("row_id", *CHAR)
+
+
+def _cat_stats(spark, sf, where_samples=("dev", "val")):
+    s = sample_view(spark, sf).where(F.col("sample").isin(*where_samples))
+    return W.category_stats(s, CHAR, "target")
+
+
+@register("category_stats", O.category_stats_sql())
+def q_category_stats(spark, sf):
+    return _round_cols(_cat_stats(spark, sf), ["bad_ratio"])
+
+
+@register("grouped_ks", O.grouped_ks_sql())
+def q_grouped_ks(spark, sf):
+    return W.grouped_ks(_cat_stats(spark, sf))
+
+
+@register("grouped_iv", O.grouped_iv_sql())
+def q_grouped_iv(spark, sf):
+    return W.grouped_iv(_cat_stats(spark, sf))
+
+
+@register("category_psi", O.category_psi_sql())
+def q_category_psi(spark, sf):
+    return W.category_psi(_cat_stats(spark, sf), _cat_stats(spark, sf, ("oft1",)))
+
+
+@register("group_woe", O.group_woe_sql())
+def q_group_woe(spark, sf):
+    return W.group_woe(_cat_stats(spark, sf))
