@@ -329,3 +329,118 @@ s as (select feature, level, bad, good, sum(bad) over (partition by feature) as
   when bad = 0 then '-inf'::double when good = 0 then 'inf'::double
   else ln((bad / "B") / (good / "G")) end, 10) as woe from s"""
     return with_sample(body, ctes)
+
+
+def autogroup_ctes(build=("dev", "val"), offs=("oft1", "oft2", "oft3"), attempts=(3, 4, 5, 6, 7),
+                   min_levels: int = 7, features=CHAR) -> str:
+    from scorelens.operators.autogroup import qcut_probs
+
+    bl = ", ".join(f"'{s}'" for s in build)
+    ol = ", ".join(f"'{s}'" for s in offs)
+    probs = sorted({p for n in attempts for p in qcut_probs(n)})
+    pos = {p: i + 1 for i, p in enumerate(probs)}
+    plist = "[" + ", ".join(f"{p!r}::double" for p in probs) + "]"
+    case = "case n " + " ".join(
+        f"when {n} then [" + ", ".join(f"q[{pos[p]}]" for p in qcut_probs(n)) + "]" for n in attempts) + " end"
+    nvals = ", ".join(f"({n})" for n in attempts)
+    psi_new = []
+    for i, p in enumerate(offs, start=1):
+        psi_new.append(f"""pn{i} as (select feature, n, round(sum(ln(pp / qq) * (pp - qq)), 10) as psi from (
+    select b.feature, b.n, (b.good + b.bad) / sum(b.good + b.bad) over (partition by b.feature, b.n) as pp,
+      (o.good + o.bad) / sum(o.good + o.bad) over (partition by b.feature, b.n) as qq
+    from ng b join og o on o.feature = b.feature and o.n = b.n and o.grp = b.grp and o.period = '{p}')
+  group by feature, n)""")
+    m = lambda c: f"case when a.ok then coalesce({c}, 0.0) else 0.0 end"
+    k = len(offs)
+    psi_cols_big = ", ".join(f"{m(f'pn{i}.psi')} as new_psi_{i}" for i in range(1, k + 1))
+    psi_joins = " ".join(f"left join pn{i} on pn{i}.feature = a.feature and pn{i}.n = a.n" for i in range(1, k + 1))
+    psi_zero = ", ".join(f"0.0 as new_psi_{i}" for i in range(1, k + 1))
+    psi_sum = " + ".join(f"new_psi_{i}" for i in range(1, k + 1))
+    return f"""{long_cte(features)},
+st as (select case when sample in ({bl}) then 'build' else sample end as period, feature, level,
+         count(*) filter (where target = 0) as good, count(*) filter (where target = 1) as bad
+       from long where sample in ({bl}, {ol}) and target in (0, 1) and level is not null group by 1, 2, 3),
+cs as (select *, bad / (bad + good) as bad_ratio,
+         row_number() over (partition by period, feature order by bad / (bad + good), level) - 1 as idx from st),
+bs as (select feature, level, good, bad, bad_ratio, idx from cs where period = 'build'),
+nl as (select feature, count(*) as n_levels from bs group by feature),
+qx as (select feature, quantile_cont(bad_ratio, {plist}) as q from (
+         select b.feature, b.bad_ratio, unnest(range(b.good + b.bad)) as r
+         from bs b join nl using (feature) where nl.n_levels >= {min_levels}) group by feature),
+att0 as (select feature, n, list_sort(list_distinct({case})) as edges from qx cross join (values {nvals}) t(n)),
+ex as (select feature, n, len(edges) as n_edges, unnest(edges) as edge, unnest(range(len(edges))) as j from att0),
+fi as (select feature, bad_ratio, min(idx) as border from bs group by feature, bad_ratio),
+bj as (select ex.feature, ex.n, ex.n_edges, ex.j, fi.border from ex
+       left join fi on fi.feature = ex.feature and fi.bad_ratio = ex.edge where ex.j >= 1),
+agg as (select feature, n, count(*) filter (where border is null) as missing from bj group by feature, n),
+att as (select a.feature, a.n, coalesce(g.missing, 0) = 0 and len(a.edges) >= 2 as ok,
+          cast(len(a.edges) - 1 as int) as n_groups
+        from att0 a left join agg g using (feature, n)),
+ib as (select feature, n, border from bj where j <= n_edges - 2),
+lv as (select b.feature, a.n, b.level, b.idx, b.good, b.bad,
+         cast((select count(*) from ib where ib.feature = b.feature and ib.n = a.n and ib.border < b.idx) as int) as grp
+       from bs b join att a on a.feature = b.feature and a.ok),
+ng as (select feature, n, grp, cast(sum(good) as bigint) as good, cast(sum(bad) as bigint) as bad from lv group by feature, n, grp),
+og as (select o.period, o.feature, a.n, coalesce(m.grp, 0) as grp, cast(sum(o.good) as bigint) as good,
+         cast(sum(o.bad) as bigint) as bad
+       from cs o join att a on a.feature = o.feature and a.ok
+       left join lv m on m.feature = o.feature and m.n = a.n and m.level = o.level
+       where o.period != 'build' group by 1, 2, 3, 4),
+ks_old as (select feature, round(max(abs(cg / gg - cb / bb)), 10) as ks from (
+    select feature, sum(good) over w as cg, sum(bad) over w as cb, sum(good) over (partition by feature) as gg,
+      sum(bad) over (partition by feature) as bb from bs
+    window w as (partition by feature order by idx rows between unbounded preceding and current row)) group by feature),
+ks_new as (select feature, n, round(max(abs(cg / gg - cb / bb)), 10) as ks from (
+    select feature, n, sum(good) over w as cg, sum(bad) over w as cb,
+      sum(good) over (partition by feature, n) as gg, sum(bad) over (partition by feature, n) as bb from ng
+    window w as (partition by feature, n order by grp rows between unbounded preceding and current row))
+  group by feature, n),
+iv_old as (select feature, round(coalesce(sum(case when gp != 0 and bp != 0 then ln(bp / gp) * (bp - gp) end), 0), 10) as iv
+  from (select feature, good / sum(good) over (partition by feature) as gp,
+          bad / sum(bad) over (partition by feature) as bp from bs) group by feature),
+iv_new as (select feature, n, round(coalesce(sum(case when gp != 0 and bp != 0 then ln(bp / gp) * (bp - gp) end), 0), 10) as iv
+  from (select feature, n, good / sum(good) over (partition by feature, n) as gp,
+          bad / sum(bad) over (partition by feature, n) as bp from ng) group by feature, n),
+psi_old as (select feature, round(sum(ln(pp / qq) * (pp - qq)), 10) as psi from (
+    select b.feature, (b.good + b.bad) / sum(b.good + b.bad) over (partition by b.feature) as pp,
+      (o.good + o.bad) / sum(o.good + o.bad) over (partition by b.feature) as qq
+    from bs b join cs o on o.feature = b.feature and o.level = b.level and o.period = '{offs[0]}') group by feature),
+{", ".join(psi_new)},
+rep_big as (select a.feature, cast(a.n as int) as n_bins, case when a.ok then a.n_groups else 0 end as n_groups,
+    case when a.ok then 'regrouped' else 'failed' end as status,
+    {m('ks_old.ks')} as old_build_ks, {m('ks_new.ks')} as new_build_ks,
+    {m('iv_old.iv')} as old_build_iv, {m('iv_new.iv')} as new_build_iv,
+    {m('psi_old.psi')} as old_psi_1, {psi_cols_big}
+  from att a left join ks_new on ks_new.feature = a.feature and ks_new.n = a.n
+  left join iv_new on iv_new.feature = a.feature and iv_new.n = a.n {psi_joins}
+  left join ks_old on ks_old.feature = a.feature left join iv_old on iv_old.feature = a.feature
+  left join psi_old on psi_old.feature = a.feature),
+rep_small as (select nl.feature, 0 as n_bins, 0 as n_groups, 'unchanged' as status,
+    coalesce(ks_old.ks, 0.0) as old_build_ks, 0.0 as new_build_ks, coalesce(iv_old.iv, 0.0) as old_build_iv,
+    0.0 as new_build_iv, coalesce(psi_old.psi, 0.0) as old_psi_1, {psi_zero}
+  from nl left join ks_old using (feature) left join iv_old using (feature) left join psi_old using (feature)
+  where nl.n_levels < {min_levels}),
+rep0 as (select * from rep_big union all select * from rep_small),
+rep as (select *, round(({psi_sum}) / {float(k)}, 10) as psi_sum from rep0),
+rep2 as (select *, round(new_build_iv - psi_sum, 10) as score from rep),
+best as (select feature, n_bins as n, n_groups, score from (
+    select *, row_number() over (partition by feature order by score desc, n_bins) as r
+    from rep2 where status = 'regrouped') where r = 1),
+gw as (select feature, grp, good, bad, sum(bad) over (partition by feature) as bb,
+         sum(good) over (partition by feature) as gg from ng join best using (feature, n)),
+kept as (select * from bs where feature not in (select feature from best)),
+kw as (select feature, level, idx, good, bad, sum(bad) over (partition by feature) as bb,
+         sum(good) over (partition by feature) as gg from kept),
+final as (
+  select lv.feature, lv.level, lv.grp, round(case when gw.bad = 0 and gw.good = 0 then -99.0
+      when gw.bad = 0 then '-inf'::double when gw.good = 0 then 'inf'::double
+      else ln((gw.bad / gw.bb) / (gw.good / gw.gg)) end, 10) as woe
+  from lv join best using (feature, n) join gw using (feature, grp)
+  union all
+  select feature, level, cast(idx as int) as grp, round(case when bad = 0 and good = 0 then -99.0
+      when bad = 0 then '-inf'::double when good = 0 then 'inf'::double
+      else ln((bad / bb) / (good / gg)) end, 10) as woe from kw)"""
+
+
+def autogroup_sql(select: str) -> str:
+    return with_sample(select, autogroup_ctes())

@@ -24,3 +24,12 @@ def checked_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
 def bounded_broadcast(small: DataFrame, bound: int, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast a table whose row count is bounded by construction (``bound``)."""
     return F.broadcast(small) if bound <= max_rows else small
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a small, heavily reused table with a reliable checkpoint
+    (written under the shared spark.checkpoint.dir, so it survives executor loss)."""
+    from scorelens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -267,3 +267,51 @@ def q_category_psi(spark, sf):
 @register("group_woe", O.group_woe_sql())
 def q_group_woe(spark, sf):
     return W.group_woe(_cat_stats(spark, sf))
+
+
+# --- 2D automatic stable grouping ------------------------------------------------------------
+
+from scorelens.operators import autogroup as AG  # noqa: E402
+
+
+def _ag(spark, sf):
+    return AG.auto_group(sample_view(spark, sf), CHAR, "target")
+
+
+@register("quantile_regroup", O.autogroup_sql("select feature, n, level, idx, grp from lv"))
+def q_quantile_regroup(spark, sf):
+    return _ag(spark, sf).levels
+
+
+@register("group_totals", O.autogroup_sql(
+    "select feature, n, grp, good, bad, round(bad / (good + bad), 10) as bad_ratio from ng"))
+def q_group_totals(spark, sf):
+    return _round_cols(_ag(spark, sf).group_totals, ["bad_ratio"])
+
+
+@register("offtime_apply", O.autogroup_sql("select period, feature, n, grp, good, bad from og"))
+def q_offtime_apply(spark, sf):
+    return _ag(spark, sf).off_groups
+
+
+@register("trial_report", O.autogroup_sql("select * from rep2"))
+def q_trial_report(spark, sf):
+    return _ag(spark, sf).trial_report
+
+
+@register("best_grouping", O.autogroup_sql("select * from best"))
+def q_best_grouping(spark, sf):
+    return _ag(spark, sf).best
+
+
+@register("small_feature_path", O.autogroup_sql(
+    "select feature, level, cast(idx as int) as grp, round(case when bad = 0 and good = 0 then -99.0 "
+    "when bad = 0 then '-inf'::double when good = 0 then 'inf'::double "
+    "else ln((bad / bb) / (good / gg)) end, 10) as woe from kw"))
+def q_small_feature_path(spark, sf):
+    return _ag(spark, sf).kept_map
+
+
+@register("char_auto_woe", O.autogroup_sql("select * from final"))
+def q_char_auto_woe(spark, sf):
+    return _ag(spark, sf).final_map
