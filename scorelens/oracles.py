@@ -444,3 +444,70 @@ final as (
 
 def autogroup_sql(select: str) -> str:
     return with_sample(select, autogroup_ctes())
+
+
+NUMS = ("totalprice", "acctbal", "sparse_num", "score")
+
+
+def describe_sql(cols=NUMS, probs=(0.01, 0.25, 0.5, 0.75, 0.99), where: str = "") -> str:
+    from scorelens.operators.profile import _pname
+
+    parts = []
+    for c in cols:
+        qs = ", ".join(f"round(quantile_cont({c}, {p}::double), 10) as {_pname(p)}" for p in probs)
+        parts.append(f"select '{c}' as column_name, 'double' as dtype, count({c}) as count, "
+                     f"round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, min({c}) as min, {qs}, "
+                     f"max({c}) as max from sample {where}")
+    return with_sample(" union all ".join(parts))
+
+
+def class_balance_sql() -> str:
+    return with_sample("""select sample, count(*) filter (where target = 0) as num_good,
+  count(*) filter (where target = 1) as num_bad,
+  round(count(*) filter (where target = 1) / (count(*) filter (where target in (0, 1))), 10) as bad_rate
+from sample group by sample""")
+
+
+def crosstab_sql(features=CHAR) -> str:
+    ctes = f"{long_cte(features)}, lv as (select * from long where level is not null)"
+    body = """select feature, level, count(*) filter (where target = 0) as n_0, count(*) filter (where target = 1) as n_1,
+  count(*) as n_all, round(count(*) filter (where target = 1) / count(*), 10) as ratio from lv group by feature, level
+union all
+select feature, 'All' as level, count(*) filter (where target = 0), count(*) filter (where target = 1), count(*),
+  round(count(*) filter (where target = 1) / count(*), 10) from lv group by feature"""
+    return with_sample(body, ctes)
+
+
+def bivar_numeric_sql(cols=("totalprice", "acctbal", "sparse_num"), by=(), where: str = "", bins: int = 10) -> str:
+    sel, _, _ = _by(by)
+    parts = [f"select {sel} target, '{c}' as column_name, cast({c} as double) as x from sample {where}" for c in cols]
+    bys = "".join(f"{c}, " for c in by)
+    on = " and ".join([f"l.{c} = e.{c}" for c in by] + ["l.column_name = e.column_name"])
+    step = f"((e.mx - e.mn) / {float(bins)})"
+    edge = lambda i: f"({float(i)} * {step} + e.mn)" if i < bins else "e.mx"
+    bin_expr = "1 + " + " + ".join(f"(case when l.x > {edge(i)} then 1 else 0 end)" for i in range(1, bins))
+    lo = " ".join(f"when {i} then {edge(i - 1) if i > 1 else '(e.mn - (e.mx - e.mn) * 0.001)'}"
+                  for i in range(1, bins + 1))
+    hi = " ".join(f"when {i} then {edge(i)}" for i in range(1, bins + 1))
+    lsel = "".join(f"l.{c}, " for c in by)
+    ctes = f"""nl as ({' union all '.join(parts)}),
+l0 as (select * from nl where x is not null and not isnan(x)),
+e as (select {bys} column_name, min(x) as mn, max(x) as mx from l0 group by {bys} column_name
+      having count(distinct x) >= 5),
+j as (select {lsel} l.column_name, l.target, e.mn, e.mx, {bin_expr} as bin from l0 l join e e on {on}),
+a as (select {bys} column_name, bin, mn, mx, count(*) as count, avg(cast(target as double)) as bad_rate
+      from j group by {bys} column_name, bin, mn, mx)"""
+    ecols = step.replace("e.", "")
+    body = (f"select {bys} column_name, cast(bin as int) as bin, "
+            f"round(case bin {lo.replace('e.', '')} end, 10) as lo, round(case bin {hi.replace('e.', '')} end, 10) as hi, "
+            f"count, round(bad_rate, 10) as bad_rate from a")
+    del ecols
+    return with_sample(body, ctes)
+
+
+def bivar_categorical_sql(features=CHAR, by=(), where: str = "") -> str:
+    bys = "".join(f"{c}, " for c in by)
+    ctes = f"{long_cte(features)}, lv as (select * from long where level is not null {where.replace('where', 'and')})"
+    body = (f"select {bys} feature as column_name, level, count(*) as count, "
+            f"round(avg(cast(target as double)), 10) as bad_rate from lv group by {bys} feature, level")
+    return with_sample(body, ctes)

@@ -1,0 +1,87 @@
+"""Exact quantiles of many numeric columns without holding a column in one task.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in memory,
+which does not scale to continuous columns.  Here, per column:
+
+1. one aggregation draws approximate range edges (and the non-missing count);
+2. MLlib ``Bucketizer`` (JVM binary search) buckets every column in one pass;
+3. distinct values are counted per (column, bucket, value); bucket offsets and a
+   window inside each bucket give every distinct value its position range;
+4. only the order statistics needed for the requested probabilities (two per
+   probability) are returned - a bounded result.
+
+Interpolation is the usual linear rule (``quantile_cont`` / numpy "linear"):
+pos = p*(n-1), v = lo + (hi - lo) * (pos - floor(pos)).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.ordering import _splits, default_buckets
+
+
+def _interp(vals: dict[int, float], n: int, p: float):
+    if n == 0:
+        return None
+    rn = (n - 1) * p
+    frn, crn = math.floor(rn), math.ceil(rn)
+    lo = vals[frn]
+    if frn == crn:
+        return lo
+    hi = vals[crn]
+    return lo + (hi - lo) * (rn - frn)
+
+
+def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int | None = None) -> dict[str, list]:
+    """{column: [quantile per prob]}; null and NaN are skipped.  Two actions."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    b = max(int(n_buckets or default_buckets(df.sparkSession)), 2)
+    bprobs = [i / b for i in range(1, b)]
+    acc = max(10_000, 8 * b)
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.percentile_approx(clean[c], bprobs, acc).alias(f"q{i}"), F.count(clean[c]).alias(f"n{i}")]
+    row = df.agg(*aggs).first()
+    n = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    splits = {c: list(_splits(row[f"q{i}"] or [])) for i, c in enumerate(cols)}
+    need = {}
+    for c in cols:
+        pos = set()
+        for p in probs:
+            if n[c]:
+                rn = (n[c] - 1) * p
+                pos.update({math.floor(rn), math.ceil(rn)})
+        need[c] = sorted(pos)
+
+    wide = df.select(*[clean[c].alias(f"v{i}") for i, c in enumerate(cols)])
+    bz = Bucketizer(splitsArray=[splits[c] for c in cols], inputCols=[f"v{i}" for i in range(len(cols))],
+                    outputCols=[f"b{i}" for i in range(len(cols))], handleInvalid="keep")
+    long = bz.transform(wide).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(f"v{i}").alias("v"), F.col(f"b{i}").cast("int").alias("bk"))
+        for i in range(len(cols))])).alias("t")).select("t.*").where(F.col("v").isNotNull())
+    d = long.groupBy("ci", "bk", "v").agg(F.count(F.lit(1)).alias("c"))
+    st = d.groupBy("ci", "bk").agg(F.sum("c").alias("c"))
+    wp = Window.partitionBy("ci").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
+    st = st.select("ci", "bk", F.coalesce(F.sum("c").over(wp), F.lit(0)).alias("off"))
+    w = Window.partitionBy("ci", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.join(checked_broadcast(st), ["ci", "bk"]).withColumn("end", F.col("off") + F.sum("c").over(w))
+    d = d.withColumn("start", F.col("end") - F.col("c"))
+    arr = None
+    for i, c in enumerate(cols):
+        a = F.array(*[F.lit(p) for p in need[c]]) if need[c] else F.array().cast("array<bigint>")
+        arr = F.when(F.col("ci") == i, a) if arr is None else arr.when(F.col("ci") == i, a)
+    hit = d.select("ci", "v", F.explode(F.filter(arr, lambda p: (p >= F.col("start")) & (p < F.col("end"))))
+                   .alias("p"))
+    got: dict[str, dict[int, float]] = {c: {} for c in cols}
+    for r in hit.collect():
+        got[cols[r["ci"]]][int(r["p"])] = float(r["v"])
+    return {c: [_interp(got[c], n[c], p) for p in probs] for c in cols}

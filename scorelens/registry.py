@@ -315,3 +315,46 @@ def q_small_feature_path(spark, sf):
 @register("char_auto_woe", O.autogroup_sql("select * from final"))
 def q_char_auto_woe(spark, sf):
     return _ag(spark, sf).final_map
+
+
+# --- 2E profiling ----------------------------------------------------------------------------
+
+from scorelens.operators import profile as P  # noqa: E402
+
+NUMS = ["totalprice", "acctbal", "sparse_num", "score"]
+NUM_FEATURES = list(SAMPLE_SPEC.num)
+
+
+@register("profile_describe", O.describe_sql(NUMS))
+def q_profile_describe(spark, sf):
+    return P.describe(sample_view(spark, sf), NUMS)
+
+
+@register("describe_report", O.describe_sql(NUM_FEATURES, (0.25, 0.5, 0.75), "where sample = 'dev'"))
+def q_describe_report(spark, sf):
+    return P.describe(_dev(spark, sf), NUM_FEATURES, (0.25, 0.5, 0.75))
+
+
+@register("class_balance", O.class_balance_sql())
+def q_class_balance(spark, sf):
+    return P.class_balance(sample_view(spark, sf))
+
+
+@register("crosstab_margins", O.crosstab_sql())
+def q_crosstab_margins(spark, sf):
+    return P.crosstab_margins(sample_view(spark, sf), CHAR)
+
+
+@register("bivar_numeric", O.bivar_numeric_sql(NUM_FEATURES, (), "where sample = 'dev'"))
+def q_bivar_numeric(spark, sf):
+    return P.bivar_numeric(_dev(spark, sf), NUM_FEATURES)
+
+
+@register("bivar_categorical", O.bivar_categorical_sql(CHAR, (), "where sample = 'dev'"))
+def q_bivar_categorical(spark, sf):
+    return P.bivar_categorical(_dev(spark, sf), CHAR)
+
+
+@register("bivar_many", O.bivar_numeric_sql(NUM_FEATURES, ("sample",)))
+def q_bivar_many(spark, sf):
+    return P.bivar_numeric(sample_view(spark, sf), NUM_FEATURES, by=["sample"])
