@@ -511,3 +511,27 @@ def bivar_categorical_sql(features=CHAR, by=(), where: str = "") -> str:
     body = (f"select {bys} feature as column_name, level, count(*) as count, "
             f"round(avg(cast(target as double)), 10) as bad_rate from lv group by {bys} feature, level")
     return with_sample(body, ctes)
+
+
+def iv_ranking_sql(char=CHAR, num=("totalprice", "acctbal", "sparse_num"), bins: int = 10) -> str:
+    probs = ", ".join(f"{i / bins!r}::double" for i in range(1, bins))
+    parts = [f"select target, '{c}' as feature, cast({c} as varchar) as level from sample" for c in char]
+    eds = []
+    for i, c in enumerate(num):
+        eds.append(f"e{i} as (select list_distinct(quantile_cont({c}, [{probs}])) as es from sample)")
+        parts.append(f"select target, '{c}' as feature, case when {c} is null or isnan({c}) then 'null' "
+                     f"else cast(1 + len(list_filter(e{i}.es, lambda e: {c} > e)) as varchar) end as level "
+                     f"from sample cross join e{i}")
+    types = " union all ".join([f"select '{c}' as name, 'string' as var_type" for c in char] +
+                               [f"select '{c}', 'number'" for c in num])
+    ctes = f"""{', '.join(eds)},
+lg as ({' union all '.join(parts)}),
+c as (select feature, level, count(*) filter (where target = 0) as good, count(*) filter (where target = 1) as bad
+      from lg group by feature, level),
+s as (select feature, good / sum(good) over (partition by feature) as gp,
+        bad / sum(bad) over (partition by feature) as bp from c),
+iv as (select feature as name,
+         round(coalesce(sum(case when gp != 0 and bp != 0 then ln(bp / gp) * (bp - gp) end), 0), 10) as iv
+       from s group by feature),
+t as ({types})"""
+    return with_sample("select name, var_type, iv from iv join t using (name)", ctes)

@@ -358,3 +358,8 @@ def q_bivar_categorical(spark, sf):
 @register("bivar_many", O.bivar_numeric_sql(NUM_FEATURES, ("sample",)))
 def q_bivar_many(spark, sf):
     return P.bivar_numeric(sample_view(spark, sf), NUM_FEATURES, by=["sample"])
+
+
+@register("iv_ranking", O.iv_ranking_sql())
+def q_iv_ranking(spark, sf):
+    return W.iv_ranking(sample_view(spark, sf), CHAR, NUM_FEATURES, "target")
