@@ -363,3 +363,65 @@ def q_bivar_many(spark, sf):
 @register("iv_ranking", O.iv_ranking_sql())
 def q_iv_ranking(spark, sf):
     return W.iv_ranking(sample_view(spark, sf), CHAR, NUM_FEATURES, "target")
+
+
+# --- 2G model fitting and scoring ------------------------------------------------------------
+
+from scorelens.operators import model as M  # noqa: E402
+from scorelens.operators import report as R  # noqa: E402
+from scorelens.operators.smote import smote  # noqa: E402
+
+# Trees for the registered model queries (the library default is the reference's 200).
+QUERY_PARAMS = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}
+
+
+@register("robust_scale", O.with_sample(
+    "select row_id, " + ", ".join(
+        f"round((cast({c} as double) - (select quantile_cont({c}, 0.5) from sample where sample = 'dev')) / "
+        f"(select case when q[2] - q[1] = 0 then 1 else q[2] - q[1] end from "
+        f"(select quantile_cont({c}, [0.05, 0.95]) as q from sample where sample = 'dev')), 10) as {c}"
+        for c in SAMPLE_SPEC.num) + " from sample where sample = 'dev'"))
+def q_robust_scale(spark, sf):
+    out = M.robust_scale_exact(_dev(spark, sf), NUM_FEATURES)
+    return out.select("row_id", *[F.round(c, 10).alias(c) for c in NUM_FEATURES])
+
+
+def _fitted(spark, sf):
+    s = sample_view(spark, sf)
+    return s, M.fit_model(s.where(F.col("sample") == "dev"), SAMPLE_SPEC, **QUERY_PARAMS)
+
+
+@register("gbt_fit_eval")
+def q_gbt_fit_eval(spark, sf):
+    return M.gbt_fit_eval(sample_view(spark, sf), SAMPLE_SPEC, **QUERY_PARAMS)
+
+
+@register("gbt_pipeline")
+def q_gbt_pipeline(spark, sf):
+    s, fitted = _fitted(spark, sf)
+    prepared = M.prepare_features(s.where(F.col("sample") == "val"), fitted.woe_map, SAMPLE_SPEC)
+    return fitted.model.transform(prepared).select("row_id", "prediction")
+
+
+@register("score_rows")
+def q_score_rows(spark, sf):
+    s, fitted = _fitted(spark, sf)
+    return M.score(fitted, s, SAMPLE_SPEC).select("row_id", "sample", "target", "model_score")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, fitted = _fitted(spark, sf)
+    return M.feature_importance(fitted.model, SAMPLE_SPEC, fitted.features)
+
+
+@register("model_report")
+def q_model_report(spark, sf):
+    tables = R.model_report(sample_view(spark, sf), SAMPLE_SPEC, **QUERY_PARAMS)
+    return R.report_summary(tables)
+
+
+@register("smote_oversample")
+def q_smote_oversample(spark, sf):
+    d = prep.fill_constant(_dev(spark, sf).select("row_id", "target", *NUM_FEATURES), 0)
+    return smote(d, NUM_FEATURES, "target", "row_id", n=100, k=5, seed=1)
