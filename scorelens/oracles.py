@@ -535,3 +535,8 @@ iv as (select feature as name,
        from s group by feature),
 t as ({types})"""
     return with_sample("select name, var_type, iv from iv join t using (name)", ctes)
+
+
+def sample_dbl_sql() -> str:
+    """The whole `sample` view with balance as double."""
+    return with_sample(f"select {', '.join(_sel(c, k) for c, k in SAMPLE_COLUMNS)} from sample")

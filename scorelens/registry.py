@@ -425,3 +425,51 @@ def q_model_report(spark, sf):
 def q_smote_oversample(spark, sf):
     d = prep.fill_constant(_dev(spark, sf).select("row_id", "target", *NUM_FEATURES), 0)
     return smote(d, NUM_FEATURES, "target", "row_id", n=100, k=5, seed=1)
+
+
+# --- 2A sources and sinks -------------------------------------------------------------------
+
+from scorelens.session import scratch_path  # noqa: E402
+from scorelens.sources import csv as C  # noqa: E402
+
+SAMPLE_DDL = ("row_id bigint, sample string, target int, score double, balance double, totalprice double, "
+              "acctbal double, sparse_num double, segment string, priority string, nation string, "
+              "location string, segment_null string, num_text string")
+
+
+@register("src_read_csv", O.sample_dbl_sql())
+def q_src_read_csv(spark, sf):
+    path = scratch_path(spark, "sample_csv")
+    C.write_csv(_sample_dbl(spark, sf), path)
+    return C.read_csv_sample(spark, path, SAMPLE_DDL)
+
+
+@register("sink_table_export", O.sample_dbl_sql())
+def q_sink_table_export(spark, sf):
+    _sample_dbl(spark, sf).createOrReplaceTempView("scorelens_sample")
+    path = scratch_path(spark, "export")
+    C.export_table(spark, "scorelens_sample", path)
+    return C.read_csv_sample(spark, path, SAMPLE_DDL)
+
+
+@register("sink_reports")
+def q_sink_reports(spark, sf):
+    final = AG.auto_group(sample_view(spark, sf), CHAR, "target").final_map
+    woe_json = C.mapping_json(final, "level", "woe").withColumn("kind", F.lit("woe"))
+    grp_json = C.mapping_json(final, "level", "grp").withColumn("kind", F.lit("group"))
+    out = woe_json.unionByName(grp_json)
+    path = scratch_path(spark, "maps")
+    out.write.mode("overwrite").json(path)
+    return spark.read.schema("feature string, mapping string, kind string").json(path)
+
+
+@register("sink_report_bundle")
+def q_sink_report_bundle(spark, sf):
+    tables = R.score_report(sample_view(spark, sf), spec=SAMPLE_SPEC)
+    locs = R.write_bundle(tables, scratch_path(spark, "bundle"))
+    parts = [spark.read.parquet(loc).groupBy().agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(name).alias("sheet"), "rows") for name, loc in locs.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
