@@ -473,3 +473,17 @@ def q_sink_report_bundle(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- streaming: the score distribution kept up to date over a stream of orders ---------------
+
+from scorelens.streaming import monitor as ST  # noqa: E402
+
+
+@register("stream_band_counts", O.with_sample(
+    "select sample, band, count(*) as n from (select sample, "
+    + __import__("scorelens.functions.bands", fromlist=["score_band_sql"]).score_band_sql("score", 20)
+    + " as band from sample) where band is not null group by sample, band"))
+def q_stream_band_counts(spark, sf):
+    stream = sample_view(spark, sf, orders=ST.orders_stream(spark, sf))
+    return ST.run_available(spark, ST.band_counts_stream(stream))

@@ -29,9 +29,13 @@ def _sample_label(orderkey: Column, orderdate: Column) -> Column:
     )
 
 
-def sample_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The `sample` view of FIXTURES.md part 3 as a DataFrame."""
-    o = load_table(spark, sf_dir, "orders").select(
+def sample_view(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """The `sample` view of FIXTURES.md part 3 as a DataFrame.
+
+    ``orders`` may be given instead of the parquet table, e.g. a streaming
+    DataFrame: the joins to the dimension tables are then stream-static joins.
+    """
+    o = (orders if orders is not None else load_table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
