@@ -50,7 +50,7 @@ def flag_first(df: DataFrame, key: str, seed: int, by: list[str], m_of_n: Callab
 
 
 def stratified_sample(df: DataFrame, target: str = "target", key: str = "row_id", frac1: float = 0.7,
-                      frac0: float = 0.7, seed: int = 1) -> DataFrame:
+                      frac0: float = 0.7, seed: int = 1, n_buckets: int | None = None) -> DataFrame:
     """Per-class sample without replacement: floor(frac * n_class) rows of each
     class (the reference's parameters are fractions despite their names).  A
     class-1 fraction of 1 keeps class 1 whole.  Rows outside {0, 1} are not drawn."""
@@ -59,15 +59,15 @@ def stratified_sample(df: DataFrame, target: str = "target", key: str = "row_id"
         return F.floor(frac * n.cast("double"))
 
     src = df.where(F.col(target).isin(0, 1))
-    return flag_first(src, key, seed, [target], m_of_n).where("_first").drop("_first")
+    return flag_first(src, key, seed, [target], m_of_n, n_buckets=n_buckets).where("_first").drop("_first")
 
 
 def dev_val_split(df: DataFrame, key: str = "row_id", test_size: float = 0.3, seed: int = 1,
-                  col: str = "split") -> DataFrame:
+                  col: str = "split", n_buckets: int | None = None) -> DataFrame:
     """Exact-size random split, not stratified: ceil(test_size * n) rows go to
     'val', the rest to 'dev' (sklearn's sizes)."""
     def m_of_n(n):
         return n - F.ceil(F.lit(float(test_size)) * n.cast("double"))
 
-    out = flag_first(df, key, seed, [], m_of_n, flag="_dev")
+    out = flag_first(df, key, seed, [], m_of_n, flag="_dev", n_buckets=n_buckets)
     return out.withColumn(col, F.when(F.col("_dev"), F.lit("dev")).otherwise(F.lit("val"))).drop("_dev")

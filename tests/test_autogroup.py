@@ -48,23 +48,41 @@ def test_regroup_matches_pandas_rule(spark, sample001):
             assert got[n] == dict(zip(lv["nation"], exp)), n
 
 
-def test_unobserved_edge_fails_and_all_fail_keeps_levels(spark):
-    # 8 levels with distinct ratios and unequal weights: interpolated quantiles
-    # fall between observed ratios, so every attempt fails.
+def _fixture(spark, spec):
     rows, rid = [], 0
-    spec = [(1, 9), (2, 8), (3, 7), (4, 6), (5, 5), (6, 4), (7, 3), (8, 2)]
     for li, (bad, good) in enumerate(spec):
         for sample in ("dev", "oft1", "oft2", "oft3"):
             for _ in range(bad):
                 rows.append((rid, sample, f"L{li}", 1)); rid += 1
-            for _ in range(good * (li + 1)):
+            for _ in range(good):
                 rows.append((rid, sample, f"L{li}", 0)); rid += 1
     df = spark.createDataFrame(rows, "row_id long, sample string, f string, target int")
+    pdf = pd.DataFrame([(r[2], r[3]) for r in rows if r[1] == "dev"], columns=["f", "target"])
+    return df, _levels(pdf, "f")
+
+
+def test_all_attempts_fail_keeps_levels(spark):
+    # weights and ratios chosen so that no quantile cut point is an observed ratio
+    df, lv = _fixture(spark, [(3, 4), (6, 6), (4, 1), (1, 6), (5, 1), (2, 3), (3, 2)])
+    assert all(_pandas_groups(lv, n) is None for n in ATTEMPTS)
     res = auto_group(df, ["f"], "target", build=("dev",))
-    rep = res.trial_report.collect()
-    assert all(r["status"] == "failed" for r in rep)
+    assert all(r["status"] == "failed" and r["score"] == 0.0 for r in res.trial_report.collect())
     fm = res.final_map.collect()
-    assert len(fm) == 8 and sorted(r["grp"] for r in fm) == list(range(8))
+    assert len(fm) == 7 and sorted(r["grp"] for r in fm) == list(range(7))
+
+
+def test_unobserved_edge_fails_only_that_attempt(spark):
+    df, lv = _fixture(spark, [(6, 6), (3, 6), (5, 4), (2, 3), (1, 3), (1, 5), (3, 1), (2, 5)])
+    res = auto_group(df, ["f"], "target", build=("dev",))
+    status = {r["n_bins"]: r["status"] for r in res.trial_report.collect()}
+    got = {}
+    for r in res.levels.collect():
+        got.setdefault(r["n"], {})[r["level"]] = r["grp"]
+    for n in ATTEMPTS:
+        exp = _pandas_groups(lv, n)
+        assert status[n] == ("failed" if exp is None else "regrouped"), n
+        if exp is not None:
+            assert got[n] == dict(zip(lv["f"], exp)), n
 
 
 def test_tied_ratio_first_index_is_border(spark):
