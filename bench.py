@@ -42,10 +42,15 @@ def main() -> None:
 
     times: dict[str, float] = {}
 
+    tracker = spark.sparkContext.statusTracker()
+    jobs: dict[str, int] = {}
+
     def timed(name, fn):
+        j0 = len(tracker.getJobIdsForGroup(None))
         t = time.perf_counter()
         fn()
         times[name] = round(time.perf_counter() - t, 3)
+        jobs[name] = len(tracker.getJobIdsForGroup(None)) - j0
 
     # warm-up (JVM start, class loading) is not timed
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()
@@ -80,6 +85,8 @@ def main() -> None:
         timed(name, fn)
 
     total = round(sum(times.values()), 3)
+    if os.environ.get("BENCH_JOBS"):
+        print(json.dumps({"spark_jobs": jobs}), file=sys.stderr)
     print(json.dumps({"metric": "scorelens_headline_total", "value": total, "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir).replace("sf", ""), "cpus": cpus}))
     spark.stop()

@@ -76,10 +76,15 @@ def woe_apply(df: DataFrame, wmap: DataFrame, features, fill: float | None = 0.0
     ``fill_all`` every null of every column is then filled with 0, as the
     reference fills the whole frame.
     """
+    from scorelens.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS
+
+    # One persisted map and one size check for all features.
+    wmap = wmap.select("feature", "level", value_col).persist()
+    small = wmap.count() <= DEFAULT_MAX_BROADCAST_ROWS
     out = df
     for f in features:
         m = wmap.where(F.col("feature") == f).select(F.col("level").alias("_lv"), F.col(value_col).alias("_v"))
-        m = checked_broadcast(m)
+        m = F.broadcast(m) if small else m
         out = out.join(m, out[f].cast("string").eqNullSafe(m["_lv"]), "left")
         v = F.col("_v") if fill is None else F.coalesce(F.col("_v"), F.lit(fill))
         out = out.withColumn(f, v).drop("_lv", "_v")
