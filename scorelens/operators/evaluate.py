@@ -105,7 +105,8 @@ def gains(
     cut_part = rows.groupBy(*by, "bin").agg(*[v.alias(k) for k, v in measures.items()])
 
     per_bin = whole_part.unionByName(cut_part).groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in names])
-    totals = _group_totals(stats, by, names)
+    # The first bucket of each group (offset 0) already carries the group totals.
+    totals = st.where(F.col("off_n") == 0).select(*by, *[f"tot_{c}" for c in names])
     grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     g = grid.join(per_bin, on=[*by, "bin"], how="left")
     for c in names:
