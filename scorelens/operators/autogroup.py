@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import materialize
+from scorelens.plans.broadcast import bounded_broadcast, materialize
 from scorelens.operators.woe import category_psi, category_stats, group_woe, grouped_iv, grouped_ks
 
 # Fixed values of the reference's procedure.
@@ -63,6 +63,10 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
                min_levels: int = MIN_LEVELS, zero_policy: str = "inf") -> AutoGroupResult:
     features = list(features)
     offs = list(offs)
+    # Tables with one row per feature or per (feature, attempt) have a size fixed
+    # by the arguments, so they are broadcast without a count.
+    per_feature = lambda d: bounded_broadcast(d, len(features))
+    per_attempt = lambda d: bounded_broadcast(d, len(features) * len(attempts) * max(len(offs), 1))
     period = F.when(F.col(sample_col).isin(*build), F.lit("build")).otherwise(F.col(sample_col))
     src = df.where(F.col(sample_col).isin(*build, *offs)).withColumn("period", period)
     # The one pass over the rows; the level-sized result feeds every branch below,
@@ -74,7 +78,7 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
     # --- quantile cut points: one exact weighted percentile per feature ---------------------
     probs_all = sorted({p for n in attempts for p in qcut_probs(n)})
     pos = {p: i + 1 for i, p in enumerate(probs_all)}
-    q = (bs.join(n_lv.where(F.col("n_levels") >= min_levels), "feature")
+    q = (bs.join(per_feature(n_lv.where(F.col("n_levels") >= min_levels)), "feature")
          .groupBy("feature")
          .agg(F.percentile("bad_ratio", probs_all, (F.col("good") + F.col("bad")).cast("long")).alias("_q")))
     edges_of_n = None
@@ -100,7 +104,7 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
                      (F.col("n_edges") - 1).alias("n_groups"),
                      F.coalesce(F.col("interior"), F.array().cast("array<int>")).alias("interior")).persist()
     ok = att.where("ok")
-    lv = bs.join(ok.select("feature", "n", "interior"), "feature").select(
+    lv = bs.join(per_attempt(ok.select("feature", "n", "interior")), "feature").select(
         "feature", "n", "level", "idx", "good", "bad",
         F.size(F.filter("interior", lambda b: b < F.col("idx"))).alias("grp"))
     lv = lv.persist()
@@ -109,7 +113,7 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
 
     # --- later periods: map levels into the groups, unseen levels -> group 0 ------------------
     offst = stats.where(F.col("period") != "build")
-    og = (offst.join(ok.select("feature", "n"), "feature")
+    og = (offst.join(per_attempt(ok.select("feature", "n")), "feature")
           .join(lv.select("feature", "n", "level", F.col("grp").alias("_g")), ["feature", "n", "level"], "left")
           .withColumn("grp", F.coalesce(F.col("_g"), F.lit(0)))
           .groupBy("period", "feature", "n", "grp").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
@@ -130,9 +134,10 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
 
     # --- trial report ----------------------------------------------------------------------------
     psi_cols = [f"new_psi_{i}" for i in range(1, len(offs) + 1)]
-    big = (att.join(new_ks, ["feature", "n"], "left").join(new_iv, ["feature", "n"], "left")
-           .join(new_psi, ["feature", "n"], "left")
-           .join(old_ks, "feature", "left").join(old_iv, "feature", "left").join(old_psi, "feature", "left"))
+    big = (att.join(per_attempt(new_ks), ["feature", "n"], "left").join(per_attempt(new_iv), ["feature", "n"], "left")
+           .join(per_attempt(new_psi), ["feature", "n"], "left")
+           .join(per_feature(old_ks), "feature", "left").join(per_feature(old_iv), "feature", "left")
+           .join(per_feature(old_psi), "feature", "left"))
     zero = F.lit(0.0)
     metric = lambda c: F.when(F.col("ok"), F.coalesce(F.col(c), zero)).otherwise(zero)
     psi_sum = None
@@ -148,7 +153,8 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
         metric("old_psi_1").alias("old_psi_1"), *[metric(c).alias(c) for c in psi_cols],
     )
     small = (n_lv.where(F.col("n_levels") < min_levels).select("feature")
-             .join(old_ks, "feature", "left").join(old_iv, "feature", "left").join(old_psi, "feature", "left"))
+             .join(per_feature(old_ks), "feature", "left").join(per_feature(old_iv), "feature", "left")
+             .join(per_feature(old_psi), "feature", "left"))
     small = small.select(
         "feature", F.lit(0).alias("n_bins"), F.lit(0).alias("n_groups"),
         F.lit("unchanged").alias("status"), F.coalesce("old_build_ks", zero).alias("old_build_ks"),
@@ -166,11 +172,11 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
     w = Window.partitionBy("feature").orderBy(F.desc("score"), F.asc("n_bins"))
     best = (rep.where(F.col("status") == "regrouped").withColumn("_r", F.row_number().over(w))
             .where("_r = 1").select("feature", F.col("n_bins").alias("n"), "n_groups", "score"))
-    win_lv = lv.join(best.select("feature", "n"), ["feature", "n"])
-    win_ng = ng.join(best.select("feature", "n"), ["feature", "n"])
+    win_lv = lv.join(per_feature(best.select("feature", "n")), ["feature", "n"])
+    win_ng = ng.join(per_feature(best.select("feature", "n")), ["feature", "n"])
     win_woe = group_woe(win_ng, group_col="grp", part=("feature",), zero_policy=zero_policy)
     regrouped = win_lv.join(win_woe, ["feature", "grp"]).select("feature", "level", "grp", "woe")
-    kept = bs.join(best.select("feature"), "feature", "left_anti")  # small path or all attempts failed
+    kept = bs.join(per_feature(best.select("feature")), "feature", "left_anti")  # small path or all attempts failed
     kept_woe = group_woe(kept, group_col="level", part=("feature",), zero_policy=zero_policy)
     kept_map = kept.join(kept_woe, ["feature", "level"]).select("feature", "level", F.col("idx").alias("grp"), "woe")
     final = regrouped.unionByName(kept_map)
