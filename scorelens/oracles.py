@@ -540,3 +540,10 @@ t as ({types})"""
 def sample_dbl_sql() -> str:
     """The whole `sample` view with balance as double."""
     return with_sample(f"select {', '.join(_sel(c, k) for c, k in SAMPLE_COLUMNS)} from sample")
+
+
+def band_counts_by_sample_sql(n_bands: int = 20) -> str:
+    from scorelens.functions.bands import score_band_sql
+
+    ctes = f"b as (select sample, {score_band_sql('score', n_bands)} as band from sample)"
+    return with_sample("select sample, band, count(*) as n from b where band is not null group by sample, band", ctes)

@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 from scorelens import oracles as O
 from scorelens.operators import evaluate as ev
 from scorelens.sources.tables import sample_view
+from scorelens.functions.bands import score_band
+from scorelens.functions.predicates import NUMERIC_PATTERN, is_num
+from scorelens.operators import autogroup as AG
+from scorelens.operators import model as M
+from scorelens.operators import monitor as mon
+from scorelens.operators import prep
+from scorelens.operators import profile as P
+from scorelens.operators import report as R
+from scorelens.operators import sampling
+from scorelens.operators import woe as W
+from scorelens.operators.smote import smote
+from scorelens.session import scratch_path
+from scorelens.sources import csv as C
+from scorelens.spec import SAMPLE_SPEC
+from scorelens.streaming import monitor as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,9 +110,6 @@ def q_ks_curve(spark, sf):
 
 # --- 2F monitoring -------------------------------------------------------------------------
 
-from scorelens.functions.bands import score_band  # noqa: E402
-from scorelens.operators import monitor as mon  # noqa: E402
-
 
 @register("score_band_10", O.band_rows_sql(10))
 def q_score_band_10(spark, sf):
@@ -136,11 +148,6 @@ def q_score_histogram(spark, sf):
 
 # --- 2B projections, filters, scalar functions -----------------------------------------------
 
-from scorelens.functions.predicates import NUMERIC_PATTERN, is_num  # noqa: E402
-from scorelens.operators import prep  # noqa: E402
-from scorelens.operators import sampling  # noqa: E402
-from scorelens.spec import SAMPLE_SPEC  # noqa: E402
-
 
 def _sample_dbl(spark, sf):
     """The sample view with balance as double (decimals hash differently across engines)."""
@@ -209,7 +216,6 @@ def q_dev_val_split(spark, sf):
 
 # --- 2D weight of evidence -----------------------------------------------------------------
 
-from scorelens.operators import woe as W  # noqa: E402
 
 CHAR = list(SAMPLE_SPEC.char)
 
@@ -271,8 +277,6 @@ def q_group_woe(spark, sf):
 
 # --- 2D automatic stable grouping ------------------------------------------------------------
 
-from scorelens.operators import autogroup as AG  # noqa: E402
-
 
 def _ag(spark, sf):
     return AG.auto_group(sample_view(spark, sf), CHAR, "target")
@@ -319,7 +323,6 @@ def q_char_auto_woe(spark, sf):
 
 # --- 2E profiling ----------------------------------------------------------------------------
 
-from scorelens.operators import profile as P  # noqa: E402
 
 NUMS = ["totalprice", "acctbal", "sparse_num", "score"]
 NUM_FEATURES = list(SAMPLE_SPEC.num)
@@ -367,9 +370,6 @@ def q_iv_ranking(spark, sf):
 
 # --- 2G model fitting and scoring ------------------------------------------------------------
 
-from scorelens.operators import model as M  # noqa: E402
-from scorelens.operators import report as R  # noqa: E402
-from scorelens.operators.smote import smote  # noqa: E402
 
 # Trees for the registered model queries (the library default is the reference's 200).
 QUERY_PARAMS = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}
@@ -429,8 +429,6 @@ def q_smote_oversample(spark, sf):
 
 # --- 2A sources and sinks -------------------------------------------------------------------
 
-from scorelens.session import scratch_path  # noqa: E402
-from scorelens.sources import csv as C  # noqa: E402
 
 SAMPLE_DDL = ("row_id bigint, sample string, target int, score double, balance double, totalprice double, "
               "acctbal double, sparse_num double, segment string, priority string, nation string, "
@@ -477,13 +475,8 @@ def q_sink_report_bundle(spark, sf):
 
 # --- streaming: the score distribution kept up to date over a stream of orders ---------------
 
-from scorelens.streaming import monitor as ST  # noqa: E402
-
 
-@register("stream_band_counts", O.with_sample(
-    "select sample, band, count(*) as n from (select sample, "
-    + __import__("scorelens.functions.bands", fromlist=["score_band_sql"]).score_band_sql("score", 20)
-    + " as band from sample) where band is not null group by sample, band"))
+@register("stream_band_counts", O.band_counts_by_sample_sql(20))
 def q_stream_band_counts(spark, sf):
     stream = sample_view(spark, sf, orders=ST.orders_stream(spark, sf))
     return ST.run_available(spark, ST.band_counts_stream(stream))
