@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
 from scorelens.plans.ordering import (
     BUCKET,
     OrderSplits,
@@ -98,7 +98,10 @@ def gains(
         *by, F.col("first_bin").alias("bin"), *names
     )
     cut = st.where(~whole).select(*by, BUCKET, "off_n", "bin_len")
-    rows = b.join(checked_broadcast(cut), on=[*by, BUCKET], how="inner")
+    # At most bins + 1 cut buckets per group: a proven bound without grouping,
+    # a counted size check with it.
+    small = bounded_broadcast(cut, bins + 1) if not by else checked_broadcast(cut)
+    rows = b.join(small, on=[*by, BUCKET], how="inner")
     w = order_within_bucket(by, score, key)
     rows = rows.withColumn("pos", F.col("off_n") + F.row_number().over(w) - 1)
     rows = rows.withColumn("bin", _bin_of(F.col("pos"), bins)).where(F.col("bin").isNotNull())
@@ -177,7 +180,8 @@ def roc_table(
     offs = bucket_offsets(stats, by, ["pos", "neg"]).select(
         *by, BUCKET, "off_pos", "off_neg", F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N")
     ).persist()
-    d = d.join(checked_broadcast(offs), on=[*by, BUCKET], how="inner")
+    small = bounded_broadcast(offs, splits.max_bucket_ids(False)) if not by else checked_broadcast(offs)
+    d = d.join(small, on=[*by, BUCKET], how="inner")
     w = Window.partitionBy(*by, BUCKET).orderBy(F.desc(score)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

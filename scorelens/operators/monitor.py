@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.bands import band_labels, score_band
-from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
 from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, compute_splits
 
 DIGITS = 10
@@ -70,7 +70,9 @@ def _order_statistics(dev: DataFrame, score: str, key: str, positions: list[int]
     stats = d.groupBy(BUCKET).agg(F.sum("c").alias("c"))
     offs = bucket_offsets(stats, [], ["c"]).select(BUCKET, "off_c")
     w = Window.partitionBy(BUCKET).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.join(checked_broadcast(offs), BUCKET).withColumn("end", F.col("off_c") + F.sum("c").over(w))
+    # one row per bucket id: bounded by the collected edges, no count needed
+    d = d.join(bounded_broadcast(offs, sp.max_bucket_ids(False)), BUCKET).withColumn(
+        "end", F.col("off_c") + F.sum("c").over(w))
     d = d.withColumn("start", F.col("end") - F.col("c"))
     pos = sorted(set(positions))
     arr = F.array(*[F.lit(p) for p in pos])
@@ -81,16 +83,22 @@ def _order_statistics(dev: DataFrame, score: str, key: str, positions: list[int]
 def psi_edges(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev", others=("val",),
               k: int = 10) -> tuple[dict[str, list[float]], int]:
     """Edges per compared sample and the base size (actions; k+1 doubles per sample)."""
-    dev = df.where(F.col(sample_col) == base)
-    sp = compute_splits(dev.select(score, key), score, key)
+    is_dev = F.col(sample_col) == base
+    # One pass: edges of the base scores, the base size, and each compared sample's range.
+    extra = {}
+    for i, s in enumerate(others):
+        hit = F.col(sample_col) == s
+        extra[f"mx{i}"] = F.max(F.when(hit, F.col(score)))
+        extra[f"mn{i}"] = F.min(F.when(hit, F.col(score)))
+        extra[f"c{i}"] = F.count(F.when(hit, 1))
+    sp = compute_splits(df.select(sample_col, score, key), score, key, extra=extra, where=is_dev)
+    dev = df.where(is_dev)
     n_dev = sp.n_rows
     m = n_dev // k
     wanted = [m * (i + 1) for i in range(k - 1)] if n_dev else []
     stats = _order_statistics(dev, score, key, wanted, sp)
     inner = [stats.get(p) for p in wanted] or [None] * (k - 1)
-    ext = (df.where(F.col(sample_col).isin(list(others))).groupBy(sample_col)
-           .agg(F.max(score).alias("mx"), F.min(score).alias("mn")).collect())
-    ext = {r[sample_col]: (r["mx"], r["mn"]) for r in ext}
+    ext = {s: (sp.get(f"mx{i}"), sp.get(f"mn{i}")) for i, s in enumerate(others) if sp.get(f"c{i}")}
     return {s: [ext[s][0]] + inner + [ext[s][1]] for s in others if s in ext}, n_dev
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
 from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, compute_splits
 
 
@@ -23,7 +23,7 @@ def hash_order_key(key: str, seed: int) -> Column:
 
 
 def flag_first(df: DataFrame, key: str, seed: int, by: list[str], m_of_n: Callable[[Column], Column],
-               flag: str = "_first", n_buckets: int | None = None) -> DataFrame:
+               flag: str = "_first", n_buckets: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Add boolean ``flag``: row is among the first m_of_n(n_group) rows of its
     group in hash order."""
     h, hn = "_h", "_hn"
@@ -41,7 +41,11 @@ def flag_first(df: DataFrame, key: str, seed: int, by: list[str], m_of_n: Callab
         .when(F.col("off_c") >= F.col("_m"), F.lit("drop"))
         .otherwise(F.lit("cut")),
     ).select(*by, BUCKET, "off_c", "_m", "_status")
-    rows = b.join(checked_broadcast(st), [*by, BUCKET])
+    # Bucket table: groups x bucket ids.  With a known group bound its size is
+    # proven by the collected edges; otherwise it is counted first.
+    small = (bounded_broadcast(st, max_groups * sp.max_bucket_ids(False)) if max_groups is not None
+             else checked_broadcast(st))
+    rows = b.join(small, [*by, BUCKET])
     whole = rows.where(F.col("_status") != "cut").withColumn(flag, F.col("_status") == "keep")
     w = Window.partitionBy(*by, BUCKET).orderBy(h, key)
     cut = rows.where(F.col("_status") == "cut").withColumn(
@@ -59,7 +63,8 @@ def stratified_sample(df: DataFrame, target: str = "target", key: str = "row_id"
         return F.floor(frac * n.cast("double"))
 
     src = df.where(F.col(target).isin(0, 1))
-    return flag_first(src, key, seed, [target], m_of_n, n_buckets=n_buckets).where("_first").drop("_first")
+    return flag_first(src, key, seed, [target], m_of_n, n_buckets=n_buckets, max_groups=2).where(
+        "_first").drop("_first")
 
 
 def dev_val_split(df: DataFrame, key: str = "row_id", test_size: float = 0.3, seed: int = 1,
@@ -69,5 +74,5 @@ def dev_val_split(df: DataFrame, key: str = "row_id", test_size: float = 0.3, se
     def m_of_n(n):
         return n - F.ceil(F.lit(float(test_size)) * n.cast("double"))
 
-    out = flag_first(df, key, seed, [], m_of_n, flag="_dev", n_buckets=n_buckets)
+    out = flag_first(df, key, seed, [], m_of_n, flag="_dev", n_buckets=n_buckets, max_groups=1)
     return out.withColumn(col, F.when(F.col("_dev"), F.lit("dev")).otherwise(F.lit("val"))).drop("_dev")

@@ -42,6 +42,15 @@ class OrderSplits:
     key_splits: tuple[float, ...]
     hot_values: tuple[float, ...]
     n_rows: int = 0
+    extra: tuple = ()  # (name, value) pairs of caller aggregates computed in the same pass
+
+    def max_bucket_ids(self, split_hot: bool = True) -> int:
+        """Upper bound on distinct bucket ids (sizes derived tables without a count)."""
+        base = self.n_score + 3
+        return base + (len(self.hot_values) * (self.n_key + 1) if split_hot else 0)
+
+    def get(self, name):
+        return dict(self.extra).get(name)
 
     @property
     def n_score(self) -> int:
@@ -60,16 +69,27 @@ def _splits(values) -> tuple[float, ...]:
     return tuple([-math.inf] + inner + [math.inf])
 
 
-def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None = None) -> OrderSplits:
-    """Action: approximate quantiles of score and key (result size ~2B doubles)."""
+def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None = None,
+                   extra: dict | None = None, where=None) -> OrderSplits:
+    """Action: approximate quantiles of score and key (result size ~2B doubles).
+
+    ``where`` restricts the rows the edges are drawn from (others are still
+    aggregated by ``extra``, a dict name -> aggregate Column computed in the
+    same pass).
+    """
     b = n_buckets or default_buckets(df.sparkSession)
     b = max(int(b), 2)
     probs = [i / b for i in range(1, b)]
     acc = max(10_000, 8 * b)
+    sc, kc = F.col(score), F.col(key).cast("double")
+    if where is not None:
+        sc, kc = F.when(where, sc), F.when(where, kc)
+    extra = extra or {}
     row = df.agg(
-        F.percentile_approx(F.col(score), probs, acc).alias("s"),
-        F.percentile_approx(F.col(key).cast("double"), probs, acc).alias("k"),
-        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(sc, probs, acc).alias("s"),
+        F.percentile_approx(kc, probs, acc).alias("k"),
+        (F.count(F.lit(1)) if where is None else F.count(F.when(where, 1))).alias("n"),
+        *[v.alias(f"x_{k}") for k, v in extra.items()],
     ).first()
     sq = [v for v in (row["s"] or []) if v is not None]
     kq = [v for v in (row["k"] or []) if v is not None]
@@ -79,7 +99,8 @@ def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None =
         (hot if v in seen else seen).add(v)
     hot = {v for v in hot if not math.isnan(v) and not math.isinf(v)}
     edges = set(sq) | {math.nextafter(h, math.inf) for h in hot}
-    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)), int(row["n"] or 0))
+    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)), int(row["n"] or 0),
+                       tuple((k, row[f"x_{k}"]) for k in extra))
 
 
 def add_bucket(df: DataFrame, score: str, key: str, splits: OrderSplits, out: str = BUCKET,

@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.broadcast import bounded_broadcast
 from scorelens.plans.ordering import _splits, default_buckets
 
 
@@ -73,7 +73,9 @@ def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int | None = None) ->
     wp = Window.partitionBy("ci").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
     st = st.select("ci", "bk", F.coalesce(F.sum("c").over(wp), F.lit(0)).alias("off"))
     w = Window.partitionBy("ci", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.join(checked_broadcast(st), ["ci", "bk"]).withColumn("end", F.col("off") + F.sum("c").over(w))
+    # one row per (column, bucket): bounded by the collected edges, no count needed
+    bound = sum(len(v) + 1 for v in splits.values())
+    d = d.join(bounded_broadcast(st, bound), ["ci", "bk"]).withColumn("end", F.col("off") + F.sum("c").over(w))
     d = d.withColumn("start", F.col("end") - F.col("c"))
     arr = None
     for i, c in enumerate(cols):
