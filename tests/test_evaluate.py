@@ -97,3 +97,15 @@ def test_balance_gains_totals(spark, sample001):
 def test_gains_plan_has_no_single_partition_exchange(spark, sample001):
     plan = ev.gains(sample001, by=["sample"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_one_class_target_is_a_clear_error_not_a_division_error(spark):
+    import pytest as _pt
+
+    from scorelens.operators.woe import validate_target
+
+    df = _df(spark, [(i, 0, 0.1 * i) for i in range(30)])
+    with _pt.raises(ValueError, match="exactly the values 0 and 1"):
+        validate_target(df, "target")
+    g = ev.gains(df).collect()  # no exception: shares of an absent class are null
+    assert all(r["cum_bad_pct"] is None for r in g)

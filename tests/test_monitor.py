@@ -57,3 +57,11 @@ def test_histogram_density_integrates_to_one(spark, sample001):
         by.setdefault(r["sample"], 0.0)
         by[r["sample"]] += r["density"] * (r["hi"] - r["lo"])
     assert all(math.isclose(v, 1.0, abs_tol=1e-6) for v in by.values())
+
+
+def test_psi_of_a_sample_against_itself_is_zero(spark):
+    rnd = random.Random(9)
+    xs = [rnd.random() for _ in range(200)]
+    t = mon.score_psi(_psi_df(spark, xs, xs), k=10).collect()
+    assert all(r["dev_share"] > 0 for r in t)
+    assert abs(t[0]["psi"]) < 1e-12
