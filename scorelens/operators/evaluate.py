@@ -149,10 +149,6 @@ def gains(
     )
 
 
-def _group_totals(stats: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    return stats.groupBy(*by).agg(*[F.sum(c).alias(f"tot_{c}") for c in names])
-
-
 def roc_table(
     df: DataFrame,
     score: str = "score",

@@ -63,16 +63,15 @@ def score_rows(model: PipelineModel, df: DataFrame, out: str = "model_score") ->
 def feature_importance(model: PipelineModel, spec: FeatureSpec | None = None, features=None) -> DataFrame:
     """(name, var_type, importance): the fitted model's importances (bounded by the
     feature count) joined to the catalogue."""
-    spark = model.stages[0].sparkSession if hasattr(model.stages[0], "sparkSession") else None
+    from pyspark.sql import SparkSession
+
     tree = model.stages[-1]
-    names = list(features) if features is not None else list(model.stages[0].getInputCols())
+    names = list(features) if features is not None else [
+        c[len(FEATURE_PREFIX):] if c.startswith(FEATURE_PREFIX) else c for c in model.stages[0].getInputCols()]
     types = dict(spec.var_types) if spec is not None else {}
     imp = tree.featureImportances.toArray().tolist()
     rows = [(n, types.get(n, "number"), float(round(v, 10))) for n, v in zip(names, imp)]
-    from pyspark.sql import SparkSession
-
-    spark = spark or SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "name string, var_type string, importance double")
+    return SparkSession.getActiveSession().createDataFrame(rows, "name string, var_type string, importance double")
 
 
 @dataclass
@@ -82,33 +81,35 @@ class FittedModel:
     features: list[str]
 
 
+FEATURE_PREFIX = "__f_"  # model inputs live next to the original columns
+
+
 def prepare_features(df: DataFrame, wmap: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """WOE-encode char features (unseen -> 0) and fill numeric nulls with 0 (treat)."""
+    """Add model inputs ``__f_<name>``: WOE of char features (unseen -> 0) and
+    numeric features with nulls as 0 (treat).  Original columns are kept, so
+    scoring needs no join back to the input."""
     from scorelens.operators.woe import woe_apply
 
-    out = woe_apply(df, wmap, spec.char, fill=0.0)
+    out = woe_apply(df, wmap, spec.char, fill=0.0, prefix=FEATURE_PREFIX)
     for c in spec.num:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        out = out.withColumn(FEATURE_PREFIX + c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
     return out
 
 
 def fit_model(dev: DataFrame, spec: FeatureSpec, **params) -> FittedModel:
     from scorelens.operators.woe import woe_map
-
-    wmap = woe_map(dev, spec.char, spec.target)
     from scorelens.plans.broadcast import materialize
 
-    wmap = materialize(wmap)
+    wmap = materialize(woe_map(dev, spec.char, spec.target))
     feats = spec.varlist
     train = prepare_features(dev, wmap, spec)
-    model = gbt_pipeline(feats, spec.target, **params).fit(train)
+    model = gbt_pipeline([FEATURE_PREFIX + c for c in feats], spec.target, **params).fit(train)
     return FittedModel(wmap, model, feats)
 
 
 def score(fitted: FittedModel, df: DataFrame, spec: FeatureSpec, out: str = "model_score") -> DataFrame:
-    prepared = prepare_features(df, fitted.woe_map, spec)
-    scored = score_rows(fitted.model, prepared, out)
-    return df.join(scored.select(*[c for c in ("row_id",)], out), "row_id") if "row_id" in df.columns else scored
+    """The input rows with the model score added (one pass per row, no join)."""
+    return score_rows(fitted.model, prepare_features(df, fitted.woe_map, spec), out).select(*df.columns, out)
 
 
 def gbt_fit_eval(df: DataFrame, spec: FeatureSpec, sample_col: str = "sample", dev: str = "dev",

@@ -69,12 +69,13 @@ def woe_map(df: DataFrame, features, target: str) -> DataFrame:
 
 
 def woe_apply(df: DataFrame, wmap: DataFrame, features, fill: float | None = 0.0, fill_all: bool = False,
-              value_col: str = "woe") -> DataFrame:
+              value_col: str = "woe", prefix: str | None = None) -> DataFrame:
     """Replace each feature by its mapped value (null-safe level match).
 
     Unseen levels get ``fill`` (0.0 as the reference's fillna(0)); with
     ``fill_all`` every null of every column is then filled with 0, as the
-    reference fills the whole frame.
+    reference fills the whole frame.  With ``prefix`` the mapped values go to
+    new columns ``prefix + feature`` and the originals are kept.
     """
     from scorelens.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS
 
@@ -87,7 +88,7 @@ def woe_apply(df: DataFrame, wmap: DataFrame, features, fill: float | None = 0.0
         m = F.broadcast(m) if small else m
         out = out.join(m, out[f].cast("string").eqNullSafe(m["_lv"]), "left")
         v = F.col("_v") if fill is None else F.coalesce(F.col("_v"), F.lit(fill))
-        out = out.withColumn(f, v).drop("_lv", "_v")
+        out = out.withColumn(f if prefix is None else prefix + f, v).drop("_lv", "_v")
     if fill_all:
         from scorelens.operators.prep import fill_constant
 
