@@ -37,18 +37,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no JVM context (e.g. a remote session): use the conf only
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and sc is not None:
+        conf = sc.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        if sc is not None:
+            sc.setCheckpointDir(conf)
+            return sc.getCheckpointDir()
+        return conf
     # Only reached when nothing is configured (tests, local runs).
     local = tempfile.mkdtemp(prefix="scorelens-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
