@@ -30,7 +30,7 @@ def main() -> None:
     from scorelens.operators import woe as W
     from scorelens.plans.ordering import compute_splits
     from scorelens.session import local_session
-    from scorelens.sources.tables import sample_view
+    from scorelens.sources.tables import SAMPLES, sample_view
     from scorelens.spec import SAMPLE_SPEC as SPEC
 
     parts = int(os.environ.get("BENCH_PARTITIONS", str(max(int(cpus) if cpus != "*" else 8, 1))))
@@ -63,15 +63,16 @@ def main() -> None:
 
     def gains_and_metrics():
         sp = compute_splits(s.select("score", "row_id"), "score", "row_id")
-        run(ev.gains(s, by=["sample"], splits=sp))
-        run(ev.roc_summary(s, by=["sample"], splits=sp))
+        run(ev.gains(s, by=["sample"], splits=sp, groups=SAMPLES))
+        run(ev.roc_summary(s, by=["sample"], splits=sp, groups=SAMPLES))
 
     workflows = {
         "gains_ks_auc_by_sample": gains_and_metrics,
-        "fraud_report_100_bins": lambda: run(ev.gains(s, bins=100, by=["sample"], balance="balance")),
+        "fraud_report_100_bins": lambda: run(ev.gains(s, bins=100, by=["sample"], balance="balance",
+                                                      groups=SAMPLES)),
         "psi_monitor": lambda: run(mon.psi_monitor(s, k=20)),
         "score_distribution": lambda: run(mon.score_distribution(s)),
-        "score_histogram": lambda: run(mon.score_histogram(s)),
+        "score_histogram": lambda: run(mon.score_histogram(s, groups=SAMPLES)),
         "char_auto_woe": lambda: run(AG.auto_group(s, char, "target").final_map),
         "woe_fit_apply": lambda: run(W.woe_fit_apply(dev, s.where(F.col("sample") != "dev"), char, "target")),
         "iv_ranking": lambda: run(W.iv_ranking(s, char, num, "target")),

@@ -42,6 +42,26 @@ def _ratio(num, den):
     return _r(F.try_divide(num.cast("double"), den.cast("double")))
 
 
+def _restrict(df: DataFrame, by: list[str], groups) -> DataFrame:
+    """Keep only the declared values of a single grouping column (makes the
+    group count a proven bound)."""
+    if groups is None:
+        return df
+    if len(by) != 1:
+        raise ValueError("groups needs exactly one `by` column")
+    return df.where(F.col(by[0]).isin(list(groups)))
+
+
+def _small_side(small: DataFrame, per_group: int, by: list[str], groups) -> DataFrame:
+    """Broadcast a per-group bounded table: proven bound when the groups are
+    known (none, or declared), otherwise a counted size check."""
+    if not by:
+        return bounded_broadcast(small, per_group)
+    if groups is not None:
+        return bounded_broadcast(small, per_group * len(list(groups)))
+    return checked_broadcast(small)
+
+
 def _bin_of(pos, bins: int):
     """1-based bin of a 0-based position, or null for remainder rows."""
     bl = F.col("bin_len")
@@ -58,6 +78,7 @@ def gains(
     balance: str | None = None,
     splits: OrderSplits | None = None,
     n_buckets: int | None = None,
+    groups=None,
 ) -> DataFrame:
     """Gains table, one row per (by..., bin).  See module docstring.
 
@@ -68,7 +89,7 @@ def gains(
     """
     by = list(by)
     cols = [*by, score, target, key] + ([balance] if balance else [])
-    base = df.select(*cols)
+    base = _restrict(df, by, groups).select(*cols)
     splits = splits or compute_splits(base, score, key, n_buckets)
     b = add_bucket(base, score, key, splits)
 
@@ -98,9 +119,8 @@ def gains(
         *by, F.col("first_bin").alias("bin"), *names
     )
     cut = st.where(~whole).select(*by, BUCKET, "off_n", "bin_len")
-    # At most bins + 1 cut buckets per group: a proven bound without grouping,
-    # a counted size check with it.
-    small = bounded_broadcast(cut, bins + 1) if not by else checked_broadcast(cut)
+    # At most bins + 1 cut buckets per group.
+    small = _small_side(cut, bins + 1, by, groups)
     rows = b.join(small, on=[*by, BUCKET], how="inner")
     w = order_within_bucket(by, score, key)
     rows = rows.withColumn("pos", F.col("off_n") + F.row_number().over(w) - 1)
@@ -157,6 +177,7 @@ def roc_table(
     by: tuple[str, ...] | list[str] = (),
     splits: OrderSplits | None = None,
     n_buckets: int | None = None,
+    groups=None,
 ) -> DataFrame:
     """One row per (by..., distinct score): pos, neg at that score and the
     cumulative tp/fp at threshold >= score, plus group totals P and N.
@@ -165,7 +186,7 @@ def roc_table(
     then the running sums run inside score-range buckets with bucket offsets.
     """
     by = list(by)
-    base = df.select(*by, score, target, key)
+    base = _restrict(df, by, groups).select(*by, score, target, key)
     splits = splits or compute_splits(base, score, key, n_buckets)
     b = add_bucket(base, score, key, splits, split_hot=False)
     d = b.where(F.col(score).isNotNull()).groupBy(*by, BUCKET, score).agg(
@@ -176,7 +197,7 @@ def roc_table(
     offs = bucket_offsets(stats, by, ["pos", "neg"]).select(
         *by, BUCKET, "off_pos", "off_neg", F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N")
     ).persist()
-    small = bounded_broadcast(offs, splits.max_bucket_ids(False)) if not by else checked_broadcast(offs)
+    small = _small_side(offs, splits.max_bucket_ids(False), by, groups)
     d = d.join(small, on=[*by, BUCKET], how="inner")
     w = Window.partitionBy(*by, BUCKET).orderBy(F.desc(score)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -194,10 +215,10 @@ def roc_table(
 
 
 def roc_summary(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
-                n_buckets=None) -> DataFrame:
+                n_buckets=None, groups=None) -> DataFrame:
     """KS and AUC per group, exact (integer numerators in decimal(38,0))."""
     by = list(by)
-    t = roc_table(df, score, target, key, by, splits, n_buckets)
+    t = roc_table(df, score, target, key, by, splits, n_buckets, groups)
     dec = "decimal(38,0)"
     tp, fp = F.col("tp").cast(dec), F.col("fp").cast(dec)
     P, N = F.col("P").cast(dec), F.col("N").cast(dec)
@@ -213,10 +234,10 @@ def roc_summary(df: DataFrame, score="score", target="target", key="row_id", by=
 
 
 def roc_points(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
-               n_buckets=None) -> DataFrame:
+               n_buckets=None, groups=None) -> DataFrame:
     """(threshold, tpr, fpr) per distinct score, as in the ROC curve."""
     by = list(by)
-    t = roc_table(df, score, target, key, by, splits, n_buckets)
+    t = roc_table(df, score, target, key, by, splits, n_buckets, groups)
     return t.select(
         *by,
         F.col(score).alias("threshold"),
@@ -225,12 +246,14 @@ def roc_points(df: DataFrame, score="score", target="target", key="row_id", by=(
     )
 
 
-def ks_max(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None) -> DataFrame:
-    return roc_summary(df, score, target, key, by, splits).select(*by, "ks")
+def ks_max(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
+           groups=None) -> DataFrame:
+    return roc_summary(df, score, target, key, by, splits, groups=groups).select(*by, "ks")
 
 
-def auc(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None) -> DataFrame:
-    return roc_summary(df, score, target, key, by, splits).select(*by, "auc")
+def auc(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
+        groups=None) -> DataFrame:
+    return roc_summary(df, score, target, key, by, splits, groups=groups).select(*by, "auc")
 
 
 def top_capture(gains_df: DataFrame) -> DataFrame:

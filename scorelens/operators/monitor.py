@@ -164,7 +164,7 @@ def psi_monitor(df: DataFrame, score="score", key="row_id", sample_col="sample",
 # --- histogram --------------------------------------------------------------------------------
 
 
-def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20) -> DataFrame:
+def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20, groups=None) -> DataFrame:
     """Density histogram, equal width between each group's own min and max.
 
     numpy's rule: bins left-closed, last bin closed; edges j*step + min with
@@ -174,6 +174,8 @@ def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20
     """
     by = list(by)
     x = F.col(score)
+    if groups is not None:
+        df = df.where(F.col(by[0]).isin(list(groups)))
     ext = df.where(x.isNotNull()).groupBy(*by).agg(F.min(score).alias("mn0"), F.max(score).alias("mx0"),
                                                   F.count(score).alias("n"))
     ext = ext.select(*by, "n",
@@ -184,8 +186,9 @@ def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20
     def edge(j):
         return F.when(j >= bins, F.col("mx")).otherwise(j.cast("double") * F.col("step") + F.col("mn"))
 
-    ext = ext.persist()
-    rows = df.where(x.isNotNull()).select(*by, score).join(checked_broadcast(ext), by)
+    # one row per group: a proven bound when the groups are declared
+    small = bounded_broadcast(ext, len(list(groups))) if groups is not None else checked_broadcast(ext.persist())
+    rows = df.where(x.isNotNull()).select(*by, score).join(small, by)
     f = ((x - F.col("mn")) / (F.col("mx") - F.col("mn"))) * F.lit(float(bins))
     i0 = f.cast("int")
     i1 = F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0)

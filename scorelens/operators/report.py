@@ -27,9 +27,9 @@ def score_report(df: DataFrame, score: str = "score", target: str = "target", ke
     out = {
         "class_balance": prof.class_balance(df, target, [sample_col]),
         "score_dist": mon.score_distribution(df, score, sample_col, samples),
-        "gains": ev.gains(df, score, target, key, bins, by=[sample_col], splits=splits),
-        "metrics": ev.roc_summary(df, score, target, key, by=[sample_col], splits=splits),
-        "histogram": mon.score_histogram(df, score, by=[sample_col]),
+        "gains": ev.gains(df, score, target, key, bins, by=[sample_col], splits=splits, groups=samples),
+        "metrics": ev.roc_summary(df, score, target, key, by=[sample_col], splits=splits, groups=samples),
+        "histogram": mon.score_histogram(df, score, by=[sample_col], groups=samples),
     }
     if psi:
         others = [s for s in samples if s != base]

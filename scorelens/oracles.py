@@ -497,11 +497,9 @@ e as (select {bys} column_name, min(x) as mn, max(x) as mx from l0 group by {bys
 j as (select {lsel} l.column_name, l.target, e.mn, e.mx, {bin_expr} as bin from l0 l join e e on {on}),
 a as (select {bys} column_name, bin, mn, mx, count(*) as count, avg(cast(target as double)) as bad_rate
       from j group by {bys} column_name, bin, mn, mx)"""
-    ecols = step.replace("e.", "")
     body = (f"select {bys} column_name, cast(bin as int) as bin, "
             f"round(case bin {lo.replace('e.', '')} end, 10) as lo, round(case bin {hi.replace('e.', '')} end, 10) as hi, "
             f"count, round(bad_rate, 10) as bad_rate from a")
-    del ecols
     return with_sample(body, ctes)
 
 

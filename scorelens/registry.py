@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelens import oracles as O
 from scorelens.operators import evaluate as ev
-from scorelens.sources.tables import sample_view
+from scorelens.sources.tables import SAMPLES, sample_view
 from scorelens.functions.bands import score_band
 from scorelens.functions.predicates import NUMERIC_PATTERN, is_num
 from scorelens.operators import autogroup as AG
@@ -58,7 +58,7 @@ def q_gains_table(spark, sf):
 
 @register("gains_by_sample", O.gains_sql(20, by=("sample",)))
 def q_gains_by_sample(spark, sf):
-    return ev.gains(sample_view(spark, sf), bins=20, by=["sample"])
+    return ev.gains(sample_view(spark, sf), bins=20, by=["sample"], groups=SAMPLES)
 
 
 @register("gains_table_balance", O.gains_sql(20, by=(), where="where sample = 'dev'", balance=True))
@@ -68,7 +68,7 @@ def q_gains_table_balance(spark, sf):
 
 @register("fraud_report", O.gains_sql(100, by=("sample",), balance=True))
 def q_fraud_report(spark, sf):
-    return ev.gains(sample_view(spark, sf), bins=100, by=["sample"], balance="balance")
+    return ev.gains(sample_view(spark, sf), bins=100, by=["sample"], balance="balance", groups=SAMPLES)
 
 
 @register("top_capture", O.gains_sql(100, by=("sample",), balance=True) + " where bin = 1")
@@ -88,17 +88,17 @@ def q_auc(spark, sf):
 
 @register("roc_points", O.roc_points_sql(by=("sample",)))
 def q_roc_points(spark, sf):
-    return ev.roc_points(sample_view(spark, sf), by=["sample"])
+    return ev.roc_points(sample_view(spark, sf), by=["sample"], groups=SAMPLES)
 
 
 @register("normal_report", O.roc_summary_sql(by=("sample",), cols=("ks",)))
 def q_normal_report(spark, sf):
-    return ev.ks_max(sample_view(spark, sf), by=["sample"])
+    return ev.ks_max(sample_view(spark, sf), by=["sample"], groups=SAMPLES)
 
 
 @register("sample_metrics", O.roc_summary_sql(by=("sample",)))
 def q_sample_metrics(spark, sf):
-    return ev.roc_summary(sample_view(spark, sf), by=["sample"])
+    return ev.roc_summary(sample_view(spark, sf), by=["sample"], groups=SAMPLES)
 
 
 @register("ks_curve", O.gains_sql(20, by=("sample",)) + """ union all
@@ -143,7 +143,7 @@ def q_psi_monitor(spark, sf):
 
 @register("score_histogram", O.histogram_sql(20))
 def q_score_histogram(spark, sf):
-    return mon.score_histogram(sample_view(spark, sf))
+    return mon.score_histogram(sample_view(spark, sf), groups=SAMPLES)
 
 
 # --- 2B projections, filters, scalar functions -----------------------------------------------
