@@ -62,10 +62,11 @@ def _small_side(small: DataFrame, per_group: int, by: list[str], groups) -> Data
     return checked_broadcast(small)
 
 
-def _bin_of(pos, bins: int):
-    """1-based bin of a 0-based position, or null for remainder rows."""
-    bl = F.col("bin_len")
-    return F.when((bl > 0) & (pos < bl * bins), F.floor(pos / bl) + 1)
+def _bin_of(pos: str, bins: int):
+    """1-based bin of a 0-based position (a SQL expression over columns), or null
+    for remainder rows.  Integer division keeps it exact at any row count."""
+    return F.expr(f"case when bin_len > 0 and ({pos}) < bin_len * {int(bins)} "
+                  f"then ({pos}) div bin_len + 1 end")
 
 
 def gains(
@@ -84,8 +85,9 @@ def gains(
 
     Without ``balance``: cum_bad_num, cum_good_num, cum_bad_pct, cum_good_pct,
     avg_score, ks_value.  With ``balance`` the 13-column balance report.
-    Actions: the quantile edges (unless ``splits`` is given) and one count of
-    the cut-bucket list (size check before broadcast).
+    Actions: the quantile edges (unless ``splits`` is given) and, when grouped
+    by ``by`` without declared ``groups``, one count of the cut-bucket list
+    (size check before broadcast).
     """
     by = list(by)
     cols = [*by, score, target, key] + ([balance] if balance else [])
@@ -109,10 +111,8 @@ def gains(
 
     stats = b.groupBy(*by, BUCKET).agg(*[v.alias(k) for k, v in measures.items()]).persist()
     st = bucket_offsets(stats, by, names)  # off_* and tot_* per bucket row
-    st = st.withColumn("bin_len", F.floor(F.col("tot_n") / F.lit(bins)))
-    st = st.withColumn("first_bin", _bin_of(F.col("off_n"), bins)).withColumn(
-        "last_bin", _bin_of(F.col("off_n") + F.col("n") - 1, bins)
-    )
+    st = st.withColumn("bin_len", F.expr(f"tot_n div {int(bins)}"))
+    st = st.withColumn("first_bin", _bin_of("off_n", bins)).withColumn("last_bin", _bin_of("off_n + n - 1", bins))
     whole = F.col("first_bin").eqNullSafe(F.col("last_bin"))
 
     whole_part = st.where(whole & F.col("first_bin").isNotNull()).select(
@@ -124,7 +124,7 @@ def gains(
     rows = b.join(small, on=[*by, BUCKET], how="inner")
     w = order_within_bucket(by, score, key)
     rows = rows.withColumn("pos", F.col("off_n") + F.row_number().over(w) - 1)
-    rows = rows.withColumn("bin", _bin_of(F.col("pos"), bins)).where(F.col("bin").isNotNull())
+    rows = rows.withColumn("bin", _bin_of("pos", bins)).where(F.col("bin").isNotNull())
     cut_part = rows.groupBy(*by, "bin").agg(*[v.alias(k) for k, v in measures.items()])
 
     per_bin = whole_part.unionByName(cut_part).groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in names])
