@@ -22,7 +22,15 @@ from scorelens.spec import FeatureSpec
 
 def score_report(df: DataFrame, score: str = "score", target: str = "target", key: str = "row_id",
                  sample_col: str = "sample", samples=SAMPLES, base: str = "dev", bins: int = 20,
-                 psi_k: int = 20, spec: FeatureSpec | None = None, psi: bool = True) -> dict[str, DataFrame]:
+                 psi_k: int = 20, spec: FeatureSpec | None = None, psi: bool = True,
+                 materialize_input: bool = False) -> dict[str, DataFrame]:
+    """All monitoring tables of one scored DataFrame.  Every table reads ``df``;
+    with ``materialize_input`` it is checkpointed once first (worth it when
+    ``df`` is an expensive plan such as a join, not when it is a stored table)."""
+    if materialize_input:
+        from scorelens.plans.broadcast import materialize
+
+        df = materialize(df)
     splits = compute_splits(df.select(score, key), score, key)  # shared by gains and ROC
     out = {
         "class_balance": prof.class_balance(df, target, [sample_col]),

@@ -545,3 +545,21 @@ def band_counts_by_sample_sql(n_bands: int = 20) -> str:
 
     ctes = f"b as (select sample, {score_band_sql('score', n_bands)} as band from sample)"
     return with_sample("select sample, band, count(*) as n from b where band is not null group by sample, band", ctes)
+
+
+def report_bundle_sql() -> str:
+    """Row count of every sheet the score report writes (each sheet's own oracle)."""
+    nums = ("totalprice", "acctbal", "sparse_num")
+    sheets = {
+        "class_balance": class_balance_sql(),
+        "score_dist": score_distribution_sql(20),
+        "gains": gains_sql(20, by=("sample",)),
+        "metrics": roc_summary_sql(by=("sample",)),
+        "histogram": histogram_sql(20),
+        "psi": psi_monitor_sql(20),
+        "describe": describe_sql(nums, (0.25, 0.5, 0.75), "where sample = 'dev'"),
+        "bivar": bivar_numeric_sql(nums, ("sample",)),
+        "bivar_levels": bivar_categorical_sql(CHAR, ("sample",)),
+    }
+    return " union all ".join(f"select '{k}' as sheet, cast(count(*) as bigint) as rows from ({v})"
+                              for k, v in sheets.items())

@@ -461,9 +461,9 @@ def q_sink_reports(spark, sf):
     return spark.read.schema("feature string, mapping string, kind string").json(path)
 
 
-@register("sink_report_bundle")
+@register("sink_report_bundle", O.report_bundle_sql())
 def q_sink_report_bundle(spark, sf):
-    tables = R.score_report(sample_view(spark, sf), spec=SAMPLE_SPEC)
+    tables = R.score_report(sample_view(spark, sf), spec=SAMPLE_SPEC, materialize_input=True)
     locs = R.write_bundle(tables, scratch_path(spark, "bundle"))
     parts = [spark.read.parquet(loc).groupBy().agg(F.count(F.lit(1)).alias("rows"))
              .select(F.lit(name).alias("sheet"), "rows") for name, loc in locs.items()]
