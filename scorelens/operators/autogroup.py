@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.plans.broadcast import bounded_broadcast, materialize
-from scorelens.operators.woe import category_psi, category_stats, group_woe, grouped_iv, grouped_ks
+from scorelens.operators.woe import category_psi, category_stats, group_woe, grouped_ks_iv
 
 # Fixed values of the reference's procedure.
 ATTEMPTS = (3, 4, 5, 6, 7)  # group counts tried
@@ -119,13 +119,15 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
           .groupBy("period", "feature", "n", "grp").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
 
     # --- metrics -------------------------------------------------------------------------------
-    old_ks = grouped_ks(bs).withColumnRenamed("ks", "old_build_ks")
-    old_iv = grouped_iv(bs).withColumnRenamed("iv", "old_build_iv")
+    old_m = grouped_ks_iv(bs)
+    old_ks = old_m.select("feature", F.col("ks").alias("old_build_ks"))
+    old_iv = old_m.select("feature", F.col("iv").alias("old_build_iv"))
     first_off = offs[0]
     old_psi = category_psi(bs, offst.where(F.col("period") == first_off).drop("period"), on="level").withColumnRenamed(
         "psi", "old_psi_1")
-    new_ks = grouped_ks(ng, order_col="grp", part=("feature", "n")).withColumnRenamed("ks", "new_build_ks")
-    new_iv = grouped_iv(ng, part=("feature", "n")).withColumnRenamed("iv", "new_build_iv")
+    new_m = grouped_ks_iv(ng, order_col="grp", part=("feature", "n"))
+    new_ks = new_m.select("feature", "n", F.col("ks").alias("new_build_ks"))
+    new_iv = new_m.select("feature", "n", F.col("iv").alias("new_build_iv"))
     ngp = ng.withColumn("period", F.explode(F.array(*[F.lit(p) for p in offs])))
     new_psi = category_psi(ngp, og, on="grp", part=("period", "feature", "n"))
     new_psi = new_psi.groupBy("feature", "n").pivot("period", offs).agg(F.first("psi"))
