@@ -71,6 +71,7 @@ def feature_importance(model: PipelineModel, spec: FeatureSpec | None = None, fe
     types = dict(spec.var_types) if spec is not None else {}
     imp = tree.featureImportances.toArray().tolist()
     rows = [(n, types.get(n, "number"), float(round(v, 10))) for n, v in zip(names, imp)]
+    rows.sort(key=lambda r: (-r[2], r[0]))  # most important first, as the report lists them
     return SparkSession.getActiveSession().createDataFrame(rows, "name string, var_type string, importance double")
 
 

@@ -209,7 +209,9 @@ def iv_ranking(df: DataFrame, char, num, target: str, bins: int = IV_BINS) -> Da
     iv = grouped_iv(stats)
     types = df.sparkSession.createDataFrame([(c, "string") for c in char] + [(c, "number") for c in num],
                                             "feature string, var_type string")
-    return iv.join(F.broadcast(types), "feature").select(F.col("feature").alias("name"), "var_type", "iv")
+    # one row per feature; sorted by IV descending like the reference's report
+    return (iv.join(F.broadcast(types), "feature").select(F.col("feature").alias("name"), "var_type", "iv")
+            .orderBy(F.desc("iv"), "name"))
 
 
 def grouped_ks_iv(stats: DataFrame, order_col: str = "idx", part=("feature",)) -> DataFrame:
