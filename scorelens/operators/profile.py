@@ -17,7 +17,7 @@ from scorelens.plans.broadcast import checked_broadcast
 from scorelens.plans.quantiles import exact_quantiles
 
 DIGITS = 10
-MOMENT_DIGITS = 6  # report precision of mean / std (summation order differs by engine)
+MOMENT_DIGITS = 6  # report precision of mean / std / quantiles / bin edges (values can be large)
 
 
 def _pname(p: float) -> str:
@@ -50,10 +50,10 @@ def describe(df: DataFrame, cols=None, probs=(0.01, 0.25, 0.5, 0.75, 0.99), appr
     ) for i, c in enumerate(cols)])
     long = one.select(F.explode(rows).alias("r")).select("r.*")
     if approx:
-        qcols = [F.round(F.col("q")[j], DIGITS).alias(_pname(p)) for j, p in enumerate(probs)]
+        qcols = [F.round(F.col("q")[j], MOMENT_DIGITS).alias(_pname(p)) for j, p in enumerate(probs)]
         return long.select("column_name", "dtype", "count", "mean", "std", "min", *qcols, "max")
     qs = exact_quantiles(df, cols, probs)
-    qrows = [(c, *[None if v is None else round(float(v), DIGITS) for v in qs[c]]) for c in cols]
+    qrows = [(c, *[None if v is None else round(float(v), MOMENT_DIGITS) for v in qs[c]]) for c in cols]
     schema = "column_name string, " + ", ".join(f"{_pname(p)} double" for p in probs)
     qdf = spark.createDataFrame(qrows, schema)  # one row per column: bounded
     return long.join(qdf, "column_name").select("column_name", "dtype", "count", "mean", "std", "min",
@@ -139,8 +139,9 @@ def bivar_numeric(df: DataFrame, cols, target: str = "target", by=(), bins: int
         lo_e = lo if i == 1 else edge(i - 1)
         lo_i = F.when(F.col("bin") == i, lo_e) if lo_i is None else lo_i.when(F.col("bin") == i, lo_e)
         hi_i = F.when(F.col("bin") == i, edge(i)) if hi_i is None else hi_i.when(F.col("bin") == i, edge(i))
-    return agg.select(*by, "column_name", F.col("bin").cast("int").alias("bin"), F.round(lo_i, DIGITS).alias("lo"),
-                      F.round(hi_i, DIGITS).alias("hi"), "count", F.round("bad_rate", DIGITS).alias("bad_rate"))
+    return agg.select(*by, "column_name", F.col("bin").cast("int").alias("bin"),
+                      F.round(lo_i, MOMENT_DIGITS).alias("lo"), F.round(hi_i, MOMENT_DIGITS).alias("hi"), "count",
+                      F.round("bad_rate", DIGITS).alias("bad_rate"))
 
 
 def bivar_categorical(df: DataFrame, cols, target: str = "target", by=()) -> DataFrame:

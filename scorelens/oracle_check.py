@@ -6,6 +6,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+
+# SCORELENS_STRICT=1 hashes floats at full precision (no rounding).
+STRICT = os.environ.get("SCORELENS_STRICT") == "1"
 
 import duckdb
 import pandas as pd
@@ -29,7 +33,7 @@ def _norm(v):
             return "None"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return repr(round(v, 8) + 0.0)
+        return repr(v + 0.0) if STRICT else repr(round(v, 8) + 0.0)
     if hasattr(v, "item") and not isinstance(v, (list, tuple)):
         try:
             return _norm(v.item())

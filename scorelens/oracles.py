@@ -9,6 +9,13 @@ from __future__ import annotations
 from scorelens.sources.tables import SAMPLE_SQL
 
 
+def rnd(expr: str, digits: int = 6) -> str:
+    """Correctly rounded decimal of a double, parsed back (printf rounds the exact
+    binary value, as Python's round does; DuckDB's round(x, d) is off by an ulp
+    for large x)."""
+    return f"cast(printf('%.{digits}f', {expr}) as double)"
+
+
 def with_sample(body: str, extra_ctes: str = "") -> str:
     extra = f", {extra_ctes}" if extra_ctes else ""
     return f"with sample as ({SAMPLE_SQL}){extra} {body}"
@@ -62,9 +69,9 @@ c as (select *, sum(bad) over w as cbad, sum(good) over w as cgood
   cast(tot_bad as bigint) as tot_bad_num, {bad_pct} as cum_bad_pct,
   cast(cgood as bigint) as cum_good_num, cast(tot_good as bigint) as tot_good_num,
   {good_pct} as cum_good_pct, round(abs({bad_pct} - {good_pct}), 10) as ks_value,
-  round(cast(cbbal as double), 2) as cum_bad_bal, round(cast(tot_bbal as double), 2) as tot_bad_bal,
+  {rnd('cast(cbbal as double)', 2)} as cum_bad_bal, {rnd('cast(tot_bbal as double)', 2)} as tot_bad_bal,
   round(cast(cbbal as double) / nullif(cast(tot_bbal as double), 0), 10) as cum_bad_bal_pct,
-  round(cast(cgbal as double), 2) as cum_good_bal, round(cast(tot_gbal as double), 2) as tot_good_bal,
+  {rnd('cast(cgbal as double)', 2)} as cum_good_bal, {rnd('cast(tot_gbal as double)', 2)} as tot_good_bal,
   round(cast(cgbal as double) / nullif(cast(tot_gbal as double), 0), 10) as cum_good_bal_pct from c"""
     return with_sample(body, ctes)
 
@@ -219,7 +226,7 @@ def fill_constant_sql(value=0) -> str:
 
 
 def fill_mean_sql(cols=("totalprice", "acctbal", "sparse_num")) -> str:
-    sel = ", ".join(f"round(coalesce({c}, (select avg({c}) from sample)), 10) as {c}" for c in cols)
+    sel = ", ".join(f"{rnd(f'coalesce({c}, (select avg({c}) from sample))', 6)} as {c}" for c in cols)
     return with_sample(f"select row_id, {sel} from sample")
 
 
@@ -454,7 +461,7 @@ def describe_sql(cols=NUMS, probs=(0.01, 0.25, 0.5, 0.75, 0.99), where: str = ""
 
     parts = []
     for c in cols:
-        qs = ", ".join(f"round(quantile_cont({c}, {p}::double), 10) as {_pname(p)}" for p in probs)
+        qs = ", ".join(f"{rnd(f'quantile_cont({c}, {p}::double)', 6)} as {_pname(p)}" for p in probs)
         parts.append(f"select '{c}' as column_name, 'double' as dtype, count({c}) as count, "
                      f"round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, min({c}) as min, {qs}, "
                      f"max({c}) as max from sample {where}")
@@ -497,8 +504,9 @@ e as (select {bys} column_name, min(x) as mn, max(x) as mx from l0 group by {bys
 j as (select {lsel} l.column_name, l.target, e.mn, e.mx, {bin_expr} as bin from l0 l join e e on {on}),
 a as (select {bys} column_name, bin, mn, mx, count(*) as count, avg(cast(target as double)) as bad_rate
       from j group by {bys} column_name, bin, mn, mx)"""
+    lo_a, hi_a = lo.replace("e.", ""), hi.replace("e.", "")
     body = (f"select {bys} column_name, cast(bin as int) as bin, "
-            f"round(case bin {lo.replace('e.', '')} end, 10) as lo, round(case bin {hi.replace('e.', '')} end, 10) as hi, "
+            f"{rnd(f'case bin {lo_a} end', 6)} as lo, {rnd(f'case bin {hi_a} end', 6)} as hi, "
             f"count, round(bad_rate, 10) as bad_rate from a")
     return with_sample(body, ctes)
 

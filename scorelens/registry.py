@@ -187,7 +187,7 @@ def q_fill_constant(spark, sf):
 def q_fill_mean(spark, sf):
     cols = ["totalprice", "acctbal", "sparse_num"]
     out = prep.fill_mean(sample_view(spark, sf), cols=cols)
-    return out.select("row_id", *[F.round(c, 10).alias(c) for c in cols])
+    return out.select("row_id", *[F.round(c, 6).alias(c) for c in cols])
 
 
 @register("drop_sparse_columns", O.sparse_report_sql(0.5))
