@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from scorelens.llm.common import table
 from scorelens.llm.line_dedup import dedup_lines
+from scorelens.llm.near_dedup import near_components
 from scorelens.llm.quality_rules import quality_rules
-from scorelens.llm.sql import LINE_DEDUP_SQL, quality_rules_sql
+from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,9 @@ def op1_line_dedup(spark, sf_dir):
 def op9_quality_rules(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"), output=["doc_id"])
     return out.drop("char_distance", "word_distance")
+
+
+@register("op7_minhash_near_dedup", NEAR_DEDUP_SQL)
+def op7_minhash_near_dedup(spark, sf_dir):
+    out = near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -54,3 +54,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and dc <= {max_char_distance} and dm <= {max_word_distance} as kept
 from verdict"""
+
+
+NEAR_DEDUP_SQL = rf"""
+with recursive parts as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i+2], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from parts where len(w) >= 3)
+  union all select doc_id, array_to_string(w, ' ') from parts where len(w) in (1, 2)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from shingles x join shingles y using (s) where x.doc_id <> y.doc_id group by 1, 2)
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * common >= 85 * (p.n + q.n - common)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, l.b from reach join links l on l.a = reach.b)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id) left join sizes using (doc_id)"""
