@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelens.llm.common import table
 from scorelens.llm.line_dedup import dedup_lines
+from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
 from scorelens.llm.quality_rules import quality_rules
 from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
@@ -40,3 +41,8 @@ def op9_quality_rules(spark, sf_dir):
 def op7_minhash_near_dedup(spark, sf_dir):
     out = near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@register("op2_multiset_fingerprints")
+def op2_multiset_fingerprints(spark, sf_dir):
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
