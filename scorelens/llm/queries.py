@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorelens.llm.common import table
 from scorelens.llm.line_dedup import dedup_lines
 from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
+from scorelens.llm.packing import pack
 from scorelens.llm.quality_rules import quality_rules
 from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
 
@@ -46,3 +48,8 @@ def op7_minhash_near_dedup(spark, sf_dir):
 @register("op2_multiset_fingerprints")
 def op2_multiset_fingerprints(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op6_cutting_stock_packing")
+def op6_cutting_stock_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
