@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import table
+from scorelens.llm import language_id, quality_classifier
+from scorelens.llm.common import held_out, table
 from scorelens.llm.line_dedup import dedup_lines
 from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
 from scorelens.llm.packing import pack
+from scorelens.llm.pii import KINDS, find_pii
 from scorelens.llm.quality_rules import quality_rules
 from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
 
@@ -53,3 +55,33 @@ def op2_multiset_fingerprints(spark, sf_dir):
 @register("op6_cutting_stock_packing")
 def op6_cutting_stock_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op8_pii_spans")
+def op8_pii_spans(spark, sf_dir):
+    found = find_pii(table(spark, sf_dir, "documents"), output=["doc_id"])
+    rules = F.filter("pii_spans", lambda s: s["base"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", *(_of_kind(rules, kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(written(rules), 256).alias("base_sha256"), written("pii_spans").alias("spans"),
+    )
+
+
+def _of_kind(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@register("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score_quality(docs, model, output=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs), output=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
