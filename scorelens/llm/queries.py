@@ -11,6 +11,7 @@ from scorelens.llm.line_dedup import dedup_lines
 from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
 from scorelens.llm.packing import pack
+from scorelens.llm.passage_dedup import repeated_passages
 from scorelens.llm.pii import KINDS, find_pii
 from scorelens.llm.quality_rules import quality_rules
 from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
@@ -85,3 +86,10 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs), output=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op5_passage_dedup")
+def op5_passage_dedup(spark, sf_dir):
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    listed = [F.array_join(c, ",").alias(c) for c in ("kept_in", "removed")]
+    return out.select("doc_id", "n_units", "n_repeated", "n_removed", "words_removed", "class_id", *listed)
