@@ -7,8 +7,13 @@ Every stage but the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from scorelens.llm.common import stored, table
 from scorelens.llm.line_dedup import dedup_lines
+from scorelens.llm.near_dedup import near_dedup
+from scorelens.llm.packing import pack
+from scorelens.llm.pii import redact
 from scorelens.llm.quality_rules import quality_rules
 
 
@@ -22,7 +27,28 @@ def lines(spark, docs, sf_dir):
     return dedup_lines(docs).select(docs.columns)
 
 
-STAGES = [("quality_rules", rules), ("line_dedup", lines)]
+def near_duplicates(spark, docs, sf_dir):
+    """One document (the smallest doc_id) of each group linked by five-word shingles at 0.8 or more."""
+    return near_dedup(docs)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Texts with their personal data replaced by its kind in brackets."""
+    return redact(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of the documents' ids, packed into sequences of at most 2048."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", packing),
+]
 #: SQL can't express near-duplicate search, the PII model and byte-pair ids together; tests/llm compares with brute force.
 ORACLE_SQL = None
 

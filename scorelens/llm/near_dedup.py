@@ -40,7 +40,7 @@ def _describe(size: int, bands: int, rows: int):
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            out = {"id": batch.column(0), "n": [], "cls": [], "sig": [], "keys": []}
+            out = {"id": batch.column(0), "h": batch.column(2), "n": [], "cls": [], "sig": [], "keys": []}
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size, words)
                 out["n"].append(len(s))
@@ -52,7 +52,7 @@ def _describe(size: int, bands: int, rows: int):
                 else:
                     for c in ("cls", "sig", "keys"):
                         out[c].append(None)
-            yield pa.record_batch([out["id"], pa.array(out["n"], pa.int64()), pa.array(out["cls"], pa.binary()), pa.array(out["sig"], pa.binary()), pa.array(out["keys"], pa.list_(pa.int64()))], names=list(out))
+            yield pa.record_batch([out["id"], out["h"], pa.array(out["n"], pa.int64()), pa.array(out["cls"], pa.binary()), pa.array(out["sig"], pa.binary()), pa.array(out["keys"], pa.list_(pa.int64()))], names=list(out))
 
     return run
 
@@ -153,7 +153,7 @@ def _sets_and_signatures(size: int, n: int):
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
                     miss: float = 1e-6) -> DataFrame:
-    """(id, n_shingles, component_id), one row per row of ``docs``.
+    """(id, h, n_shingles, component_id), one row per row of ``docs``; h is xxhash64 of the text.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of ``shingle``-word
     shingles (A-Z lower-cased; fewer words are one shingle).  component_id is the smallest id that
@@ -164,7 +164,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bands, rows = banding(percent / 100, miss)
     plain = with_id(docs.select(F.col(id_col).alias("__in"), F.col(text_col).alias("__text")), "__in", "__id")
-    described = stored(plain.select("__id", "__text").mapInArrow(_describe(shingle, bands, rows), "id long, n long, cls binary, sig binary, keys array<long>"), "near-described")
+    described = stored(plain.select("__id", "__text", F.xxhash64("__text")).mapInArrow(_describe(shingle, bands, rows), "id long, h long, n long, cls binary, sig binary, keys array<long>"), "near-described")
     clumps = stored(candidate_clumps(described, percent / 100, miss), "near-clumped")
     links = verified_links(plain, described, clumps, shingle, percent, bands * rows, miss)
     roots = components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near-links")
@@ -172,4 +172,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = firsts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = firsts.groupBy("root").agg(F.min("first").alias("low"))
     by_class = firsts.join(lowest, "root").select("cls", "low")
-    return described.select("id", "n", "cls").join(by_class, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    return described.select("id", "h", "n", "cls").join(by_class, "cls", "left").select("id", "h", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their component (see ``near_components``).
+
+    Rows that share id and text are one document and stay together; texts without words stay."""
+    found = near_components(docs, id_col, text_col, shingle, percent)
+    gone = stored(found.where("id > component_id").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "near-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    keyed = with_id(docs, id_col, "__id").withColumn("__h", F.xxhash64(text_col))
+    return keyed.join(side, ["__id", "__h"], "left_anti").select(docs.columns)

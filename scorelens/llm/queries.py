@@ -12,6 +12,7 @@ from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
 from scorelens.llm.packing import pack
 from scorelens.llm.passage_dedup import repeated_passages
+from scorelens.llm.piece_sampling import decode, sample_encode
 from scorelens.llm.pii import KINDS, find_pii
 from scorelens.llm.quality_rules import quality_rules
 from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
@@ -93,3 +94,14 @@ def op5_passage_dedup(spark, sf_dir):
     out = repeated_passages(table(spark, sf_dir, "documents"))
     listed = [F.array_join(c, ",").alias(c) for c in ("kept_in", "removed")]
     return out.select("doc_id", "n_units", "n_repeated", "n_removed", "words_removed", "class_id", *listed)
+
+
+@register("op3_piece_sampling")
+def op3_piece_sampling(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sample_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = decode(encoded, model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
