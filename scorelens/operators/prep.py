@@ -25,13 +25,17 @@ def x_y_split(df: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, DataFrame]:
 
 
 def location_split(df: DataFrame, cols=("mobile_location", "idcard_location"), sep: str = ",") -> DataFrame:
-    """For each "prov,city" column c add c_prov (part 0) and c_city (part 1)."""
+    """For each "prov,city" column c add c_prov (part 0) and c_city (part 1).
+
+    A named column that the frame lacks is an error."""
+    absent = [c for c in cols if c not in df.columns]
+    if absent:
+        raise ValueError(f"no such column to split: {', '.join(absent)}")
     out = df
     for c in cols:
-        if c in df.columns:
-            stem = c[: -len("_location")] + "_loc" if c.endswith("_location") else c
-            out = out.withColumn(f"{stem}_prov", split_part(c, 0, sep)).withColumn(f"{stem}_city",
-                                                                                     split_part(c, 1, sep))
+        stem = c[: -len("_location")] + "_loc" if c.endswith("_location") else c
+        out = out.withColumn(f"{stem}_prov", split_part(c, 0, sep)).withColumn(f"{stem}_city",
+                                                                                 split_part(c, 1, sep))
     return out
 
 
@@ -43,12 +47,26 @@ def _missing(f: T.StructField):
 
 
 def fill_constant(df: DataFrame, value=0) -> DataFrame:
-    """Every missing cell of every column -> value (cast to the column type;
-    string columns get str(value), as pandas fills object columns)."""
+    """Every missing cell of every column -> value.
+
+    The value is kept as it is: an integral or decimal column that can't hold it
+    becomes double, as a pandas column would become float; string columns get
+    str(value).  Columns of other types (dates, timestamps, booleans, nested)
+    can't hold a number and stay as they are.
+    """
+    number = float(value) if isinstance(value, str) else value
+    whole = float(number).is_integer()
+    text = value if isinstance(value, str) else str(value)
     out = []
     for f in df.schema.fields:
-        v = F.lit(str(value)) if isinstance(f.dataType, T.StringType) else F.lit(value).cast(f.dataType)
-        out.append(F.when(_missing(f), v).otherwise(F.col(f.name)).alias(f.name))
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            c = F.when(_missing(f), F.lit(text)).otherwise(c)
+        elif isinstance(f.dataType, (T.IntegralType, T.DecimalType)) and not whole:
+            c = F.when(_missing(f), F.lit(float(number))).otherwise(c.cast("double"))
+        elif isinstance(f.dataType, T.NumericType):
+            c = F.when(_missing(f), F.lit(number).cast(f.dataType)).otherwise(c)
+        out.append(c.alias(f.name))
     return df.select(*out)
 
 

@@ -7,6 +7,12 @@ with error_bad_lines=False).  Spark's DROPMALFORMED would also drop short rows,
 so we read in PERMISSIVE mode with one spare trailing column and keep the rows
 where it is empty.  Windows code-page names such as 'ANSI' are not charsets:
 pass the real one (default UTF-8).
+
+Quotes follow the usual rule on both sides: a field with the separator, a
+quote or a line break stands in double quotes, quotes in it are doubled, and
+blanks at its ends stay.  Quoted line breaks need ``multi_line`` (the default),
+which reads each file as a whole; a folder of many part files is still read in
+parallel.  Pass ``multi_line=False`` for large single files known to have none.
 """
 
 from __future__ import annotations
@@ -20,15 +26,30 @@ CORRUPT = "__corrupt"
 
 
 def read_csv_sample(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8",
-                    null_value: str = "(NULL)", header: bool = True) -> DataFrame:
+                    null_value: str = "(NULL)", header: bool = True, multi_line: bool = True) -> DataFrame:
+    """The rows of a CSV file or folder.  A value that its column's type can't hold is an error
+    (raised by the query that reads it), never a silent null."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    full = T.StructType(list(schema.fields) + [T.StructField(EXTRA, T.StringType()),
-                                               T.StructField(CORRUPT, T.StringType())])
+    full = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(EXTRA, T.StringType())])
     df = (spark.read.schema(full).option("header", header).option("nullValue", null_value)
-          .option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    return df.where(F.col(EXTRA).isNull()).drop(EXTRA, CORRUPT)
+          .option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+          .options(**QUOTING).csv(path))
+    return df.where(F.col(EXTRA).isNull()).select(*[_typed(f) for f in schema.fields])
+
+
+#: Quotes are doubled inside quotes, and blanks belong to the field.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _typed(f: T.StructField):
+    """The text column as the wanted type; text that isn't one raises."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, T.StringType):
+        return c
+    v = c.try_cast(f.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"column {f.name} is no {f.dataType.simpleString()}: "), c))
+    return F.when(c.isNull() | v.isNotNull(), v).otherwise(wrong.cast(f.dataType)).alias(f.name)
 
 
 def write_csv(df: DataFrame, path: str, null_value: str = "(NULL)", single_file: bool = False,
@@ -37,7 +58,7 @@ def write_csv(df: DataFrame, path: str, null_value: str = "(NULL)", single_file:
     removes write parallelism; only for small extracts)."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).option("nullValue", null_value).option(
-        "encoding", encoding).csv(path)
+        "encoding", encoding).options(**QUOTING).csv(path)
     return path
 
 
@@ -48,8 +69,11 @@ def export_table(spark: SparkSession, table: str, path: str, single_file: bool =
 
 def mapping_json(map_df: DataFrame, key_col: str = "level", value_col: str = "woe",
                  part: str = "feature") -> DataFrame:
-    """Exported mapping form: one row per feature with a JSON object level -> value."""
-    return map_df.groupBy(part).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col(key_col).cast("string"),
-                                                                      F.lit("null")), F.col(value_col)))))
-        .alias("mapping"))
+    """Exported mapping form: one row per feature and level with a JSON object level -> value.
+
+    A null level is written as the key "null"; where a feature also has a level
+    of that name, the missing level's key is "(null)"."""
+    level = F.col(key_col).cast("string")
+    named = map_df.where(level == "null").select(part).distinct().withColumn("__named", F.lit(True))
+    key = F.coalesce(level, F.when(F.col("__named"), F.lit("(null)")).otherwise(F.lit("null")))
+    return map_df.join(named, part, "left").select(part, F.to_json(F.create_map(key, F.col(value_col))).alias("mapping"))

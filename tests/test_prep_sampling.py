@@ -3,6 +3,7 @@ import math
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorelens.functions.predicates import is_num
@@ -83,3 +84,15 @@ def test_dev_val_split_exact_sizes(spark):
     out = sampling.dev_val_split(df, n_buckets=3).groupBy("split").count().collect()
     d = {r["split"]: r["count"] for r in out}
     assert d["val"] == math.ceil(0.3 * 1001) and d["dev"] == 1001 - math.ceil(0.3 * 1001)
+
+
+def test_fill_constant_keeps_the_value(spark):
+    df = spark.createDataFrame([(None, None, None, None)], "i int, d date, t timestamp, m decimal(10,1)")
+    out = prep.fill_constant(df, 0.5).first()
+    assert (out["i"], out["m"]) == (0.5, 0.5) and out["d"] is None and out["t"] is None
+    assert prep.fill_na(df, "0.5").first()["i"] == 0.5 and prep.fill_constant(df, 3).schema["i"].dataType.simpleString() == "int"
+
+
+def test_location_split_of_an_absent_column_raises(spark):
+    with pytest.raises(ValueError, match="idcard_location"):
+        prep.location_split(spark.createDataFrame([("p,c",)], "mobile_location string"))
