@@ -2,8 +2,8 @@
 
 The reference fits scikit-learn / XGBoost on one machine; here the pipeline is
 ``VectorAssembler -> RobustScaler(5 %, 95 %) -> GBTClassifier`` so training and
-scoring are distributed.  MLlib's GBT has no L1/L2 leaf penalties (the
-reference's reg_alpha / reg_lambda); they are accepted and ignored.
+scoring are distributed.  MLlib's GBT has no L1/L2 leaf penalties: asking for
+``reg_alpha`` or ``reg_lambda`` is an error.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from scorelens.plans.quantiles import exact_quantiles
 from scorelens.spec import FeatureSpec
 
-# Demo model of the reference: 200 trees, depth 3, learning rate 0.1, robust
-# scaling on the 5 %-95 % range.
-DEMO_PARAMS = {"max_depth": 3, "learning_rate": 0.1, "n_estimators": 200, "subsample": 1.0}
+#: The demo model's parameters, and the defaults of ``gbt_pipeline``.
+DEFAULTS = {"learning_rate": 0.1, "n_estimators": 200, "max_depth": 3, "subsample": 1.0, "lower": 0.05, "upper": 0.95}
 
 
 def robust_scale_exact(df: DataFrame, cols, lower: float = 0.05, upper: float = 0.95,
@@ -44,7 +43,9 @@ def robust_scale_exact(df: DataFrame, cols, lower: float = 0.05, upper: float =
 
 def gbt_pipeline(features, label: str = "target", learning_rate: float = 0.1, n_estimators: int = 200,
                  max_depth: int = 3, subsample: float = 1.0, seed: int = 1, lower: float = 0.05,
-                 upper: float = 0.95) -> Pipeline:
+                 upper: float = 0.95, **unsupported) -> Pipeline:
+    if unsupported:
+        raise ValueError(f"MLlib's boosted trees have no {', '.join(sorted(unsupported))}")
     asm = VectorAssembler(inputCols=list(features), outputCol="_features_raw", handleInvalid="keep")
     scaler = RobustScaler(inputCol="_features_raw", outputCol="_features", lower=lower, upper=upper,
                           withCentering=True, withScaling=True)

@@ -45,10 +45,10 @@ def score_distribution(df: DataFrame, score="score", sample_col="sample", sample
     return p.select(*out)
 
 
-def band_counts(df: DataFrame, score="score", n_bands: int = 20) -> DataFrame:
-    """value_counts of the score band: (band, n)."""
-    return df.select(score_band(score, n_bands).alias("band")).where(F.col("band").isNotNull()).groupBy(
-        "band").agg(F.count(F.lit(1)).alias("n"))
+def band_counts(df: DataFrame, score="score", n_bands: int = 20, by=()) -> DataFrame:
+    """value_counts of the score band: (by..., band, n)."""
+    return df.select(*by, score_band(score, n_bands).alias("band")).where(F.col("band").isNotNull()).groupBy(
+        *by, "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- PSI --------------------------------------------------------------------------------------
@@ -114,10 +114,16 @@ def _band_expr(x: Column, sep: list[float]) -> Column:
 
 def score_psi(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev", others=("val",),
               k: int = 10) -> DataFrame:
-    """Band table per compared sample: (sample, band, hi, lo, dev_share, cmp_share, term, psi)."""
+    """Band table per compared sample: (sample, band, hi, lo, dev_share, cmp_share, term, psi).
+
+    A compared sample without rows has one row, null but for its name."""
     spark = df.sparkSession
     others = [s for s in others]
     edges, n_dev = psi_edges(df, score, key, sample_col, base, others, k)
+    schema = "sample string, band int, hi double, lo double, dev_share double, cmp_share double, term double, psi double"
+    absent = spark.createDataFrame([(s, *[None] * 7) for s in others if s not in edges], schema)
+    if not edges:
+        return absent
     x = F.col(score)
     # Compared rows: band by their own sample's edges.
     cmp_band = None
@@ -149,7 +155,7 @@ def score_psi(df: DataFrame, score="score", key="row_id", sample_col="sample", b
     g = g.select("sample", "band", "hi", "lo", _r(ds).alias("dev_share"), _r(vs).alias("cmp_share"),
                  _r(term).alias("term"), term.alias("_t"))
     w = Window.partitionBy("sample")
-    return g.withColumn("psi", _r(F.sum("_t").over(w))).drop("_t")
+    return g.withColumn("psi", _r(F.sum("_t").over(w))).drop("_t").unionByName(absent)
 
 
 def psi_monitor(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev",
@@ -185,7 +191,7 @@ def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20
         return F.when(j >= bins, F.col("mx")).otherwise(j.cast("double") * F.col("step") + F.col("mn"))
 
     # one row per group: a proven bound when the groups are declared
-    small = bounded_broadcast(ext, len(list(groups))) if groups is not None else checked_broadcast(ext.persist())
+    small = bounded_broadcast(ext, len(list(groups))) if groups is not None else checked_broadcast(ext)
     rows = df.where(x.isNotNull()).select(*by, score).join(small, by)
     f = ((x - F.col("mn")) / (F.col("mx") - F.col("mn"))) * F.lit(float(bins))
     i0 = f.cast("int")

@@ -75,9 +75,12 @@ def crosstab_margins(df: DataFrame, features, target: str = "target") -> DataFra
     from scorelens.operators.woe import long_levels
 
     lg = long_levels(df, features, target).where(F.col("level").isNotNull())
-    r = lg.rollup("feature", "level").agg(
+    counts = lg.groupBy("feature", "level").agg(
         F.count(F.when(F.col(target) == 0, 1)).alias("n_0"), F.count(F.when(F.col(target) == 1, 1)).alias("n_1"),
-        F.count(F.lit(1)).alias("n_all"), F.grouping("feature").alias("_gf"), F.grouping("level").alias("_gl"))
+        F.count(F.lit(1)).alias("n_all"))
+    # margins from the level table: rows are counted once
+    r = counts.rollup("feature", "level").agg(*[F.sum(c).alias(c) for c in ("n_0", "n_1", "n_all")],
+                                              F.grouping("feature").alias("_gf"), F.grouping("level").alias("_gl"))
     r = r.where(F.col("_gf") == 0)
     return r.select("feature", F.when(F.col("_gl") == 1, F.lit("All")).otherwise(F.col("level")).alias("level"),
                     "n_0", "n_1", "n_all", F.round(F.col("n_1") / F.col("n_all"), DIGITS).alias("ratio"))
@@ -107,20 +110,61 @@ def _distinct_at_least(df: DataFrame, by: list[str], cols: list[str], k: int) ->
                     .otherwise(F.col("est") >= 4 * k).alias("many")))
 
 
+def route_numeric(df: DataFrame, cols, min_distinct: int = BIVAR_MIN_DISTINCT) -> tuple[list[str], list[str]]:
+    """(columns to bin, columns to list by value), decided once over all rows of
+    ``df``, so that a column has the same form in every group (one action, a row per column)."""
+    cols = list(cols)
+    if not cols:
+        return [], []
+    many = {r["column_name"] for r in _distinct_at_least(df, [], cols, min_distinct).where("many").collect()}
+    return [c for c in cols if c in many], [c for c in cols if c not in many]
+
+
+def bivar(df: DataFrame, char=(), num=(), target: str = "target", by=(), bins: int = BIVAR_BINS,
+          min_distinct: int = BIVAR_MIN_DISTINCT, order=None, top: int | None = None) -> DataFrame:
+    """Single-variable analysis of every feature: (position, by..., column_name, kind,
+    bin, lo, hi, level, count, bad_rate).
+
+    Numeric columns with ``min_distinct`` different values or more are binned
+    (kind "bins"); those with fewer, and char columns, have a row per value (kind
+    "values", bin 0).  ``order`` names the features by importance (default: as given) and
+    ``top`` keeps the first so many."""
+    names = [c for c in (order or [*char, *num]) if c in {*char, *num}][:top]
+    binned, listed = route_numeric(df, [c for c in num if c in names], min_distinct)
+    parts = []
+    if binned:
+        parts.append(bivar_numeric(df, binned, target, by, bins, min_distinct=None).select(
+            *by, "column_name", F.lit("bins").alias("kind"), "bin", "lo", "hi", F.lit(None).cast("string").alias("level"),
+            "count", "bad_rate"))
+    values = [c for c in names if c in {*char, *listed}]
+    if values:
+        parts.append(bivar_categorical(df, values, target, by).select(
+            *by, "column_name", F.lit("values").alias("kind"), F.lit(0).alias("bin"),
+            F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "level", "count", "bad_rate"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    position = F.coalesce(*[F.when(F.col("column_name") == c, i + 1) for i, c in enumerate(names)])
+    return out.select(position.alias("position"), *out.columns)
+
+
 def bivar_numeric(df: DataFrame, cols, target: str = "target", by=(), bins: int = BIVAR_BINS,
-                  min_distinct: int = BIVAR_MIN_DISTINCT) -> DataFrame:
+                  min_distinct: int | None = BIVAR_MIN_DISTINCT) -> DataFrame:
     """Equal-width, right-closed bins between each group's min and max (the
     lowest edge lowered by 0.1 % of the range, as pandas cut does); count and bad
-    rate per non-empty bin; nulls drop.  Columns with fewer than
-    ``min_distinct`` distinct values are left to ``bivar_categorical``."""
+    rate per non-empty bin; nulls drop.  Groups with fewer than ``min_distinct``
+    distinct values are left out (None: none are); ``bivar`` sends whole columns
+    to bins or values instead."""
     by = list(by)
     cols = list(cols)
     lg = df.select(*by, target, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])).alias("t")
     ).select(*by, target, "t.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
     ext = lg.groupBy(*by, "column_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    many = _distinct_at_least(df, by, cols, min_distinct).where("many").drop("many")
-    ext = checked_broadcast(ext.join(many, [*by, "column_name"]))
+    if min_distinct:
+        many = _distinct_at_least(df, by, cols, min_distinct).where("many").drop("many")
+        ext = ext.join(many, [*by, "column_name"])
+    ext = checked_broadcast(ext)
     step = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
 
     def edge(i):  # numpy linspace: i*step + min, last edge = max

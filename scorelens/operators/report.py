@@ -2,7 +2,7 @@
 
 ``score_report`` builds the monitoring tables from a scored DataFrame with a
 period column; ``model_report`` first fits the pipeline on dev, scores all
-periods once (checkpointed: every table reads the same scored rows), then
+periods once (stored as Parquet: every table reads the columns it needs), then
 calls ``score_report`` on the model score.  ``write_bundle`` writes one
 Parquet (or CSV) directory per table.
 """
@@ -25,7 +25,7 @@ def score_report(df: DataFrame, score: str = "score", target: str = "target", ke
                  psi_k: int = 20, spec: FeatureSpec | None = None, psi: bool = True,
                  materialize_input: bool = False) -> dict[str, DataFrame]:
     """All monitoring tables of one scored DataFrame.  Every table reads ``df``;
-    with ``materialize_input`` it is checkpointed once first (worth it when
+    with ``materialize_input`` it is stored once first (worth it when
     ``df`` is an expensive plan such as a join, not when it is a stored table)."""
     if materialize_input:
         from scorelens.plans.broadcast import materialize
@@ -45,8 +45,9 @@ def score_report(df: DataFrame, score: str = "score", target: str = "target", ke
     if spec is not None:
         dev = df.where(F.col(sample_col) == base)
         out["describe"] = prof.describe(dev, list(spec.num), (0.25, 0.5, 0.75))
-        out["bivar"] = prof.bivar_numeric(df, list(spec.num), target, by=[sample_col])
-        out["bivar_levels"] = prof.bivar_categorical(df, list(spec.char), target, by=[sample_col])
+        binned, listed = prof.route_numeric(df, spec.num)  # every feature is in one of the two
+        out["bivar"] = prof.bivar_numeric(df, binned, target, by=[sample_col], min_distinct=None)
+        out["bivar_levels"] = prof.bivar_categorical(df, [*spec.char, *listed], target, by=[sample_col])
     return out
 
 
@@ -60,16 +61,29 @@ def report_summary(tables: dict[str, DataFrame], sample_col: str = "sample") ->
 
 def model_report(df: DataFrame, spec: FeatureSpec, sample_col: str = "sample", key: str = "row_id",
                  base: str = "dev", **params) -> dict[str, DataFrame]:
-    from scorelens.operators.model import feature_importance, fit_model, score
+    from scorelens.operators.model import DEFAULTS, feature_importance, fit_model, score
     from scorelens.plans.broadcast import materialize
 
     fitted = fit_model(df.where(F.col(sample_col) == base), spec, **params)
     scored = materialize(score(fitted, df, spec))
     tables = score_report(scored, "model_score", spec.target, key, sample_col, base=base, spec=spec)
     tables["importance"] = feature_importance(fitted.model, spec, fitted.features)
+    tables["params"] = params_sheet(df.sparkSession, {**DEFAULTS, **params})
+    tables["samples"] = sample_sheet(df, spec.target, sample_col)
     return tables
 
 
+def params_sheet(spark, params: dict) -> DataFrame:
+    """The model's parameters, a row each."""
+    return spark.createDataFrame([(k, str(v)) for k, v in params.items()], "name string, value string")
+
+
+def sample_sheet(df: DataFrame, target: str = "target", sample_col: str = "sample") -> DataFrame:
+    """What the samples are: rows, rows with a target, and class 1 of each."""
+    return df.groupBy(sample_col).agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("labelled"),
+                                      F.count(F.when(F.col(target) == 1, 1)).alias("bad"))
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
     """Write each table under path/<name>; returns name -> location."""
     out = {}

@@ -3,7 +3,7 @@
 For each minority row, N/100 synthetic points x + u * (nn - x) are drawn, nn
 among its k nearest minority neighbours (Euclidean, ties by id).
 
-Neighbour search never pairs a whole group: points are ranked along a few
+Neighbour search starts small: points are ranked along a few
 random unit projections (exact global positions from ``plans.ordering``), and
 each point's candidates are its neighbours within a window of w positions in
 each projection.  Because a unit projection never increases distances, a point
@@ -11,7 +11,9 @@ is *resolved* once, for some projection, the points just outside its window
 are farther away in projection than its current k-th candidate distance: no
 point outside the window can then be closer.  Unresolved points go to another
 round with the window doubled, so the result is exact and the work per point
-grows only with the local density it needs.  Identical vectors are collapsed
+grows only with the local density it needs.  The window that proves exactness
+grows with the number of features: with about eight or more it nears the whole
+minority class, and the search then costs its square.  Identical vectors are collapsed
 first (a hot duplicate is one point with a count).
 
 The neighbour index and u come from xxhash64(id, j, seed), so reruns agree.
@@ -95,20 +97,35 @@ def knn(points: DataFrame, feats: list[str], k: int = 5, seed: int = 1, n_proj:
 
 def smote(df: DataFrame, features, target: str = "target", key: str = "row_id", n: int = 100, k: int = 5,
           seed: int = 1) -> DataFrame:
+    """``df`` (key, features as doubles, target) and n % as many synthetic rows of class 1.
+
+    Every minority row gives n // 100 points, and n % 100 in a hundred of them (by
+    a hash of the key) one more.  A minority row with a missing feature has no
+    place in the space: it raises, so fill or drop such rows first.
+    """
     feats = list(features)
-    per_row = max(int(n // 100), 0)
+    if n < 0:
+        raise ValueError("n must not be negative")
     orig = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats], target,
                      F.lit(False).alias("is_synthetic"))
-    if per_row == 0:
+    if n == 0:
         return orig
-    mino = df.where(F.col(target) == 1).select(key, *[F.col(c).cast("double").alias(c) for c in feats]).dropna()
+
+    def present(c):
+        x = F.col(c).cast("double")
+        wrong = F.raise_error(F.lit(f"feature {c} is missing in a row of class 1")).cast("double")
+        return F.when(x.isNull() | F.isnan(x), wrong).otherwise(x).alias(c)
+
+    mino = df.where(F.col(target) == 1).select(key, *[present(c) for c in feats])
+    more = F.when(F.pmod(F.xxhash64(F.lit("more"), key, F.lit(seed)), F.lit(100)) < n % 100, 1).otherwise(0)
+    mino = mino.withColumn("_m", F.lit(n // 100) + more)
     # Collapse identical vectors: neighbours are searched among distinct points.
     pts = materialize(mino.groupBy(*feats).agg(F.min(key).alias("pid")))
     nn = knn(pts, feats, k, seed)
     vec = pts.select(F.col("pid").alias("cid"), F.array(*feats).alias("_nv"))
     nn = nn.join(vec, "cid").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("r", "_nv"))).alias("_nns"))
     rows = mino.join(pts, feats).join(nn, "pid", "left")
-    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
+    rows = rows.where("_m > 0").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_m"))))
     cnt = F.coalesce(F.size("_nns"), F.lit(0))
     cnt = F.when(cnt < 0, 0).otherwise(cnt)
     pick = F.when(cnt > 0, F.element_at("_nns", (F.pmod(F.xxhash64(key, "_j", F.lit(seed)), cnt) + 1).cast("int")))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorelens.operators.smote import knn, smote
@@ -30,3 +31,23 @@ def test_smote_counts_and_bounds(spark):
     lo = df.where("target = 1").agg(F.min("a"), F.max("a")).first()
     s = syn.agg(F.min("a"), F.max("a")).first()
     assert s[0] >= lo[0] - 1e-12 and s[1] <= lo[1] + 1e-12
+
+
+def test_smote_of_any_percentage_and_on_the_segments(spark):
+    rnd = random.Random(3)
+    rows = [(i, 1, rnd.random(), rnd.random(), rnd.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, target int, a double, b double, c double")
+    for n, low, high in ((50, 150, 250), (150, 550, 650), (0, 0, 0)):
+        made = smote(df, ["a", "b", "c"], n=n, k=3).where("is_synthetic").count() if n else 0
+        assert low <= made <= high
+    small = df.where("row_id < 25")
+    points = [r[2:] for r in rows[:25]]
+    for r in smote(small, ["a", "b", "c"], n=100, k=3).where("is_synthetic").collect():
+        x = (r["a"], r["b"], r["c"])
+        assert any(abs(math.dist(p, x) + math.dist(x, q) - math.dist(p, q)) < 1e-9 for p in points for q in points)
+
+
+def test_smote_of_a_missing_feature_raises(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (2, 1, None), (3, 0, None)], "row_id long, target int, a double")
+    with pytest.raises(Exception, match="feature a is missing"):
+        smote(df, ["a"], n=100, k=1).collect()
