@@ -70,7 +70,7 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
     period = F.when(F.col(sample_col).isin(*build), F.lit("build")).otherwise(F.col(sample_col))
     src = df.where(F.col(sample_col).isin(*build, *offs)).withColumn("period", period)
     # The one pass over the rows; the level-sized result feeds every branch below,
-    # so its lineage is cut with a reliable checkpoint.
+    # so it is stored once.
     stats = materialize(category_stats(src, features, target, by=["period"]))
     bs = stats.where(F.col("period") == "build").drop("period")
     n_lv = bs.groupBy("feature").agg(F.count(F.lit(1)).alias("n_levels"))
@@ -102,14 +102,15 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
     att = att.select("feature", "n",
                      ((F.coalesce(F.col("missing"), F.lit(0)) == 0) & (F.col("n_edges") >= 2)).alias("ok"),
                      (F.col("n_edges") - 1).alias("n_groups"),
-                     F.coalesce(F.col("interior"), F.array().cast("array<int>")).alias("interior")).persist()
+                     F.coalesce(F.col("interior"), F.array().cast("array<int>")).alias("interior"))
+    att = materialize(att)
     ok = att.where("ok")
     lv = bs.join(per_attempt(ok.select("feature", "n", "interior")), "feature").select(
         "feature", "n", "level", "idx", "good", "bad",
         F.size(F.filter("interior", lambda b: b < F.col("idx"))).alias("grp"))
-    lv = lv.persist()
+    lv = materialize(lv)
     ng = lv.groupBy("feature", "n", "grp").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    ng = ng.withColumn("bad_ratio", F.col("bad") / (F.col("good") + F.col("bad"))).persist()
+    ng = materialize(ng.withColumn("bad_ratio", F.col("bad") / (F.col("good") + F.col("bad"))))
 
     # --- later periods: map levels into the groups, unseen levels -> group 0 ------------------
     offst = stats.where(F.col("period") != "build")
@@ -168,7 +169,7 @@ def auto_group(df: DataFrame, features, target: str = "target", sample_col: str
     for c in psi_cols:
         psum = F.col(c) if psum is None else psum + F.col(c)
     rep = rep.withColumn("psi_sum", F.round(psum / F.lit(float(len(psi_cols))), 10))
-    rep = rep.withColumn("score", F.round(F.col("new_build_iv") - F.col("psi_sum"), 10)).persist()
+    rep = materialize(rep.withColumn("score", F.round(F.col("new_build_iv") - F.col("psi_sum"), 10)))
 
     # --- best attempt and final map ------------------------------------------------------------
     w = Window.partitionBy("feature").orderBy(F.desc("score"), F.asc("n_bins"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
+from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast, materialize
 from scorelens.plans.ordering import (
     BUCKET,
     OrderSplits,
@@ -109,7 +109,7 @@ def gains(
         measures["gbal"] = F.coalesce(F.sum(F.when(good, F.col(balance))), F.lit(0).cast("decimal(18,2)"))
     names = list(measures)
 
-    stats = b.groupBy(*by, BUCKET).agg(*[v.alias(k) for k, v in measures.items()]).persist()
+    stats = materialize(b.groupBy(*by, BUCKET).agg(*[v.alias(k) for k, v in measures.items()]))
     st = bucket_offsets(stats, by, names)  # off_* and tot_* per bucket row
     st = st.withColumn("bin_len", F.expr(f"tot_n div {int(bins)}"))
     st = st.withColumn("first_bin", _bin_of("off_n", bins)).withColumn("last_bin", _bin_of("off_n + n - 1", bins))
@@ -196,7 +196,7 @@ def roc_table(
     stats = d.groupBy(*by, BUCKET).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     offs = bucket_offsets(stats, by, ["pos", "neg"]).select(
         *by, BUCKET, "off_pos", "off_neg", F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N")
-    ).persist()
+    )
     small = _small_side(offs, splits.max_bucket_ids(False), by, groups)
     d = d.join(small, on=[*by, BUCKET], how="inner")
     w = Window.partitionBy(*by, BUCKET).orderBy(F.desc(score)).rowsBetween(

@@ -3,7 +3,8 @@
 Rows are ordered by md5(key || '#' || seed) (then key); the first
 floor(frac * n_class) rows of each class are drawn.  Reruns and other engines
 (DuckDB) draw the same rows.  The order is never materialised: rows are bucketed
-by a numeric prefix of the hash, bucket offsets decide whole buckets, and only
+by a numeric prefix of the hash (uniform, so buckets of equal width need no pass
+over the data), bucket offsets decide whole buckets, and only
 the one bucket per class holding the cut point is ranked row by row.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
-from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, compute_splits
+from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, default_buckets, uniform_splits
 
 
 def hash_order_key(key: str, seed: int) -> Column:
@@ -30,7 +31,7 @@ def flag_first(df: DataFrame, key: str, seed: int, by: list[str], m_of_n: Callab
     base = df.withColumn(h, hash_order_key(key, seed))
     # 13 hex digits = 52 bits: exact in a double, monotone in the hash order.
     base = base.withColumn(hn, -F.conv(F.substring(h, 1, 13), 16, 10).cast("double"))
-    sp = compute_splits(base.select(hn, key), hn, key, n_buckets)
+    sp = uniform_splits(-float(2**52), 0.0, n_buckets or default_buckets(df.sparkSession))  # the hash is uniform
     b = add_bucket(base, hn, key, sp, split_hot=False)
     stats = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("c"))
     st = bucket_offsets(stats, by, ["c"])

@@ -51,14 +51,22 @@ def validate_target(df: DataFrame, target: str) -> None:
         raise ValueError(f"target {target!r} must take exactly the values 0 and 1, found {sorted(vals)}")
 
 
+def checked_target(df: DataFrame, target: str) -> DataFrame:
+    """``df`` whose target raises, in the query that reads it, where it is neither 0, 1 nor null."""
+    t = F.col(target)
+    wrong = F.raise_error(F.concat(F.lit(f"target {target} must be 0 or 1, not "), t.cast("string")))
+    return df.withColumn(target, F.when(t.isNull() | t.isin(0, 1), t).otherwise(wrong.cast(df.schema[target].dataType)))
+
+
 def woe_map(df: DataFrame, features, target: str) -> DataFrame:
     """(feature, level, n, bad, good, woe) with woe = ln(b*G/B/g), where
     g = n - b and each of b, g, B, G is replaced by 1 when it is 0.
     A null level is an ordinary level with its true counts."""
-    c = level_counts(df, features, target)
-    w = Window.partitionBy("feature")  # levels of one feature
-    B = F.sum("bad").over(w)
-    G = F.sum("good").over(w)
+    c = level_counts(checked_target(df, target), features, target)
+    # totals by aggregation and join: the levels of one feature need not meet in a task
+    totals = c.groupBy("feature").agg(F.sum("bad").alias("_B"), F.sum("good").alias("_G"))
+    c = c.join(F.broadcast(totals), "feature")  # one row per named feature
+    B, G = F.col("_B"), F.col("_G")
     b = F.col("bad")
     g = F.col("n") - F.col("bad")
     one = lambda x: F.when(x == 0, F.lit(1)).otherwise(x)
@@ -76,15 +84,18 @@ def woe_apply(df: DataFrame, wmap: DataFrame, features, fill: float | None = 0.0
     reference fills the whole frame.  With ``prefix`` the mapped values go to
     new columns ``prefix + feature`` and the originals are kept.
     """
-    from scorelens.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS
-
-    # One persisted map and one size check for all features.
-    wmap = wmap.select("feature", "level", value_col).persist()
-    small = wmap.count() <= DEFAULT_MAX_BROADCAST_ROWS
+    from scorelens.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, materialize
+
+    # The map is stored once; rows and bytes are checked feature by feature.
+    wmap = materialize(wmap.select("feature", "level", value_col))
+    sizes = wmap.where(F.col("feature").isin(list(features))).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("level"), F.lit(0)) + 16).alias("b")).collect()
+    fits = {r["feature"] for r in sizes if r["n"] <= DEFAULT_MAX_BROADCAST_ROWS and r["b"] <= DEFAULT_MAX_BROADCAST_BYTES}
+    absent = set(features) - {r["feature"] for r in sizes}
     out = df
     for f in features:
         m = wmap.where(F.col("feature") == f).select(F.col("level").alias("_lv"), F.col(value_col).alias("_v"))
-        m = F.broadcast(m) if small else m
+        m = F.broadcast(m) if f in fits | absent else m
         out = out.join(m, out[f].cast("string").eqNullSafe(m["_lv"]), "left")
         v = F.col("_v") if fill is None else F.coalesce(F.col("_v"), F.lit(fill))
         out = out.withColumn(f if prefix is None else prefix + f, v).drop("_lv", "_v")
@@ -96,12 +107,12 @@ def woe_apply(df: DataFrame, wmap: DataFrame, features, fill: float | None = 0.0
 
 
 def woe_fit_transform(df: DataFrame, features, target: str) -> DataFrame:
-    """Fit on df and apply to df (string2numeric)."""
+    """Fit on df and apply to df."""
     return woe_apply(df, woe_map(df, features, target), features, fill=None)
 
 
 def woe_fit_apply(train: DataFrame, apply: DataFrame, features, target: str, fill_all: bool = False) -> DataFrame:
-    """Fit on train, apply to another frame; unseen levels -> 0 (string2numeric_hm)."""
+    """Fit on train, apply to another frame; unseen levels -> 0."""
     return woe_apply(apply, woe_map(train, features, target), features, fill=0.0, fill_all=fill_all)
 
 

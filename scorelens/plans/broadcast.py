@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 # Row limit under which a derived lookup table is broadcast explicitly.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Return ``broadcast(small)`` when it has at most ``max_rows`` rows.
 
-    ``small`` should be cheap to count (an aggregate or a persisted table); the
-    count is one action.  Beyond the limit the plain DataFrame is returned and
-    Catalyst/AQE plan a shuffle join instead.
+    ``small`` (an aggregate) is stored, so that it is computed once, counted from
+    the files and read again by the join; nothing stays in executor storage.
+    Beyond the limit the plain DataFrame is returned and Catalyst/AQE plan a
+    shuffle join instead.
     """
-    small = small.persist()  # counted now, read again by the join
+    small = materialize(small)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 
@@ -27,9 +29,10 @@ def bounded_broadcast(small: DataFrame, bound: int, max_rows: int = DEFAULT_MAX_
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small, heavily reused table with a reliable checkpoint
-    (written under the shared spark.checkpoint.dir, so it survives executor loss)."""
-    from scorelens.session import ensure_checkpoint_dir
+    """Cut lineage of a reused table: written as Parquet under the shared
+    spark.checkpoint.dir, so it survives executor loss and later reads prune columns."""
+    from scorelens.session import scratch_path
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

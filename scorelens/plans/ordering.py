@@ -2,14 +2,15 @@
 
 Two-level prefix:
 
-1. one aggregation (an action, bounded result) draws approximate quantiles of
-   the score and of the key over the whole table;
+1. grouped counts of equal-width cells (``plans.ranges``, bounded results) give
+   range edges of the score over the whole table;
 2. each row gets a *range bucket* by binary search on those edges (MLlib
    ``Bucketizer``, JVM side).  Equal scores always share a bucket, and buckets
    are ordered like the scores, so any edges give an exact result;
 3. a score value that holds more than ~1/B of the rows (a hot tie) is isolated
-   in its own bucket and split again by key ranges, since inside such a bucket
-   the order is the key alone;
+   in its own bucket and split again by equal-width ranges of a numeric key,
+   since inside such a bucket the order is the key alone (keys of other types
+   order the rows too, but don't split the bucket);
 4. per-bucket totals (tiny: groups x buckets) give running offsets; row-level
    windows then only run inside one bucket at a time.
 
@@ -23,9 +24,11 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scorelens.plans.ranges import range_edges
 from scorelens.session import shuffle_partitions
 
 BUCKET = "_bk"
@@ -69,38 +72,37 @@ def _splits(values) -> tuple[float, ...]:
     return tuple([-math.inf] + inner + [math.inf])
 
 
+def uniform_splits(low: float, high: float, buckets: int) -> OrderSplits:
+    """Edges of equal width, for values known to be uniform: no action."""
+    b = max(int(buckets), 2)
+    return OrderSplits(_splits([low + (high - low) * i / b for i in range(1, b)]), _splits([]), ())
+
+
 def compute_splits(df: DataFrame, score: str, key: str, n_buckets: int | None = None,
                    extra: dict | None = None, where=None) -> OrderSplits:
-    """Action: approximate quantiles of score and key (result size ~2B doubles).
+    """Actions: range and cell counts of the score, and the range of a numeric key
+    (results of some 4B rows).
 
     ``where`` restricts the rows the edges are drawn from (others are still
     aggregated by ``extra``, a dict name -> aggregate Column computed in the
     same pass).
     """
-    b = n_buckets or default_buckets(df.sparkSession)
-    b = max(int(b), 2)
-    probs = [i / b for i in range(1, b)]
-    acc = max(10_000, 8 * b)
-    sc, kc = F.col(score), F.col(key).cast("double")
-    if where is not None:
-        sc, kc = F.when(where, sc), F.when(where, kc)
-    extra = extra or {}
-    row = df.agg(
-        F.percentile_approx(sc, probs, acc).alias("s"),
-        F.percentile_approx(kc, probs, acc).alias("k"),
-        (F.count(F.lit(1)) if where is None else F.count(F.when(where, 1))).alias("n"),
-        *[v.alias(f"x_{k}") for k, v in extra.items()],
-    ).first()
-    sq = [v for v in (row["s"] or []) if v is not None]
-    kq = [v for v in (row["k"] or []) if v is not None]
-    # A value repeated among the quantiles holds at least ~1/B of the rows.
-    seen, hot = set(), set()
-    for v in sq:
-        (hot if v in seen else seen).add(v)
-    hot = {v for v in hot if not math.isnan(v) and not math.isinf(v)}
-    edges = set(sq) | {math.nextafter(h, math.inf) for h in hot}
-    return OrderSplits(_splits(edges), _splits(kq), tuple(sorted(hot)), int(row["n"] or 0),
-                       tuple((k, row[f"x_{k}"]) for k in extra))
+    b = max(int(n_buckets or default_buckets(df.sparkSession)), 2)
+    restrict = (lambda c: c) if where is None else (lambda c: F.when(where, c))
+    aggs = {f"x_{k}": v for k, v in (extra or {}).items()}
+    aggs["n"] = F.count(restrict(F.lit(1)))
+    numeric = isinstance(df.schema[key].dataType, T.NumericType)
+    if numeric:
+        aggs |= {"k_lo": F.min(F.col(key).cast("double")), "k_hi": F.max(F.col(key).cast("double"))}
+    ranges, got = range_edges(df, {"s": restrict(F.col(score).cast("double"))}, b, aggs)
+    hot = ranges["s"].hot
+    keys = []
+    if numeric and hot and got["k_lo"] is not None and got["k_lo"] < got["k_hi"]:
+        step = (got["k_hi"] - got["k_lo"]) / b
+        keys = [got["k_lo"] + step * i for i in range(1, b)]
+    edges = set(ranges["s"].edges) | set(hot) | {math.nextafter(h, math.inf) for h in hot}
+    return OrderSplits(_splits(edges), _splits(keys), hot, int(got["n"] or 0),
+                       tuple((k, got[f"x_{k}"]) for k in (extra or {})))
 
 
 def add_bucket(df: DataFrame, score: str, key: str, splits: OrderSplits, out: str = BUCKET,
@@ -113,8 +115,9 @@ def add_bucket(df: DataFrame, score: str, key: str, splits: OrderSplits, out: st
     """
     tmp_s, tmp_k, tmp_kd = f"{out}_s", f"{out}_k", f"{out}_kd"
     nb, nk = splits.n_score, splits.n_key
-    # Bucketizer reads doubles; stage a double copy of the key.
-    staged = df.withColumn(tmp_kd, F.col(key).cast("double"))
+    # Bucketizer reads doubles; stage a double copy of a numeric key.
+    numeric = isinstance(df.schema[key].dataType, T.NumericType)
+    staged = df.withColumn(tmp_kd, F.col(key).cast("double") if numeric else F.lit(0.0))
     bz = Bucketizer(
         splitsArray=[list(splits.score_splits), list(splits.key_splits)],
         inputCols=[score, tmp_kd],
@@ -157,8 +160,3 @@ def bucket_offsets(stats: DataFrame, by: list[str], cols: list[str], bucket: str
         out = out.withColumn(f"off_{c}", F.coalesce(F.sum(c).over(w_prev), F.lit(0)).cast(stats.schema[c].dataType))
         out = out.withColumn(f"tot_{c}", F.sum(c).over(w_all))
     return out
-
-
-def desc_rank_expr(offset: Column, window) -> Column:
-    """0-based global position = bucket offset + position inside the bucket."""
-    return offset + F.row_number().over(window) - 1

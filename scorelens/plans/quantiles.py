@@ -3,7 +3,7 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in memory,
 which does not scale to continuous columns.  Here, per column:
 
-1. one aggregation draws approximate range edges (and the non-missing count);
+1. grouped cell counts (``plans.ranges``) give range edges and the non-missing count;
 2. MLlib ``Bucketizer`` (JVM binary search) buckets every column in one pass;
 3. distinct values are counted per (column, bucket, value); bucket offsets and a
    window inside each bucket give every distinct value its position range;
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from scorelens.plans.broadcast import bounded_broadcast
 from scorelens.plans.ordering import _splits, default_buckets
+from scorelens.plans.ranges import range_edges
 
 
 def _interp(vals: dict[int, float], n: int, p: float):
@@ -44,15 +45,10 @@ def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int | None = None) ->
     if not cols:
         return {}
     b = max(int(n_buckets or default_buckets(df.sparkSession)), 2)
-    bprobs = [i / b for i in range(1, b)]
-    acc = max(10_000, 8 * b)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.percentile_approx(clean[c], bprobs, acc).alias(f"q{i}"), F.count(clean[c]).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
-    n = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-    splits = {c: list(_splits(row[f"q{i}"] or [])) for i, c in enumerate(cols)}
+    ranges, counts = range_edges(df, clean, b, {f"n{i}": F.count(clean[c]) for i, c in enumerate(cols)})
+    n = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
+    splits = {c: list(_splits(ranges[c].edges)) for c in cols}
     need = {}
     for c in cols:
         pos = set()
