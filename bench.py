@@ -29,7 +29,8 @@ def main() -> None:
     from scorelens.operators import sampling as smp
     from scorelens.operators import woe as W
     from scorelens.plans.ordering import compute_splits
-    from scorelens.session import local_session
+    from scorelens.operators import report as rep
+    from scorelens.session import clear_scratch, local_session
     from scorelens.sources.tables import SAMPLES, sample_view
     from scorelens.spec import SAMPLE_SPEC as SPEC
 
@@ -81,6 +82,9 @@ def main() -> None:
         "crosstab_margins": lambda: run(prof.crosstab_margins(s, char)),
         "stratified_sample": lambda: run(smp.stratified_sample(s)),
         "dev_val_split": lambda: run(smp.dev_val_split(s)),
+        "bivar_all_features": lambda: run(prof.bivar(s, char, num, by=["sample"])),
+        "roc_points": lambda: run(ev.roc_points(s, by=["sample"], groups=SAMPLES)),
+        "model_report": lambda: run(rep.report_summary(rep.model_report(s, SPEC))),
     }
     for name, fn in workflows.items():
         timed(name, fn)
@@ -90,6 +94,7 @@ def main() -> None:
         print(json.dumps({"spark_jobs": jobs}), file=sys.stderr)
     print(json.dumps({"metric": "scorelens_headline_total", "value": total, "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir).replace("sf", ""), "cpus": cpus}))
+    clear_scratch(spark)
     spark.stop()
 
 

@@ -519,6 +519,18 @@ def bivar_categorical_sql(features=CHAR, by=(), where: str = "") -> str:
     return with_sample(body, ctes)
 
 
+def bivar_sql(char, num, few: str, few_sql: str) -> str:
+    """Every feature by sample: char columns and ``few`` (a number with few values) by value, the rest in bins."""
+    names = [*char, *num, few]
+    place = "case column_name " + " ".join(f"when '{c}' then {i + 1}" for i, c in enumerate(names)) + " end"
+    few_rows = (f"select sample, '{few}' as column_name, cast({few_sql} as varchar) as level, count(*) as count, "
+                f"round(avg(cast(target as double)), 10) as bad_rate from sample group by all")
+    return f"""select {place} as position, * from (
+select sample, column_name, 'bins' as kind, bin, lo, hi, cast(null as varchar) as level, count, bad_rate from ({bivar_numeric_sql(num, ("sample",))})
+union all select sample, column_name, 'values', 0, null, null, level, count, bad_rate from ({bivar_categorical_sql(char, ("sample",))})
+union all select sample, column_name, 'values', 0, null, null, level, count, bad_rate from ({with_sample(few_rows)}))"""
+
+
 def iv_ranking_sql(char=CHAR, num=("totalprice", "acctbal", "sparse_num"), bins: int = 10) -> str:
     probs = ", ".join(f"{i / bins!r}::double" for i in range(1, bins))
     parts = [f"select target, '{c}' as feature, cast({c} as varchar) as level from sample" for c in char]

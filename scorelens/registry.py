@@ -126,14 +126,14 @@ def q_score_distribution(spark, sf):
     return mon.score_distribution(sample_view(spark, sf))
 
 
-@register("value_counts", O.band_counts_sql(20, "where sample = 'dev'"))
+@register("value_counts", O.band_counts_by_sample_sql(20))
 def q_value_counts(spark, sf):
-    return mon.band_counts(_dev(spark, sf))
+    return mon.band_counts(sample_view(spark, sf), by=["sample"])
 
 
-@register("score_psi", O.psi_sql(10, ("val",)))
+@register("score_psi", O.psi_sql(10, ("val", "oft1", "oft2", "oft3")))
 def q_score_psi(spark, sf):
-    return mon.score_psi(sample_view(spark, sf), others=("val",), k=10)
+    return mon.score_psi(sample_view(spark, sf), others=("val", "oft1", "oft2", "oft3"), k=10)
 
 
 @register("psi_monitor", O.psi_monitor_sql(20))
@@ -190,11 +190,16 @@ def q_fill_mean(spark, sf):
     return out.select("row_id", *[F.round(c, 6).alias(c) for c in cols])
 
 
-@register("drop_sparse_columns", O.sparse_report_sql(0.5))
-def q_drop_sparse_columns(spark, sf):
+@register("sparse_column_report", O.sparse_report_sql(0.5))
+def q_sparse_column_report(spark, sf):
     return prep.sparse_column_report(_sample_dbl(spark, sf), 0.5)
 
 
+@register("drop_sparse_columns", O.with_sample("select * exclude (sparse_num) replace (cast(balance as double) as balance) from sample"))
+def q_drop_sparse_columns(spark, sf):
+    return prep.drop_sparse_columns(_sample_dbl(spark, sf), 0.5)
+
+
 @register("filter_class", O.with_sample("select row_id, sample, score, segment from sample where target = 1"))
 def q_filter_class(spark, sf):
     return sample_view(spark, sf).where(F.col("target") == 1).select("row_id", "sample", "score", "segment")
@@ -348,19 +353,20 @@ def q_crosstab_margins(spark, sf):
     return P.crosstab_margins(sample_view(spark, sf), CHAR)
 
 
-@register("bivar_numeric", O.bivar_numeric_sql(NUM_FEATURES, (), "where sample = 'dev'"))
+@register("bivar_numeric", O.bivar_numeric_sql(NUM_FEATURES, ("sample",)))
 def q_bivar_numeric(spark, sf):
-    return P.bivar_numeric(_dev(spark, sf), NUM_FEATURES)
+    return P.bivar_numeric(sample_view(spark, sf), NUM_FEATURES, by=["sample"])
 
 
-@register("bivar_categorical", O.bivar_categorical_sql(CHAR, (), "where sample = 'dev'"))
+@register("bivar_categorical", O.bivar_categorical_sql(CHAR, ("sample",)))
 def q_bivar_categorical(spark, sf):
-    return P.bivar_categorical(_dev(spark, sf), CHAR)
+    return P.bivar_categorical(sample_view(spark, sf), CHAR, by=["sample"])
 
 
-@register("bivar_many", O.bivar_numeric_sql(NUM_FEATURES, ("sample",)))
+@register("bivar_many", O.bivar_sql(CHAR, NUM_FEATURES, "quarter", "cast(row_id % 4 as int)"))
 def q_bivar_many(spark, sf):
-    return P.bivar_numeric(sample_view(spark, sf), NUM_FEATURES, by=["sample"])
+    s = sample_view(spark, sf).withColumn("quarter", (F.col("row_id") % 4).cast("int"))  # a number with few values
+    return P.bivar(s, CHAR, [*NUM_FEATURES, "quarter"], by=["sample"])
 
 
 @register("iv_ranking", O.iv_ranking_sql())
@@ -371,10 +377,6 @@ def q_iv_ranking(spark, sf):
 # --- 2G model fitting and scoring ------------------------------------------------------------
 
 
-# Trees for the registered model queries (the library default is the reference's 200).
-QUERY_PARAMS = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}
-
-
 @register("robust_scale", O.with_sample(
     "select row_id, " + ", ".join(
         f"round((cast({c} as double) - (select quantile_cont({c}, 0.5) from sample where sample = 'dev')) / "
@@ -388,12 +390,12 @@ def q_robust_scale(spark, sf):
 
 def _fitted(spark, sf):
     s = sample_view(spark, sf)
-    return s, M.fit_model(s.where(F.col("sample") == "dev"), SAMPLE_SPEC, **QUERY_PARAMS)
+    return s, M.fit_model(s.where(F.col("sample") == "dev"), SAMPLE_SPEC)
 
 
 @register("gbt_fit_eval")
 def q_gbt_fit_eval(spark, sf):
-    return M.gbt_fit_eval(sample_view(spark, sf), SAMPLE_SPEC, **QUERY_PARAMS)
+    return M.gbt_fit_eval(sample_view(spark, sf), SAMPLE_SPEC)
 
 
 @register("gbt_pipeline")
@@ -417,7 +419,7 @@ def q_feature_importance(spark, sf):
 
 @register("model_report")
 def q_model_report(spark, sf):
-    tables = R.model_report(sample_view(spark, sf), SAMPLE_SPEC, **QUERY_PARAMS)
+    tables = R.model_report(sample_view(spark, sf), SAMPLE_SPEC)
     return R.report_summary(tables)
 
 
@@ -450,15 +452,18 @@ def q_sink_table_export(spark, sf):
     return C.read_csv_sample(spark, path, SAMPLE_DDL)
 
 
-@register("sink_reports")
+@register("sink_reports", O.autogroup_sql(
+    "select 'woe' as kind, feature, coalesce(level, 'null') as level, cast(woe as double) as value from final "
+    "union all select 'group', feature, coalesce(level, 'null'), cast(grp as double) from final"))
 def q_sink_reports(spark, sf):
     final = AG.auto_group(sample_view(spark, sf), CHAR, "target").final_map
     woe_json = C.mapping_json(final, "level", "woe").withColumn("kind", F.lit("woe"))
     grp_json = C.mapping_json(final, "level", "grp").withColumn("kind", F.lit("group"))
-    out = woe_json.unionByName(grp_json)
     path = scratch_path(spark, "maps")
-    out.write.mode("overwrite").json(path)
-    return spark.read.schema("feature string, mapping string, kind string").json(path)
+    woe_json.unionByName(grp_json).write.mode("overwrite").json(path)
+    back = spark.read.schema("feature string, mapping string, kind string").json(path)
+    pairs = F.explode(F.from_json("mapping", "map<string,string>")).alias("level", "value")
+    return back.select("kind", "feature", pairs).withColumn("value", F.col("value").cast("double"))
 
 
 @register("sink_report_bundle", O.report_bundle_sql())

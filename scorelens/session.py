@@ -51,7 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
             return sc.getCheckpointDir()
         return conf
-    # Only reached when nothing is configured (tests, local runs).
+    # Only reached when nothing is configured: fine in tests and local runs, where there is one machine.
+    if sc is not None and not (sc.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="scorelens-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
@@ -63,12 +65,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
 
 
-def local_fs_path(path: str) -> str:
-    """Strip a file: scheme for local-only helpers (tests)."""
-    return path[len("file:"):] if path.startswith("file:") else path
+_made: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has made; returns their number.
+
+    Results that were not written elsewhere may still read them, so call it at
+    the end of a job."""
+    paths, _made[:] = list(_made), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -10,10 +10,11 @@ SF001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from scorelens.session import local_session
+    from scorelens.session import clear_scratch, local_session
 
     s = local_session("*", shuffle_partitions=8, app="scorelens-tests")
     yield s
+    clear_scratch(s)
     s.stop()
 
 

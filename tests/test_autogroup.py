@@ -1,4 +1,4 @@
-"""Auto-grouping against a pandas restatement of the reference's procedure."""
+"""Auto-grouping against its written rule."""
 
 import math
 
@@ -17,20 +17,17 @@ def _levels(pdf, feat):
     return g.sort_values(["bad_ratio", feat]).reset_index(drop=True)
 
 
-def _pandas_groups(lv, n):
-    expanded = np.repeat(lv["bad_ratio"].to_numpy(), (lv["good"] + lv["bad"]).to_numpy())
-    try:
-        edges = pd.qcut(expanded, n, duplicates="drop", retbins=True)[1]
-    except ValueError:
+def _expected_groups(lv, n):
+    """Group of each level, or None: cut points are the weighted i/n quantiles (linear) of the bad
+    ratios; each must be a level's ratio, and the first such level opens the next group."""
+    ratio, ends = lv["bad_ratio"].to_numpy(), np.cumsum((lv["good"] + lv["bad"]).to_numpy())
+    at = (int(ends[-1]) - 1) * np.arange(1, n) / n
+    low, high = (ratio[np.searchsorted(ends, f(at), side="right")] for f in (np.floor, np.ceil))
+    marks = np.unique(np.concatenate([ratio[[0, -1]], low + (high - low) * (at - np.floor(at))]))[1:]
+    if len(marks) == 0 or not np.isin(marks, ratio).all():
         return None
-    borders = [0]
-    for e in edges.tolist()[1:]:
-        idx = lv.index[lv["bad_ratio"] == e].tolist()
-        if not idx:
-            return None
-        borders.append(idx[0])
-    interior = borders[1:-1]
-    return [sum(1 for b in interior if i > b) for i in range(len(lv))]
+    opens = np.searchsorted(ratio, marks[:-1], side="left")
+    return np.searchsorted(opens, np.arange(len(ratio)), side="left").tolist()
 
 
 def test_regroup_matches_pandas_rule(spark, sample001):
@@ -41,7 +38,7 @@ def test_regroup_matches_pandas_rule(spark, sample001):
     for r in res.levels.collect():
         got.setdefault(r["n"], {})[r["level"]] = r["grp"]
     for n in ATTEMPTS:
-        exp = _pandas_groups(lv, n)
+        exp = _expected_groups(lv, n)
         if exp is None:
             assert n not in got
         else:
@@ -64,7 +61,7 @@ def _fixture(spark, spec):
 def test_all_attempts_fail_keeps_levels(spark):
     # weights and ratios chosen so that no quantile cut point is an observed ratio
     df, lv = _fixture(spark, [(3, 4), (6, 6), (4, 1), (1, 6), (5, 1), (2, 3), (3, 2)])
-    assert all(_pandas_groups(lv, n) is None for n in ATTEMPTS)
+    assert all(_expected_groups(lv, n) is None for n in ATTEMPTS)
     res = auto_group(df, ["f"], "target", build=("dev",))
     assert all(r["status"] == "failed" and r["score"] == 0.0 for r in res.trial_report.collect())
     fm = res.final_map.collect()
@@ -79,7 +76,7 @@ def test_unobserved_edge_fails_only_that_attempt(spark):
     for r in res.levels.collect():
         got.setdefault(r["n"], {})[r["level"]] = r["grp"]
     for n in ATTEMPTS:
-        exp = _pandas_groups(lv, n)
+        exp = _expected_groups(lv, n)
         assert status[n] == ("failed" if exp is None else "regrouped"), n
         if exp is not None:
             assert got[n] == dict(zip(lv["f"], exp)), n
@@ -103,7 +100,7 @@ def test_tied_ratio_first_index_is_border(spark):
     for r in res.levels.collect():
         got.setdefault(r["n"], {})[r["level"]] = r["grp"]
     for n in ATTEMPTS:
-        exp = _pandas_groups(lv, n)
+        exp = _expected_groups(lv, n)
         if exp is not None:
             assert got[n] == dict(zip(lv["f"], exp))
 
