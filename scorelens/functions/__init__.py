@@ -1,3 +1,3 @@
 """Column-level functions (built-in expressions only, no Python UDFs)."""
 
-from scorelens.functions.bands import band_labels, score_band, score_band_sql  # noqa: F401
+from scorelens.functions.bands import band_labels, score_band  # noqa: F401

@@ -34,10 +34,3 @@ def score_band(col: Column | str, n_bands: int = 20) -> Column:
         cond = (c > F.lit(lo)) & (c <= F.lit(hi))
         expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
     return expr
-
-
-def score_band_sql(col: str, n_bands: int = 20) -> str:
-    """The same bands as a SQL CASE (double literals, for the DuckDB oracle)."""
-    parts = [f"when {col} > cast({lo} as double) and {col} <= cast({hi} as double) then '{lab}'"
-             for lo, hi, lab in _edges(n_bands)]
-    return "case " + " ".join(parts) + " end"

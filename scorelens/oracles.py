@@ -108,27 +108,30 @@ def roc_points_sql(by=("sample",), where: str = "") -> str:
 SAMPLES = ("dev", "val", "oft1", "oft2", "oft3")
 
 
-def band_rows_sql(n_bands: int) -> str:
-    from scorelens.functions.bands import score_band_sql
+def band_sql(n_bands: int) -> str:
+    """Label of the score's band, by the number of edges below it (written apart from the library's CASE)."""
+    step = 100 // n_bands
+    texts = [f"{i * step // 100}.{i * step % 100:02d}" for i in range(n_bands + 1)]
+    edges = "[" + ", ".join(f"'{t}'::double" for t in texts) + "]"
+    labels = "[" + ", ".join(f"'{a}~{b}'" for a, b in zip(texts, texts[1:])) + "]"
+    return f"case when score > 0 and score <= 1 then {labels}[len([e for e in {edges} if e < score])] end"
 
-    return with_sample(f"select row_id, score, {score_band_sql('score', n_bands)} as band from sample")
 
+def band_rows_sql(n_bands: int) -> str:
+    return with_sample(f"select row_id, score, {band_sql(n_bands)} as band from sample")
 
-def score_distribution_sql(n_bands: int = 20) -> str:
-    from scorelens.functions.bands import score_band_sql
 
+def score_distribution_sql(n_bands: int = 20) -> str:
     cnt = ", ".join(f"count(*) filter (where sample = '{s}') as n_{s}" for s in SAMPLES)
     ncols = ", ".join(f"cast(n_{s} as bigint) as n_{s}" for s in SAMPLES)
     pcts = ", ".join(f"round(n_{s} / sum(n_{s}) over (), 10) as pct_{s}" for s in SAMPLES)
-    ctes = (f"b as (select {score_band_sql('score', n_bands)} as band, sample from sample), "
+    ctes = (f"b as (select {band_sql(n_bands)} as band, sample from sample), "
             f"c as (select band, {cnt} from b where band is not null group by band)")
     return with_sample(f"select band, {ncols}, {pcts} from c", ctes)
 
 
 def band_counts_sql(n_bands: int = 20, where: str = "") -> str:
-    from scorelens.functions.bands import score_band_sql
-
-    ctes = f"b as (select {score_band_sql('score', n_bands)} as band from sample {where})"
+    ctes = f"b as (select {band_sql(n_bands)} as band from sample {where})"
     return with_sample("select band, count(*) as n from b where band is not null group by band", ctes)
 
 
@@ -338,17 +341,20 @@ s as (select feature, level, bad, good, sum(bad) over (partition by feature) as
     return with_sample(body, ctes)
 
 
+def cut_probs(n: int) -> list[float]:
+    """k/n for k = 0 to n, by steps of 1/n."""
+    return [k * (1.0 / n) * 100.0 / 100.0 for k in range(n)] + [1.0]
+
+
 def autogroup_ctes(build=("dev", "val"), offs=("oft1", "oft2", "oft3"), attempts=(3, 4, 5, 6, 7),
                    min_levels: int = 7, features=CHAR) -> str:
-    from scorelens.operators.autogroup import qcut_probs
-
     bl = ", ".join(f"'{s}'" for s in build)
     ol = ", ".join(f"'{s}'" for s in offs)
-    probs = sorted({p for n in attempts for p in qcut_probs(n)})
+    probs = sorted({p for n in attempts for p in cut_probs(n)})
     pos = {p: i + 1 for i, p in enumerate(probs)}
     plist = "[" + ", ".join(f"{p!r}::double" for p in probs) + "]"
     case = "case n " + " ".join(
-        f"when {n} then [" + ", ".join(f"q[{pos[p]}]" for p in qcut_probs(n)) + "]" for n in attempts) + " end"
+        f"when {n} then [" + ", ".join(f"q[{pos[p]}]" for p in cut_probs(n)) + "]" for n in attempts) + " end"
     nvals = ", ".join(f"({n})" for n in attempts)
     psi_new = []
     for i, p in enumerate(offs, start=1):
@@ -561,9 +567,7 @@ def sample_dbl_sql() -> str:
 
 
 def band_counts_by_sample_sql(n_bands: int = 20) -> str:
-    from scorelens.functions.bands import score_band_sql
-
-    ctes = f"b as (select sample, {score_band_sql('score', n_bands)} as band from sample)"
+    ctes = f"b as (select sample, {band_sql(n_bands)} as band from sample)"
     return with_sample("select sample, band, count(*) as n from b where band is not null group by sample, band", ctes)
 
 

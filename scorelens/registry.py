@@ -15,7 +15,7 @@ from scorelens import oracles as O
 from scorelens.operators import evaluate as ev
 from scorelens.sources.tables import SAMPLES, sample_view
 from scorelens.functions.bands import score_band
-from scorelens.functions.predicates import NUMERIC_PATTERN, is_num
+from scorelens.functions.predicates import is_num
 from scorelens.operators import autogroup as AG
 from scorelens.operators import model as M
 from scorelens.operators import monitor as mon
@@ -165,7 +165,8 @@ def q_x_y_split(spark, sf):
 
 
 @register("is_num", O.with_sample(
-    f"select row_id, regexp_matches(num_text, '{NUMERIC_PATTERN}') as is_num from sample"))
+    "select row_id, try_cast(num_text as double) is not null as is_num from sample where num_text is not null "
+    "union all select row_id, null from sample where num_text is null"))
 def q_is_num(spark, sf):
     return sample_view(spark, sf).select("row_id", is_num("num_text").alias("is_num"))
 

@@ -39,11 +39,6 @@ class FeatureSpec:
             raise ValueError(f"numeric features with non-numeric type: {bad_num}")
         return self
 
-    def catalogue_df(self, spark):
-        """(ordinal, name, var_type) as a small DataFrame for joins."""
-        rows = [(i, n, t) for i, (n, t) in enumerate(self.var_types)]
-        return spark.createDataFrame(rows, "ordinal int, name string, var_type string")
-
 
 # The feature catalogue of the `sample` view (see FIXTURES.md part 3).
 SAMPLE_SPEC = FeatureSpec(
