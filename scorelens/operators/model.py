@@ -104,8 +104,9 @@ def fit_model(dev: DataFrame, spec: FeatureSpec, **params) -> FittedModel:
 
     wmap = materialize(woe_map(dev, spec.char, spec.target))
     feats = spec.varlist
-    train = prepare_features(dev, wmap, spec)
-    model = gbt_pipeline([FEATURE_PREFIX + c for c in feats], spec.target, **params).fit(train)
+    inputs = [FEATURE_PREFIX + c for c in feats]
+    train = materialize(prepare_features(dev, wmap, spec).select(*inputs, spec.target))  # read by every stage's fit
+    model = gbt_pipeline(inputs, spec.target, **params).fit(train)
     return FittedModel(wmap, model, feats)
 
 
