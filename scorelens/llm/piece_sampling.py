@@ -14,6 +14,7 @@ a piece is bytes, so decoding gives each text back exactly.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,16 @@ class Pieces:
         for r, i in enumerate(sorted(self.ids.values(), key=lambda i: (-model.get_score(i), i))):
             self.rank[i] = r
         self.longest = max(map(len, self.ids))
+        self.length = np.array([len(r) for r in self.raw], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of the lists ids[offsets[i]:offsets[i+1]]."""
+        lengths = self.length[ids]
+        raw = self.flat[ragged(self.start[ids], lengths)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @functools.lru_cache(2)
@@ -85,6 +96,21 @@ class _Ends(dict):
         return node
 
 
+class _Grown:
+    """An array that is added to; ``room`` for more is kept, so most additions copy nothing old."""
+
+    def __init__(self, kind):
+        self.room, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray):
+        if self.used + len(x) > len(self.room):
+            room = np.empty(int(1.3 * (self.used + len(x))), self.room.dtype)
+            room[: self.used] = self.room[: self.used]
+            self.room = room
+        self.room[self.used : self.used + len(x)] = x
+        self.used += len(x)
+
+
 class Sampler:
     def __init__(self, vocabulary: Pieces, alpha: float, most: int = 250_000):
         self.v, self.most, self.known = vocabulary, most, len(vocabulary.raw)
@@ -108,7 +134,7 @@ class Sampler:
     def _forget(self):
         self.ends = _Ends()
         # of nodes: first edge (-1: a start); of edges: share of the ways up to it, source node, what it emits
-        self.arrays = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.arrays = [_Grown(kind) for kind in (np.int32, float, np.int32, np.int32)]
         self.extra: list[list[int]] = []  # byte pieces of characters that have none
 
     def segments(self, text: str) -> list[str]:
@@ -194,9 +220,10 @@ class Sampler:
             ways[own[begin]], first_edge[own[begin]] = total, low + begin
             for end in own[begin[total < 1e-200]]:  # a very long segment: keep the weights in range
                 ways[end - self.v.longest + 1 : end + 1] /= ways[end]
-        base = len(self.arrays[0]), len(self.arrays[1])
+        base = self.arrays[0].used, self.arrays[1].used
         first_edge[first_edge >= 0] += base[1]
-        self.arrays = [np.concatenate(x) for x in zip(self.arrays, (first_edge, share, node + base[0], emit))]
+        for array, x in zip(self.arrays, (first_edge, share, node + base[0], emit)):
+            array.add(x)
 
     def __call__(self, texts: list[str], row_keys: np.ndarray) -> list[np.ndarray]:
         """Sampled ids of each text; ``row_keys`` (uint64) seed them."""
@@ -206,11 +233,11 @@ class Sampler:
             self._forget()
         parts = [self.segments(t) for t in texts]
         counts = np.array([len(p) for p in parts], np.int64)
-        node = np.fromiter((self.ends[s] for p in parts for s in p), np.int64, int(counts.sum()))
+        node = np.fromiter(map(self.ends.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if self.ends.new:
             self._filter(self.ends.new)
             self.ends.new = []
-        first_edge, share, source, emit = self.arrays
+        first_edge, share, source, emit = (a.room for a in self.arrays)
         place = ragged(np.zeros(len(counts), np.int64), counts).astype(np.uint64)
         seeds = mix64(np.repeat(row_keys, counts) + place * np.uint64(0x9E3779B97F4A7C15))
         alive, steps, length = np.arange(len(node)), [], np.zeros(len(node), np.int64)
@@ -227,7 +254,7 @@ class Sampler:
             on = first_edge[node] >= 0
             alive, node = alive[on], node[on]
         first = np.cumsum(length) - length
-        emitted = np.zeros(int(length.sum()), np.int64)
+        emitted = np.zeros(int(length.sum()), np.int32)
         for t, (who, what) in enumerate(steps):
             emitted[first[who] + length[who] - 1 - t] = what
         cuts = np.append(first, len(emitted))[np.cumsum(counts)[:-1]]
@@ -270,9 +297,14 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", decoded_co
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(decoded_col, T.StringType())])
 
     def run(batches):
-        raw = pieces(model_file).raw
-        for batch in batches:
-            texts = [b"".join(map(raw.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column("__piece_ids").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, decoded_col])
+        vocabulary = pieces(model_file)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                lists = batch.column("__piece_ids")
+                sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = vocabulary.decode(ids, np.concatenate([[0], np.cumsum(sizes)]))
+                yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, decoded_col])
 
     return encoded.select(*keep, F.col(ids_col).alias("__piece_ids")).mapInArrow(run, schema)
