@@ -16,44 +16,66 @@ it was put into the middle of a line.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import WordHashes, blocks_of, mix64, stored, with_id
+from scorelens.llm.common import blocks_of, mix64, stored, with_id
 from scorelens.llm.components import components
 from scorelens.llm.shingles import _ODD, similar
 
 SHINGLE = 5
-SENTENCE_ENDS = tuple(b".!?")
-#: Classes that one call verifies, and rows up to which the list of units to verify is broadcast.
-GATHER, BROADCAST_ROWS = 20_000, 400_000
-
-
-def units(text: str | None, words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word) of each unit and the shingle hash at each word position."""
-    ends, found = [], []
-    for line in (text or "").encode().lower().split(b"\n"):
-        own = line.split()
-        at, first = len(found), len(found)
-        found += own
-        cuts = [at + i + 1 for i, w in enumerate(own) if w[-1] in SENTENCE_ENDS]
-        line_units = []
-        for cut in dict.fromkeys([*cuts, at + len(own)]):
+#: Classes that one call verifies, and classes up to which the list of units to verify is broadcast.
+GATHER, BROADCAST_CLASSES = 20_000, 2_000_000
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_END = np.isin(np.arange(256), list(b".!?"))
+
+
+class Units:
+    """Units of texts, with the words found and hashed by array operations alone.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums, then mixed."""
+
+    BASE = int(_ODD[50])
+
+    def __init__(self):
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int):
+        n = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            self.powers, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x % 2**64, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 2**64)))
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, end word) of each unit and the shingle hash at each word position."""
+        b = np.frombuffer((text or "").encode().lower(), np.uint8)
+        blank = np.concatenate([[True], _BLANK[b], [True]])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if len(b) >= len(self.powers):
+            self._grow(len(b))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)])])
+        h = mix64((sums[stops] - sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64) * _ODD[51])
+        n = max(len(h) - SHINGLE + 1, 0)
+        acc = np.zeros(n, np.uint64)
+        for j in range(SHINGLE if n else 0):
+            acc += mix64(h[j : j + n] + _ODD[j])
+        line = np.searchsorted(np.flatnonzero(b == 10), starts)
+        line_end = np.append(line[1:] != line[:-1], True)
+        cuts = np.flatnonzero(line_end | _END[b[stops - 1]])
+        first, line_first, out = 0, 0, []
+        for cut, last in zip((cuts + 1).tolist(), line_end[cuts].tolist()):
             if cut - first >= SHINGLE:
-                line_units.append([first, cut])
+                out.append([first, cut])
                 first = cut
-        if line_units:
-            line_units[-1][1] = at + len(own)  # a short last sentence joins the one before
-        ends += line_units
-    h = words.of(found)
-    n = max(len(h) - SHINGLE + 1, 0)
-    acc = np.zeros(n, np.uint64)
-    for j in range(SHINGLE if n else 0):
-        acc += mix64(h[j : j + n]) * _ODD[j]
-    u = np.array(ends, np.int64).reshape(-1, 2)
-    return u[:, 0], u[:, 1], mix64(acc)
+            if last:
+                if first < cut and len(out) > line_first:
+                    out[-1][1] = cut  # a short last sentence joins the one before
+                first, line_first = cut, len(out)
+        u = np.array(out, np.int64).reshape(-1, 2)
+        return u[:, 0], u[:, 1], mix64(acc)
 
 
 def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,28 +90,29 @@ def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: i
 
 
 def _unit_rows(bands: int):
+    names = ["id", "idx", "words", "cls", *(f"k{b}" for b in range(bands))]
+
     def run(batches):
-        words = WordHashes()
+        units = Units()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, end, shingles = units(text, words)
+                first, end, shingles = units(text)
                 cls, keys = unit_keys(first, end, shingles, bands)
-                n = len(first)
-                for k, x in enumerate((np.full(n * bands, i), np.repeat(np.arange(n), bands), np.repeat(end - first, bands), np.repeat(cls, bands), keys.ravel())):
-                    out[k].append(x)
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64()) for x in out], names=["id", "idx", "words", "cls", "key"])
+                for column, x in zip(out, (np.full(len(cls), i), np.arange(len(cls)), end - first, cls, *keys.T)):
+                    column.append(x)
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64()) for x in out], names=names)
 
-    return run
+    return run, ", ".join(f"{n} long" for n in names)
 
 
 def _set_rows():
     def run(batches):
-        words = WordHashes()
+        units = Units()
         for batch in batches:
             cls, sets = [], []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                first, end, shingles = units(text, words)
+                first, end, shingles = units(text)
                 own, wanted = unit_keys(first, end, shingles, 1)[0], set(wanted)
                 for c, a, b in zip(own.tolist(), first, end):
                     if c in wanted:
@@ -134,8 +157,8 @@ def similar_classes(plain: DataFrame, members: DataFrame, percent: int) -> DataF
     held = stored(held.join(sizes, "key"), "passage-buckets")
     one = members.where("several").groupBy("cls").agg(F.min("id").alias("id"))
     wanted = stored(one.groupBy("id").agg(F.collect_list("cls").alias("wanted")), "passage-wanted")  # classes of one text
-    count = wanted.count()
-    texts = plain.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, plain["__id"] == wanted["id"])
+    classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    texts = plain.join(F.broadcast(wanted) if classes <= BROADCAST_CLASSES else wanted, plain["__id"] == wanted["id"])
     sets = texts.select(F.col("__text").alias("text"), "wanted").mapInArrow(_set_rows(), "cls long, set binary").dropDuplicates(["cls"])
     own = F.expr("pmod(xxhash64(cls), blocks)")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -147,17 +170,22 @@ def similar_classes(plain: DataFrame, members: DataFrame, percent: int) -> DataF
 
 
 def _runs(min_words: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "idx"]).sort_values(["id", "idx"])
-        new = (pdf["id"] != pdf["id"].shift()) | (pdf["idx"] != pdf["idx"].shift() + 1)
-        number = new.cumsum()
-        long = pdf["words"].groupby(number).transform("sum") >= min_words
-        pdf = pdf.assign(gone=(pdf["keeper"] != pdf["id"]), run=number)[long.to_numpy()]
+    def run(t: pa.Table) -> pa.Table:
+        ids, idx, words, keeper = (t.column(c).to_numpy() for c in ("id", "idx", "words", "keeper"))
+        order = np.lexsort((idx, ids))
+        ids, idx, words, keeper = (x[order] for x in (ids, idx, words, keeper))
+        once = np.append(True, (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1])) if len(ids) else np.zeros(0, bool)
+        ids, idx, words, keeper = (x[once] for x in (ids, idx, words, keeper))
+        number = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1] + 1))) if len(ids) else ids
+        long = np.bincount(number, words)[number] >= min_words if len(ids) else np.zeros(0, bool)
+        ids, idx, words, keeper = (x[long] for x in (ids, idx, words, keeper))
         rows = []
-        for i, g in pdf.groupby("id", sort=False):
-            gone = g[g["gone"]]
-            rows.append((i, len(g), len(gone), int(gone["words"].sum()), int(g["keeper"].min()), sorted(set(gone["keeper"].tolist())), gone["idx"].tolist()))
-        return pd.DataFrame(rows, columns=["id", "n_repeated", "n_removed", "words_removed", "class_id", "kept_in", "removed"])
+        for g in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1) if len(ids) else ():
+            gone = g[keeper[g] != ids[g]]
+            rows.append((int(ids[g[0]]), len(g), len(gone), int(words[gone].sum()), int(keeper[g].min()), np.unique(keeper[gone]).tolist(), idx[gone].tolist()))
+        names = ["id", "n_repeated", "n_removed", "words_removed", "class_id", "kept_in", "removed"]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
@@ -172,8 +200,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lose all units in the larger.  An empty table gives an empty one.
     """
     plain = with_id(docs.select(F.col(id_col).alias("__in"), F.col(text_col).alias("__text")), "__in", "__id").select("__id", "__text")
-    rows = plain.mapInArrow(_unit_rows(bands), "id long, idx long, words long, cls long, key long")
-    buckets = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("cls") != F.max("cls")).alias("several")).where("low < high")
+    make, schema = _unit_rows(bands)
+    every = stored(plain.mapInArrow(make, schema), "passage-units")
+    keys = F.explode(F.array(*(f"k{b}" for b in range(bands)))).alias("key")
+    small = F.shiftright("cls", 32).cast("int")
+    buckets = every.select(keys, "id", small.alias("c")).groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), (F.min("c") != F.max("c")).alias("several")).where("low < high")
+    rows = every.select("id", "idx", "words", "cls", keys)
     members = stored(rows.join(buckets.select("key", "several"), "key"), "passage-members")
     roots = similar_classes(plain, members, percent)
     colliding = members.select("id", "idx", "words", "cls").distinct().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -182,18 +215,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = colliding.join(repeats, "root").select("id", "idx", "words", "keeper")
     parts = blocks_of(marked.count(), 50_000)
     schema = "id long, n_repeated long, n_removed long, words_removed long, class_id long, kept_in array<long>, removed array<long>"
-    found = marked.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts}L)")).groupBy("part").applyInPandas(_runs(min_words), schema)
-
-    def count(batches):
-        words = WordHashes()
-        for batch in batches:
-            n = [len(units(t, words)[0]) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=["id", "n_units"])
+    found = marked.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts}L)")).groupBy("part").applyInArrow(_runs(min_words), schema)
 
-    every = plain.mapInArrow(count, "id long, n_units long").groupBy("id").agg(F.sum("n_units").alias("n_units"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeated", "n_removed", "words_removed")]
+    counts = every.groupBy("id").agg(F.count("*").alias("n_units"))
+    ids = plain.select(F.col("__id").alias("id")).distinct().join(counts, "id", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_units", "n_repeated", "n_removed", "words_removed")]
     empty = F.array().cast("array<bigint>")
-    return every.join(found, "id", "left").select(
-        F.col("id").alias(id_col), "n_units", *zero, F.coalesce("class_id", "id").alias("class_id"),
+    return ids.join(found, "id", "left").select(
+        F.col("id").alias(id_col), *zero, F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("kept_in", empty).alias("kept_in"), F.coalesce("removed", empty).alias("removed"),
     )
