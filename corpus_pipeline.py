@@ -18,8 +18,8 @@ from scorelens.llm.quality_rules import quality_rules
 
 
 def rules(spark, docs, sf_dir):
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep; the language references count each different text once."""
+    return quality_rules(docs, each_text_once=True).where("kept").select(docs.columns)
 
 
 def lines(spark, docs, sf_dir):

@@ -3,9 +3,10 @@
 Base counts (words, symbols, repeated lines and word triples) and two
 histograms of each text, the shares of character classes and of common words,
 are compared with language references by Jensen-Shannon distance.  The
-references are means over all rows of the input.  One pass over the texts
-stores the counts; the references and the verdicts are made from them.  No
-text is shuffled.
+references are means over all rows of the input, or over its different texts
+(``each_text_once``), so that copies of one text do not outweigh a language.
+One pass over the texts stores the counts; the references and the verdicts are
+made from them.  No text is shuffled.
 """
 
 from __future__ import annotations
@@ -95,20 +96,24 @@ def histograms(df: DataFrame, text: str) -> DataFrame:
 def features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """The columns ``keep`` with all counts, stored in the shared scratch folder: texts are read once."""
     df = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text"))
+    df = df.withColumn("__hash", F.xxhash64("__text"))
     df = histograms(base_counts(split_words(df, "__text"), "__text"), "__text")
     return stored(df.drop("__text", "__words", "__word_chars"), "quality-features")
 
 
-def references(counts: DataFrame, min_chars: int = 200, min_words: int = 50) -> dict[str, list[list[float]]]:
+def references(counts: DataFrame, min_chars: int = 200, min_words: int = 50, each_text_once: bool = False) -> dict[str, list[list[float]]]:
     """Mean shares of each language's texts: {'__chars': [per language], '__common': [per language]}.
 
-    All rows of ``features`` with ``min_chars`` and ``min_words`` count alike.  One row per language
-    (four) comes to the driver.  A language without such rows gets an empty list: nothing is compared
-    with it."""
+    All rows of ``features`` with ``min_chars`` and ``min_words`` count alike, or with ``each_text_once``
+    all different texts (by hash).  One row per language (four) comes to the driver.  A language without
+    such rows gets an empty list: nothing is compared with it."""
     df = counts.where((F.col("__all") >= min_chars) & (F.col("__n") >= min_words))
     parts = {"__chars": ("__all", N_CLASSES), "__common": ("__n", N_COMMON + 1)}
-    means = [F.avg(F.get(c, F.lit(i)) / F.col(n)).alias(f"{c}{i}") for c, (n, size) in parts.items() for i in range(size)]
-    found = {r["__language"]: r for r in df.groupBy("__language").agg(*means).collect()}
+    shares = {f"{c}{i}": F.get(c, F.lit(i)) / F.col(n) for c, (n, size) in parts.items() for i in range(size)}
+    df = df.select("__language", "__hash", *(x.alias(c) for c, x in shares.items()))
+    if each_text_once:
+        df = df.groupBy("__language", "__hash").agg(*(F.first(c).alias(c) for c in shares))
+    found = {r["__language"]: r for r in df.groupBy("__language").agg(*(F.avg(c).alias(c) for c in shares)).collect()}
     return {c: [[found[g + 1][f"{c}{i}"] for i in range(size)] if g + 1 in found else [] for g in range(len(COMMON_WORDS))] for c, (_, size) in parts.items()}
 
 
@@ -128,19 +133,20 @@ def _distance(counts: str, total: str, of_language: list[list[float]]) -> Column
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", output: list[str] | None = None, max_char_distance: float = 0.25,
-                  max_word_distance: float = 0.22, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+                  max_word_distance: float = 0.22, min_chars: int = 200, min_words: int = 50, each_text_once: bool = False) -> DataFrame:
     """All rows of ``docs``, its columns (or those in ``output``) with the base counts, base_failed,
     the two distances and kept.
 
     base_failed: under 50 words, or over half of the words in repeated triples.  A distance is 0 (not
     compared) under ``min_chars`` code points or ``min_words`` words; beyond its maximum the row is
     not kept.  Null or empty text: no words, base_failed, not kept.  Repeated rows get equal results
-    (and count as rows of the references), an empty table gives an empty one; input columns named like
-    an added one are replaced.
+    (and count as rows of the references, so that many copies of a text draw its language's reference
+    to it; with ``each_text_once`` they count as one), an empty table gives an empty one; input columns
+    named like an added one are replaced.
     """
     keep = [c for c in replace_columns(docs, RULES) if output is None or c in output]
     df = features(docs, keep, text_col)
-    refs = references(df, min_chars, min_words)
+    refs = references(df, min_chars, min_words, each_text_once)
     enough = (F.col("__all") >= min_chars) & (F.col("__n") >= min_words)
     df = df.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),

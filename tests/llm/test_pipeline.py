@@ -1,6 +1,7 @@
 """The stages one after another, each against what it must do to its own input."""
 
 import collections
+import random
 
 import corpus_pipeline
 from scorelens.llm.common import WordHashes
@@ -39,3 +40,15 @@ def test_stages_chain(spark):
     assert set(pii) == set(near) and not any(base_spans(r["text"]) for r in pii.values())
     assert all(r["text"] == near[i]["text"] for i, r in pii.items() if not base_spans(near[i]["text"]) and "[" not in r["text"])
     assert {r["doc_id"] for r in packed} == set(pii)
+
+
+def test_copies_of_a_junk_text_do_not_drop_their_language(spark):
+    """A symbol-junk Spanish text copied to a third of all rows: the clean Spanish texts stay."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = "que el en y los la casa perro gato noche camino viento piedra libro mesa agua".split()
+    clean = [(i, " ".join(rng.choice(words) for _ in range(120)) + ".") for i in range(30)]
+    junk = "##%|^& " * 60 + " ".join(rng.choice(words) for _ in range(60))
+    docs = spark.createDataFrame(clean + [(100 + i, junk) for i in range(600)], "doc_id long, text string")
+    assert corpus_pipeline.rules(spark, docs, SF).where(F.col("doc_id") < 30).count() == 30
