@@ -22,8 +22,8 @@ from scorelens.llm.ngrams import byte_grams
 
 LETTER = re.compile(r"[^\W\d_]")
 ADDED = ["lang_pred", "score", "rejected"]
-#: Texts in a matrix at once.
-SLICE = 256
+#: Texts in a matrix at once, and the range of text hashes.
+SLICE, RANGE = 256, 2**52
 
 
 #: A-Z become a-z; ASCII characters that are no letters become blanks.
@@ -74,8 +74,9 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 13, centroids: int = 4,
         max_rows: int = 1500, reject: float = 0.005) -> Model:
-    """Learn from rows with a language and a letter that are not held out.  ``max_rows`` bounds the sample
-    (by text hash) whose vectors are clustered for each language; frequencies come from all rows."""
+    """Learn from rows with a language and a letter that are not held out.  Of each language's
+    different texts the ``max_rows`` with the least hashes are clustered, so copies neither fill the sample
+    nor leave it empty; frequencies come from all rows."""
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
     known = known.where(F.col("t").rlike(r"\p{L}"))
 
@@ -98,12 +99,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     idf = (np.log((1 + sum(by_lang.values())) / (1 + df)) + 1).astype(np.float32)
     if not by_lang:
         return Model([], np.zeros((0, 2**bits), np.float32), np.zeros(0), idf, bits)
-    share = F.create_map(*(x for k, n in by_lang.items() for x in (F.lit(k), F.lit(min(1.0, max_rows / n)))))
-    sample = known.where(F.expr("pmod(xxhash64(t, 6), 1000003)") < F.element_at(share, F.col("lang")) * 1000003)
-    rows = sample.mapInArrow(lambda batches: (pa.record_batch([b.column(0), pa.array([vectors([t], idf, bits)[0].tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["lang", "x"]) for b in batches), "lang string, x binary")
+    # the rate is set on different texts, with room for chance; the least hashes of them are taken below
+    texts = known.withColumn("h", F.expr(f"pmod(xxhash64(t, 6), {RANGE}L)"))
+    different = texts.select("lang", "h").distinct().groupBy("lang").count().collect()
+    share = F.create_map(*(x for r in different for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.1 * max_rows + 100) / r["count"])))))
+    sample = texts.where(F.col("h") < F.element_at(share, F.col("lang")) * RANGE).groupBy("lang", "h").agg(F.min("t").alias("t"))
+
+    def vector_rows(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("lang"), b.column("h"), pa.array([vectors([t], idf, bits)[0].tobytes() for t in b.column("t").to_pylist()], pa.binary())], names=["lang", "h", "x"])
+
+    rows = sample.mapInArrow(vector_rows, "lang string, h long, x binary")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(r, np.float32) for r in sorted(set(pdf["x"]))[: 2 * max_rows]])
+        x = np.stack([np.frombuffer(r, np.float32) for r in sorted(set(pdf.nsmallest(max_rows, "h")["x"]))])
         centers = cluster(x, centroids)
         cosine = x @ centers.T
         own = cosine.argmax(axis=1)

@@ -122,6 +122,19 @@ def test_language_on_rows_not_learned_from(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
+def test_language_learns_from_different_texts_when_one_is_hot(make_docs):
+    from scorelens.llm import language_id
+
+    rng = random.Random(12)
+    of = {"en": WORDS, "xx": "zuk ploq vrem dastik mulyo qerr hjalp snorv tikke wabbo".split()}
+    text = lambda lang: " ".join(rng.choice(of[lang]) for _ in range(30))
+    hot = text("xx")
+    rows = [(i, text("en"), "en") for i in range(300)] + [(1000 + i, text("xx"), "xx") for i in range(60)] + [(2000 + i, hot, "xx") for i in range(6000)]
+    model = language_id.fit(make_docs(rows), max_rows=20)
+    assert model.langs.count("xx") == 4 == model.langs.count("en")
+    assert [p[0] for p in model.predict([text("xx") for _ in range(20)])] == ["xx"] * 20
+
+
 def test_repeated_passages_inside_other_text(make_docs):
     rng = random.Random(8)
     text = lambda n: ". ".join(sentence(rng, rng.randrange(6, 11)) for _ in range(n)) + "."
