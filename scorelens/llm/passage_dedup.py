@@ -1,16 +1,19 @@
 """Operator 5: repeated passages by MinHash bands over short paragraphs.
 
-A text is cut into units: sentences inside a line, those under five words joined to the next.  Cuts
-depend on the words alone, so a passage that stands in two texts has the same units in both, also when
-it was put into the middle of a line.
+A text is cut into units: sentences inside a line, those under five words joined to the next.  As the
+host's punctuation cuts them, a text also has blocks: ``min_words`` words from each anchor, the position
+whose block start hashes least among ``min_words`` positions.  Anchors depend on the words alone, so of
+any 2 * min_words - 1 words that two texts share, also from the middle of a sentence or over line ends,
+at least one block is the same in both.
 
 1. Bands: a unit has ``bands`` keys, each the least of one hash function over its 5-word shingles
    (one row a band: texts that share no shingle never collide, and recall is 1 - 0.2**bands at
    similarity 0.8).  Keys that units of two documents share stay.
 2. Colliding units are collapsed to classes of equal units; inside a bucket different classes are
    compared by exact Jaccard similarity of their shingles, and links give components.
-3. A component that two documents hold is a repeat: its units stay in the smallest id.  Runs of
-   neighbouring repeated units of ``min_words`` words or more are the passages that are removed.
+3. A component that two documents hold is a repeat, as is a block (equal ones only): it stays in the
+   smallest id.  Runs of neighbouring repeated units and blocks of ``min_words`` words or more are the
+   passages that are removed.
 """
 
 from __future__ import annotations
@@ -89,8 +92,31 @@ def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: i
     return cls.view(np.int64), np.stack(keys, 1).view(np.int64)
 
 
-def _unit_rows(bands: int):
-    names = ["id", "idx", "words", "cls", *(f"k{b}" for b in range(bands))]
+def blocks(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, class) of the blocks of ``size`` words: one in any ``size`` neighbouring positions.
+
+    Neighbours of one class (words that repeat with a short period) are thinned, without a gap."""
+    n = len(shingles) - size + SHINGLE
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = mix64(shingles[:n] ^ _ODD[52])
+    if n <= size:
+        at = np.array([int(order.argmin())])
+    else:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1) + np.arange(n - size + 1))
+    cls = np.zeros(len(at), np.uint64)
+    for j, start in enumerate([*range(0, size - SHINGLE, SHINGLE), size - SHINGLE]):
+        cls = mix64(cls + shingles[at + start] * _ODD[53] + np.uint64(j + 1))
+    new = np.append(True, cls[1:] != cls[:-1])
+    away = at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    part = away // max(size // 2, 1)
+    keep = new | np.append(True, part[1:] != part[:-1]) | np.append(new[1:], True)
+    return at[keep], cls[keep].view(np.int64)
+
+
+def _unit_rows(bands: int, min_words: int):
+    """Units (idx from 0) and blocks (idx -1, the class as only key); ``stop`` is the next unit's first word."""
+    names = ["id", "idx", "start", "stop", "words", "cls", *(f"k{b}" for b in range(bands))]
 
     def run(batches):
         units = Units()
@@ -99,9 +125,15 @@ def _unit_rows(bands: int):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first, end, shingles = units(text)
                 cls, keys = unit_keys(first, end, shingles, bands)
-                for column, x in zip(out, (np.full(len(cls), i), np.arange(len(cls)), end - first, cls, *keys.T)):
-                    column.append(x)
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) if x else pa.array([], pa.int64()) for x in out], names=names)
+                at, block = blocks(shingles, min_words)
+                units_of = (np.full(len(cls), i), np.arange(len(cls)), first, np.append(first[1:], end[-1:]), end - first, cls, *keys.T)
+                size = np.full(len(at), min_words)
+                blocks_of = (np.full(len(at), i), np.full(len(at), -1), at, at + min_words, size, block, block, *[np.zeros(len(at), np.int64)] * (bands - 1))
+                for column, x, y in zip(out, units_of, blocks_of):
+                    column += [x, y]
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
+            unkeyed = flat[1] < 0
+            yield pa.record_batch([pa.array(x, mask=unkeyed if name[0] == "k" and name != "k0" else None) for name, x in zip(names, flat)], names=names)
 
     return run, ", ".join(f"{n} long" for n in names)
 
@@ -169,59 +201,90 @@ def similar_classes(plain: DataFrame, members: DataFrame, percent: int) -> DataF
     return components(edges, "passage-links").select(F.col("node").alias("cls"), "root")
 
 
+def _ranges(held: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def _runs(min_words: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, idx, words, keeper = (t.column(c).to_numpy() for c in ("id", "idx", "words", "keeper"))
-        order = np.lexsort((idx, ids))
-        ids, idx, words, keeper = (x[order] for x in (ids, idx, words, keeper))
-        once = np.append(True, (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1])) if len(ids) else np.zeros(0, bool)
-        ids, idx, words, keeper = (x[once] for x in (ids, idx, words, keeper))
-        number = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1] + 1))) if len(ids) else ids
-        long = np.bincount(number, words)[number] >= min_words if len(ids) else np.zeros(0, bool)
-        ids, idx, words, keeper = (x[long] for x in (ids, idx, words, keeper))
+        columns = ("id", "idx", "start", "stop", "words", "keeper")
+        got = [t.column(c).to_numpy() for c in columns]
+        order = np.lexsort((got[1], got[2], got[0]))
+        ids, idx, start, stop, words, keeper = (x[order] for x in got)
         rows = []
         for g in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1) if len(ids) else ():
-            gone = g[keeper[g] != ids[g]]
-            rows.append((int(ids[g[0]]), len(g), len(gone), int(words[gone].sum()), int(keeper[g].min()), np.unique(keeper[gone]).tolist(), idx[gone].tolist()))
-        names = ["id", "n_repeated", "n_removed", "words_removed", "class_id", "kept_in", "removed"]
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+            end = start[g] + words[g]
+            reach = np.maximum.accumulate(np.maximum(stop[g], end))
+            number = np.cumsum(np.append(False, start[g][1:] > reach[:-1]))
+            before = np.append(0, np.maximum.accumulate(end)[:-1])
+            long = np.bincount(number, np.maximum(end - np.maximum(start[g], before), 0))[number] >= min_words
+            g = g[long]
+            if not len(g):
+                continue
+            own, unit = int(ids[g[0]]), idx[g] >= 0
+            n = int((start[g] + words[g]).max())
+
+            def words_of(rows, n=n):
+                change = np.zeros(n + 1, np.int64)
+                np.add.at(change, start[rows], 1)
+                np.add.at(change, start[rows] + words[rows], -1)
+                return np.cumsum(change)[:n] > 0
+
+            units, block, stays = g[unit], g[~unit], keeper[g] == own
+            seen = np.unique(idx[units], return_index=True)[1]  # rows that share an id are one document
+            units = units[seen]
+            gone = units[keeper[units] != own]
+            outside = ~words_of(g[unit])
+            kept = words_of(g[~unit & stays])
+            lost = words_of(g[~unit & ~stays]) & outside & ~kept
+            total = np.append(0, np.cumsum(lost))
+            pieces = _ranges(lost)
+            from_block = block[(keeper[block] != own) & (total[start[block] + words[block]] > total[start[block]])]
+            ranges = [x for a, b in pieces for x in (a, b)]
+            removed = np.append(gone, from_block)
+            n_repeated = len(units) + len(pieces) + len(_ranges(kept & outside))
+            rows.append((own, n_repeated, len(gone) + len(pieces), int(words[gone].sum() + lost.sum()), int(min(keeper[np.append(units, from_block)], default=own)), np.unique(keeper[removed]).tolist(), idx[gone].tolist(), ranges))
+        names = ["id", "n_repeated", "n_removed", "words_removed", "class_id", "kept_in", "removed", "ranges"]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 3, min_words: int = 25) -> DataFrame:
-    """One row per id: n_units, n_repeated (units in passages that other ids hold too), n_removed and
-    words_removed (what another id keeps), class_id (the smallest id that keeps one of its passages, or
-    the own id), kept_in (ids that keep what is removed) and removed (numbers of the removed units).
+    """One row per id: n_units, n_repeated (units in passages that other ids hold too, and pieces of passages
+    outside such units), n_removed and words_removed (what another id keeps), class_id (the smallest id that
+    keeps one of its passages, or the own id), kept_in (ids that keep what is removed), removed (numbers of the
+    removed units) and ranges (first and end word of each removed piece outside them, one after another).
 
     Null, empty or short texts have no units.  Rows that share an id are one document (their units are
     numbered each; a repeat between them is none).  A null id is the smallest id.  Equal texts of two ids
     lose all units in the larger.  An empty table gives an empty one.
     """
     plain = with_id(docs.select(F.col(id_col).alias("__in"), F.col(text_col).alias("__text")), "__in", "__id").select("__id", "__text")
-    make, schema = _unit_rows(bands)
+    make, schema = _unit_rows(bands, min_words)
     every = stored(plain.mapInArrow(make, schema), "passage-units")
-    keys = F.explode(F.array(*(f"k{b}" for b in range(bands)))).alias("key")
+    keys = F.explode(F.array_compact(F.array(*(f"k{b}" for b in range(bands))))).alias("key")
     small = F.shiftright("cls", 32).cast("int")
     buckets = every.select(keys, "id", small.alias("c")).groupBy("key").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), (F.min("c") != F.max("c")).alias("several")).where("low < high")
-    rows = every.select("id", "idx", "words", "cls", keys)
+    rows = every.select("id", "idx", "start", "stop", "words", "cls", keys)
     members = stored(rows.join(buckets.select("key", "several"), "key"), "passage-members")
     roots = similar_classes(plain, members, percent)
-    colliding = members.select("id", "idx", "words", "cls").distinct().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    colliding = members.select("id", "idx", "start", "stop", "words", "cls").distinct().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     colliding = stored(colliding, "passage-colliding")
     repeats = colliding.groupBy("root").agg(F.min("id").alias("keeper"), F.max("id").alias("high")).where("keeper < high").select("root", "keeper")
-    marked = colliding.join(repeats, "root").select("id", "idx", "words", "keeper")
+    marked = colliding.join(repeats, "root").select("id", "idx", "start", "stop", "words", "keeper")
     parts = blocks_of(marked.count(), 50_000)
-    schema = "id long, n_repeated long, n_removed long, words_removed long, class_id long, kept_in array<long>, removed array<long>"
+    schema = "id long, n_repeated long, n_removed long, words_removed long, class_id long, kept_in array<long>, removed array<long>, ranges array<long>"
     found = marked.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts}L)")).groupBy("part").applyInArrow(_runs(min_words), schema)
 
-    counts = every.groupBy("id").agg(F.count("*").alias("n_units"))
+    counts = every.where("idx >= 0").groupBy("id").agg(F.count("*").alias("n_units"))
     ids = plain.select(F.col("__id").alias("id")).distinct().join(counts, "id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_units", "n_repeated", "n_removed", "words_removed")]
     empty = F.array().cast("array<bigint>")
     return ids.join(found, "id", "left").select(
         F.col("id").alias(id_col), *zero, F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("kept_in", empty).alias("kept_in"), F.coalesce("removed", empty).alias("removed"),
+        *(F.coalesce(c, empty).alias(c) for c in ("kept_in", "removed", "ranges")),
     )

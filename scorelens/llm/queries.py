@@ -92,7 +92,7 @@ def op10_language_id(spark, sf_dir):
 @register("op5_passage_dedup")
 def op5_passage_dedup(spark, sf_dir):
     out = repeated_passages(table(spark, sf_dir, "documents"))
-    listed = [F.array_join(c, ",").alias(c) for c in ("kept_in", "removed")]
+    listed = [F.array_join(c, ",").alias(c) for c in ("kept_in", "removed", "ranges")]
     return out.select("doc_id", "n_units", "n_repeated", "n_removed", "words_removed", "class_id", *listed)
 
 

@@ -147,6 +147,22 @@ def test_repeated_passages_inside_other_text(make_docs):
     assert all(out[i]["n_repeated"] == 0 and out[i]["class_id"] == i for i in [*range(20, 30), 40])
 
 
+@pytest.mark.parametrize("sep", [" ", "\n"])
+def test_passage_of_51_words_in_mid_sentence(make_docs, sep):
+    """No sentence of it is whole in the hosts, or every line has one word."""
+    rng = random.Random(21)
+    passage = sep.join(sentence(rng, 51).split())
+    host = lambda: f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}."
+    rows = [(i, host()) for i in (3, 5, 8)] + [(20, sentence(rng, 120)), (30, "the same " * 3000)]
+    out = {r["doc_id"]: r for r in repeated_passages(make_docs(rows)).collect()}
+    for i in (5, 8):
+        r, words = out[i], rows[(5, 8).index(i) + 1][1].split()
+        taken = [w for a, b in zip(r["ranges"][::2], r["ranges"][1::2]) for w in words[a:b]]
+        assert r["class_id"] == 3 and r["kept_in"] == [3] and r["words_removed"] == len(taken) >= 25
+        assert " ".join(taken) in " ".join(passage.split())
+    assert out[3]["n_removed"] == 0 < out[3]["n_repeated"] and all(out[i]["n_repeated"] == 0 for i in (20, 30))
+
+
 def test_near_paragraphs_are_verified_by_jaccard(make_docs):
     rng = random.Random(9)
     words = sentence(rng, 60).split()
