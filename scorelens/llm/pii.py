@@ -72,6 +72,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates -----------------------------------------------------------------------------------
 
 NUMBER_RUN = re.compile(r"[0-9][0-9\x20().\[\]/:-]*[0-9]")
+GROUP = re.compile(r"[0-9]+")
+#: Groups of digits that a candidate inside a run takes at most, and characters between two of them.
+GROUPS, GAP = 6, 3
+#: Characters around a found span in which candidates are judged again.
+NEAR = 24
 AT = re.compile(r"\x20?[\[(]?\x20?(?:@|\bat\b)\x20?[\])]?\x20?", re.IGNORECASE)
 HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:\.|dot)[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
 USER_TAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
@@ -84,15 +89,33 @@ CUES = {
 }
 
 
+def _windows(text: str, start: int, stop: int):
+    """Spans of up to GROUPS neighbouring groups of digits with 7 to 19 digits: linear in the run."""
+    groups = [m.span() for m in GROUP.finditer(text, start, stop)]
+    if len(groups) < 2:
+        return
+    for i, (s, e) in enumerate(groups):
+        n = 0
+        for a, b in groups[i : i + GROUPS]:
+            n += b - a
+            if n > 19 or a - e > GAP:
+                break
+            e = b
+            if n >= 7:
+                yield s, e
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that may be personal data, overlapping, of high recall."""
+    """Spans that may be personal data, overlapping, of high recall: runs of numbers, their parts between
+    blanks, and each few neighbouring groups of digits in them."""
     out = []
     first = DIGIT.search(text)
     for m in NUMBER_RUN.finditer(text, first.start()) if first else ():
         start, stop = m.span()
         apart = re.finditer(r"[^\x20]+(?:\x20[^\x20]+){0,4}", m[0]) if "  " in m[0] else ()
         alone = re.finditer(r"[^\x20]+", m[0]) if " " in m[0] else ()
-        for s, e in dict.fromkeys([(start, stop), *((start + x.start(), start + x.end()) for x in alone), *((start + x.start(), start + x.end()) for x in apart)]):
+        whole = [(start, stop), *((start + x.start(), start + x.end()) for x in alone), *((start + x.start(), start + x.end()) for x in apart)]
+        for s, e in dict.fromkeys([*whole, *_windows(text, start, stop)]):
             while e > s and not "0" <= text[e - 1] <= "9":
                 e -= 1
             n = sum("0" <= c <= "9" for c in text[s:e]) if e - s <= 60 else 0
@@ -132,6 +155,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         "@" in s, " dot " in s.lower(), "(at)" in s.lower() or "[at]" in s.lower(), " at " in s.lower(), len(s) - len(digits),
         any(w in before for w in CUES[kind]), any(w in before for k in KINDS if k != kind for w in CUES[k]),
         last.isalnum(), last in "$#=.-", following.isalnum(), following in "%.,-/", "no" in before[-5:] or "#" in before[-3:], "%" in after[:2],
+        before.rstrip(" +(")[-1:].isdigit(), after.lstrip(" +(")[:1].isdigit(), groups[1] if len(groups) > 1 else 0,
     ]
 
 
@@ -168,13 +192,13 @@ def example(rng) -> tuple[str, str | None]:
         return _cut_at(_valid_card(rng, n), sizes, sep), "card"
     if kind == 3:
         area, mid, tail = num(3), num(3), num(4)
-        return pick(f"({area}) {mid}-{tail}", f"{area}-{mid}-{tail}", f"{area}.{mid}.{tail}", f"+1 ({area}) {mid}-{tail}", f"+{pick('44', '49', '33', '34')} {area} {num(7)}", f"00{pick('44', '49')} {area} {mid} {tail}", f"0{num(3)} {num(6)}", f"0{num(3)}/{num(7)}"), "phone"
+        return pick(f"({area}) {mid}-{tail}", f"{area}-{mid}-{tail}", f"{area}.{mid}.{tail}", f"+1 ({area}) {mid}-{tail}", f"+{pick('44', '49', '33', '34')} {area} {num(7)}", f"00{pick('44', '49')} {area} {mid} {tail}", f"0{num(3)} {num(6)}", f"0{num(3)}/{num(7)}", f"{area} {mid} {tail}"), "phone"
     if kind == 4:
         wrong = _valid_card(rng, 16)
         wrong = wrong[:-1] + str((int(wrong[-1]) + int(rng.integers(1, 10))) % 10)
         return _cut_at(wrong, *pick(([], ""), ([4, 4, 4], " "), ([4, 4, 4], "-"))), None
     if kind == 5:
-        return pick(f"20{num(2)}-0{pick(*'123456789')}-1{num(1)}", f"1{num(1)}/0{pick(*'123456789')}/20{num(2)} 1{num(1)}:3{num(1)}", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", f"19{num(2)}-20{num(2)}"), None
+        return pick(f"20{num(2)}-0{pick(*'123456789')}-1{num(1)}", f"1{num(1)}/0{pick(*'123456789')}/20{num(2)} 1{num(1)}:3{num(1)}", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", f"19{num(2)}-20{num(2)}", " ".join(str(1900 + x) for x in rng.integers(0, 130, 6))), None
     if kind == 6:
         return pick(f"{num(3)}.{num(3)}.{num(3)},{num(2)}", f"3.{num(9)}", f"{num(1)}.{num(2)}.{num(1)}", f"1.{num(1)}.{num(4)}.{num(2)}", f"{rng.integers(256, 999)}.{num(3)}.{num(2)}.{num(1)}", f"{num(10)}", f"{num(8)}", f"{num(20)}"), None
     return pick(f"no {num(9)}", f"#{num(7)}", f"id {num(5)}-{num(5)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{word()} at {word()} dot", f"{num(2)} 1{num(1)} 2{num(1)} 3{num(1)}", f"{num(4)} {num(4)} {num(2)}", f"{word()} at {word()}. {word()}", f"@{word()}"), None
@@ -194,6 +218,9 @@ class Finder:
             s, kind = example(rng)
             if rng.random() < 0.2 and kind:
                 head += CUES[kind][int(rng.integers(6))] + " "
+            if kind in ("card", "phone") and rng.random() < 0.4:  # a number beside it, or one of its sort
+                other = next(x for x in iter(lambda: example(rng), None) if x[1] == kind)[0] if rng.random() < 0.5 else "".join(map(str, rng.integers(0, 10, int(rng.integers(1, 6)))))
+                head, tail = (f"{head}{other} ", tail) if rng.random() < 0.5 else (head, f" {other}{tail}")
             text = head + s + tail
             for k, start, end in candidates(text):
                 if start < len(head) + len(s) and end > len(head):
@@ -217,14 +244,22 @@ class Finder:
         base = base_spans(text)
         chosen = [(*s, True) for s in base]
         more = [c for c in dict.fromkeys(candidates(text)) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        if more:
-            p = self.trees.predict(np.array([features(text, *c) for c in more], float))
-            taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []
+        new, shown = [(s, e) for _, s, e in base], text
+        todo = more
+        while todo:
+            p = self.trees.predict(np.array([features(shown, *c) for c in todo], float))
             for i in np.argsort(-p, kind="stable"):
-                kind, s, e = more[i]
+                kind, s, e = todo[i]
                 if p[i] >= self.thresholds[KINDS.index(kind)] and not any(s < b and a < e for a, b in taken):
                     taken.append((s, e))
+                    new.append((s, e))
                     chosen.append((kind, s, e, False))
+            # what stands beside a found span is judged again, as if that were no number
+            for s, e in new:
+                shown = shown[:s] + " " * (e - s) + shown[e:]
+            todo = [c for c in more if any(s - NEAR < c[2] and c[1] < e + NEAR for s, e in new) and not any(c[1] < b and a < c[2] for a, b in taken)]
+            new = []
         return sorted(chosen, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -309,6 +309,20 @@ def test_finder_adds_forms_that_the_rules_miss_and_leaves_plain_text_alone():
         assert finder.spans(clean) == [] and (clean or candidates(clean) == [])
 
 
+def test_numbers_beside_numbers_are_proposed_and_found():
+    card = "4111 1111 1111 1111"
+    long = " ".join(str(x) for x in range(10, 60))
+    for text, kind, wanted in [
+        (f"card {card} 2024 now", "card", [card]), (f"the fox 12 {card} and", "card", [card]), (f"x {long} {card} {long} y", "card", [card]),
+        ("call 555 123 4567 555 234 5678 now", "phone", ["555 123 4567", "555 234 5678"]), ("tel (555) 123-4567 (555) 234-5678 x", "phone", ["(555) 123-4567", "(555) 234-5678"]),
+    ]:
+        assert set(wanted) <= {text[a:b] for k, a, b in candidates(text) if k == kind}
+    finder = Finder(["the thin fox and the hills", "some old stones near water"])
+    for text, wanted in [(f"card {card} 2024 now", {card}), ("call 555 123 4567 555 234 5678 now", {"555 123 4567", "555 234 5678"}), ("tel (555) 123-4567 (555) 234-5678 x", {"(555) 123-4567", "(555) 234-5678"})]:
+        assert {text[a:b] for _, a, b, _ in finder.spans(text)} == wanted
+    assert len(candidates("1 " * 20_000 + "1234567 " * 2000)) < 100_000
+
+
 def test_registered_oracles_hold(spark):
     from scorelens.llm.queries import ORACLES, QUERIES
     from scorelens.oracle_check import compare, duck
