@@ -130,12 +130,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 out.append(("card", s, e))
             if 4 <= n <= 12 and text.count(".", s, e) >= 3:
                 out.append(("ip", s, e))
-    if any(w in text for w in ("@", "(at)", "[at]", " dot ", "(dot)", "[dot]")):
-        for m in AT.finditer(text):
-            host = HOST.match(text, m.end())
-            user = USER_TAIL.search(text[max(0, m.start() - 64) : m.start()])
-            if host and user:
-                out.append(("email", m.start() - len(user[0]), host.end()))
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        user = USER_TAIL.search(text[max(0, m.start() - 64) : m.start()]) if host else None
+        if user:
+            out.append(("email", m.start() - len(user[0]), host.end()))
     return out
 
 

@@ -323,6 +323,12 @@ def test_numbers_beside_numbers_are_proposed_and_found():
     assert len(candidates("1 " * 20_000 + "1234567 " * 2000)) < 100_000
 
 
+@pytest.mark.parametrize("span", ["john (AT) mail (DOT) com", "john at mail.com", "john AT mail DOT com"])
+def test_written_out_addresses_are_candidates_in_any_text(span):
+    for rest in ("", " and see a@b"):
+        assert span in {f"x {span}{rest}"[a:b] for k, a, b in candidates(f"x {span}{rest}") if k == "email"}
+
+
 def test_registered_oracles_hold(spark):
     from scorelens.llm.queries import ORACLES, QUERIES
     from scorelens.oracle_check import compare, duck
