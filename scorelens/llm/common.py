@@ -45,6 +45,14 @@ def replace_columns(df: DataFrame, new: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no input column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2: rows that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scorelens.llm import language_id, quality_classifier
 from scorelens.llm.common import held_out, table
+from scorelens.llm.conversation_trie import conversation_trie
+from scorelens.llm.lexical_search import rank_documents
+from scorelens.llm.licence_scan import scan_licences
 from scorelens.llm.line_dedup import dedup_lines
 from scorelens.llm.multiset_hash import fingerprint_edits
 from scorelens.llm.near_dedup import near_components
@@ -15,7 +18,7 @@ from scorelens.llm.passage_dedup import repeated_passages
 from scorelens.llm.piece_sampling import decode, sample_encode
 from scorelens.llm.pii import KINDS, find_pii
 from scorelens.llm.quality_rules import quality_rules
-from scorelens.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
+from scorelens.llm.sql import CONVERSATION_TRIE_SQL, LEXICAL_SEARCH_SQL, LINE_DEDUP_SQL, NEAR_DEDUP_SQL, quality_rules_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +108,21 @@ def op3_piece_sampling(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@register("op11_conversation_trie", CONVERSATION_TRIE_SQL)
+def op11_conversation_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return conversation_trie(table(spark, sf_dir, "conversations"), shared=5, base=conv - conv % 100, head=head)
+
+
+@register("op12_lexical_search", LEXICAL_SEARCH_SQL)
+def op12_lexical_search(spark, sf_dir):
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@register("op13_license_scan")
+def op13_license_scan(spark, sf_dir):
+    found = scan_licences(table(spark, sf_dir, "documents"), output=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *(F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")), "score")

@@ -68,3 +68,40 @@ links as (
 reach as (select doc_id as a, doc_id as b from documents union select reach.a, l.b from reach join links l on l.a = reach.b)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
 from documents join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id) left join sizes using (doc_id)"""
+
+
+CONVERSATION_TRIE_SQL = """
+with turns as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+convs as (select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(list_concat([4294967295], [ascii(x) for x in string_split(conv_id::varchar, '')]),
+  lambda c, b: list_reduce(list_concat([xor(c, b::bigint)], range(8)), lambda v, i: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)), 4294967295) % 6 as h
+  from (select distinct conv_id from turns)),
+rebuilt as (select conv_id, role, text, row_number() over (partition by conv_id order by own, pos) as d from (
+  select c.conv_id, role, text, pos, 0 as own from convs c join turns t on t.conv_id = c.base and t.pos <= h
+  union all select conv_id, role, text, pos, 1 from turns join convs using (conv_id) where pos > h)),
+paths as (select conv_id, d, text, sha256(array_to_string(list(md5(role) || md5(text)) over (partition by conv_id order by d), ',')) as node from rebuilt),
+steps as (select conv_id, d, length(text) as chars, node, coalesce(lag(node) over (partition by conv_id order by d), 'root') as parent from paths
+  union all select conv_id, 0, 0, 'root', null from convs),
+nodes as (select node, any_value(d) as depth, any_value(parent) as parent, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs from steps group by node),
+kids as (select parent as node, count(*) as n_children from nodes where parent is not null group by parent),
+valued as (select *, coalesce(n_children, 0) as c from nodes left join kids using (node)),
+below as (select s.node, count(*) filter (c = 0) as n_leaves, sum((n_convs - 1) * v.chars) as saved
+  from valued v join steps s on s.conv_id = v.conv_id and s.d <= v.depth group by s.node),
+ends as (select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from (
+  select conv_id, arg_max(node, d) as node from steps group by conv_id) group by node)
+select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.c as n_children, n_leaves, saved::bigint as saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from valued v join below using (node) left join ends using (node) left join nodes p on p.node = v.parent"""
+
+
+LEXICAL_SEARCH_SQL = rf"""
+with terms as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+sizes as (select r, doc_id, len(t) as n from terms),
+total as (select count(*) filter (n > 0) as nn, coalesce(sum(n), 0)::bigint as ll from sizes),
+asked as (select q, item_id, t, count(*) as k from (select row_number() over () as q, item_id,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+held as (select r, t, count(*) as tf from (select r, unnest(t) as t from terms) where t in (select t from asked) group by all),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, total group by t, nn),
+parts as (select r, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))) as s from held join sizes using (r) join weights using (t), total),
+scores as (select q, item_id, doc_id, r, sum(k * s)::bigint as score from asked join parts using (t) join sizes using (r) group by all having sum(k * s) > 0),
+ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls first) as rank from scores)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20"""
