@@ -28,7 +28,7 @@ def main() -> None:
     from scorelens.operators import profile as prof
     from scorelens.operators import sampling as smp
     from scorelens.operators import woe as W
-    from scorelens.plans.ordering import compute_splits
+    from scorelens.plans.scoretable import score_table
     from scorelens.operators import report as rep
     from scorelens.session import clear_scratch, local_session
     from scorelens.sources.tables import SAMPLES, sample_view
@@ -63,9 +63,9 @@ def main() -> None:
     char, num = list(SPEC.char), list(SPEC.num)
 
     def gains_and_metrics():
-        sp = compute_splits(s.select("score", "row_id"), "score", "row_id")
-        run(ev.gains(s, by=["sample"], splits=sp, groups=SAMPLES))
-        run(ev.roc_summary(s, by=["sample"], splits=sp, groups=SAMPLES))
+        table = score_table(s, by=["sample"])
+        run(ev.gains(s, by=["sample"], table=table, groups=SAMPLES))
+        run(ev.roc_summary(s, by=["sample"], table=table, groups=SAMPLES))
 
     workflows = {
         "gains_ks_auc_by_sample": gains_and_metrics,

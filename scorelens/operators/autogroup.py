@@ -17,21 +17,25 @@ reused as scored (no second cut with the winner's group count); if every
 attempt fails the levels are kept; null levels are left out, as the
 reference's group-by drops them.
 
-Plan shape: one aggregation over the long (period, feature, level, target)
-table does all counting; everything after it works on level-sized data
-partitioned by feature, with the five attempts as rows (explode), not loops.
+Plan shape: one aggregation of (feature, level) with the counts of each period as
+columns does all counting.  The levels are dealt by ranges of (feature, bad ratio, level)
+(``plans.prefix``), so one feature's levels are spread over tasks; the weighted quantiles are
+the levels whose running totals cover the wanted ranks.  What comes to the driver are
+cut points: features x probabilities rows.  All attempts are scored by one grouped pass.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.operators.woe import CELLS, _iv_term, _ks_term, _r, group_woe, long_levels
 from scorelens.plans.broadcast import bounded_broadcast, materialize
-from scorelens.operators.woe import category_psi, category_stats, group_woe, grouped_ks_iv
+from scorelens.plans.prefix import running_totals
 
 # Fixed values of the reference's procedure.
 ATTEMPTS = (3, 4, 5, 6, 7)  # group counts tried
@@ -45,9 +49,43 @@ def qcut_probs(n: int) -> list[float]:
     return [float(v) for v in np.true_divide(q * 100.0, 100.0)]
 
 
+def _period_counts(df: DataFrame, features, target: str, sample_col: str, build, offs) -> DataFrame:
+    """(feature, level, good, bad, n, good_1, bad_1, n_1, ...): counts of the build sample and of each later period."""
+    src = df.where(F.col(sample_col).isin(*build, *offs) & F.col(target).isin(0, 1))
+    long = long_levels(src, features, target, [sample_col]).where(F.col("level").isNotNull())
+    periods = [("", F.col(sample_col).isin(*build)), *[(f"_{i}", F.col(sample_col) == p) for i, p in enumerate(offs, start=1)]]
+    aggs = []
+    for suffix, here in periods:
+        for name, value in (("good", 0), ("bad", 1)):
+            aggs.append(F.count(F.when(here & (F.col(target) == value), 1)).alias(name + suffix))
+    counts = long.groupBy("feature", "level").agg(*aggs)
+    return counts.select("*", *[(F.col(f"good{s}") + F.col(f"bad{s}")).alias(f"n{s}") for s, _ in periods])
+
+
+def weighted_quantiles(levels: DataFrame, probs, value: str = "bad_ratio", weight: str = "n", key: str = "feature") -> dict:
+    """{key: [quantile per prob]} by rank selection: ``levels`` has running totals cum_/tot_ of ``weight`` in the order of
+    ``value``; a level covers the ranks [cum - weight, cum).  Linear between the ranks around p * (total - 1).
+
+    A row of the result is a wanted rank, so keys x probabilities x 2 rows come to the driver."""
+    at = lambda p: F.lit(float(p)) * (F.col(f"tot_{weight}") - 1)
+    wanted = F.array(*[F.struct(F.lit(2 * i + s).alias("k"), f(at(p)).cast("long").alias("rank")) for i, p in enumerate(probs) for s, f in enumerate((F.floor, F.ceil))])
+    covered = F.filter(wanted, lambda x: (x["rank"] >= F.col(f"cum_{weight}") - F.col(weight)) & (x["rank"] < F.col(f"cum_{weight}")))
+    rows = levels.select(key, F.col(value).alias("_value"), F.col(f"tot_{weight}").alias("_total"), F.explode(covered).alias("_rank")).collect()
+    found: dict = {}
+    for r in rows:
+        found.setdefault(r[key], ({}, r["_total"]))[0][r["_rank"]["k"]] = r["_value"]
+    out = {}
+    for k, (values, n) in found.items():
+        out[k] = []
+        for i, p in enumerate(probs):
+            pos, low, high = p * (n - 1), values[2 * i], values[2 * i + 1]
+            out[k].append(low if low == high else (math.ceil(pos) - pos) * low + (pos - math.floor(pos)) * high)
+    return out
+
+
 @dataclass
 class AutoGroupResult:
-    stats: DataFrame  # (period, feature, level, good, bad, bad_ratio, idx)
+    stats: DataFrame  # (feature, level, good, bad, bad_ratio, idx, ...) build sample, with the periods' counts as columns
     attempts: DataFrame  # (feature, n, ok, n_groups, interior)
     levels: DataFrame  # (feature, n, level, idx, grp) for successful attempts
     group_totals: DataFrame  # (feature, n, grp, good, bad, bad_ratio) build sample
@@ -61,132 +99,109 @@ class AutoGroupResult:
 def auto_group(df: DataFrame, features, target: str = "target", sample_col: str = "sample",
                build=("dev", "val"), offs=("oft1", "oft2", "oft3"), attempts=ATTEMPTS,
                min_levels: int = MIN_LEVELS, zero_policy: str = "inf") -> AutoGroupResult:
-    features = list(features)
-    offs = list(offs)
-    # Tables with one row per feature or per (feature, attempt) have a size fixed
-    # by the arguments, so they are broadcast without a count.
+    features, offs = list(features), list(offs)
+    spark = df.sparkSession
+    # Tables with a row per feature, (feature, attempt) or cut point have a size fixed by the arguments.
+    probs = {n: qcut_probs(n) for n in attempts}
+    all_probs = sorted({p for ps in probs.values() for p in ps})
     per_feature = lambda d: bounded_broadcast(d, len(features))
-    per_attempt = lambda d: bounded_broadcast(d, len(features) * len(attempts) * max(len(offs), 1))
-    period = F.when(F.col(sample_col).isin(*build), F.lit("build")).otherwise(F.col(sample_col))
-    src = df.where(F.col(sample_col).isin(*build, *offs)).withColumn("period", period)
-    # The one pass over the rows; the level-sized result feeds every branch below,
-    # so it is stored once.
-    stats = materialize(category_stats(src, features, target, by=["period"]))
-    bs = stats.where(F.col("period") == "build").drop("period")
-    n_lv = bs.groupBy("feature").agg(F.count(F.lit(1)).alias("n_levels"))
-
-    # --- quantile cut points: one exact weighted percentile per feature ---------------------
-    probs_all = sorted({p for n in attempts for p in qcut_probs(n)})
-    pos = {p: i + 1 for i, p in enumerate(probs_all)}
-    q = (bs.join(per_feature(n_lv.where(F.col("n_levels") >= min_levels)), "feature")
-         .groupBy("feature")
-         .agg(F.percentile("bad_ratio", probs_all, (F.col("good") + F.col("bad")).cast("long")).alias("_q")))
-    edges_of_n = None
-    for n in attempts:
-        arr = F.array(*[F.element_at("_q", pos[p]) for p in qcut_probs(n)])
-        edges_of_n = F.when(F.col("n") == n, arr) if edges_of_n is None else edges_of_n.when(F.col("n") == n, arr)
-    e = q.withColumn("n", F.explode(F.array(*[F.lit(n) for n in attempts])))
-    e = e.withColumn("edges", F.array_distinct(F.sort_array(edges_of_n))).drop("_q")
-
-    # Border of each cut point after the first: first index with that exact ratio.
-    ex = e.select("feature", "n", F.size("edges").alias("n_edges"), F.posexplode("edges").alias("j", "edge"))
-    ex = ex.where(F.col("j") >= 1)
-    first_idx = bs.groupBy("feature", "bad_ratio").agg(F.min("idx").alias("border"))
-    bj = ex.join(first_idx, (ex.feature == first_idx.feature) & (ex.edge == first_idx.bad_ratio), "left").select(
-        ex.feature, "n", "n_edges", "j", "border")
-    agg = bj.groupBy("feature", "n").agg(
-        F.count(F.when(F.col("border").isNull(), 1)).alias("missing"),
-        F.sort_array(F.collect_list(F.when((F.col("j") <= F.col("n_edges") - 2), F.col("border")))).alias("interior"),
-    )
-    att = e.select("feature", "n", F.size("edges").alias("n_edges")).join(agg, ["feature", "n"], "left")
-    att = att.select("feature", "n",
-                     ((F.coalesce(F.col("missing"), F.lit(0)) == 0) & (F.col("n_edges") >= 2)).alias("ok"),
-                     (F.col("n_edges") - 1).alias("n_groups"),
-                     F.coalesce(F.col("interior"), F.array().cast("array<int>")).alias("interior"))
-    att = materialize(att)
-    ok = att.where("ok")
-    lv = bs.join(per_attempt(ok.select("feature", "n", "interior")), "feature").select(
-        "feature", "n", "level", "idx", "good", "bad",
-        F.size(F.filter("interior", lambda b: b < F.col("idx"))).alias("grp"))
-    lv = materialize(lv)
-    ng = lv.groupBy("feature", "n", "grp").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    ng = materialize(ng.withColumn("bad_ratio", F.col("bad") / (F.col("good") + F.col("bad"))))
-
-    # --- later periods: map levels into the groups, unseen levels -> group 0 ------------------
-    offst = stats.where(F.col("period") != "build")
-    og = (offst.join(per_attempt(ok.select("feature", "n")), "feature")
-          .join(lv.select("feature", "n", "level", F.col("grp").alias("_g")), ["feature", "n", "level"], "left")
-          .withColumn("grp", F.coalesce(F.col("_g"), F.lit(0)))
-          .groupBy("period", "feature", "n", "grp").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-
-    # --- metrics -------------------------------------------------------------------------------
-    old_m = grouped_ks_iv(bs)
-    old_ks = old_m.select("feature", F.col("ks").alias("old_build_ks"))
-    old_iv = old_m.select("feature", F.col("iv").alias("old_build_iv"))
-    first_off = offs[0]
-    old_psi = category_psi(bs, offst.where(F.col("period") == first_off).drop("period"), on="level").withColumnRenamed(
-        "psi", "old_psi_1")
-    new_m = grouped_ks_iv(ng, order_col="grp", part=("feature", "n"))
-    new_ks = new_m.select("feature", "n", F.col("ks").alias("new_build_ks"))
-    new_iv = new_m.select("feature", "n", F.col("iv").alias("new_build_iv"))
-    ngp = ng.withColumn("period", F.explode(F.array(*[F.lit(p) for p in offs])))
-    new_psi = category_psi(ngp, og, on="grp", part=("period", "feature", "n"))
-    new_psi = new_psi.groupBy("feature", "n").pivot("period", offs).agg(F.first("psi"))
-    for i, p in enumerate(offs, start=1):
-        new_psi = new_psi.withColumnRenamed(p, f"new_psi_{i}")
+    per_attempt = lambda d: bounded_broadcast(d, len(features) * len(attempts))
+    suffixes = [f"_{i}" for i in range(1, len(offs) + 1)]
+    off_cells = [c + s for s in suffixes for c in CELLS]
+    # The one pass over the rows; everything below reads level-sized tables.
+    counts = materialize(_period_counts(df, features, target, sample_col, build, offs))
+    seen = counts.where("n > 0").withColumn("bad_ratio", F.col("bad") / F.col("n"))
+    levels = running_totals(seen, ["feature"], ["bad_ratio", "level"], [*CELLS, "n"], groups=len(features))
+    levels = materialize(levels.withColumn("idx", F.col("idx").cast("int")))
+
+    # --- one row per feature: level count, KS, IV, PSI of the levels as they are ----------------
+    first = suffixes[0]
+    both = F.col(f"n{first}") > 0
+    summary = levels.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_levels"), _r(F.max(_ks_term())).alias("old_build_ks"),
+        _r(F.coalesce(F.sum(_iv_term()), F.lit(0.0))).alias("old_build_iv"),
+        F.sum(F.when(both, F.col("n"))).alias("_b"), F.sum(F.when(both, F.col(f"n{first}"))).alias("_o"))
+    summary = materialize(summary)
+    p, q = F.col("n") / F.col("_b"), F.col(f"n{first}") / F.col("_o")
+    old_psi = levels.where(both).join(per_feature(summary.select("feature", "_b", "_o")), "feature")
+    old_psi = old_psi.groupBy("feature").agg(_r(F.sum(F.log(p / q) * (p - q))).alias("old_psi_1"))
+    summary = materialize(summary.drop("_b", "_o").join(per_feature(old_psi), "feature", "left"))
+
+    # --- cut points: weighted quantiles that are observed ratios, and their borders --------------
+    wide = per_feature(summary.where(F.col("n_levels") >= min_levels).select("feature"))
+    quantiles = weighted_quantiles(levels.join(wide, "feature"), all_probs)
+    edges = {(f, n): sorted({v[all_probs.index(x)] for x in probs[n]}) for f, v in quantiles.items() for n in attempts}
+    cuts = sorted({(f, e) for (f, n), es in edges.items() for e in es})
+    cut_table = bounded_broadcast(spark.createDataFrame(cuts, "feature string, bad_ratio double"), len(cuts))
+    borders = {(r["feature"], r["bad_ratio"]): r["idx"] for r in levels.join(cut_table, ["feature", "bad_ratio"]).groupBy("feature", "bad_ratio").agg(F.min("idx").alias("idx")).collect()}
+    tried = []
+    for (f, n), es in edges.items():
+        ok = len(es) >= 2 and all((f, e) in borders for e in es[1:])
+        interior = sorted(borders[f, e] for e in es[1:-1] if (f, e) in borders)
+        tried.append((f, n, ok, len(es) - 1, interior))
+    att = spark.createDataFrame(tried, "feature string, n int, ok boolean, n_groups int, interior array<int>")
+
+    # --- all attempts in one grouped pass; levels without build rows fall into group 0 ------------
+    fitted = per_attempt(att.where("ok").select("feature", "n", "interior"))
+    grp = F.size(F.filter("interior", lambda b: b < F.col("idx")))
+    lv = levels.select("feature", "level", "idx").join(fitted, "feature").select("feature", "n", "level", "idx", grp.alias("grp"))
+    placed = counts.where("n = 0").select("feature", "level", *CELLS, *off_cells, F.lit(-1).alias("idx"))
+    placed = levels.select("feature", "level", *CELLS, *off_cells, "idx").unionByName(placed)
+    ng = placed.join(fitted, "feature").groupBy("feature", "n", grp.alias("grp")).agg(*[F.sum(c).alias(c) for c in [*CELLS, *off_cells]])
+    ng = materialize(ng)
+    off = None
+    for s, period in zip(suffixes, offs):
+        rows = ng.where(F.col(f"good{s}") + F.col(f"bad{s}") > 0)
+        rows = rows.select(F.lit(period).alias("period"), "feature", "n", "grp", *[F.col(c + s).alias(c) for c in CELLS])
+        off = rows if off is None else off.unionByName(rows)
+
+    # --- metrics of an attempt: its groups are at most as many as it tried for --------------------
+    inside = Window.partitionBy("feature", "n")
+    upto = inside.orderBy("grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows_of = lambda s: F.col(f"good{s}") + F.col(f"bad{s}")
+    m = ng.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in CELLS], *[F.sum(c).over(inside).alias(f"tot_{c}") for c in CELLS])
+    psis = []
+    for i, s in enumerate(suffixes, start=1):
+        both = rows_of(s) > 0
+        m = m.withColumn(f"_p{i}", F.when(both, rows_of("") / F.sum(F.when(both, rows_of(""))).over(inside)))
+        m = m.withColumn(f"_q{i}", F.when(both, rows_of(s) / F.sum(F.when(both, rows_of(s))).over(inside)))
+        psis.append(_r(F.sum(F.log(F.col(f"_p{i}") / F.col(f"_q{i}")) * (F.col(f"_p{i}") - F.col(f"_q{i}")))).alias(f"new_psi_{i}"))
+    new = m.groupBy("feature", "n").agg(_r(F.max(_ks_term())).alias("new_build_ks"), _r(F.coalesce(F.sum(_iv_term()), F.lit(0.0))).alias("new_build_iv"), *psis)
 
     # --- trial report ----------------------------------------------------------------------------
     psi_cols = [f"new_psi_{i}" for i in range(1, len(offs) + 1)]
-    big = (att.join(per_attempt(new_ks), ["feature", "n"], "left").join(per_attempt(new_iv), ["feature", "n"], "left")
-           .join(per_attempt(new_psi), ["feature", "n"], "left")
-           .join(per_feature(old_ks), "feature", "left").join(per_feature(old_iv), "feature", "left")
-           .join(per_feature(old_psi), "feature", "left"))
     zero = F.lit(0.0)
-    metric = lambda c: F.when(F.col("ok"), F.coalesce(F.col(c), zero)).otherwise(zero)
-    psi_sum = None
-    for c in psi_cols:
-        psi_sum = metric(c) if psi_sum is None else psi_sum + metric(c)
-    psi_sum = psi_sum / F.lit(float(len(psi_cols)))
-    big = big.select(
-        "feature", F.col("n").alias("n_bins"),
-        F.when(F.col("ok"), F.col("n_groups")).otherwise(F.lit(0)).alias("n_groups"),
+    metric = lambda c: F.when(F.col("ok"), F.coalesce(F.col(c), zero)).otherwise(zero).alias(c)
+    big = att.join(per_attempt(new), ["feature", "n"], "left").join(per_feature(summary), "feature").select(
+        "feature", F.col("n").alias("n_bins"), F.when(F.col("ok"), F.col("n_groups")).otherwise(F.lit(0)).alias("n_groups"),
         F.when(F.col("ok"), F.lit("regrouped")).otherwise(F.lit("failed")).alias("status"),
-        metric("old_build_ks").alias("old_build_ks"), metric("new_build_ks").alias("new_build_ks"),
-        metric("old_build_iv").alias("old_build_iv"), metric("new_build_iv").alias("new_build_iv"),
-        metric("old_psi_1").alias("old_psi_1"), *[metric(c).alias(c) for c in psi_cols],
-    )
-    small = (n_lv.where(F.col("n_levels") < min_levels).select("feature")
-             .join(per_feature(old_ks), "feature", "left").join(per_feature(old_iv), "feature", "left")
-             .join(per_feature(old_psi), "feature", "left"))
-    small = small.select(
-        "feature", F.lit(0).alias("n_bins"), F.lit(0).alias("n_groups"),
-        F.lit("unchanged").alias("status"), F.coalesce("old_build_ks", zero).alias("old_build_ks"),
-        zero.alias("new_build_ks"), F.coalesce("old_build_iv", zero).alias("old_build_iv"),
-        zero.alias("new_build_iv"), F.coalesce("old_psi_1", zero).alias("old_psi_1"),
-        *[zero.alias(c) for c in psi_cols])
+        *[metric(c) for c in ("old_build_ks", "new_build_ks", "old_build_iv", "new_build_iv", "old_psi_1", *psi_cols)])
+    small = summary.where(F.col("n_levels") < min_levels).select(
+        "feature", F.lit(0).alias("n_bins"), F.lit(0).alias("n_groups"), F.lit("unchanged").alias("status"),
+        F.coalesce("old_build_ks", zero).alias("old_build_ks"), zero.alias("new_build_ks"),
+        F.coalesce("old_build_iv", zero).alias("old_build_iv"), zero.alias("new_build_iv"),
+        F.coalesce("old_psi_1", zero).alias("old_psi_1"), *[zero.alias(c) for c in psi_cols])
     rep = big.unionByName(small)
-    psum = None
-    for c in psi_cols:
-        psum = F.col(c) if psum is None else psum + F.col(c)
-    rep = rep.withColumn("psi_sum", F.round(psum / F.lit(float(len(psi_cols))), 10))
-    rep = materialize(rep.withColumn("score", F.round(F.col("new_build_iv") - F.col("psi_sum"), 10)))
+    total = sum((F.col(c) for c in psi_cols[1:]), F.col(psi_cols[0]))
+    rep = rep.withColumn("psi_sum", _r(total / F.lit(float(len(psi_cols)))))
+    rep = materialize(rep.withColumn("score", _r(F.col("new_build_iv") - F.col("psi_sum"))))
 
     # --- best attempt and final map ------------------------------------------------------------
-    w = Window.partitionBy("feature").orderBy(F.desc("score"), F.asc("n_bins"))
+    w = Window.partitionBy("feature").orderBy(F.desc("score"), F.asc("n_bins"))  # one row per attempt
     best = (rep.where(F.col("status") == "regrouped").withColumn("_r", F.row_number().over(w))
             .where("_r = 1").select("feature", F.col("n_bins").alias("n"), "n_groups", "score"))
-    win_lv = lv.join(per_feature(best.select("feature", "n")), ["feature", "n"])
-    win_ng = ng.join(per_feature(best.select("feature", "n")), ["feature", "n"])
-    win_woe = group_woe(win_ng, group_col="grp", part=("feature",), zero_policy=zero_policy)
-    regrouped = win_lv.join(win_woe, ["feature", "grp"]).select("feature", "level", "grp", "woe")
-    kept = bs.join(per_feature(best.select("feature")), "feature", "left_anti")  # small path or all attempts failed
-    kept_woe = group_woe(kept, group_col="level", part=("feature",), zero_policy=zero_policy)
-    kept_map = kept.join(kept_woe, ["feature", "level"]).select("feature", "level", F.col("idx").alias("grp"), "woe")
+    winners = per_feature(best.select("feature", "n"))
+    win_woe = group_woe(ng.join(winners, ["feature", "n"]).select("feature", "grp", *CELLS), group_col="grp", zero_policy=zero_policy, groups=len(features))
+    regrouped = lv.join(winners, ["feature", "n"]).join(bounded_broadcast(win_woe, len(features) * (max(attempts) + 1)), ["feature", "grp"])
+    regrouped = regrouped.select("feature", "level", "grp", "woe")
+    kept = levels.join(winners.select("feature"), "feature", "left_anti")  # small path or all attempts failed
+    kept_map = group_woe(kept.withColumn("grp", F.col("idx")), group_col="level", part=("feature", "grp"), zero_policy=zero_policy)
+    kept_map = kept_map.select("feature", "level", "grp", "woe")
     final = regrouped.unionByName(kept_map)
 
-    return AutoGroupResult(stats=stats, attempts=att, levels=lv.select("feature", "n", "level", "idx", "grp"),
-                           group_totals=ng, off_groups=og, trial_report=rep, best=best, final_map=final,
-                           kept_map=kept_map)
+    ratio = F.col("bad") / (F.col("good") + F.col("bad"))
+    return AutoGroupResult(stats=levels, attempts=att, levels=lv, group_totals=ng.select("feature", "n", "grp", *CELLS, ratio.alias("bad_ratio")),
+                           off_groups=off, trial_report=rep, best=best, final_map=final, kept_map=kept_map)
 
 
 def offtime_apply(df: DataFrame, group_map: DataFrame, features, value_col: str = "grp", fill=0) -> DataFrame:

@@ -11,9 +11,10 @@ Semantics follow the reference's report functions:
 * KS = max |TPR - FPR| over distinct thresholds, AUC = Mann-Whitney, both from
   integer numerators.
 
-Physical plan: ``plans.ordering`` buckets rows by score range; only buckets
-that a bin boundary cuts go through a row-level window (at most
-groups x (bins + 1) buckets), every other bucket is summed whole.
+Physical plan: rows are collapsed to distinct scores and ordered once
+(``plans.scoretable``); distinct scores inside a bin are summed whole, and only the rows of
+tied scores that a bin border cuts (at most groups x bins scores) are read again and ranked by key.
+A missing score (null or NaN) stands last, in the bins but in no average.
 """
 
 from __future__ import annotations
@@ -21,16 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast, materialize
-from scorelens.plans.ordering import (
-    BUCKET,
-    OrderSplits,
-    add_bucket,
-    bucket_offsets,
-    compute_splits,
-    order_within_bucket,
-)
+from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
+from scorelens.plans.prefix import next_in_order, null_safe_join, running_totals
+from scorelens.plans.scoretable import SCORE, ScoreTable, clean_score, measures, score_table
 
+TIED_ROWS = 1_000_000  # rows of one score that a window may hold
 DIGITS = 10  # rounding of ratios in outputs, so equal values hash equally
 
 
@@ -52,6 +48,10 @@ def _restrict(df: DataFrame, by: list[str], groups) -> DataFrame:
     return df.where(F.col(by[0]).isin(list(groups)))
 
 
+def _n_groups(groups) -> int | None:
+    return None if groups is None else len(list(groups))
+
+
 def _small_side(small: DataFrame, per_group: int, by: list[str], groups) -> DataFrame:
     """Broadcast a per-group bounded table: proven bound when the groups are
     known (none, or declared), otherwise a counted size check."""
@@ -77,7 +77,7 @@ def gains(
     bins: int = 20,
     by: tuple[str, ...] | list[str] = (),
     balance: str | None = None,
-    splits: OrderSplits | None = None,
+    table: ScoreTable | None = None,
     n_buckets: int | None = None,
     groups=None,
 ) -> DataFrame:
@@ -85,53 +85,39 @@ def gains(
 
     Without ``balance``: cum_bad_num, cum_good_num, cum_bad_pct, cum_good_pct,
     avg_score, ks_value.  With ``balance`` the 13-column balance report.
-    Actions: the quantile edges (unless ``splits`` is given) and, when grouped
-    by ``by`` without declared ``groups``, one count of the cut-bucket list
-    (size check before broadcast).
+    ``table`` is a score table of ``df`` (grouped by ``by``, with this balance); it is built if not given,
+    in ``n_buckets`` ranges.  Actions: the score table, and a look whether a border cuts a tie.
     """
     by = list(by)
-    cols = [*by, score, target, key] + ([balance] if balance else [])
-    base = _restrict(df, by, groups).select(*cols)
-    splits = splits or compute_splits(base, score, key, n_buckets)
-    b = add_bucket(base, score, key, splits)
-
-    bad = F.col(target) == 1
-    good = F.col(target) == 0
-    measures = {
-        "n": F.count(F.lit(1)),
-        "bad": F.count(F.when(bad, 1)),
-        "good": F.count(F.when(good, 1)),
-        "ssum": F.sum(F.col(score)),
-        "scnt": F.count(F.col(score)),
-    }
-    if balance:
-        measures["bbal"] = F.coalesce(F.sum(F.when(bad, F.col(balance))), F.lit(0).cast("decimal(18,2)"))
-        measures["gbal"] = F.coalesce(F.sum(F.when(good, F.col(balance))), F.lit(0).cast("decimal(18,2)"))
-    names = list(measures)
-
-    stats = materialize(b.groupBy(*by, BUCKET).agg(*[v.alias(k) for k, v in measures.items()]))
-    st = bucket_offsets(stats, by, names)  # off_* and tot_* per bucket row
+    base = _restrict(df, by, groups)
+    table = table or score_table(base, score, target, by, balance, n_buckets, _n_groups(groups))
+    sums = measures(target, balance)
+    names = [c for c in sums if c not in ("pos", "neg")]
+    st = _restrict(table.rows, by, groups).withColumn("off_n", F.col("cum_n") - F.col("n"))
     st = st.withColumn("bin_len", F.expr(f"tot_n div {int(bins)}"))
     st = st.withColumn("first_bin", _bin_of("off_n", bins)).withColumn("last_bin", _bin_of("off_n + n - 1", bins))
     whole = F.col("first_bin").eqNullSafe(F.col("last_bin"))
-
-    whole_part = st.where(whole & F.col("first_bin").isNotNull()).select(
-        *by, F.col("first_bin").alias("bin"), *names
-    )
-    cut = st.where(~whole).select(*by, BUCKET, "off_n", "bin_len")
-    # At most bins + 1 cut buckets per group.
-    small = _small_side(cut, bins + 1, by, groups)
-    rows = b.join(small, on=[*by, BUCKET], how="inner")
-    w = order_within_bucket(by, score, key)
-    rows = rows.withColumn("pos", F.col("off_n") + F.row_number().over(w) - 1)
-    rows = rows.withColumn("bin", _bin_of("pos", bins)).where(F.col("bin").isNotNull())
-    cut_part = rows.groupBy(*by, "bin").agg(*[v.alias(k) for k, v in measures.items()])
-
-    per_bin = whole_part.unionByName(cut_part).groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in names])
-    # The first bucket of each group (offset 0) already carries the group totals.
-    totals = st.where(F.col("off_n") == 0).select(*by, *[f"tot_{c}" for c in names])
-    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    g = grid.join(per_bin, on=[*by, "bin"], how="left")
+    per_bin = st.where(whole & F.col("first_bin").isNotNull()).select(*by, F.col("first_bin").alias("bin"), *names)
+
+    cut = st.where(~whole).select(*by, SCORE, "off_n", "bin_len", F.col("n").alias("tied"))
+    most = cut.agg(F.max("tied")).first()[0]
+    if most is not None:
+        # at most `bins` cut scores per group
+        small = _small_side(cut, bins, by, groups)
+        rows = base.select(*by, clean_score(base, score).alias(SCORE), target, key, *([balance] if balance else []))
+        rows = null_safe_join(rows, small, [*by, SCORE])
+        if most <= TIED_ROWS:
+            ranked = rows.withColumn("idx", F.row_number().over(Window.partitionBy(*by, SCORE).orderBy(F.asc(key))) - 1)
+        else:  # a tie that is too large for one window is spread over ranges of the key
+            ranked = running_totals(rows, [*by, SCORE], [F.asc(key)], [], n_buckets)
+        ranked = ranked.withColumn("pos", F.col("off_n") + F.col("idx")).withColumn("bin", _bin_of("pos", bins))
+        cut_part = ranked.where(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(*[sums[c].alias(c) for c in names])
+        per_bin = per_bin.unionByName(cut_part)
+    per_bin = per_bin.groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in names])
+    # The first score of each group (offset 0) carries the group totals.
+    totals = st.where(F.col("off_n") == 0).select(*by, *[f"tot_{c}" for c in names if f"tot_{c}" in st.columns])
+    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)).cast("array<bigint>")))
+    g = null_safe_join(grid, per_bin, [*by, "bin"], "left")
     for c in names:
         g = g.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast(per_bin.schema[c].dataType)))
     wc = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -175,50 +161,30 @@ def roc_table(
     target: str = "target",
     key: str = "row_id",
     by: tuple[str, ...] | list[str] = (),
-    splits: OrderSplits | None = None,
+    table: ScoreTable | None = None,
     n_buckets: int | None = None,
     groups=None,
+    pos_label: int = 1,
 ) -> DataFrame:
     """One row per (by..., distinct score): pos, neg at that score and the
-    cumulative tp/fp at threshold >= score, plus group totals P and N.
+    cumulative tp/fp at threshold >= score, plus group totals P and N (rows without a score left out).
 
-    Rows are first collapsed to distinct scores (a hot tie becomes one row),
-    then the running sums run inside score-range buckets with bucket offsets.
-    """
+    Read off the score table (a hot tie is one row).  ``pos_label`` 0 takes class 0 for the positive one."""
+    if pos_label not in (0, 1):
+        raise ValueError("pos_label must be 0 or 1")
     by = list(by)
-    base = _restrict(df, by, groups).select(*by, score, target, key)
-    splits = splits or compute_splits(base, score, key, n_buckets)
-    b = add_bucket(base, score, key, splits, split_hot=False)
-    d = b.where(F.col(score).isNotNull()).groupBy(*by, BUCKET, score).agg(
-        F.count(F.when(F.col(target) == 1, 1)).alias("pos"),
-        F.count(F.when(F.col(target) == 0, 1)).alias("neg"),
-    )
-    stats = d.groupBy(*by, BUCKET).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    offs = bucket_offsets(stats, by, ["pos", "neg"]).select(
-        *by, BUCKET, "off_pos", "off_neg", F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N")
-    )
-    small = _small_side(offs, splits.max_bucket_ids(False), by, groups)
-    d = d.join(small, on=[*by, BUCKET], how="inner")
-    w = Window.partitionBy(*by, BUCKET).orderBy(F.desc(score)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return d.select(
-        *by,
-        score,
-        "pos",
-        "neg",
-        (F.col("off_pos") + F.sum("pos").over(w)).alias("tp"),
-        (F.col("off_neg") + F.sum("neg").over(w)).alias("fp"),
-        "P",
-        "N",
-    )
+    p, n = ("pos", "neg") if pos_label == 1 else ("neg", "pos")
+    table = table or score_table(_restrict(df, by, groups), score, target, by, None, n_buckets, _n_groups(groups))
+    return _restrict(table.rows, by, groups).where(F.col(SCORE).isNotNull()).select(
+        *by, F.col(SCORE).alias(score), F.col(p).alias("pos"), F.col(n).alias("neg"), F.col(f"cum_{p}").alias("tp"), F.col(f"cum_{n}").alias("fp"),
+        F.col(f"tot_{p}").alias("P"), F.col(f"tot_{n}").alias("N"), "idx", "_part")
 
 
-def roc_summary(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
+def roc_summary(df: DataFrame, score="score", target="target", key="row_id", by=(), table=None,
                 n_buckets=None, groups=None) -> DataFrame:
     """KS and AUC per group, exact (integer numerators in decimal(38,0))."""
     by = list(by)
-    t = roc_table(df, score, target, key, by, splits, n_buckets, groups)
+    t = roc_table(df, score, target, key, by, table, n_buckets, groups)
     dec = "decimal(38,0)"
     tp, fp = F.col("tp").cast(dec), F.col("fp").cast(dec)
     P, N = F.col("P").cast(dec), F.col("N").cast(dec)
@@ -233,11 +199,18 @@ def roc_summary(df: DataFrame, score="score", target="target", key="row_id", by=
     )
 
 
-def roc_points(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
-               n_buckets=None, groups=None) -> DataFrame:
-    """(threshold, tpr, fpr) per distinct score, as in the ROC curve."""
+def roc_points(df: DataFrame, score="score", target="target", key="row_id", by=(), table=None,
+               n_buckets=None, groups=None, thin: bool = False, pos_label: int = 1) -> DataFrame:
+    """(threshold, tpr, fpr) per distinct score, as in the ROC curve.
+
+    With ``thin`` points inside a straight piece are left out: a point stays if it is its group's first or last
+    or if the next score adds other counts than its own."""
     by = list(by)
-    t = roc_table(df, score, target, key, by, splits, n_buckets, groups)
+    t = roc_table(df, score, target, key, by, table, n_buckets, groups, pos_label)
+    if thin:
+        t = next_in_order(t, by, ["idx"], ["pos", "neg"])
+        turns = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        t = t.where((F.col("idx") == 0) | F.col("next_pos").isNull() | turns)
     return t.select(
         *by,
         F.col(score).alias("threshold"),
@@ -246,14 +219,14 @@ def roc_points(df: DataFrame, score="score", target="target", key="row_id", by=(
     )
 
 
-def ks_max(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
+def ks_max(df: DataFrame, score="score", target="target", key="row_id", by=(), table=None,
            groups=None) -> DataFrame:
-    return roc_summary(df, score, target, key, by, splits, groups=groups).select(*by, "ks")
+    return roc_summary(df, score, target, key, by, table, groups=groups).select(*by, "ks")
 
 
-def auc(df: DataFrame, score="score", target="target", key="row_id", by=(), splits=None,
+def auc(df: DataFrame, score="score", target="target", key="row_id", by=(), table=None,
         groups=None) -> DataFrame:
-    return roc_summary(df, score, target, key, by, splits, groups=groups).select(*by, "auc")
+    return roc_summary(df, score, target, key, by, table, groups=groups).select(*by, "auc")
 
 
 def top_capture(gains_df: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Model fitting and scoring with MLlib: robust scaling + boosted trees.
+"""Model fitting and scoring: robust scaling + boosted trees.
 
 The reference fits scikit-learn / XGBoost on one machine; here the pipeline is
-``VectorAssembler -> RobustScaler(5 %, 95 %) -> GBTClassifier`` so training and
-scoring are distributed.  MLlib's GBT has no L1/L2 leaf penalties: asking for
-``reg_alpha`` or ``reg_lambda`` is an error.
+``VectorAssembler -> RobustScaler(5 %, 95 %) -> boosted trees`` so training and
+scoring are distributed.  With L1 / L2 leaf penalties (``reg_alpha``, ``reg_lambda``; the demo's
+0.01 are the default) the trees are grown by ``operators.boosting``; with both None
+by MLlib's GBTClassifier.  Either way the fitted model is an MLlib pipeline.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.plans.quantiles import exact_quantiles
+from scorelens.operators.boosting import PenalisedGBT
+from scorelens.plans.selection import exact_quantiles
 from scorelens.spec import FeatureSpec
 
 #: The demo model's parameters, and the defaults of ``gbt_pipeline``.
-DEFAULTS = {"learning_rate": 0.1, "n_estimators": 200, "max_depth": 3, "subsample": 1.0, "lower": 0.05, "upper": 0.95}
+DEFAULTS = {"learning_rate": 0.1, "n_estimators": 200, "max_depth": 3, "subsample": 1.0, "lower": 0.05, "upper": 0.95,
+            "reg_alpha": 0.01, "reg_lambda": 0.01}
 
 
 def robust_scale_exact(df: DataFrame, cols, lower: float = 0.05, upper: float = 0.95,
@@ -41,17 +44,34 @@ def robust_scale_exact(df: DataFrame, cols, lower: float = 0.05, upper: float =
     return out
 
 
+@dataclass
+class BoostingPipeline:
+    """``fit(df)`` gives the fitted pipeline: assembler, scaler, trees."""
+
+    prepare: Pipeline
+    trees: GBTClassifier | PenalisedGBT
+
+    def fit(self, df: DataFrame) -> PipelineModel:
+        prepared = self.prepare.fit(df)
+        return PipelineModel([*prepared.stages, self.trees.fit(prepared.transform(df))])
+
+
 def gbt_pipeline(features, label: str = "target", learning_rate: float = 0.1, n_estimators: int = 200,
                  max_depth: int = 3, subsample: float = 1.0, seed: int = 1, lower: float = 0.05,
-                 upper: float = 0.95, **unsupported) -> Pipeline:
-    if unsupported:
-        raise ValueError(f"MLlib's boosted trees have no {', '.join(sorted(unsupported))}")
+                 upper: float = 0.95, reg_alpha: float | None = 0.01, reg_lambda: float | None = 0.01, **more) -> BoostingPipeline:
+    """Scaling and boosted trees.  A penalty of None means 0 beside one that is given; both None: MLlib's own trees.
+    ``more`` (min_child_weight, bins) goes to ``PenalisedGBT``."""
     asm = VectorAssembler(inputCols=list(features), outputCol="_features_raw", handleInvalid="keep")
     scaler = RobustScaler(inputCol="_features_raw", outputCol="_features", lower=lower, upper=upper,
                           withCentering=True, withScaling=True)
-    gbt = GBTClassifier(featuresCol="_features", labelCol=label, stepSize=learning_rate, maxIter=n_estimators,
-                        maxDepth=max_depth, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=[asm, scaler, gbt])
+    if reg_alpha is None and reg_lambda is None:
+        if more:
+            raise ValueError(f"MLlib's boosted trees have no {', '.join(sorted(more))}")
+        trees = GBTClassifier(featuresCol="_features", labelCol=label, stepSize=learning_rate, maxIter=n_estimators,
+                              maxDepth=max_depth, subsamplingRate=subsample, seed=seed)
+    else:
+        trees = PenalisedGBT("_features", label, learning_rate, n_estimators, max_depth, subsample, reg_alpha or 0.0, reg_lambda or 0.0, seed=seed, **more)
+    return BoostingPipeline(Pipeline(stages=[asm, scaler]), trees)
 
 
 def score_rows(model: PipelineModel, df: DataFrame, out: str = "model_score") -> DataFrame:

@@ -8,6 +8,9 @@ band j holds x with edge_j >= x > edge_{j+1} (the last band is closed on both
 ends), shares are over *all* rows of each side (so rows outside the compared
 sample's range fall in no band), and a band whose share is 0 on either side
 costs exactly 1.
+
+Reports take a score table (``plans.scoretable``), so that several of them read the rows
+once between them.  A NaN score is a missing one: in no band, range or histogram.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from scorelens.functions.bands import score_band
 from scorelens.plans.broadcast import bounded_broadcast, checked_broadcast
-from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, compute_splits
+from scorelens.plans.prefix import null_safe_join
+from scorelens.plans.scoretable import SCORE, ScoreTable, score_table
 
 DIGITS = 10
 
@@ -27,16 +31,15 @@ def _r(c):
 
 
 def score_distribution(df: DataFrame, score="score", sample_col="sample", samples=("dev", "val", "oft1", "oft2", "oft3"),
-                       n_bands: int = 20) -> DataFrame:
+                       n_bands: int = 20, table: ScoreTable | None = None) -> DataFrame:
     """Band counts per sample pivoted by band (absent -> 0) and each sample's share.
 
     Bands that no sample hits do not appear (value_counts semantics); rows
-    without a band are not counted.
+    without a band are not counted.  ``table`` (by ``sample_col``) stands for the rows of ``df``.
     """
-    b = df.select(score_band(score, n_bands).alias("band"), F.col(sample_col).alias("_s")).where(
-        F.col("band").isNotNull()
-    )
-    p = b.groupBy("band").pivot("_s", list(samples)).count()
+    x, n = (score, F.lit(1)) if table is None else (SCORE, F.col("n"))
+    src = (df if table is None else table.rows).select(score_band(x, n_bands).alias("band"), F.col(sample_col).alias("_s"), n.alias("_n"))
+    p = src.where(F.col("band").isNotNull()).groupBy("band").pivot("_s", list(samples)).agg(F.sum("_n"))
     p = p.na.fill(0, subset=list(samples))
     w = Window.partitionBy()  # <= n_bands rows
     out = [F.col("band")]
@@ -54,50 +57,25 @@ def band_counts(df: DataFrame, score="score", n_bands: int = 20, by=()) -> DataF
 # --- PSI --------------------------------------------------------------------------------------
 
 
-def _order_statistics(dev: DataFrame, score: str, key: str, positions: list[int], sp) -> dict[int, float]:
-    """Scores at 0-based positions of the descending order (exact).
+def psi_edges(table: ScoreTable, base="dev", others=("val",), k: int = 10) -> tuple[dict[str, list], int, dict[str, int]]:
+    """(edges per compared sample, base size, rows per compared sample): one action over the score table that returns
+    a row for each wanted position and each sample.
 
-    Distinct scores are counted per score-range bucket, bucket offsets give each
-    distinct score its [start, end) range, and each wanted position is matched
-    to the range holding it.  Result: one value per wanted position (bounded).
-    """
-    if not positions:
-        return {}
-    b = add_bucket(dev.select(score, key), score, key, sp, split_hot=False)
-    d = b.where(F.col(score).isNotNull()).groupBy(BUCKET, score).agg(F.count(F.lit(1)).alias("c"))
-    stats = d.groupBy(BUCKET).agg(F.sum("c").alias("c"))
-    offs = bucket_offsets(stats, [], ["c"]).select(BUCKET, "off_c")
-    w = Window.partitionBy(BUCKET).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per bucket id: bounded by the collected edges, no count needed
-    d = d.join(bounded_broadcast(offs, sp.max_bucket_ids(False)), BUCKET).withColumn(
-        "end", F.col("off_c") + F.sum("c").over(w))
-    d = d.withColumn("start", F.col("end") - F.col("c"))
-    pos = sorted(set(positions))
-    arr = F.array(*[F.lit(p) for p in pos])
-    hit = d.select(score, F.explode(F.filter(arr, lambda p: (p >= F.col("start")) & (p < F.col("end")))).alias("p"))
-    return {int(r["p"]): float(r[score]) for r in hit.collect()}
-
-
-def psi_edges(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev", others=("val",),
-              k: int = 10) -> tuple[dict[str, list[float]], int]:
-    """Edges per compared sample and the base size (actions; k+1 doubles per sample)."""
-    is_dev = F.col(sample_col) == base
-    # One pass: edges of the base scores, the base size, and each compared sample's range.
-    extra = {}
-    for i, s in enumerate(others):
-        hit = F.col(sample_col) == s
-        extra[f"mx{i}"] = F.max(F.when(hit, F.col(score)))
-        extra[f"mn{i}"] = F.min(F.when(hit, F.col(score)))
-        extra[f"c{i}"] = F.count(F.when(hit, 1))
-    sp = compute_splits(df.select(sample_col, score, key), score, key, extra=extra, where=is_dev)
-    dev = df.where(is_dev)
-    n_dev = sp.n_rows
-    m = n_dev // k
-    wanted = [m * (i + 1) for i in range(k - 1)] if n_dev else []
-    stats = _order_statistics(dev, score, key, wanted, sp)
-    inner = [stats.get(p) for p in wanted] or [None] * (k - 1)
-    ext = {s: (sp.get(f"mx{i}"), sp.get(f"mn{i}")) for i, s in enumerate(others) if sp.get(f"c{i}")}
-    return {s: [ext[s][0]] + inner + [ext[s][1]] for s in others if s in ext}, n_dev
+    The wanted positions of the base are read off the running totals: a score covers [cum_n - n, cum_n)."""
+    sample = F.col(table.by[0])
+    wanted = [F.struct(F.lit(i).alias("i"), F.expr(f"(tot_n div {int(k)}) * {i}").alias("p")) for i in range(1, k)]
+    wanted = F.array(*wanted).cast("array<struct<i:int,p:bigint>>")
+    held = F.filter(wanted, lambda x: (x["p"] >= F.col("cum_n") - F.col("n")) & (x["p"] < F.col("cum_n")))
+    marks = F.transform(held, lambda x: F.struct(x["i"].alias("i"), F.col(SCORE).cast("double").alias("v")))
+    marks = F.flatten(F.collect_list(F.when(sample == base, marks))).alias("marks")
+    ends = [F.max(SCORE).alias("mx"), F.min(SCORE).alias("mn"), F.sum("n").alias("rows")]
+    got = {r["s"]: r for r in table.of([base, *others]).groupBy(sample.alias("s")).agg(*ends, marks).collect()}
+    n_dev = int(got[base]["rows"]) if base in got else 0
+    inner: list = [None] * (k - 1)
+    for m in got[base]["marks"] if n_dev else []:
+        inner[m["i"] - 1] = m["v"]
+    found = [s for s in others if s in got]
+    return {s: [got[s]["mx"], *inner, got[s]["mn"]] for s in found}, n_dev, {s: int(got[s]["rows"]) for s in found}
 
 
 def _band_expr(x: Column, sep: list[float]) -> Column:
@@ -113,76 +91,64 @@ def _band_expr(x: Column, sep: list[float]) -> Column:
 
 
 def score_psi(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev", others=("val",),
-              k: int = 10) -> DataFrame:
+              k: int = 10, target="target", table: ScoreTable | None = None) -> DataFrame:
     """Band table per compared sample: (sample, band, hi, lo, dev_share, cmp_share, term, psi).
 
-    A compared sample without rows has one row, null but for its name."""
+    ``table`` (by ``sample_col``) stands for the rows of ``df``; it is built if not given.  Counts
+    come from one pass over it: each score counts once for its own sample and, if it is the base's, once for
+    every comparison.  A compared sample without rows has one row, null but for its name."""
     spark = df.sparkSession
-    others = [s for s in others]
-    edges, n_dev = psi_edges(df, score, key, sample_col, base, others, k)
+    others = list(others)
+    table = table or score_table(df.where(F.col(sample_col).isin(base, *others)), score, target, [sample_col], groups=len(others) + 1)
+    edges, n_dev, n_cmp = psi_edges(table, base, others, k)
     schema = "sample string, band int, hi double, lo double, dev_share double, cmp_share double, term double, psi double"
     absent = spark.createDataFrame([(s, *[None] * 7) for s in others if s not in edges], schema)
     if not edges:
         return absent
-    x = F.col(score)
-    # Compared rows: band by their own sample's edges.
-    cmp_band = None
-    for s, sep in edges.items():
-        e = _band_expr(x, sep)
-        cmp_band = F.when(F.col(sample_col) == s, e) if cmp_band is None else cmp_band.when(F.col(sample_col) == s, e)
-    cmp = df.where(F.col(sample_col).isin(list(edges))).select(F.col(sample_col).alias("sample"),
-                                                               cmp_band.alias("band"))
-    cmp_counts = cmp.groupBy("sample").agg(F.count(F.lit(1)).alias("n_cmp"))
-    cmp_band_counts = cmp.where(F.col("band").isNotNull()).groupBy("sample", "band").agg(
-        F.count(F.lit(1)).alias("c_cmp"))
-    # Base rows: one band per compared sample (ends differ), stacked.
-    dev = df.where(F.col(sample_col) == base)
-    dev_b = dev.select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias("sample"), _band_expr(x, sep).alias("band")) for s, sep in edges.items()
-    ])).alias("t")).select("t.sample", "t.band")
-    dev_band_counts = dev_b.where(F.col("band").isNotNull()).groupBy("sample", "band").agg(
-        F.count(F.lit(1)).alias("c_dev"))
-    grid_rows = [(s, j, float(sep[j]) if sep[j] is not None else None,
-                  float(sep[j + 1]) if sep[j + 1] is not None else None)
-                 for s, sep in edges.items() for j in range(k)]
-    grid = spark.createDataFrame(grid_rows, "sample string, band int, hi double, lo double")
-    g = (grid.join(cmp_band_counts, ["sample", "band"], "left")
-         .join(dev_band_counts, ["sample", "band"], "left")
-         .join(cmp_counts, "sample", "left"))
+    x, own = F.col(SCORE), F.col(table.by[0])
+    sides = F.array(*[F.when(own.isin(base, s), F.struct(F.lit(s).alias("sample"), _band_expr(x, sep).alias("band"))) for s, sep in edges.items()])
+    placed = table.of([base, *edges]).select(own.alias("_own"), "n", F.explode(F.filter(sides, lambda t: t["band"].isNotNull())).alias("t"))
+    counts = placed.groupBy("t.sample", "t.band").agg(
+        F.sum(F.when(F.col("_own") == base, F.col("n"))).alias("c_dev"), F.sum(F.when(F.col("_own") != base, F.col("n"))).alias("c_cmp"))
+    number = lambda v: None if v is None else float(v)
+    grid_rows = [(s, j, number(sep[j]), number(sep[j + 1]), n_cmp[s]) for s, sep in edges.items() for j in range(k)]
+    grid = spark.createDataFrame(grid_rows, "sample string, band int, hi double, lo double, n_cmp long")
+    g = grid.join(counts, ["sample", "band"], "left")
     ds = F.coalesce(F.col("c_dev"), F.lit(0)) / F.lit(float(n_dev) if n_dev else None)
     vs = F.coalesce(F.col("c_cmp"), F.lit(0)) / F.col("n_cmp")
     term = F.when((ds == 0) | (vs == 0), F.lit(1.0)).otherwise((ds - vs) * F.log(ds / vs))
     g = g.select("sample", "band", "hi", "lo", _r(ds).alias("dev_share"), _r(vs).alias("cmp_share"),
                  _r(term).alias("term"), term.alias("_t"))
-    w = Window.partitionBy("sample")
+    w = Window.partitionBy("sample")  # k rows
     return g.withColumn("psi", _r(F.sum("_t").over(w))).drop("_t").unionByName(absent)
 
 
 def psi_monitor(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev",
-                others=("val", "oft1", "oft2", "oft3"), k: int = 20) -> DataFrame:
+                others=("val", "oft1", "oft2", "oft3"), k: int = 20, target="target", table: ScoreTable | None = None) -> DataFrame:
     """PSI of the base sample against each other sample: (sample, psi)."""
-    t = score_psi(df, score, key, sample_col, base, others, k)
+    t = score_psi(df, score, key, sample_col, base, others, k, target, table)
     return t.groupBy("sample").agg(F.first("psi").alias("psi"))
 
 
 # --- histogram --------------------------------------------------------------------------------
 
 
-def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20, groups=None) -> DataFrame:
+def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20, groups=None, target="target",
+                    table: ScoreTable | None = None) -> DataFrame:
     """Density histogram, equal width between each group's own min and max.
 
     numpy's rule: bins left-closed, last bin closed; edges j*step + min with
     step = (max-min)/bins and the last edge = max; index from
     ((x-min)/(max-min))*bins, then corrected against the edges.  min == max
-    widens the range by 0.5 on both sides.
+    widens the range by 0.5 on both sides.  Missing (null, NaN) and infinite scores are left
+    out; a group with no other score has no rows.  ``table`` (by ``by``) stands for the rows of ``df``.
     """
     by = list(by)
-    x = F.col(score)
-    if groups is not None:
-        df = df.where(F.col(by[0]).isin(list(groups)))
-    ext = df.where(x.isNotNull()).groupBy(*by).agg(F.min(score).alias("mn0"), F.max(score).alias("mx0"),
-                                                  F.count(score).alias("n"))
-    ext = ext.select(*by, "n",
+    table = table or score_table(df if groups is None else df.where(F.col(by[0]).isin(list(groups))), score, target, by, groups=None if groups is None else len(list(groups)))
+    x = F.col(SCORE).cast("double")
+    rows = (table.rows if groups is None else table.of(groups)).where(F.abs(x) < float("inf")).select(*by, x.alias(SCORE), "n")
+    ext = rows.groupBy(*by).agg(F.min(SCORE).alias("mn0"), F.max(SCORE).alias("mx0"), F.sum("n").alias("rows"))
+    ext = ext.select(*by, "rows",
                      F.when(F.col("mn0") == F.col("mx0"), F.col("mn0") - 0.5).otherwise(F.col("mn0")).alias("mn"),
                      F.when(F.col("mn0") == F.col("mx0"), F.col("mx0") + 0.5).otherwise(F.col("mx0")).alias("mx"))
     ext = ext.withColumn("step", (F.col("mx") - F.col("mn")) / F.lit(float(bins)))
@@ -192,18 +158,18 @@ def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20
 
     # one row per group: a proven bound when the groups are declared
     small = bounded_broadcast(ext, len(list(groups))) if groups is not None else checked_broadcast(ext)
-    rows = df.where(x.isNotNull()).select(*by, score).join(small, by)
+    x = F.col(SCORE)
+    rows = null_safe_join(rows, small, by)
     f = ((x - F.col("mn")) / (F.col("mx") - F.col("mn"))) * F.lit(float(bins))
     i0 = f.cast("int")
-    i1 = F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0)
-    rows = rows.withColumn("_i", i1)
+    rows = rows.withColumn("_i", F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0))
     rows = rows.withColumn("_i", F.when(x < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
     rows = rows.withColumn("_i", F.when((x >= edge(F.col("_i") + 1)) & (F.col("_i") != bins - 1),
                                         F.col("_i") + 1).otherwise(F.col("_i")))
-    counts = rows.groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("cnt"))
-    grid = ext.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    g = grid.join(counts, [*by, "_i"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    counts = rows.groupBy(*by, "_i").agg(F.sum("n").alias("cnt"))
+    grid = small.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    g = null_safe_join(grid, counts, [*by, "_i"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     lo, hi = edge(F.col("_i")), edge(F.col("_i") + 1)
     return g.select(*by, (F.col("_i") + 1).cast("int").alias("bin"), _r(lo).alias("lo"), _r(hi).alias("hi"),
                     F.col("cnt").cast("long").alias("count"),
-                    _r(F.col("cnt") / (hi - lo) / F.col("n")).alias("density"))
+                    _r(F.col("cnt") / (hi - lo) / F.col("rows")).alias("density"))

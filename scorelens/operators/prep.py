@@ -46,6 +46,18 @@ def _missing(f: T.StructField):
     return c.isNull()
 
 
+#: Bits of the integral types.
+BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _holds(kind: T.DataType, number: float) -> bool:
+    """Whether a whole number fits an integral or decimal type."""
+    if isinstance(kind, T.DecimalType):
+        return abs(int(number)) < 10 ** (kind.precision - kind.scale)
+    most = 2 ** (BITS[type(kind)] - 1)
+    return -most <= int(number) < most
+
+
 def fill_constant(df: DataFrame, value=0) -> DataFrame:
     """Every missing cell of every column -> value.
 
@@ -62,10 +74,10 @@ def fill_constant(df: DataFrame, value=0) -> DataFrame:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
             c = F.when(_missing(f), F.lit(text)).otherwise(c)
-        elif isinstance(f.dataType, (T.IntegralType, T.DecimalType)) and not whole:
+        elif isinstance(f.dataType, (T.IntegralType, T.DecimalType)) and not (whole and _holds(f.dataType, number)):
             c = F.when(_missing(f), F.lit(float(number))).otherwise(c.cast("double"))
         elif isinstance(f.dataType, T.NumericType):
-            c = F.when(_missing(f), F.lit(number).cast(f.dataType)).otherwise(c)
+            c = F.when(_missing(f), F.lit(int(number) if whole and isinstance(f.dataType, T.IntegralType) else number).cast(f.dataType)).otherwise(c)
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -2,9 +2,8 @@
 (single-variable) analysis.
 
 Numeric columns are unpivoted so one job covers all of them.  Quantiles are
-exact by default (``plans.quantiles``: bucketed order statistics, never a
-whole column in one task); ``approx=True`` uses ``percentile_approx`` in the
-same single pass instead.
+exact by default (``plans.selection``: only the cells that hold a wanted rank are
+narrowed, no row is shuffled or sorted); ``approx=True`` uses KLL sketches instead.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.plans.broadcast import checked_broadcast
-from scorelens.plans.quantiles import exact_quantiles
+from scorelens.plans.selection import column_spans, kll_quantiles, select_quantiles
 
 DIGITS = 10
 MOMENT_DIGITS = 6  # report precision of mean / std / quantiles / bin edges (values can be large)
@@ -29,42 +28,37 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 
 
 def describe(df: DataFrame, cols=None, probs=(0.01, 0.25, 0.5, 0.75, 0.99), approx: bool = False) -> DataFrame:
-    """One row per numeric column: dtype, count, mean, std, min, quantiles, max."""
+    """One row per numeric column: dtype, count, mean, std, min, quantiles, max.
+
+    Two actions: moments with ranges, and the rank selection of the quantiles (``plans.selection``).
+    ``approx`` takes the quantiles from KLL sketches instead, merged in two steps."""
     spark = df.sparkSession
     cols = list(cols) if cols is not None else numeric_columns(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(clean[c]).alias(f"n{i}"), F.avg(clean[c]).alias(f"m{i}"),
-                 F.stddev_samp(clean[c]).alias(f"s{i}"), F.min(clean[c]).alias(f"lo{i}"),
-                 F.max(clean[c]).alias(f"hi{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(clean[c], list(probs), 100_000).alias(f"q{i}"))
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"), F.col(f"n{i}").alias("count"),
-        F.round(F.col(f"m{i}"), MOMENT_DIGITS).alias("mean"), F.round(F.col(f"s{i}"), MOMENT_DIGITS).alias("std"),
-        F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-        *([F.col(f"q{i}").alias("q")] if approx else []),
-    ) for i, c in enumerate(cols)])
-    long = one.select(F.explode(rows).alias("r")).select("r.*")
-    if approx:
-        qcols = [F.round(F.col("q")[j], MOMENT_DIGITS).alias(_pname(p)) for j, p in enumerate(probs)]
-        return long.select("column_name", "dtype", "count", "mean", "std", "min", *qcols, "max")
-    qs = exact_quantiles(df, cols, probs)
-    qrows = [(c, *[None if v is None else round(float(v), MOMENT_DIGITS) for v in qs[c]]) for c in cols]
-    schema = "column_name string, " + ", ".join(f"{_pname(p)} double" for p in probs)
-    qdf = spark.createDataFrame(qrows, schema)  # one row per column: bounded
-    return long.join(qdf, "column_name").select("column_name", "dtype", "count", "mean", "std", "min",
-                                                *[_pname(p) for p in probs], "max")
-
-
-def class_balance(df: DataFrame, target: str = "target", by=("sample",)) -> DataFrame:
-    """(by..., num_good, num_bad, bad_rate); an absent class counts 0."""
+    moments = [a for i, c in enumerate(cols) for a in (F.avg(clean[c]).alias(f"m{i}"), F.stddev_samp(clean[c]).alias(f"s{i}"))]
+    span, row = column_spans(df, clean, moments)
+    qs = kll_quantiles(df, clean, probs) if approx else select_quantiles(df, clean, probs, span)
+    num = lambda v: None if v is None else float(v)
+    short = lambda v: None if v is None else round(float(v), MOMENT_DIGITS)
+    rows = [(c, types[c], span[c].n, short(row[f"m{i}"]), short(row[f"s{i}"]), num(span[c].low), *map(short, qs[c]), num(span[c].high))
+            for i, c in enumerate(cols)]
+    names = ", ".join(f"{_pname(p)} double" for p in probs)
+    return spark.createDataFrame(rows, f"column_name string, dtype string, count long, mean double, std double, min double, {names}, max double")
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """(position, column_name, dtype) of every column."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, dtype string")
+
+
+def class_balance(df: DataFrame, target: str = "target", by=("sample",), counted: bool = False) -> DataFrame:
+    """(by..., num_good, num_bad, bad_rate); an absent class counts 0.  ``counted``: ``df`` has
+    columns good and bad (a score table) instead of a row per target."""
     by = list(by)
-    g = df.groupBy(*by).agg(F.count(F.when(F.col(target) == 0, 1)).alias("num_good"),
-                            F.count(F.when(F.col(target) == 1, 1)).alias("num_bad"))
+    good, bad = (F.sum("good"), F.sum("bad")) if counted else (F.count(F.when(F.col(target) == 0, 1)), F.count(F.when(F.col(target) == 1, 1)))
+    g = df.groupBy(*by).agg(good.alias("num_good"), bad.alias("num_bad"))
     return g.withColumn("bad_rate", F.round(F.try_divide(F.col("num_bad").cast("double"),
                                                          F.col("num_bad") + F.col("num_good")), DIGITS))
 

@@ -3,17 +3,8 @@
 For each minority row, N/100 synthetic points x + u * (nn - x) are drawn, nn
 among its k nearest minority neighbours (Euclidean, ties by id).
 
-Neighbour search starts small: points are ranked along a few
-random unit projections (exact global positions from ``plans.ordering``), and
-each point's candidates are its neighbours within a window of w positions in
-each projection.  Because a unit projection never increases distances, a point
-is *resolved* once, for some projection, the points just outside its window
-are farther away in projection than its current k-th candidate distance: no
-point outside the window can then be closer.  Unresolved points go to another
-round with the window doubled, so the result is exact and the work per point
-grows only with the local density it needs.  The window that proves exactness
-grows with the number of features: with about eight or more it nears the whole
-minority class, and the search then costs its square.  Identical vectors are collapsed
+Neighbours come from ``operators.neighbours``: cells around pivots, compared only where the triangle
+inequality can't part them.  Identical vectors are collapsed
 first (a hot duplicate is one point with a count).
 
 The neighbour index and u come from xxhash64(id, j, seed), so reruns agree.
@@ -22,77 +13,11 @@ Originals and the label are kept; synthetic rows carry ``is_synthetic``.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.plans.broadcast import bounded_broadcast, materialize
-from scorelens.plans.ordering import BUCKET, add_bucket, bucket_offsets, compute_splits
-
-PROJECTIONS = 3
-
-
-def _positions(long: DataFrame, n_proj: int) -> DataFrame:
-    """(t, pid, p, pos): exact 0-based rank of each point along projection t."""
-    sp = compute_splits(long, "p", "pid")
-    b = add_bucket(long, "p", "pid", sp)
-    stats = b.groupBy("t", BUCKET).agg(F.count(F.lit(1)).alias("c"))
-    offs = bucket_offsets(stats, ["t"], ["c"]).select("t", BUCKET, "off_c")
-    rows = b.join(bounded_broadcast(offs, n_proj * sp.max_bucket_ids(True)), ["t", BUCKET])
-    w = Window.partitionBy("t", BUCKET).orderBy(F.desc("p"), "pid")
-    return rows.select("t", "pid", "p", (F.col("off_c") + F.row_number().over(w) - 1).alias("pos"))
-
-
-def knn(points: DataFrame, feats: list[str], k: int = 5, seed: int = 1, n_proj: int = PROJECTIONS,
-        window: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours among ``points`` (pid, feats...): (pid, cid, d, r)."""
-    d = len(feats)
-    rng = np.random.RandomState(seed)
-    dirs = rng.normal(size=(n_proj, d))
-    dirs = dirs / np.maximum(np.linalg.norm(dirs, axis=1, keepdims=True), 1e-300)
-    proj = [sum((F.col(f) * float(dirs[t, i]) for i, f in enumerate(feats)), F.lit(0.0)) for t in range(n_proj)]
-    long = points.select("pid", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), proj[t].alias("p"))
-                                                    for t in range(n_proj)])).alias("q")).select("pid", "q.*")
-    P = materialize(_positions(long, n_proj))
-    n = P.where(F.col("t") == 0).count()
-    V = points.select("pid", *[F.col(f).alias(f"x{i}") for i, f in enumerate(feats)])
-    W = points.select(F.col("pid").alias("cid"), *[F.col(f).alias(f"y{i}") for i, f in enumerate(feats)])
-    dist = F.sqrt(sum(((F.col(f"x{i}") - F.col(f"y{i}")) ** 2 for i in range(d)), F.lit(0.0)))
-
-    todo = P.select("pid").distinct()
-    w = max(int(window or 2 * k), 1)
-    done = []
-    while True:
-        todo = materialize(todo)
-        if todo.count() == 0:
-            break
-        ux = P.join(todo, "pid")
-        cand = (ux.select("t", "pid", "pos", F.explode(F.sequence(F.lit(-w), F.lit(w))).alias("dl"))
-                .where(F.col("dl") != 0)
-                .select("t", "pid", (F.col("pos") + F.col("dl")).alias("cpos"))
-                .where((F.col("cpos") >= 0) & (F.col("cpos") < n))
-                .join(P.select("t", F.col("pos").alias("cpos"), F.col("pid").alias("cid")), ["t", "cpos"])
-                .select("pid", "cid").distinct())
-        scored = cand.join(V, "pid").join(W, "cid").select("pid", "cid", dist.alias("d"))
-        rw = Window.partitionBy("pid").orderBy("d", "cid")
-        top = scored.withColumn("r", F.row_number().over(rw)).where(F.col("r") <= k)
-        dk = top.groupBy("pid").agg(F.max("d").alias("dk"), F.count(F.lit(1)).alias("nk"))
-        # Points just outside the window along each projection.
-        edge = (ux.select("t", "pid", "p", (F.col("pos") - w - 1).alias("lo"), (F.col("pos") + w + 1).alias("hi"))
-                .join(P.select("t", F.col("pos").alias("lo"), F.col("p").alias("p_lo")), ["t", "lo"], "left")
-                .join(P.select("t", F.col("pos").alias("hi"), F.col("p").alias("p_hi")), ["t", "hi"], "left")
-                .join(dk, "pid", "left"))
-        full = F.coalesce(F.col("nk"), F.lit(0)) >= k
-        lo_ok = F.col("p_lo").isNull() | (full & (F.abs(F.col("p_lo") - F.col("p")) > F.col("dk")))
-        hi_ok = F.col("p_hi").isNull() | (full & (F.abs(F.col("p_hi") - F.col("p")) > F.col("dk")))
-        status = materialize(edge.groupBy("pid").agg(F.max((lo_ok & hi_ok).cast("int")).alias("ok")))
-        done.append(top.join(status.where("ok = 1").select("pid"), "pid"))
-        todo = status.where("ok = 0").select("pid")
-        w *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+from scorelens.operators.neighbours import knn
+from scorelens.plans.broadcast import materialize
 
 
 def smote(df: DataFrame, features, target: str = "target", key: str = "row_id", n: int = 100, k: int = 5,

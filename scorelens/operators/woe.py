@@ -15,11 +15,14 @@ Four zero rules live here, on purpose not shared:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.plans.broadcast import materialize
+from scorelens.plans.prefix import running_totals, with_totals
 
 DIGITS = 10
+CELLS = ["good", "bad"]
 
 
 def _r(c):
@@ -61,10 +64,14 @@ def checked_target(df: DataFrame, target: str) -> DataFrame:
 def woe_map(df: DataFrame, features, target: str) -> DataFrame:
     """(feature, level, n, bad, good, woe) with woe = ln(b*G/B/g), where
     g = n - b and each of b, g, B, G is replaced by 1 when it is 0.
-    A null level is an ordinary level with its true counts."""
+    A null level is an ordinary level with its true counts.  A target of one class only (or none) raises, in
+    the query that reads the map: there is nothing to weigh."""
     c = level_counts(checked_target(df, target), features, target)
     # totals by aggregation and join: the levels of one feature need not meet in a task
     totals = c.groupBy("feature").agg(F.sum("bad").alias("_B"), F.sum("good").alias("_G"))
+    one_class = F.raise_error(F.lit(f"target {target} must take both values 0 and 1")).cast("long")
+    both = (F.col("_B") > 0) & (F.col("_G") > 0)
+    totals = totals.select("feature", F.when(both, F.col("_B")).otherwise(one_class).alias("_B"), "_G")
     c = c.join(F.broadcast(totals), "feature")  # one row per named feature
     B, G = F.col("_B"), F.col("_G")
     b = F.col("bad")
@@ -116,38 +123,52 @@ def woe_fit_apply(train: DataFrame, apply: DataFrame, features, target: str, fil
     return woe_apply(apply, woe_map(train, features, target), features, fill=0.0, fill_all=fill_all)
 
 
-def category_stats(df: DataFrame, features, target: str, by=()) -> DataFrame:
+def category_stats(df: DataFrame, features, target: str, by=(), cumulative: bool = False) -> DataFrame:
     """(by..., feature, level, good, bad, bad_ratio, idx): levels sorted by bad
     ratio (ties by level), idx from 0.  Null levels drop out (group-by of the
-    reference drops them); only rows with target 0/1 count."""
+    reference drops them); only rows with target 0/1 count.
+
+    The order is by ranges (``plans.prefix``), so the levels of one feature are spread over
+    tasks.  ``cumulative`` adds cum_good, cum_bad, tot_good and tot_bad."""
     by = list(by)
     src = df.where(F.col(target).isin(0, 1))
     c = level_counts(src, features, target, by).where(F.col("level").isNotNull())
-    c = c.withColumn("bad_ratio", F.col("bad") / (F.col("bad") + F.col("good")))
-    w = Window.partitionBy(*by, "feature").orderBy("bad_ratio", "level")
-    return c.select(*by, "feature", "level", "good", "bad", "bad_ratio",
-                    (F.row_number().over(w) - 1).alias("idx"))
+    c = c.select(*by, "feature", "level", "good", "bad", (F.col("bad") / (F.col("bad") + F.col("good"))).alias("bad_ratio"))
+    out = running_totals(c, [*by, "feature"], ["bad_ratio", "level"], CELLS if cumulative else [], groups=None if by else len(list(features)))
+    sums = [f"{s}_{x}" for s in ("cum", "tot") for x in CELLS] if cumulative else []
+    return out.select(*by, "feature", "level", "good", "bad", "bad_ratio", F.col("idx").cast("int").alias("idx"), *sums)
+
+
+def _with_cumulative(stats: DataFrame, keys, order_col: str) -> DataFrame:
+    if {f"cum_{x}" for x in CELLS} <= set(stats.columns):
+        return stats
+    return running_totals(stats.drop("idx") if order_col != "idx" else stats.withColumnRenamed("idx", "_place"), keys,
+                          [order_col if order_col != "idx" else "_place"], CELLS)
+
+
+def _ks_term():
+    return F.abs(F.try_divide("cum_good", "tot_good") - F.try_divide("cum_bad", "tot_bad"))
+
+
+def _iv_term():
+    """ln(b%/g%)(b% - g%), null where a share is zero."""
+    gp, bp = F.col("good") / F.col("tot_good"), F.col("bad") / F.col("tot_bad")
+    return F.when((F.col("good") != 0) & (F.col("bad") != 0), F.log(bp / gp) * (bp - gp))
 
 
 def grouped_ks(stats: DataFrame, by=(), order_col: str = "idx", part=("feature",)) -> DataFrame:
-    """max |cum good share - cum bad share| over rows in ``order_col`` order."""
+    """max |cum good share - cum bad share| over rows in ``order_col`` order (cumulative columns
+    of ``category_stats`` are used if ``stats`` has them)."""
     keys = list(by) + list(part)
-    wc = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wa = Window.partitionBy(*keys)
-    k = F.abs(F.sum("good").over(wc) / F.sum("good").over(wa) - F.sum("bad").over(wc) / F.sum("bad").over(wa))
-    return stats.select(*keys, k.alias("_k")).groupBy(*keys).agg(_r(F.max("_k")).alias("ks"))
+    return _with_cumulative(stats, keys, order_col).groupBy(*keys).agg(_r(F.max(_ks_term())).alias("ks"))
 
 
-def grouped_iv(stats: DataFrame, by=(), part=("feature",)) -> DataFrame:
+def grouped_iv(stats: DataFrame, by=(), part=("feature",), groups: int | None = None) -> DataFrame:
     """Sum of ln(b%/g%)(b% - g%) over rows whose shares are both non-zero;
-    shares are over all rows of the group."""
+    shares are over all rows of the group.  ``groups`` bounds the number of groups, if known."""
     keys = list(by) + list(part)
-    wa = Window.partitionBy(*keys)
-    s = stats.select(*keys, (F.col("good") / F.sum("good").over(wa)).alias("gp"),
-                     (F.col("bad") / F.sum("bad").over(wa)).alias("bp"))
-    term = F.when((F.col("gp") != 0) & (F.col("bp") != 0),
-                  F.log(F.col("bp") / F.col("gp")) * (F.col("bp") - F.col("gp")))
-    return s.groupBy(*keys).agg(_r(F.coalesce(F.sum(term), F.lit(0.0))).alias("iv"))
+    s = stats if {f"tot_{x}" for x in CELLS} <= set(stats.columns) else with_totals(stats.select(*keys, *CELLS), keys, CELLS, groups)
+    return s.groupBy(*keys).agg(_r(F.coalesce(F.sum(_iv_term()), F.lit(0.0))).alias("iv"))
 
 
 def category_psi(build: DataFrame, off: DataFrame, on: str = "level", part=("feature",)) -> DataFrame:
@@ -156,24 +177,24 @@ def category_psi(build: DataFrame, off: DataFrame, on: str = "level", part=("fea
     keys = list(part)
     b = build.select(*keys, on, (F.col("good") + F.col("bad")).alias("bn"))
     o = off.select(*keys, on, (F.col("good") + F.col("bad")).alias("on_"))
-    j = b.join(o, [*keys, on], "inner")
-    wa = Window.partitionBy(*keys)
-    p = F.col("bn") / F.sum("bn").over(wa)
-    q = F.col("on_") / F.sum("on_").over(wa)
-    t = j.select(*keys, (F.log(p / q) * (p - q)).alias("_t"))
-    return t.groupBy(*keys).agg(_r(F.sum("_t")).alias("psi"))
+    j = with_totals(materialize(b.join(o, [*keys, on], "inner")), keys, ["bn", "on_"])
+    p = F.col("bn") / F.col("tot_bn")
+    q = F.col("on_") / F.col("tot_on_")
+    return j.groupBy(*keys).agg(_r(F.sum(F.log(p / q) * (p - q))).alias("psi"))
 
 
-def group_woe(stats: DataFrame, group_col: str = "level", part=("feature",), zero_policy: str = "inf") -> DataFrame:
+def group_woe(stats: DataFrame, group_col: str = "level", part=("feature",), zero_policy: str = "inf",
+              groups: int | None = None) -> DataFrame:
     """ln((b/B)/(g/G)) per group, no smoothing.
 
     zero_policy: "inf" (reference: one-sided zeros give -inf / +inf), "smooth"
-    (zeros replaced by 0.5), "sentinel" (-99 for any zero cell).
+    (zeros replaced by 0.5), "sentinel" (-99 for any zero cell).  ``groups`` bounds the number
+    of different ``part`` keys, if known.
     """
     keys = list(part)
-    wa = Window.partitionBy(*keys)
+    s = stats if {f"tot_{x}" for x in CELLS} <= set(stats.columns) else with_totals(stats, keys, CELLS, groups)
     b, g = F.col("bad").cast("double"), F.col("good").cast("double")
-    B, G = F.sum("bad").over(wa), F.sum("good").over(wa)
+    B, G = F.col("tot_bad"), F.col("tot_good")
     if zero_policy == "smooth":
         b = F.when(b == 0, 0.5).otherwise(b)
         g = F.when(g == 0, 0.5).otherwise(g)
@@ -187,7 +208,7 @@ def group_woe(stats: DataFrame, group_col: str = "level", part=("feature",), zer
              .otherwise(F.log((b / B) / (g / G))))
     else:
         raise ValueError(f"unknown zero_policy {zero_policy!r}")
-    return stats.select(*keys, group_col, _r(w).alias("woe"))
+    return s.select(*keys, group_col, _r(w).alias("woe"))
 
 
 IV_BINS = 10  # equal-frequency bins for numeric features in the IV ranking
@@ -201,7 +222,7 @@ def iv_ranking(df: DataFrame, char, num, target: str, bins: int = IV_BINS) -> Da
     deciles (linear interpolation, duplicates dropped, right-closed, null its
     own bin); IV as ``grouped_iv``.  Actions: the exact quantiles.
     """
-    from scorelens.plans.quantiles import exact_quantiles
+    from scorelens.plans.selection import exact_quantiles
 
     char, num = list(char), list(num)
     probs = [i / bins for i in range(1, bins)]
@@ -216,22 +237,9 @@ def iv_ranking(df: DataFrame, char, num, target: str, bins: int = IV_BINS) -> Da
         binned.append(F.when(x.isNull() | F.isnan(x), F.lit("null")).otherwise(b.cast("string")).alias(c))
     src = df.select(target, *[F.col(c).cast("string").alias(c) for c in char], *binned)
     stats = level_counts(src, char + num, target)
-    iv = grouped_iv(stats)
+    iv = grouped_iv(stats, groups=len(char) + len(num))
     types = df.sparkSession.createDataFrame([(c, "string") for c in char] + [(c, "number") for c in num],
                                             "feature string, var_type string")
     # one row per feature; sorted by IV descending like the reference's report
     return (iv.join(F.broadcast(types), "feature").select(F.col("feature").alias("name"), "var_type", "iv")
             .orderBy(F.desc("iv"), "name"))
-
-
-def grouped_ks_iv(stats: DataFrame, order_col: str = "idx", part=("feature",)) -> DataFrame:
-    """``grouped_ks`` and ``grouped_iv`` in one window pass (same partitioning)."""
-    keys = list(part)
-    wc = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wa = Window.partitionBy(*keys)
-    G, B = F.sum("good").over(wa), F.sum("bad").over(wa)
-    s = stats.select(*keys, F.abs(F.sum("good").over(wc) / G - F.sum("bad").over(wc) / B).alias("_k"),
-                     (F.col("good") / G).alias("gp"), (F.col("bad") / B).alias("bp"))
-    term = F.when((F.col("gp") != 0) & (F.col("bp") != 0),
-                  F.log(F.col("bp") / F.col("gp")) * (F.col("bp") - F.col("gp")))
-    return s.groupBy(*keys).agg(_r(F.max("_k")).alias("ks"), _r(F.coalesce(F.sum(term), F.lit(0.0))).alias("iv"))

@@ -33,6 +33,8 @@ def _norm(v):
             return "None"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
+        if v.is_integer() and abs(v) < 2**53:  # a long column with nulls comes as floats from one engine
+            return str(int(v))
         return repr(v + 0.0) if STRICT else repr(round(v, 8) + 0.0)
     if hasattr(v, "item") and not isinstance(v, (list, tuple)):
         try:

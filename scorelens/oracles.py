@@ -105,6 +105,15 @@ def roc_points_sql(by=("sample",), where: str = "") -> str:
     return with_sample(body, roc_ctes(by, where))
 
 
+def roc_points_thin_sql(by=("sample",), where: str = "") -> str:
+    sel, _, part = _by(by)
+    over = f"partition by {', '.join(by)} " if by else ""
+    body = (f"select {sel} threshold, tpr, fpr from (select {sel} score as threshold, round(tp / \"P\", 10) as tpr, round(fp / \"N\", 10) as fpr, "
+            f"tp, fp, lag(tp) over w as t0, lag(fp) over w as f0, lead(tp) over w as t2, lead(fp) over w as f2 from c window w as ({over}order by score desc)) "
+            f"where t0 is null or t2 is null or t2 - 2 * tp + t0 <> 0 or f2 - 2 * fp + f0 <> 0")
+    return with_sample(body, roc_ctes(by, where))
+
+
 SAMPLES = ("dev", "val", "oft1", "oft2", "oft3")
 
 
@@ -571,10 +580,22 @@ def band_counts_by_sample_sql(n_bands: int = 20) -> str:
     return with_sample("select sample, band, count(*) as n from b where band is not null group by sample, band", ctes)
 
 
+#: Key columns of each sheet of the score report.
+SHEET_KEYS = {
+    "samples": ("sample",), "class_balance": ("sample",), "score_dist": ("band",), "gains": ("sample", "bin"), "metrics": ("sample",),
+    "histogram": ("sample", "bin"), "psi": ("sample",), "describe": ("column_name", "dtype"), "bivar": ("sample", "column_name", "bin"),
+    "bivar_levels": ("sample", "column_name", "level"), "params": ("name",),
+}
+
+
 def report_bundle_sql() -> str:
-    """Row count of every sheet the score report writes (each sheet's own oracle)."""
+    """Every number of every sheet the score report writes (each sheet by its own oracle)."""
+    from scorelens.operators.model import DEFAULTS
+
     nums = ("totalprice", "acctbal", "sparse_num")
+    params = " union all ".join(f"select '{k}' as name, {v}::double as value" for k, v in DEFAULTS.items())
     sheets = {
+        "samples": with_sample("select sample, count(*) as rows, count(target) as labelled, count(*) filter (where target = 1) as bad from sample group by sample"),
         "class_balance": class_balance_sql(),
         "score_dist": score_distribution_sql(20),
         "gains": gains_sql(20, by=("sample",)),
@@ -584,6 +605,12 @@ def report_bundle_sql() -> str:
         "describe": describe_sql(nums, (0.25, 0.5, 0.75), "where sample = 'dev'"),
         "bivar": bivar_numeric_sql(nums, ("sample",)),
         "bivar_levels": bivar_categorical_sql(CHAR, ("sample",)),
+        "params": params,
     }
-    return " union all ".join(f"select '{k}' as sheet, cast(count(*) as bigint) as rows from ({v})"
-                              for k, v in sheets.items())
+    parts = []
+    for k, v in sheets.items():
+        key = "concat_ws('|', " + ", ".join(SHEET_KEYS[k]) + ")"
+        rest = ", ".join(SHEET_KEYS[k])
+        parts.append(f"select '{k}' as sheet, key, name, value from (unpivot (select {key} as key, "
+                     f"columns(* exclude ({rest}))::double from ({v})) on columns(* exclude (key)) into name name value value)")
+    return " union all ".join(parts)

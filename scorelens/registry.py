@@ -76,6 +76,11 @@ def q_top_capture(spark, sf):
     return ev.top_capture(q_fraud_report(spark, sf))
 
 
+@register("roc_points_thin", O.roc_points_thin_sql(by=("sample",)))
+def q_roc_points_thin(spark, sf):
+    return ev.roc_points(sample_view(spark, sf), by=["sample"], groups=SAMPLES, thin=True)
+
+
 @register("ks_max", O.roc_summary_sql(by=(), cols=("ks",)))
 def q_ks_max(spark, sf):
     return ev.ks_max(sample_view(spark, sf))
@@ -304,6 +309,16 @@ def q_offtime_apply(spark, sf):
     return _ag(spark, sf).off_groups
 
 
+@register("offtime_rows", O.autogroup_sql(
+    "select s.row_id, " + ", ".join(f"coalesce(m{i}.grp, 0) as {c}" for i, c in enumerate(CHAR)) + " from sample s "
+    + " ".join(f"left join (select level, grp from final where feature = '{c}') m{i} on s.{c} = m{i}.level" for i, c in enumerate(CHAR))
+    + " where s.sample in ('oft1', 'oft2', 'oft3')"))
+def q_offtime_rows(spark, sf):
+    s = sample_view(spark, sf)
+    later = s.where(F.col("sample").isin("oft1", "oft2", "oft3"))
+    return AG.offtime_apply(later, _ag(spark, sf).final_map, CHAR).select("row_id", *CHAR)
+
+
 @register("trial_report", O.autogroup_sql("select * from rep2"))
 def q_trial_report(spark, sf):
     return _ag(spark, sf).trial_report
@@ -469,13 +484,14 @@ def q_sink_reports(spark, sf):
 
 @register("sink_report_bundle", O.report_bundle_sql())
 def q_sink_report_bundle(spark, sf):
+    """Every number of every sheet, read back from the written bundle."""
     tables = R.score_report(sample_view(spark, sf), spec=SAMPLE_SPEC, materialize_input=True)
+    tables["params"] = R.params_sheet(spark, M.DEFAULTS)
     locs = R.write_bundle(tables, scratch_path(spark, "bundle"))
-    parts = [spark.read.parquet(loc).groupBy().agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(name).alias("sheet"), "rows") for name, loc in locs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for name, keys in O.SHEET_KEYS.items():
+        part = R.sheet_values(spark.read.parquet(locs[name]), name, keys)
+        out = part if out is None else out.unionByName(part)
     return out
 
 

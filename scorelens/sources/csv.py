@@ -4,8 +4,8 @@
 "(NULL)", bad lines skipped) with an explicit schema: a row with more fields
 than the schema is dropped, a short row is padded with nulls (what pandas does
 with error_bad_lines=False).  Spark's DROPMALFORMED would also drop short rows,
-so we read in PERMISSIVE mode with one spare trailing column and keep the rows
-where it is empty.  Windows code-page names such as 'ANSI' are not charsets:
+so we read in PERMISSIVE mode with the raw text of rows of another length, and drop those
+whose text has more separators than the schema (outside quotes).  Windows code-page names such as 'ANSI' are not charsets:
 pass the real one (default UTF-8).
 
 Quotes follow the usual rule on both sides: a field with the separator, a
@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXTRA = "__extra"
-CORRUPT = "__corrupt"
+RAW = "__raw"  # raw text of a row whose number of fields differs from the schema's
 
 
 def read_csv_sample(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8",
@@ -31,11 +30,17 @@ def read_csv_sample(spark: SparkSession, path: str, schema: T.StructType | str,
     (raised by the query that reads it), never a silent null."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    full = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(EXTRA, T.StringType())])
+    raw = RAW
+    while raw in schema.names:
+        raw += "_"
+    full = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(raw, T.StringType())])
     df = (spark.read.schema(full).option("header", header).option("nullValue", null_value)
           .option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+          .option("columnNameOfCorruptRecord", raw).option("columnPruning", False)
           .options(**QUOTING).csv(path))
-    return df.where(F.col(EXTRA).isNull()).select(*[_typed(f) for f in schema.fields])
+    bare = F.regexp_replace(F.col(raw), r'"(?:[^"]|"")*"', "")
+    too_long = F.length(bare) - F.length(F.replace(bare, F.lit(","))) >= len(schema.fields)
+    return df.where(F.col(raw).isNull() | ~too_long).select(*[_typed(f) for f in schema.fields])
 
 
 #: Quotes are doubled inside quotes, and blanks belong to the field.

@@ -1,7 +1,7 @@
 """Exactness does not depend on the bucketing: any number of buckets gives the same tables."""
 
 from scorelens.operators import evaluate as ev
-from scorelens.plans.quantiles import exact_quantiles
+from scorelens.plans.selection import exact_quantiles
 
 
 def test_gains_and_roc_independent_of_bucket_count(spark, sample001):
@@ -14,24 +14,9 @@ def test_gains_and_roc_independent_of_bucket_count(spark, sample001):
 
 def test_exact_quantiles_independent_of_bucket_count(spark, sample001):
     probs = [0.01, 0.5, 0.99]
-    ref = exact_quantiles(sample001, ["totalprice", "score"], probs, n_buckets=2)
-    for b in (9, 300):
-        assert exact_quantiles(sample001, ["totalprice", "score"], probs, n_buckets=b) == ref
-
-
-def test_range_edges_refine_a_skewed_column_and_isolate_hot_values(spark):
-    from pyspark.sql import functions as F
-
-    from scorelens.plans.ranges import range_edges
-
-    df = spark.range(40_000).select(F.when(F.col("id") % 4 == 0, 7.0).otherwise(F.exp(F.col("id") / 3000.0)).alias("x"))
-    r, extra = range_edges(df, {"x": F.col("x")}, 40, {"rows": F.count(F.lit(1))})
-    r = r["x"]
-    assert extra["rows"] == 40_000 == r.n and 7.0 in r.hot
-    values = sorted(v for (v,) in df.collect())
-    cuts = [float("-inf"), *r.edges, float("inf")]
-    sizes = [sum(lo <= v < hi and v != 7.0 for v in values) for lo, hi in zip(cuts, cuts[1:])]
-    assert max(sizes) <= 4 * 40_000 / 40
+    ref = exact_quantiles(sample001, ["totalprice", "score"], probs, cells=8, most_counted=0)
+    for cells, few in ((64, 10), (4096, 100_000)):
+        assert exact_quantiles(sample001, ["totalprice", "score"], probs, cells=cells, most_counted=few) == ref
 
 
 def test_gains_and_sampling_with_a_text_key(spark, sample001):
@@ -47,9 +32,9 @@ def test_gains_and_sampling_with_a_text_key(spark, sample001):
     assert sampling.stratified_sample(text).count() == sampling.stratified_sample(sample001).count()
 
 
-def test_edges_need_no_single_task_sketch(spark, sample001):
-    from scorelens.plans import quantiles, ranges
+def test_quantiles_need_no_single_task_sketch():
+    from scorelens.plans import prefix, selection
 
-    for module in (ranges, quantiles):
+    for module in (prefix, selection):
         with open(module.__file__) as f:
-            assert "percentile" not in f.read().replace("``percentile``", "")
+            assert "percentile" not in f.read()

@@ -71,7 +71,7 @@ def _md5_order(keys, seed):
 def test_stratified_sample_sizes_and_rows(spark):
     rows = [(i, 1 if i % 3 == 0 else 0) for i in range(1000)]
     df = spark.createDataFrame(rows, "row_id long, target int")
-    got = {r["row_id"] for r in sampling.stratified_sample(df, n_buckets=5).collect()}
+    got = {r["row_id"] for r in sampling.stratified_sample(df, digits=1, few=3).collect()}
     exp = set()
     for cls in (0, 1):
         keys = [k for k, y in rows if y == cls]
@@ -81,7 +81,7 @@ def test_stratified_sample_sizes_and_rows(spark):
 
 def test_dev_val_split_exact_sizes(spark):
     df = spark.createDataFrame([(i,) for i in range(1001)], "row_id long")
-    out = sampling.dev_val_split(df, n_buckets=3).groupBy("split").count().collect()
+    out = sampling.dev_val_split(df, digits=2, few=5).groupBy("split").count().collect()
     d = {r["split"]: r["count"] for r in out}
     assert d["val"] == math.ceil(0.3 * 1001) and d["dev"] == 1001 - math.ceil(0.3 * 1001)
 

@@ -4,12 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scorelens.operators import profile as P
-from scorelens.plans.quantiles import exact_quantiles
+from scorelens.plans.selection import exact_quantiles
 
 
 def test_exact_quantiles_match_numpy(spark, sample001):
     pdf = sample001.select("totalprice", "acctbal").toPandas()
-    got = exact_quantiles(sample001, ["totalprice", "acctbal"], [0.01, 0.25, 0.5, 0.99], n_buckets=7)
+    got = exact_quantiles(sample001, ["totalprice", "acctbal"], [0.01, 0.25, 0.5, 0.99], cells=64)
     for c in ["totalprice", "acctbal"]:
         exp = np.nanpercentile(pdf[c].astype(float), [1, 25, 50, 99])
         assert np.allclose(got[c], exp, rtol=0, atol=1e-6)
