@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.plans.broadcast import materialize
-from scorelens.plans.selection import column_spans, select_quantiles
+from scorelens.plans.selection import column_spans, number, select_quantiles
 from scorelens.session import scratch_path
 
 BLOCK = 65_536
 STORE_EVERY = 20  # trees between two writings of the margins
+TASK_ROWS = 16_384  # rows a task holds at least
 DIRECT_PARTS = 64  # up to so many partitions send their histograms to the driver themselves
 
 
@@ -89,10 +90,9 @@ def best_split(g: np.ndarray, h: np.ndarray, cuts: list[int], p: Penalties):
     return best
 
 
-def _bin(x, edges):
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.coalesce(x > e, F.lit(True))))
+def _bin(name: str, edges) -> str:
+    """SQL text of a value's bin: the number of edges below it, all of them for a missing value."""
+    return f"cast(size(filter(array({', '.join(map(number, edges))}), e -> coalesce({name} > e, true))) as smallint)" if edges else "cast(0 as smallint)"
 
 
 def _blocks(n_features: int):
@@ -208,9 +208,11 @@ class PenalisedGBT:
         found = select_quantiles(rows, columns, [k / self.bins for k in range(1, self.bins)], spans)
         edges = [sorted({e for e in found[c] if e is not None and spans[c].low <= e < spans[c].high}) for c in columns]
         n_rows = rows.count()
-        # a bin is the number of edges below the value
-        bins = [_bin(columns[f"x{i}"], es) for i, es in enumerate(edges)]
-        blocks = rows.select(F.array(*[b.cast("short") for b in bins]).alias("bins"), "y").mapInArrow(_blocks(n_features), "bins binary, margin binary, y binary")
+        staged = rows.select(*[x.alias(c) for c, x in columns.items()], "y")
+        binned = staged.select(F.expr(f"array({', '.join(_bin(c, es) for c, es in zip(columns, edges))})").alias("bins"), "y")
+        # a pass over few rows is quicker in few tasks
+        binned = binned.coalesce(max(1, min(rows.rdd.getNumPartitions(), n_rows // TASK_ROWS)))
+        blocks = binned.mapInArrow(_blocks(n_features), "bins binary, margin binary, y binary")
         blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
         parts = blocks.rdd.getNumPartitions()
         scale = 2.0 ** min(36, 62 - max(1, n_rows).bit_length())

@@ -580,6 +580,41 @@ def band_counts_by_sample_sql(n_bands: int = 20) -> str:
     return with_sample("select sample, band, count(*) as n from b where band is not null group by sample, band", ctes)
 
 
+def neighbours_sql(num, k: int) -> str:
+    """All pairs of the different minority vectors, and the k nearest of each."""
+    cols = ", ".join(f"cast(coalesce({c}, 0) as double) as {c}" for c in num)
+    d = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in num)
+    return with_sample(
+        "select pid, cid, round(d, 6) as d, cast(r as int) as r from (select *, row_number() over (partition by pid order by d, cid) as r from pairs) "
+        f"where r <= {k}",
+        f"rows as (select row_id, {cols} from sample where sample = 'dev' and target = 1), "
+        f"points as (select {', '.join(num)}, min(row_id) as pid from rows group by all), "
+        f"pairs as (select a.pid, b.pid as cid, sqrt({d}) as d from points a join points b on a.pid <> b.pid)")
+
+
+def first_split_sql(char, num, alpha: float, lam: float, bins: int) -> str:
+    """The best cut of all features at their quantiles, from gradients p - y at p = 1/2 and curvatures p (1 - p)."""
+    joins, cols = [], []
+    for i, f in enumerate(char):
+        joins.append(f"left join (select level, woe from wm where feature = '{f}') m{i} on cast(s.{f} as varchar) is not distinct from m{i}.level")
+        cols.append(f"coalesce(m{i}.woe, 0.0) as {f}")
+    cols += [f"coalesce(cast({c} as double), 0.0) as {c}" for c in num]
+    names = [*char, *num]
+    probs = "[" + ", ".join(f"{k / bins!r}::double" for k in range(1, bins)) + "]"
+    values = " union all ".join(f"select {i} as place, '{c}' as feature, {c} as x, target from inputs" for i, c in enumerate(names))
+    score = lambda g, h: f"(greatest(abs({g}) - {alpha}, 0.0) ** 2 / ({h} + {lam}))"
+    leaf = lambda g, h: f"(-sign({g}) * greatest(abs({g}) - {alpha}, 0.0) / ({h} + {lam}))"
+    ctes = f"""{woe_map_ctes("sample = 'dev'", char)},
+inputs as (select {", ".join(cols)}, s.target from sample s {" ".join(joins)} where s.sample = 'dev'),
+v as ({values}),
+edges as (select distinct place, feature, unnest(quantile_cont(x, {probs})) as e from v group by place, feature),
+sums as (select e.place, e.feature, e.e, sum(0.5 - target) filter (where x <= e) as gl, 0.25 * count(*) filter (where x <= e) as hl,
+  sum(0.5 - target) as g, 0.25 * count(*) as h from edges e join v using (place, feature) group by all),
+gains as (select *, ({score("gl", "hl")} + {score("(g - gl)", "(h - hl)")} - {score("g", "h")}) / 2 as gain from sums where hl >= 1 and h - hl >= 1)"""
+    return with_sample(f"""select feature, round(gain, 6) as gain, round(hl, 6) as curvature_left, round(h - hl, 6) as curvature_right,
+  round({leaf("gl", "hl")}, 6) as leaf_left, round({leaf("(g - gl)", "(h - hl)")}, 6) as leaf_right from gains order by gain desc, place, e limit 1""", ctes)
+
+
 #: Key columns of each sheet of the score report.
 SHEET_KEYS = {
     "samples": ("sample",), "class_balance": ("sample",), "score_dist": ("band",), "gains": ("sample", "bin"), "metrics": ("sample",),

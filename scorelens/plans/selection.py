@@ -54,42 +54,48 @@ def column_spans(df: DataFrame, columns: dict[str, Column], extra=()) -> tuple[d
     return {c: Span(row[f"_lo{i}"], row[f"_hi{i}"], int(row[f"_n{i}"])) for i, c in enumerate(columns)}, row
 
 
-def _cut(cell: _Cell, cells: int, logarithm: bool) -> tuple[str, float, float]:
-    """How the cell is cut: (scale, start, width) on the scale; "sign" and "ends" have three cells."""
-    low, high, scale = cell.low, cell.high, "linear"
+def number(v: float) -> str:
+    """A double as SQL text."""
+    return f"double('{v}')" if math.isinf(v) else f"{v!r}D"
+
+
+#: How a cell is cut: evenly, evenly in the logarithm of positive or of negative values, by sign, or its ends apart.
+LINEAR, LOG, MINUS_LOG, SIGN, ENDS = range(5)
+
+
+def _cut(cell: _Cell, cells: int, logarithm: bool) -> tuple[int, float, float]:
+    """(way, start, width): the latter on the way's scale; ``SIGN`` and ``ENDS`` have three cells."""
+    low, high, way = cell.low, cell.high, LINEAR
     if logarithm and low > 0:
-        low, high, scale = math.log(low), math.log(high), "log"
+        low, high, way = math.log(low), math.log(high), LOG
     elif logarithm and high < 0:
-        low, high, scale = -math.log(-low), -math.log(-high), "minus log"
+        low, high, way = -math.log(-low), -math.log(-high), MINUS_LOG
     elif logarithm:
-        return "sign", 0.0, 0.0
+        return SIGN, 0.0, 0.0
     width = high / cells - low / cells
-    return (scale, low, width) if 0 < width < float("inf") else ("ends", 0.0, 0.0)
-
-
-def _cell_of(x: Column, rows: list[tuple], cells: int) -> Column:
-    """struct(t, cell, v) of a value in one of ``rows`` (low, high, t, scale, start, width; ascending), else null.
-
-    The rows are a constant array, looked up by the number of them that start at or below the value."""
-    names = ("low", "high", "t", "scale", "start", "width")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
-    below = F.size(F.filter(F.array(*[F.lit(row[0]) for row in rows]), lambda low: low <= x))
-    own = F.try_element_at(table, F.when(below > 0, below))
-    scaled = F.when(own["scale"] == "log", F.log(x)).when(own["scale"] == "minus log", -F.log(-x)).otherwise(x)
-    place = F.least(F.greatest(F.floor((scaled - own["start"]) / own["width"]), F.lit(0)), F.lit(cells - 1)).cast("int")
-    ends = F.when(x <= own["low"], 0).when(x >= own["high"], 2).otherwise(1)
-    place = F.when(own["scale"] == "sign", F.signum(x).cast("int") + 1).when(own["scale"] == "ends", ends).otherwise(place)
-    return F.when(x <= own["high"], F.struct(own["t"].alias("t"), place.alias("cell"), x.alias("v")))
+    return (way, low, width) if 0 < width < float("inf") else (ENDS, 0.0, 0.0)
 
 
 def _values(df: DataFrame, columns: dict[str, Column], todo: list[_Cell], cells: int, logarithm: bool) -> DataFrame:
-    """(t, cell, v): values in one of the cells to do, with the cell inside it (never decreasing in v)."""
-    one = []
+    """(t, cell, v): values in one of the cells to do, with the cell inside it (never decreasing in v).
+
+    The cells of a column are a constant array, looked up by the number of them that start at or below the
+    value.  As SQL text, since a column object a number would cost the driver a call each."""
+    used, own, found = [], [], []
     for i, x in enumerate(columns.values()):
         rows = sorted((c.low, c.high, t, *_cut(c, cells, logarithm)) for t, c in enumerate(todo) if c.column == i)
-        if rows:
-            one.append(_cell_of(x, rows, cells))
-    return df.select(F.explode(F.array(*one)).alias("x")).where("x is not null").select("x.t", "x.cell", "x.v")
+        if not rows:
+            continue
+        used.append(x.alias(f"x{i}"))
+        table = ", ".join(f"named_struct('low', {number(a)}, 'high', {number(b)}, 't', {t}, 'way', {w}, 'start', {number(s)}, 'width', {number(d)})" for a, b, t, w, s, d in rows)
+        below = f"size(filter(array({', '.join(number(r[0]) for r in rows)}), e -> e <= x{i}))"
+        own.append(F.expr(f"try_element_at(array({table}), nullif({below}, 0))").alias(f"o{i}"))
+        scaled = f"(case o{i}.way when {LOG} then ln(x{i}) when {MINUS_LOG} then -ln(-x{i}) else x{i} end)"
+        even = f"int(least(greatest(floor(({scaled} - o{i}.start) / o{i}.width), 0), {cells - 1}))"
+        place = f"case o{i}.way when {SIGN} then int(signum(x{i})) + 1 when {ENDS} then if(x{i} <= o{i}.low, 0, if(x{i} >= o{i}.high, 2, 1)) else {even} end"
+        found.append(f"if(x{i} <= o{i}.high, named_struct('t', o{i}.t, 'cell', {place}, 'v', x{i}), null)")
+    staged = df.select(*used).select("*", *own)
+    return staged.select(F.explode(F.expr(f"array({', '.join(found)})")).alias("x")).where("x is not null").select("x.t", "x.cell", "x.v")
 
 
 def select_ranks(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]], spans: dict[str, Span],

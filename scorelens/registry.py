@@ -24,6 +24,7 @@ from scorelens.operators import profile as P
 from scorelens.operators import report as R
 from scorelens.operators import sampling
 from scorelens.operators import woe as W
+from scorelens.operators.neighbours import knn
 from scorelens.operators.smote import smote
 from scorelens.session import scratch_path
 from scorelens.sources import csv as C
@@ -445,6 +446,28 @@ def q_smote_oversample(spark, sf):
     return smote(d, NUM_FEATURES, "target", "row_id", n=100, k=5, seed=1)
 
 
+@register("smote_neighbours", O.neighbours_sql(SAMPLE_SPEC.num, 5))
+def q_smote_neighbours(spark, sf):
+    """The exact neighbours that SMOTE draws from: the different minority vectors of dev and their 5 nearest."""
+    d = prep.fill_constant(_dev(spark, sf).where("target = 1").select("row_id", *NUM_FEATURES), 0)
+    points = d.groupBy(*[F.col(c).cast("double").alias(c) for c in NUM_FEATURES]).agg(F.min("row_id").alias("pid"))
+    near = knn(points, NUM_FEATURES, 5)
+    return near.select("pid", "cid", F.round("d", 6).alias("d"), F.col("r").cast("int").alias("r"))
+
+
+@register("gbt_first_split", O.first_split_sql(CHAR, SAMPLE_SPEC.num, 0.01, 0.01, 32))
+def q_gbt_first_split(spark, sf):
+    """First split of the penalised trees on dev: its feature, sums, gain and both leaves before the learning rate."""
+    dev = _dev(spark, sf)
+    inputs = [M.FEATURE_PREFIX + c for c in SAMPLE_SPEC.varlist]
+    train = M.prepare_features(dev, W.woe_map(dev, CHAR, "target"), SAMPLE_SPEC).select(*inputs, "target")
+    pipeline = M.gbt_pipeline(inputs, "target", n_estimators=1, max_depth=1, learning_rate=1.0)
+    pipeline.fit(train)
+    t = pipeline.trees.trees[0]
+    row = (SAMPLE_SPEC.varlist[int(t.feature[0])], *(round(float(x), 6) for x in (t.gain[0], t.weight[1], t.weight[2], t.value[1], t.value[2])))
+    return spark.createDataFrame([row], "feature string, gain double, curvature_left double, curvature_right double, leaf_left double, leaf_right double")
+
+
 # --- 2A sources and sinks -------------------------------------------------------------------
 
 

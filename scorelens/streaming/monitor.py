@@ -36,13 +36,18 @@ def woe_apply_stream(stream: DataFrame, wmap: DataFrame, features, fill: float =
 
 def run_available(spark: SparkSession, query: DataFrame, output_mode: str = "complete",
                   name: str | None = None) -> DataFrame:
-    """Run a streaming query over all data available now into a memory table and
-    return it as a batch DataFrame (the result must be small: it lives on the driver)."""
+    """Run a streaming query over all data available now and return its result as a batch DataFrame.
+
+    Appended rows go to Parquet files in the shared folder, whatever their number.  Complete and
+    update results are aggregates; they go to a memory table, so they must be small (band counts are
+    bands x periods)."""
+    write = query.writeStream.outputMode(output_mode).option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True)
+    if output_mode == "append":
+        path = scratch_path(spark, "stream-rows")
+        write.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(query.schema).parquet(path)
     name = name or f"scorelens_stream_{uuid.uuid4().hex[:8]}"
-    q = (query.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    write.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 
 
