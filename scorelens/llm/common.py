@@ -39,6 +39,11 @@ def with_id(df: DataFrame, id_col: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_LONG)))
 
 
+def came_in(name: str):
+    """The id as it came in: what ``with_id`` made of null is null again."""
+    return F.when(F.col(name) != LEAST_LONG, F.col(name))
+
+
 def replace_columns(df: DataFrame, new: list[str]) -> list[str]:
     """Input columns that stay when an operator adds ``new``: a clashing input column is replaced."""
     taken = {c.lower() for c in new}

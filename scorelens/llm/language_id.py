@@ -8,19 +8,18 @@ learned from.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelens.llm.common import held_out, replace_columns
+from scorelens.llm.common import free_name, held_out, replace_columns
 from scorelens.llm.ngrams import byte_grams
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 ADDED = ["lang_pred", "score", "rejected"]
 #: Texts in a matrix at once, and the range of text hashes.
 SLICE, RANGE = 256, 2**52
@@ -133,9 +132,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", output: list
     keep = [c for c in replace_columns(docs, ADDED) if output is None or c in output]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
+    text = free_name(docs, "language_text")
+
     def run(batches):
         for batch in batches:
-            p = model.predict(batch.column("__language_text").to_pylist())
+            p = model.predict(batch.column(text).to_pylist())
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array([x[0] for x in p], pa.string()), pa.array([x[1] for x in p], pa.float64()), pa.array([x[2] for x in p], pa.bool_())], names=[*keep, *ADDED])
 
-    return docs.select(*keep, F.col(text_col).alias("__language_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import WordHashes, blocks_of, stored, with_id
+from scorelens.llm.common import WordHashes, blocks_of, came_in, free_name, stored, with_id
 from scorelens.llm.components import components
 from scorelens.llm.shingles import band_keys, banding, link_group, shingle_set, signature, similar
 
@@ -158,7 +158,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * intersection >= percent * union of their sets of ``shingle``-word
     shingles (A-Z lower-cased; fewer words are one shingle).  component_id is the smallest id that
     links reach, the own id included.  Null, empty or blank texts have no shingles and no links.  Equal
-    texts are linked.  A null id is the smallest id (component_id then is -2**63); rows that share an id
+    texts are linked.  A null id stays null and is the smallest id (component_id then is -2**63); rows that share an id
     are texts of their own.  An empty table gives an empty one.  ``miss`` bounds the chance that the
     bands, or one look of the Bayesian comparison, lose a pair at the similarity itself.
     """
@@ -172,7 +172,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = firsts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = firsts.groupBy("root").agg(F.min("first").alias("low"))
     by_class = firsts.join(lowest, "root").select("cls", "low")
-    return described.select("id", "h", "n", "cls").join(by_class, "cls", "left").select("id", "h", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    return described.select("id", "h", "n", "cls").join(by_class, "cls", "left").select(came_in("id").alias("id"), "h", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -182,5 +182,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_components(docs, id_col, text_col, shingle, percent)
     gone = stored(found.where("id > component_id").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "near-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    keyed = with_id(docs, id_col, "__id").withColumn("__h", F.xxhash64(text_col))
-    return keyed.join(side, ["__id", "__h"], "left_anti").select(docs.columns)
+    i, h = free_name(docs, "near_id"), free_name(docs, "near_hash")
+    side = side.select(F.col("__id").alias(i), F.col("__h").alias(h))
+    keyed = with_id(docs, id_col, i).withColumn(h, F.xxhash64(text_col))
+    return keyed.join(side, [i, h], "left_anti").select(docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorelens.llm import language_id, quality_classifier
-from scorelens.llm.common import held_out, table
+from scorelens.llm.common import LEAST_LONG, held_out, table
 from scorelens.llm.conversation_trie import conversation_trie
 from scorelens.llm.lexical_search import rank_documents
 from scorelens.llm.licence_scan import scan_licences
@@ -49,7 +49,8 @@ def op9_quality_rules(spark, sf_dir):
 @register("op7_minhash_near_dedup", NEAR_DEDUP_SQL)
 def op7_minhash_near_dedup(spark, sf_dir):
     out = near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    kept = F.coalesce("id", F.lit(LEAST_LONG)) == F.col("component_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
 @register("op2_multiset_fingerprints")

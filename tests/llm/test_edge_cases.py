@@ -69,6 +69,22 @@ def test_near_dedup(odd_docs, no_docs):
     assert near_dedup(odd_docs).count() == 10 and near_dedup(no_docs).count() == 0
 
 
+def test_ids_come_back_as_they_were(odd_docs):
+    clash = odd_docs.withColumns({c: F.lit("mine") for c in ("__id", "__h", "near_id", "near_hash", "language_text", "__language_text")})
+    for docs in (odd_docs, clash):
+        out = near_components(docs, shingle=3, percent=85).collect()
+        assert sum(r["id"] is None for r in out) == 1
+        assert near_dedup(docs).where("doc_id is null").count() == 1
+    found = language_id.identify(clash, language_id.fit(clash))
+    assert found.count() == 10 and "__language_text" in found.columns
+
+
+def test_only_letters_have_a_language(make_docs):
+    docs = make_docs([(1, "\u00b2 \u00bd \u2167", "es"), (2, "uno dos", "es"), (3, "_ 12", "es")])
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs, max_rows=5)).collect()}
+    assert out[1] == out[3] == "und"
+
+
 def test_pii(odd_docs, no_docs):
     finder = Finder(["and the of it"], examples=1500)
     out = {r["doc_id"]: [s["kind"] for s in r["pii_spans"]] for r in find_pii(odd_docs, finder).collect()}
