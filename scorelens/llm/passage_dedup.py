@@ -8,7 +8,9 @@ at least one block is the same in both.
 
 1. Bands: a unit has ``bands`` keys, each the least of one hash function over its 5-word shingles
    (one row a band: texts that share no shingle never collide, and recall is 1 - 0.2**bands at
-   similarity 0.8).  Keys that units of two documents share stay.
+   similarity 0.8).  Keys that units of two documents share stay: a batch of texts knows some of them itself
+   (their rows are spread at will, and one mark a key goes to the key's home); all other rows are
+   shuffled once, by key, and pass if their key has a mark or a second document.
 2. Colliding units are collapsed to classes of equal units; inside a bucket different classes are
    compared by exact Jaccard similarity of their shingles, and links give components.
 3. A component that two documents hold is a repeat, as is a block (equal ones only): it stays in the
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import blocks_of, mix64, stored, with_id
+from scorelens.llm.common import blocks_of, came_in, mix64, stored, with_id
 from scorelens.llm.components import components
 from scorelens.llm.shingles import _ODD, similar
 
@@ -92,50 +94,122 @@ def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: i
     return cls.view(np.int64), np.stack(keys, 1).view(np.int64)
 
 
-def blocks(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, class) of the blocks of ``size`` words: one in any ``size`` neighbouring positions.
+def blocks(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, class, key) of the blocks of ``size`` words: one in any ``size`` neighbouring positions.
+
+    Class and key are two 64-bit hashes of the same words: a block is a repeat only if both are.
 
     Neighbours of one class (words that repeat with a short period) are thinned, without a gap."""
     n = len(shingles) - size + SHINGLE
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = mix64(shingles[:n] ^ _ODD[52])
     if n <= size:
         at = np.array([int(order.argmin())])
     else:
         at = np.unique(np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1) + np.arange(n - size + 1))
-    cls = np.zeros(len(at), np.uint64)
+    cls, key = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for j, start in enumerate([*range(0, size - SHINGLE, SHINGLE), size - SHINGLE]):
         cls = mix64(cls + shingles[at + start] * _ODD[53] + np.uint64(j + 1))
+        key = mix64(key ^ (shingles[at + start] * _ODD[54] + np.uint64(j + 1)))
     new = np.append(True, cls[1:] != cls[:-1])
     away = at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
     part = away // max(size // 2, 1)
     keep = new | np.append(True, part[1:] != part[:-1]) | np.append(new[1:], True)
-    return at[keep], cls[keep].view(np.int64)
+    return at[keep], cls[keep].view(np.int64), key[keep].view(np.int64)
+
+
+#: What a row is: a key's mark, a row whose key may repeat, one whose key does, and a document's number of units.
+MARK, OPEN, KNOWN, COUNT = range(4)
+_ROW = {"key": "long", "kind": "int", "id": "long", "idx": "int", "start": "int", "stop": "int", "words": "int", "cls": "long"}
 
 
-def _unit_rows(bands: int, min_words: int):
-    """Units (idx from 0) and blocks (idx -1, the class as only key); ``stop`` is the next unit's first word."""
-    names = ["id", "idx", "start", "stop", "words", "cls", *(f"k{b}" for b in range(bands))]
+def _several_ids(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each row's key stands with two different ids."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.lexsort((ids, keys))
+    k, i = keys[order], ids[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    last = np.append(first[1:], len(k)) - 1
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat(i[first] != i[last], last - first + 1)
+    return out
+
+
+def _key_rows(bands: int, min_words: int):
+    """A row for each key of each unit (idx from 0) and block (idx -1); ``stop`` is the next unit's first word.
+    ``home`` says where a row is shuffled to."""
 
     def run(batches):
         units = Units()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
+            parts: list[tuple] = []
+            counts: list[tuple[int, int]] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first, end, shingles = units(text)
                 cls, keys = unit_keys(first, end, shingles, bands)
-                at, block = blocks(shingles, min_words)
-                units_of = (np.full(len(cls), i), np.arange(len(cls)), first, np.append(first[1:], end[-1:]), end - first, cls, *keys.T)
-                size = np.full(len(at), min_words)
-                blocks_of = (np.full(len(at), i), np.full(len(at), -1), at, at + min_words, size, block, block, *[np.zeros(len(at), np.int64)] * (bands - 1))
-                for column, x, y in zip(out, units_of, blocks_of):
-                    column += [x, y]
-            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
-            unkeyed = flat[1] < 0
-            yield pa.record_batch([pa.array(x, mask=unkeyed if name[0] == "k" and name != "k0" else None) for name, x in zip(names, flat)], names=names)
-
-    return run, ", ".join(f"{n} long" for n in names)
+                at, block, block_key = blocks(shingles, min_words)
+                n, m = len(cls), len(at)
+                counts.append((i, n))
+                parts.append((
+                    np.concatenate([keys.T.ravel(), block_key]), np.full(bands * n + m, i),
+                    np.concatenate([np.tile(np.arange(n), bands), np.full(m, -1)]), np.concatenate([np.tile(first, bands), at]),
+                    np.concatenate([np.tile(np.append(first[1:], end[-1:]), bands), at + min_words]),
+                    np.concatenate([np.tile(end - first, bands), np.full(m, min_words)]), np.concatenate([np.tile(cls, bands), block]),
+                ))
+            key, ids, idx, start, stop, words, cls = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 7
+            known = _several_ids(key, ids)
+            marks = np.unique(key[known])
+            n_marks, n_counts = len(marks), len(counts)
+            of = np.array(counts, np.int64).reshape(-1, 2)
+            none = np.zeros(n_marks + n_counts, np.int64)
+            kind = np.concatenate([np.where(known, KNOWN, OPEN), np.full(n_marks, MARK), np.full(n_counts, COUNT)])
+            key = np.concatenate([key, marks, np.zeros(n_counts, np.int64)])
+            ids = np.concatenate([ids, np.zeros(n_marks, np.int64), of[:, 0]])
+            with np.errstate(over="ignore"):
+                spread = mix64(key.view(np.uint64) + mix64(ids.view(np.uint64))).view(np.int64)
+            out = {
+                "key": key, "kind": kind.astype(np.int32), "id": ids, "idx": np.concatenate([idx, none]).astype(np.int32), "start": np.concatenate([start, none]).astype(np.int32),
+                "stop": np.concatenate([stop, none]).astype(np.int32), "words": np.concatenate([words, none[:n_marks], of[:, 1]]).astype(np.int32),
+                "cls": np.concatenate([cls, none]), "home": np.where(kind >= KNOWN, spread, key),
+            }
+            yield pa.record_batch([pa.array(x) for x in out.values()], names=list(out))
+
+    return run, ", ".join(f"{n} {t}" for n, t in _ROW.items()) + ", home long"
+
+
+def _repeated(batches):
+    """Rows sorted by key and kind to those whose key several ids have, and all known and count rows.
+
+    Rows wait only while their key has shown a single id, so no key is held as a whole."""
+    waiting, settled = None, None
+    for batch in batches:
+        batch = batch.select(list(_ROW))
+        kind = batch.column("kind").to_numpy()
+        direct = batch.filter(pa.array(kind >= KNOWN))
+        if direct.num_rows:
+            yield direct
+        rows = batch.filter(pa.array(kind < KNOWN))
+        if waiting is not None:
+            rows = pa.Table.from_batches([waiting, rows]).combine_chunks().to_batches()
+            rows, waiting = rows[0], None
+        if not rows.num_rows:
+            continue
+        key, kind, ids = (rows.column(c).to_numpy() for c in ("key", "kind", "id"))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        low = np.minimum.reduceat(np.where(kind == OPEN, ids, np.iinfo(np.int64).max), first)
+        high = np.maximum.reduceat(np.where(kind == OPEN, ids, np.iinfo(np.int64).min), first)
+        good = np.logical_or.reduceat(kind == MARK, first) | (low < high)
+        if settled is not None and key[0] == settled:
+            good[0] = True
+        settled = key[-1] if good[-1] else None
+        if not good[-1]:
+            waiting = rows.slice(int(first[-1]))
+        out = rows.filter(pa.array(np.repeat(good, size) & (kind == OPEN)))
+        if out.num_rows:
+            yield out
 
 
 def _set_rows():
@@ -184,17 +258,17 @@ def similar_classes(plain: DataFrame, members: DataFrame, percent: int) -> DataF
     """(cls, root) of the classes that share a bucket with another class, verified on full sets.
 
     A bucket that holds very many classes is dealt in blocks of its classes, in pairs."""
-    held = members.where("several").select("key", "cls").distinct()
-    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / (GATHER // 4)).alias("blocks"))
-    held = stored(held.join(sizes, "key"), "passage-buckets")
-    one = members.where("several").groupBy("cls").agg(F.min("id").alias("id"))
+    pairs = stored(members.where("idx >= 0").select("key", "cls").distinct(), "passage-pairs")
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / (GATHER // 4)).alias("blocks"))
+    held = stored(pairs.join(sizes, "key"), "passage-buckets")
+    one = members.where("idx >= 0").groupBy("cls").agg(F.min("id").alias("id")).join(held.select("cls").distinct(), "cls", "left_semi")
     wanted = stored(one.groupBy("id").agg(F.collect_list("cls").alias("wanted")), "passage-wanted")  # classes of one text
     classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     texts = plain.join(F.broadcast(wanted) if classes <= BROADCAST_CLASSES else wanted, plain["__id"] == wanted["id"])
     sets = texts.select(F.col("__text").alias("text"), "wanted").mapInArrow(_set_rows(), "cls long, set binary").dropDuplicates(["cls"])
     own = F.expr("pmod(xxhash64(cls), blocks)")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = held.withColumn("pair", F.explode(pairs)).withColumn("sub", F.when(F.col("blocks") > 1, F.xxhash64("key", "pair.i", "pair.j")).otherwise(F.col("key")))
+    with_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    dealt = held.withColumn("pair", F.explode(with_others)).withColumn("sub", F.when(F.col("blocks") > 1, F.xxhash64("key", "pair.i", "pair.j")).otherwise(F.col("key")))
     parts = blocks_of(held.count(), GATHER)
     dealt = dealt.withColumn("part", F.when(F.col("blocks") > 1, F.col("sub")).otherwise(F.expr(f"pmod(key, {parts}L)")))
     edges = dealt.select("part", F.col("sub").alias("key"), "cls").join(sets, "cls").groupBy("part").applyInArrow(_verify(percent), "a long, b long")
@@ -259,18 +333,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     removed units) and ranges (first and end word of each removed piece outside them, one after another).
 
     Null, empty or short texts have no units.  Rows that share an id are one document (their units are
-    numbered each; a repeat between them is none).  A null id is the smallest id.  Equal texts of two ids
+    numbered each; a repeat between them is none).  A null id stays null and is the smallest id.  Equal texts of two ids
     lose all units in the larger.  An empty table gives an empty one.
     """
     plain = with_id(docs.select(F.col(id_col).alias("__in"), F.col(text_col).alias("__text")), "__in", "__id").select("__id", "__text")
-    make, schema = _unit_rows(bands, min_words)
-    every = stored(plain.mapInArrow(make, schema), "passage-units")
-    keys = F.explode(F.array_compact(F.array(*(f"k{b}" for b in range(bands))))).alias("key")
-    small = F.shiftright("cls", 32).cast("int")
-    buckets = every.select(keys, "id", small.alias("c")).groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), (F.min("c") != F.max("c")).alias("several")).where("low < high")
-    rows = every.select("id", "idx", "start", "stop", "words", "cls", keys)
-    members = stored(rows.join(buckets.select("key", "several"), "key"), "passage-members")
+    make, schema = _key_rows(bands, min_words)
+    rows = plain.mapInArrow(make, schema).repartition("home").sortWithinPartitions("key", "kind", "id")
+    members = stored(rows.mapInArrow(_repeated, ", ".join(f"{n} {t}" for n, t in _ROW.items())), "passage-members")
+    counts = members.where(f"kind = {COUNT}").groupBy("id").agg(F.sum("words").alias("n_units"))
+    members = members.where(f"kind < {COUNT}")
     roots = similar_classes(plain, members, percent)
     colliding = members.select("id", "idx", "start", "stop", "words", "cls").distinct().join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     colliding = stored(colliding, "passage-colliding")
@@ -280,11 +351,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = "id long, n_repeated long, n_removed long, words_removed long, class_id long, kept_in array<long>, removed array<long>, ranges array<long>"
     found = marked.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts}L)")).groupBy("part").applyInArrow(_runs(min_words), schema)
 
-    counts = every.where("idx >= 0").groupBy("id").agg(F.count("*").alias("n_units"))
-    ids = plain.select(F.col("__id").alias("id")).distinct().join(counts, "id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_units", "n_repeated", "n_removed", "words_removed")]
     empty = F.array().cast("array<bigint>")
-    return ids.join(found, "id", "left").select(
-        F.col("id").alias(id_col), *zero, F.coalesce("class_id", "id").alias("class_id"),
+    return counts.join(found, "id", "left").select(
+        came_in("id").alias(id_col), *zero, F.coalesce("class_id", "id").alias("class_id"),
         *(F.coalesce(c, empty).alias(c) for c in ("kept_in", "removed", "ranges")),
     )
