@@ -9,6 +9,7 @@ the least with the wanted precision on examples kept back.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.llm.boosting import BoostedTrees
-from scorelens.llm.common import replace_columns
+from scorelens.llm.common import free_name, replace_columns
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -73,13 +74,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 NUMBER_RUN = re.compile(r"[0-9][0-9\x20().\[\]/:-]*[0-9]")
 GROUP = re.compile(r"[0-9]+")
-#: Groups of digits that a candidate inside a run takes at most, and characters between two of them.
-GROUPS, GAP = 6, 3
+#: Digits that a candidate takes at most, and characters between two of its groups of digits.
+DIGITS, GAP = 19, 3
+#: Range of the hashes by which contexts are chosen.
+RANGE = 2**52
 #: Characters around a found span in which candidates are judged again.
 NEAR = 24
-AT = re.compile(r"\x20?[\[(]?\x20?(?:@|\bat\b)\x20?[\])]?\x20?", re.IGNORECASE)
-HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:\.|dot)[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
-USER_TAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+#: The sign of an address: @, or "at" between blanks or brackets.
+AT = re.compile(r"\x20?[\[(]?\x20?(?:@|(?<=[\x20\[(])at(?=[\x20\])]))\x20?[\])]?\x20?", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:\.|dot)[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+", re.IGNORECASE)
+USER = re.compile(r"[A-Za-z0-9._%+-]+")
 #: Words that announce a kind.
 CUES = {
     "email": ["mail", "contact", "write", "kontakt", "correo", "courriel"],
@@ -90,15 +94,15 @@ CUES = {
 
 
 def _windows(text: str, start: int, stop: int):
-    """Spans of up to GROUPS neighbouring groups of digits with 7 to 19 digits: linear in the run."""
+    """Spans of neighbouring groups of digits with 7 to 19 digits: at most 19 from a group, so linear in the run."""
     groups = [m.span() for m in GROUP.finditer(text, start, stop)]
     if len(groups) < 2:
         return
     for i, (s, e) in enumerate(groups):
         n = 0
-        for a, b in groups[i : i + GROUPS]:
+        for a, b in groups[i : i + DIGITS]:
             n += b - a
-            if n > 19 or a - e > GAP:
+            if n > DIGITS or a - e > GAP:
                 break
             e = b
             if n >= 7:
@@ -107,7 +111,7 @@ def _windows(text: str, start: int, stop: int):
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data, overlapping, of high recall: runs of numbers, their parts between
-    blanks, and each few neighbouring groups of digits in them."""
+    blanks, neighbouring groups of digits in them, and all that stands around a sign of an address."""
     out = []
     first = DIGIT.search(text)
     for m in NUMBER_RUN.finditer(text, first.start()) if first else ():
@@ -118,23 +122,24 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         for s, e in dict.fromkeys([*whole, *_windows(text, start, stop)]):
             while e > s and not "0" <= text[e - 1] <= "9":
                 e -= 1
-            n = sum("0" <= c <= "9" for c in text[s:e]) if e - s <= 60 else 0
             if text[s - 1 : s].isalpha() or text[e : e + 1].isalpha():
                 continue  # inside a word, such as a hexadecimal token
+            n = sum("0" <= c <= "9" for c in text[s:e])
             before = s
             while before > 0 and text[before - 1] in "+(" and s - before < 2:
                 before -= 1
             if 7 <= n <= 15:
                 out += [("phone", b, e) for b in {s, before}]
-            if 12 <= n <= 19:
+            if 12 <= n <= DIGITS:
                 out.append(("card", s, e))
             if 4 <= n <= 12 and text.count(".", s, e) >= 3:
                 out.append(("ip", s, e))
-    for m in AT.finditer(text):
-        host = HOST.match(text, m.end())
-        user = USER_TAIL.search(text[max(0, m.start() - 64) : m.start()]) if host else None
-        if user:
-            out.append(("email", m.start() - len(user[0]), host.end()))
+    signs = list(AT.finditer(text))
+    users = {m.end(): m.start() for m in USER.finditer(text)} if signs else {}
+    for m in signs:
+        host = HOST.match(text, m.end()) if m.start() in users else None
+        if host:
+            out.append(("email", users[m.start()], host.end()))
     return out
 
 
@@ -182,7 +187,7 @@ def example(rng) -> tuple[str, str | None]:
     kind = int(rng.integers(8))
     if kind == 0:
         at, dot = pick(("@", "."), ("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "))
-        return f"{word()}{pick('.', '_', '')}{pick(word(), num(2))}{at}{word()}{dot}{pick('com', 'org', 'de', 'fr')}", "email"
+        return f"{word()}{pick('.', '_', '')}{pick(word(), num(2))}{at}{"".join(pick(word(), word()[:1]) + dot for _ in range(pick(1, 1, 1, 2, 4, 9)))}{pick('com', 'org', 'de', 'fr')}", "email"
     if kind == 1:
         return pick(".", ".", "[.]").join(str(x) for x in rng.integers(0, 256, 4)), "ip"
     if kind == 2:
@@ -242,33 +247,78 @@ class Finder:
     def spans(self, text: str) -> list[tuple[str, int, int, bool]]:
         base = base_spans(text)
         chosen = [(*s, True) for s in base]
-        more = [c for c in dict.fromkeys(candidates(text)) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        taken: list[tuple[int, int]] = []
-        new, shown = [(s, e) for _, s, e in base], text
-        todo = more
+        found = Intervals((s, e) for _, s, e in base)
+        more = [c for c in dict.fromkeys(candidates(text)) if not found.meets(c[1], c[2])]
+        by_start = sorted(range(len(more)), key=lambda i: more[i][1])
+        starts = [more[i][1] for i in by_start]
+        longest = max((e - s for _, s, e in more), default=0)
+        todo, new, hidden = more, [(s, e) for _, s, e in base], Intervals()
         while todo:
-            p = self.trees.predict(np.array([features(shown, *c) for c in todo], float))
+            p = self.trees.predict(np.array([features(*self._shown(text, hidden, c)) for c in todo], float))
             for i in np.argsort(-p, kind="stable"):
                 kind, s, e = todo[i]
-                if p[i] >= self.thresholds[KINDS.index(kind)] and not any(s < b and a < e for a, b in taken):
-                    taken.append((s, e))
+                if p[i] >= self.thresholds[KINDS.index(kind)] and not found.meets(s, e):
+                    found.add(s, e)
                     new.append((s, e))
                     chosen.append((kind, s, e, False))
             # what stands beside a found span is judged again, as if that were no number
-            for s, e in new:
-                shown = shown[:s] + " " * (e - s) + shown[e:]
-            todo = [c for c in more if any(s - NEAR < c[2] and c[1] < e + NEAR for s, e in new) and not any(c[1] < b and a < c[2] for a, b in taken)]
-            new = []
+            near = {by_start[k] for s, e in new for k in range(bisect.bisect_right(starts, s - NEAR - longest), bisect.bisect_left(starts, e + NEAR)) if more[by_start[k]][2] > s - NEAR}
+            todo = [more[i] for i in sorted(near) if not found.meets(*more[i][1:])]
+            new, hidden = [], found
         return sorted(chosen, key=lambda s: (s[1], KINDS.index(s[0])))
 
+    @staticmethod
+    def _shown(text: str, found: Intervals, c: tuple[str, int, int]) -> tuple[str, str, int, int]:
+        """A candidate in its surroundings, with what has been found there as blanks."""
+        kind, s, e = c
+        start, stop = max(0, s - NEAR - 2), min(len(text), e + NEAR)
+        around = text[start:stop]
+        for a, b in found.within(start, stop):
+            a, b = max(a, start) - start, min(b, stop) - start
+            around = around[:a] + " " * (b - a) + around[b:]
+        return around, kind, s - start, e - start
+
+
+class Intervals:
+    """Merged intervals in order."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def within(self, s: int, e: int):
+        """Intervals that meet [s, e)."""
+        return [(self.starts[i], self.ends[i]) for i in range(bisect.bisect_right(self.ends, s), bisect.bisect_left(self.starts, e))]
+
+    def meets(self, s: int, e: int) -> bool:
+        return bisect.bisect_right(self.ends, s) < bisect.bisect_left(self.starts, e)
+
+    def add(self, s: int, e: int) -> None:
+        """An interval that meets none."""
+        i = bisect.bisect_left(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
 
 def fit_finder(docs: DataFrame, text_col: str = "text", most_contexts: int = 400, width: int = 60) -> Finder:
-    """Fit on contexts (``width`` code points from the middle) of ``most_contexts`` texts at most, those
-    with the least hashes: a bounded sample of the corpus."""
+    """Fit on contexts (``width`` code points from the middle) of ``most_contexts`` different texts at most, those
+    with the least hashes: a bounded sample of the corpus, which copies don't fill."""
     t = F.col(text_col)
     middle = F.substring(t, F.greatest(F.floor(F.length(t) / 2).cast("int") - width // 2, F.lit(1)), F.lit(width))
-    sample = docs.where(F.length(t) > width).select(F.xxhash64(t).alias("h"), middle.alias("c")).orderBy("h", "c").limit(most_contexts)
-    return Finder([r["c"] for r in sample.collect()])
+    known = docs.where(F.length(t) > width).select(F.pmod(F.xxhash64(t), F.lit(RANGE)).alias("h"), middle.alias("c"))
+    different = known.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    share = min(1.0, (2 * most_contexts + 100) / max(different, 1))
+    while True:
+        sample = known.where(F.col("h") < F.lit(int(share * RANGE))).distinct().orderBy("h", "c").limit(most_contexts).collect()
+        if len(sample) >= most_contexts or share >= 1:
+            return Finder([r["c"] for r in sample])
+        share = min(1.0, 4 * share)
 
 
 def find_pii(docs: DataFrame, finder: Finder | None = None, text_col: str = "text", spans_col: str = "pii_spans", output: list[str] | None = None) -> DataFrame:
@@ -278,20 +328,23 @@ def find_pii(docs: DataFrame, finder: Finder | None = None, text_col: str = "tex
     Null or empty text: no spans.  Repeated rows get equal spans, an empty table an empty one; an input
     column of that name is replaced."""
     finder = finder or fit_finder(docs, text_col)
+    text = free_name(docs, "pii_text")
     keep = [c for c in replace_columns(docs, [spans_col]) if output is None or c in output]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(spans_col, T.ArrayType(SPAN))])
 
     def run(batches):
         for batch in batches:
-            found = [finder.spans(t) if t else [] for t in batch.column("__pii_text").to_pylist()]
+            found = [finder.spans(t) if t else [] for t in batch.column(text).to_pylist()]
             spans = pa.array([[dict(zip(SPAN.names, s)) for s in x] for x in found], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))
             yield pa.record_batch([*(batch.column(c) for c in keep), spans], names=[*keep, spans_col])
 
-    return docs.select(*keep, F.col(text_col).alias("__pii_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, finder: Finder | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets (spans that overlap by the first's)."""
+    """``docs`` with every span replaced by its kind in brackets (spans that overlap by the first's).
+
+    A null text stays null, an empty table gives an empty one; other columns, and rows without spans, stay as they are."""
     finder = finder or fit_finder(docs, text_col)
 
     def clean(text: str | None) -> str | None:
