@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -58,6 +59,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def guarded(operator):
+    """An operator over a DataFrame whose own column names can't clash with the input's.
+
+    Own names start with two underscores; input columns that start so are set aside under other names
+    (arguments that name them too) and get their names back in the result."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        aside = {c: free_name(docs, f"aside{c}") for c in docs.columns if c.startswith("__")}
+        if not aside:
+            return operator(docs, *args, **kwargs)
+        name = lambda x: aside.get(x, x) if isinstance(x, str) else [name(c) for c in x] if isinstance(x, list) else x
+        out = operator(docs.withColumnsRenamed(aside), *map(name, args), **{k: name(v) for k, v in kwargs.items()})
+        return out.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return run
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2: rows that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

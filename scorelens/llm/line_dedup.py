@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.llm import mphf
-from scorelens.llm.common import BLANKS, blocks_of, replace_columns, stored, with_id
+from scorelens.llm.common import BLANKS, blocks_of, guarded, replace_columns, stored, with_id
 
 #: Answers of more blocks than this go to further copies of a shard.
 BLOCKS_PER_COPY = 16_384
@@ -102,6 +102,7 @@ def probe(asked: DataFrame, index: DataFrame, shards: int, blocks: int, min_docs
     return asked.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(look, "block long, h1 long, h2 long, last long")
 
 
+@guarded
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
                 docs_per_block: int = 1000) -> DataFrame:
     """All rows and columns of ``docs``; the text keeps the lines that are not dropped, and

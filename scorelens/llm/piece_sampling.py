@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelens.llm.common import mix64, ragged, replace_columns
+from scorelens.llm.common import guarded, mix64, ragged, replace_columns
 
 BLANK = "▁"
 #: Texts sampled at once.
@@ -266,6 +266,7 @@ class Sampler:
         return out
 
 
+@guarded
 def sample_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0,
                   ids_col: str = "ids") -> DataFrame:
     """All rows and columns of ``docs`` with ``ids``, a sampled segmentation (array<int>).
@@ -290,6 +291,7 @@ def sample_encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     return docs.select(*keep, F.col(id_col).alias("__piece_id"), F.col(text_col).alias("__piece_text")).mapInArrow(run, schema)
 
 
+@guarded
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """All rows and columns with ``decoded``, the text of the ids ('' for null or none; ids that don't
     spell UTF-8 give the replacement character)."""

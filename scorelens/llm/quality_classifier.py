@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelens.llm.common import held_out, replace_columns
+from scorelens.llm.common import guarded, held_out, replace_columns
 from scorelens.llm.ngrams import QualityFeatures
 
 ADDED = ["score", "predicted"]
@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.frombuffer(r["weight"]), np.frombuffer(r["square"]), r["bias"], r["a"], r["b"])
 
 
+@guarded
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, output: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, its columns (or those in ``output``) with score (0 to 1) and predicted.
 

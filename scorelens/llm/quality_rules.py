@@ -17,7 +17,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import BLANKS, replace_columns, stored
+from scorelens.llm.common import BLANKS, guarded, replace_columns, stored
 
 #: Six frequent function words of each language.
 COMMON_WORDS = {
@@ -132,6 +132,7 @@ def _distance(counts: str, total: str, of_language: list[list[float]]) -> Column
     return F.when(F.size(ref) == 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
+@guarded
 def quality_rules(docs: DataFrame, text_col: str = "text", output: list[str] | None = None, max_char_distance: float = 0.25,
                   max_word_distance: float = 0.22, min_chars: int = 200, min_words: int = 50, each_text_once: bool = False) -> DataFrame:
     """All rows of ``docs``, its columns (or those in ``output``) with the base counts, base_failed,

@@ -79,6 +79,20 @@ def test_ids_come_back_as_they_were(odd_docs):
     assert found.count() == 10 and "__language_text" in found.columns
 
 
+def test_own_column_names_do_not_clash(spark, odd_docs):
+    own = ["__id", "__block", "__text", "__lines", "__words", "__n", "__hash", "__quality_text", "__piece_id", "__piece_text", "__piece_ids", "__h"]
+    clash = odd_docs.withColumns({c: F.lit("mine") for c in own})
+    none = quality_classifier.fit(odd_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    encoded = sample_encode(clash, PIECES)
+    for out in (dedup_lines(clash), quality_rules(clash), quality_classifier.score_quality(clash, none), encoded, decode(encoded, PIECES)):
+        rows = out.collect()
+        assert len(rows) == 10 and all(rows[0][c] == "mine" for c in own)
+    renamed = odd_docs.withColumnsRenamed({"text": "__text", "doc_id": "__id"})
+    out = dedup_lines(renamed, id_col="__id", text_col="__text")
+    assert {"__id", "__text"} <= set(out.columns) and out.count() == 10
+    assert quality_rules(renamed, text_col="__text", output=["__id"]).columns[0] == "__id"
+
+
 def test_only_letters_have_a_language(make_docs):
     docs = make_docs([(1, "\u00b2 \u00bd \u2167", "es"), (2, "uno dos", "es"), (3, "_ 12", "es")])
     out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs, max_rows=5)).collect()}
