@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelens.plans.broadcast import checked_broadcast
+from scorelens.plans.broadcast import checked_broadcast, materialize
+from scorelens.plans.prefix import null_safe_join
 from scorelens.plans.selection import column_spans, kll_quantiles, select_quantiles
 
 DIGITS = 10
@@ -86,32 +87,50 @@ BIVAR_BINS = 10  # fixed value: equal-width bins of a numeric column
 BIVAR_MIN_DISTINCT = 5  # fixed value: fewer distinct values -> per-value table
 
 
-def _distinct_at_least(df: DataFrame, by: list[str], cols: list[str], k: int) -> DataFrame:
-    """(by..., column_name, many): does the column have >= k distinct values?
+def _long_numbers(df: DataFrame, by: list[str], cols: list[str], more=()) -> DataFrame:
+    """(by..., more..., column_name, x): every value of the numeric columns; null and NaN left out."""
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])
+    return df.select(*by, *more, F.explode(each).alias("t")).select(*by, *more, "t.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
 
-    HyperLogLog estimates first; only groups estimated below 4k are counted
-    exactly, and those have few distinct values, so the exact pass is cheap.
-    """
-    lg = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])).alias("t")
-    ).select(*by, "t.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    est = lg.groupBy(*by, "column_name").agg(F.approx_count_distinct("x", 0.01).alias("est"))
-    small = checked_broadcast(est.where(F.col("est") < 4 * k).select(*by, "column_name"))
-    exact = (lg.join(small, [*by, "column_name"]).groupBy(*by, "column_name")
-             .agg(F.count_distinct("x").alias("nd")))
-    return (est.join(exact, [*by, "column_name"], "left")
-            .select(*by, "column_name", F.when(F.col("nd").isNotNull(), F.col("nd") >= k)
-                    .otherwise(F.col("est") >= 4 * k).alias("many")))
 
+def number_spans(df: DataFrame, cols, by=()) -> DataFrame:
+    """(by..., column_name, mn, mx, est): range and estimated number of different values of each numeric column in each
+    group; one pass over the rows, stored."""
+    lg = _long_numbers(df, list(by), list(cols))
+    return materialize(lg.groupBy(*by, "column_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.approx_count_distinct("x", 0.01).alias("est")))
 
-def route_numeric(df: DataFrame, cols, min_distinct: int = BIVAR_MIN_DISTINCT) -> tuple[list[str], list[str]]:
+
+def _with_many(df: DataFrame, spans: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The groups of ``spans`` with at least k different values.
+
+    Groups estimated below 4k are counted exactly; if there are none, no rows are read."""
+    doubtful = spans.where(F.col("est") < 4 * k)
+    clear = spans.where(F.col("est") >= 4 * k)
+    names = [r["column_name"] for r in doubtful.select("column_name").distinct().collect()]
+    if not names:
+        return clear
+    few = checked_broadcast(doubtful.select(*by, "column_name"))
+    exact = null_safe_join(_long_numbers(df, by, names), few, [*by, "column_name"]).groupBy(*by, "column_name").agg(F.count_distinct("x").alias("nd"))
+    return clear.unionByName(null_safe_join(doubtful, exact.where(F.col("nd") >= k).drop("nd"), [*by, "column_name"]))
+
+
+def route_numeric(df: DataFrame, cols, min_distinct: int = BIVAR_MIN_DISTINCT, spans: DataFrame | None = None) -> tuple[list[str], list[str]]:
     """(columns to bin, columns to list by value), decided once over all rows of
-    ``df``, so that a column has the same form in every group (one action, a row per column)."""
+    ``df``, so that a column has the same form in every group (a row per column comes to the driver).
+
+    A column with enough values in some group (by ``spans``) is settled; the others are counted exactly."""
     cols = list(cols)
     if not cols:
         return [], []
-    many = {r["column_name"] for r in _distinct_at_least(df, [], cols, min_distinct).where("many").collect()}
-    return [c for c in cols if c in many], [c for c in cols if c not in many]
+    spans = number_spans(df, cols) if spans is None else spans
+    most = {r["column_name"]: r["est"] for r in spans.groupBy("column_name").agg(F.max("est").alias("est")).collect()}
+    unsettled = [c for c in cols if c in most and most[c] < 4 * min_distinct]
+    exact = {}
+    if unsettled:
+        number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        exact = df.agg(*[F.count_distinct(number(c)).alias(c) for c in unsettled]).first().asDict()
+    many = [c for c in cols if (exact[c] >= min_distinct if c in exact else c in most)]
+    return many, [c for c in cols if c not in many]
 
 
 def bivar(df: DataFrame, char=(), num=(), target: str = "target", by=(), bins: int = BIVAR_BINS,
@@ -124,10 +143,12 @@ def bivar(df: DataFrame, char=(), num=(), target: str = "target", by=(), bins: i
     "values", bin 0).  ``order`` names the features by importance (default: as given) and
     ``top`` keeps the first so many."""
     names = [c for c in (order or [*char, *num]) if c in {*char, *num}][:top]
-    binned, listed = route_numeric(df, [c for c in num if c in names], min_distinct)
+    wanted = [c for c in num if c in names]
+    spans = number_spans(df, wanted, by) if wanted else None
+    binned, listed = route_numeric(df, wanted, min_distinct, spans)
     parts = []
     if binned:
-        parts.append(bivar_numeric(df, binned, target, by, bins, min_distinct=None).select(
+        parts.append(bivar_numeric(df, binned, target, by, bins, min_distinct=None, spans=spans).select(
             *by, "column_name", F.lit("bins").alias("kind"), "bin", "lo", "hi", F.lit(None).cast("string").alias("level"),
             "count", "bad_rate"))
     values = [c for c in names if c in {*char, *listed}]
@@ -143,28 +164,27 @@ def bivar(df: DataFrame, char=(), num=(), target: str = "target", by=(), bins: i
 
 
 def bivar_numeric(df: DataFrame, cols, target: str = "target", by=(), bins: int = BIVAR_BINS,
-                  min_distinct: int | None = BIVAR_MIN_DISTINCT) -> DataFrame:
+                  min_distinct: int | None = BIVAR_MIN_DISTINCT, spans: DataFrame | None = None) -> DataFrame:
     """Equal-width, right-closed bins between each group's min and max (the
     lowest edge lowered by 0.1 % of the range, as pandas cut does); count and bad
     rate per non-empty bin; nulls drop.  Groups with fewer than ``min_distinct``
     distinct values are left out (None: none are); ``bivar`` sends whole columns
-    to bins or values instead."""
+    to bins or values instead.
+
+    ``spans`` (from ``number_spans`` with the same ``by``) saves a pass: ranges and distinct estimates
+    come from one aggregation, the counts from a second."""
     by = list(by)
     cols = list(cols)
-    lg = df.select(*by, target, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])).alias("t")
-    ).select(*by, target, "t.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    ext = lg.groupBy(*by, "column_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    if min_distinct:
-        many = _distinct_at_least(df, by, cols, min_distinct).where("many").drop("many")
-        ext = ext.join(many, [*by, "column_name"])
-    ext = checked_broadcast(ext)
+    spans = (number_spans(df, cols, by) if spans is None else spans).where(F.col("column_name").isin(cols))
+    ext = _with_many(df, spans, by, min_distinct) if min_distinct else spans
+    ext = checked_broadcast(ext.select(*by, "column_name", "mn", "mx"))
+    lg = _long_numbers(df, by, cols, [target])
     step = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
 
     def edge(i):  # numpy linspace: i*step + min, last edge = max
         return F.lit(float(i)) * step + F.col("mn") if i < bins else F.col("mx")
 
-    j = lg.join(ext, [*by, "column_name"])
+    j = null_safe_join(lg, ext, [*by, "column_name"])
     b = F.lit(1)
     for i in range(1, bins):
         b = b + F.when(F.col("x") > edge(i), 1).otherwise(0)

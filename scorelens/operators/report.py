@@ -46,8 +46,10 @@ def score_report(df: DataFrame, score: str = "score", target: str = "target", ke
     if spec is not None:
         dev = df.where(F.col(sample_col) == base)
         out["describe"] = prof.describe(dev, list(spec.num), (0.25, 0.5, 0.75))
-        binned, listed = prof.route_numeric(df, spec.num)  # every feature is in one of the two
-        out["bivar"] = prof.bivar_numeric(df, binned, target, by=[sample_col], min_distinct=None)
+        spans = prof.number_spans(df, spec.num, [sample_col]) if spec.num else None
+        binned, listed = prof.route_numeric(df, spec.num, spans=spans)  # every feature is in one of the two
+        if binned:
+            out["bivar"] = prof.bivar_numeric(df, binned, target, by=[sample_col], min_distinct=None, spans=spans)
         out["bivar_levels"] = prof.bivar_categorical(df, [*spec.char, *listed], target, by=[sample_col])
     return out
 

@@ -28,9 +28,11 @@ def with_totals(df: DataFrame, by, cols, groups: int | None = None, prefix: str
     """``df`` with tot_c of its group for each of ``cols``: an aggregation (partial on the map side) joined
     back, so the rows of a group do not meet.  ``groups`` bounds the number of groups, if it is known."""
     by = list(by)
+    if not by:
+        raise ValueError("with_totals needs at least one grouping column")
     totals = df.groupBy(*by).agg(*[F.sum(c).alias(f"{prefix}{c}") for c in cols])
     totals = checked_broadcast(totals) if groups is None else bounded_broadcast(totals, groups)
-    return null_safe_join(df, totals, by) if by else df.crossJoin(totals)
+    return null_safe_join(df, totals, by)
 
 
 def running_totals(df: DataFrame, by, order, cols, parts: int | None = None, groups: int | None = None) -> DataFrame:

@@ -25,3 +25,12 @@ def test_rows_with_too_many_fields_go_even_if_the_last_is_empty(spark, tmp_path)
         rows = {r["a"]: r["b"] for r in C.read_csv_sample(spark, str(q), "a int, b string", multi_line=multi).collect()}
         assert rows == {1: "x", 4: None, 5: 'q,"r",s', 6: "l\nm" if multi else "lm", 8: None}
         assert C.read_csv_sample(spark, str(q), "a int, b string", multi_line=multi).select(F.max("a")).first()[0] == 8
+
+
+def test_broadcast_is_checked_by_rows_and_bytes(spark):
+    from scorelens.plans.broadcast import checked_broadcast
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array("id", "id").alias("a"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(checked_broadcast(df)) and not hinted(checked_broadcast(df, max_rows=99)) and not hinted(checked_broadcast(df, max_bytes=90_000))
+    assert hinted(checked_broadcast(df.limit(0)))
