@@ -91,7 +91,7 @@ def _band_expr(x: Column, sep: list[float]) -> Column:
 
 
 def score_psi(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev", others=("val",),
-              k: int = 10, target="target", table: ScoreTable | None = None) -> DataFrame:
+              k: int = 10, target=None, table: ScoreTable | None = None) -> DataFrame:
     """Band table per compared sample: (sample, band, hi, lo, dev_share, cmp_share, term, psi).
 
     ``table`` (by ``sample_col``) stands for the rows of ``df``; it is built if not given.  Counts
@@ -124,7 +124,7 @@ def score_psi(df: DataFrame, score="score", key="row_id", sample_col="sample", b
 
 
 def psi_monitor(df: DataFrame, score="score", key="row_id", sample_col="sample", base="dev",
-                others=("val", "oft1", "oft2", "oft3"), k: int = 20, target="target", table: ScoreTable | None = None) -> DataFrame:
+                others=("val", "oft1", "oft2", "oft3"), k: int = 20, target=None, table: ScoreTable | None = None) -> DataFrame:
     """PSI of the base sample against each other sample: (sample, psi)."""
     t = score_psi(df, score, key, sample_col, base, others, k, target, table)
     return t.groupBy("sample").agg(F.first("psi").alias("psi"))
@@ -133,7 +133,7 @@ def psi_monitor(df: DataFrame, score="score", key="row_id", sample_col="sample",
 # --- histogram --------------------------------------------------------------------------------
 
 
-def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20, groups=None, target="target",
+def score_histogram(df: DataFrame, score="score", by=("sample",), bins: int = 20, groups=None, target=None,
                     table: ScoreTable | None = None) -> DataFrame:
     """Density histogram, equal width between each group's own min and max.
 

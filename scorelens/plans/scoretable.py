@@ -54,13 +54,14 @@ class ScoreTable:
         return self.rows.where(F.col(column or self.by[0]).isin(list(values)))
 
 
-def score_table(df: DataFrame, score: str = "score", target: str = "target", by=(), balance: str | None = None, parts: int | None = None, groups: int | None = None) -> ScoreTable:
+def score_table(df: DataFrame, score: str = "score", target: str | None = "target", by=(), balance: str | None = None, parts: int | None = None, groups: int | None = None) -> ScoreTable:
     """One pass over the columns that are used; stored in the shared folder.  ``groups`` bounds the number of
-    groups, if known."""
+    groups, if known.  Without a ``target`` the classes are 0."""
     by = list(by)
     groups = groups if by else 1
-    narrow = df.select(*by, clean_score(df, score).alias(SCORE), target, *([balance] if balance else []))
-    sums = measures(target, balance)
+    label = F.lit(None).cast("int") if target is None else F.col(target)
+    narrow = df.select(*by, clean_score(df, score).alias(SCORE), label.alias("_label"), *([balance] if balance else []))
+    sums = measures("_label", balance)
     cells = narrow.groupBy(*by, SCORE).agg(*[v.alias(k) for k, v in sums.items()])
     summed = [c for c in sums if c not in ("scnt", "ssum")]
     return ScoreTable(materialize(running_totals(cells, by, [F.desc_nulls_last(SCORE)], summed, parts, groups)), tuple(by), balance)

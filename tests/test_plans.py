@@ -5,7 +5,10 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from scorelens.operators import model as M  # noqa: E402
 from scorelens.registry import QUERIES  # noqa: E402
+from scorelens.sources.tables import sample_view  # noqa: E402
+from scorelens.spec import SAMPLE_SPEC  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
@@ -19,9 +22,11 @@ def _plan(df):
 def test_no_python_evaluation_in_query_plans(spark):
     names = ["gains_by_sample", "sample_metrics", "score_psi", "score_distribution", "woe_fit_apply",
              "char_auto_woe", "iv_ranking", "profile_describe", "bivar_many", "stratified_sample",
-             "dev_val_split", "is_num", "location_split", "score_rows", "smote_oversample"]
-    for n in names:
-        plan = _plan(QUERIES[n](spark, SF))
+             "dev_val_split", "is_num", "location_split", "smote_oversample"]
+    sample = sample_view(spark, SF)
+    fitted = M.fit_model(sample.where("sample = 'dev'"), SAMPLE_SPEC, n_estimators=3)
+    plans = {n: _plan(QUERIES[n](spark, SF)) for n in names} | {"score_rows": _plan(M.score(fitted, sample, SAMPLE_SPEC))}
+    for n, plan in plans.items():
         assert not any(p in plan for p in PYTHON_NODES), n
 
 
