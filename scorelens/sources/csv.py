@@ -40,7 +40,9 @@ def read_csv_sample(spark: SparkSession, path: str, schema: T.StructType | str,
           .options(**QUOTING).csv(path))
     bare = F.regexp_replace(F.col(raw), r'"(?:[^"]|"")*"', "")
     too_long = F.length(bare) - F.length(F.replace(bare, F.lit(","))) >= len(schema.fields)
-    return df.where(F.col(raw).isNull() | ~too_long).select(*[_typed(f) for f in schema.fields])
+    # a query may not read the raw text alone, so the first field is always looked at
+    first = F.coalesce(F.length(schema.names[0]) >= 0, F.lit(True))
+    return df.where((F.col(raw).isNull() | ~too_long) & first).select(*[_typed(f) for f in schema.fields])
 
 
 #: Quotes are doubled inside quotes, and blanks belong to the field.

@@ -73,6 +73,11 @@ def test_model_report_sheets_and_defaults(spark, sample001):
     assert params["n_estimators"] == "3" and params["max_depth"] == "3"
     assert {r["sample"] for r in t["samples"].collect()} == {"dev", "val", "oft1", "oft2", "oft3"}
     assert abs(sum(r["importance"] for r in t["importance"].collect()) - 1) < 1e-6
-    assert gbt_pipeline(["a"]).getStages()[-1].getMaxIter() == 200
-    with pytest.raises(ValueError, match="reg_alpha"):
-        gbt_pipeline(["a"], reg_alpha=0.1)
+    order = [r["name"] for r in t["importance"].collect()]
+    assert [r[0] for r in t["bivar_ranked"].select("column_name").distinct().join(t["bivar_ranked"].groupBy("column_name").agg({"position": "min"}), "column_name").orderBy("min(position)").collect()] == order
+    assert {r["column_name"] for r in t["describe"].collect()} == set(order) and t["dtypes"].count() == len(sample001.columns)
+    trees = gbt_pipeline(["a"]).trees
+    assert (trees.n_estimators, trees.reg_alpha, trees.reg_lambda) == (200, 0.01, 0.01)
+    assert gbt_pipeline(["a"], reg_alpha=None, reg_lambda=None).trees.getMaxIter() == 200
+    with pytest.raises(ValueError, match="penalties"):
+        gbt_pipeline(["a"], reg_alpha=-0.1)
