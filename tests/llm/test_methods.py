@@ -320,7 +320,7 @@ def test_numbers_beside_numbers_are_proposed_and_found():
     finder = Finder(["the thin fox and the hills", "some old stones near water"])
     for text, wanted in [(f"card {card} 2024 now", {card}), ("call 555 123 4567 555 234 5678 now", {"555 123 4567", "555 234 5678"}), ("tel (555) 123-4567 (555) 234-5678 x", {"(555) 123-4567", "(555) 234-5678"})]:
         assert {text[a:b] for _, a, b, _ in finder.spans(text)} == wanted
-    assert len(candidates("1 " * 20_000 + "1234567 " * 2000)) < 100_000
+    assert len(candidates("1 " * 20_000 + "1234567 " * 2000)) < 19 * 22_000  # linear in the groups of digits
 
 
 @pytest.mark.parametrize("span", ["john (AT) mail (DOT) com", "john at mail.com", "john AT mail DOT com"])
@@ -343,4 +343,4 @@ def test_registered_oracles_hold(spark):
 def test_every_operator_has_its_query():
     from scorelens.llm.queries import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
