@@ -7,9 +7,11 @@ gradients and curvatures by (node, feature, bin), and the split of each node is
 
 with leaf values -sign(G) max(|G| - alpha, 0) / (H + lambda).  The leaves of the last level follow from the
 histograms of the level before.  Sums are whole numbers (fixed point), so they don't depend on the order
-of tasks.  The result is an MLlib model: scoring, importances and saving stay MLlib's.
+of tasks.  Of two children the rows of the lighter one are summed; the other's sums are what it leaves of its
+parent's, which is exact with whole numbers.  The result is an MLlib model: scoring, importances and saving
+stay MLlib's.
 
-Rows stand in blocks of at most ``BLOCK`` rows (bins as bytes, margins, labels).  A histogram has
+Rows stand in blocks of at most ``BLOCK`` rows (bins as bytes, a feature after the other, margins, labels).  A histogram has
 nodes x features x bins cells whatever the number of rows; with many partitions the tasks' histograms are
 summed by cell in a shuffle before they come to the driver.
 """
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.plans.broadcast import materialize
-from scorelens.plans.selection import column_spans, number, select_quantiles
+from scorelens.plans.selection import column_spans, select_quantiles
 from scorelens.session import scratch_path
 
 BLOCK = 65_536
 STORE_EVERY = 20  # trees between two writings of the margins
 TASK_ROWS = 16_384  # rows a task holds at least
+NODES_BY_MASK = 32  # up to so many splits of a level are applied one by one, to all rows
 DIRECT_PARTS = 64  # up to so many partitions send their histograms to the driver themselves
 
 
@@ -47,12 +50,22 @@ class Tree:
     weight: np.ndarray
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """Node of each row after at most ``levels`` steps."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(levels):
-            f = self.feature[at]
-            step = 2 * at + 1 + (bins[rows, np.maximum(f, 0)] > self.cut[at])
-            at = np.where(f >= 0, step, at)
+        """Node of each row (``bins``: features x rows) after at most ``levels`` steps."""
+        kind = np.min_scalar_type(len(self.feature))
+        at = np.zeros(bins.shape[1], kind)
+        for level in range(levels):
+            first = 2**level - 1
+            splits = first + np.flatnonzero(self.feature[first : 2 * first + 1] >= 0)
+            if len(splits) <= NODES_BY_MASK:
+                for k in splits.tolist():
+                    here = at == k
+                    right = here & (bins[self.feature[k]] > self.cut[k])
+                    at += here * kind.type(k + 1)  # to 2k + 1, or one more
+                    at += right
+            else:
+                f = self.feature[at]
+                step = 2 * at.astype(np.int64) + 1 + (bins[np.maximum(f, 0), np.arange(len(at))] > self.cut[at])
+                at = np.where(f >= 0, step, at).astype(kind)
         return at
 
 
@@ -90,21 +103,19 @@ def best_split(g: np.ndarray, h: np.ndarray, cuts: list[int], p: Penalties):
     return best
 
 
-def _bin(name: str, edges) -> str:
-    """SQL text of a value's bin: the number of edges below it, all of them for a missing value."""
-    return f"cast(size(filter(array({', '.join(map(number, edges))}), e -> coalesce({name} > e, true))) as smallint)" if edges else "cast(0 as smallint)"
-
-
-def _blocks(n_features: int):
-    """Rows (bins array, y) to blocks (block, bins, margin, y)."""
+def _blocks(edges: list[list[float]]):
+    """Rows (x array, y) to blocks (bins, margin, y).  A value's bin is the number of edges below it, all of them for a
+    missing value (NaN)."""
+    n_features = len(edges)
 
     def emit(held):
         table = pa.Table.from_batches(held)
         y = table.column("y").to_numpy().astype(np.float64)
-        bins = np.concatenate([b.column("bins").flatten().to_numpy() for b in held]).astype(np.uint8)
+        x = np.concatenate([b.column("x").flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(-1, n_features)
+        bins = np.stack([np.searchsorted(np.array(e, float), v) for e, v in zip(edges, x.T)]).astype(np.uint8)
         for s in range(0, len(y), BLOCK):
             part = slice(s, s + BLOCK)
-            yield pa.record_batch([pa.array([bins[s * n_features : (s + BLOCK) * n_features].tobytes()]), pa.array([np.zeros(len(y[part])).tobytes()]), pa.array([y[part].tobytes()])], names=["bins", "margin", "y"])
+            yield pa.record_batch([pa.array([bins[:, part].tobytes()]), pa.array([np.zeros(len(y[part])).tobytes()]), pa.array([y[part].tobytes()])], names=["bins", "margin", "y"])
 
     def run(batches):
         held, n = [], 0
@@ -123,31 +134,39 @@ def _blocks(n_features: int):
 
 def _arrays(batch, n_features):
     for block, bins, margin, y in zip(*(batch.column(c).to_pylist() for c in ("block", "bins", "margin", "y"))):
-        yield block, np.frombuffer(bins, np.uint8).reshape(-1, n_features), np.frombuffer(margin, np.float64), np.frombuffer(y, np.float64)
+        yield block, np.frombuffer(bins, np.uint8).reshape(n_features, -1), np.frombuffer(margin, np.float64), np.frombuffer(y, np.float64)
+
+
+def _added(margin: np.ndarray, trees: list[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
+    more = np.zeros(len(margin))
+    for t in trees:
+        more += t.value[t.nodes(bins, depth)]
+    return margin + more
 
 
-def _histograms(trees: list[Tree], depth: int, level: int, growing: Tree | None, n_features: int, n_bins: int, scale: float, subsample: float, seed: int):
-    """Task: fixed-point sums (2 x nodes of the level x features x bins), one row."""
-    first, width = 2**level - 1, 2**level
+def _histograms(trees: list[Tree], depth: int, level: int, counted: list[int], growing: Tree | None, n_features: int, n_bins: int, scale: float, subsample: float, seed: int):
+    """Task: fixed-point sums (2 x ``counted`` nodes of the level x features x bins), one row."""
+    width = len(counted)
 
     def run(batches):
         total = np.zeros((2, width, n_features, n_bins), np.int64)
+        slot = np.full(2 ** (level + 1), -1)
+        slot[counted] = np.arange(width) * n_bins
         for batch in batches:
             for block, bins, margin, y in _arrays(batch, n_features):
-                margin = margin + sum((t.value[t.nodes(bins, depth)] for t in trees), np.zeros(len(y)))
-                rows = np.arange(len(y))
+                base = slot[growing.nodes(bins, level)]
+                here = base >= 0
                 if subsample < 1.0:
-                    rows = np.flatnonzero(np.random.default_rng([seed, block]).random(len(y)) < subsample)
-                if level:
-                    at = growing.nodes(bins[rows], level) - first
-                    rows, at = rows[at >= 0], at[at >= 0]
-                else:
-                    at = np.zeros(len(rows), np.int64)
-                p = 1 / (1 + np.exp(-margin[rows]))
-                for k, x in enumerate((p - y[rows], p * (1 - p))):
-                    x = np.rint(x * scale)
-                    for f in range(n_features):
-                        total[k, :, f] += np.bincount(at * n_bins + bins[rows, f], x, width * n_bins).astype(np.int64).reshape(width, n_bins)
+                    here &= np.random.default_rng([seed, block]).random(len(y)) < subsample
+                if not here.all():
+                    rows = np.flatnonzero(here)
+                    bins, margin, y, base = bins.take(rows, axis=1), margin[rows], y[rows], base[rows]
+                p = 1 / (1 + np.exp(-_added(margin, trees, bins, depth)))
+                g, h = np.rint((p - y) * scale), np.rint(p * (1 - p) * scale)
+                for f in range(n_features):
+                    cell = base + bins[f]
+                    for k, x in enumerate((g, h)):
+                        total[k, :, f] += np.bincount(cell, x, width * n_bins).astype(np.int64).reshape(width, n_bins)
         yield pa.record_batch([pa.array([total.tobytes()])], names=["sums"])
 
     return run
@@ -208,11 +227,9 @@ class PenalisedGBT:
         found = select_quantiles(rows, columns, [k / self.bins for k in range(1, self.bins)], spans)
         edges = [sorted({e for e in found[c] if e is not None and spans[c].low <= e < spans[c].high}) for c in columns]
         n_rows = rows.count()
-        staged = rows.select(*[x.alias(c) for c, x in columns.items()], "y")
-        binned = staged.select(F.expr(f"array({', '.join(_bin(c, es) for c, es in zip(columns, edges))})").alias("bins"), "y")
         # a pass over few rows is quicker in few tasks
-        binned = binned.coalesce(max(1, min(rows.rdd.getNumPartitions(), n_rows // TASK_ROWS)))
-        blocks = binned.mapInArrow(_blocks(n_features), "bins binary, margin binary, y binary")
+        few = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), n_rows // TASK_ROWS)))
+        blocks = few.mapInArrow(_blocks(edges), "bins binary, margin binary, y binary")
         blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
         parts = blocks.rdd.getNumPartitions()
         scale = 2.0 ** min(36, 62 - max(1, n_rows).bit_length())
@@ -235,7 +252,7 @@ class PenalisedGBT:
 
         def run(batches):
             for batch in batches:
-                out = [margin + sum((t.value[t.nodes(bins, depth)] for t in trees), np.zeros(len(y))) for _, bins, margin, y in _arrays(batch, n_features)]
+                out = [_added(margin, trees, bins, depth) for _, bins, margin, _ in _arrays(batch, n_features)]
                 yield pa.RecordBatch.from_arrays([batch.column("bins"), pa.array([m.tobytes() for m in out], pa.binary()), batch.column("y"), batch.column("block")], names=["bins", "margin", "y", "block"])
 
         return blocks.mapInArrow(run, blocks.schema)
@@ -246,17 +263,24 @@ class PenalisedGBT:
         p = Penalties(self.reg_alpha, self.reg_lambda, 0.0, self.min_child_weight)
         n_bins = max(cuts) + 1
         sums: dict[int, tuple[float, float]] = {}
+        cells: dict[int, np.ndarray] = {}  # of the level's nodes: 2 x features x bins whole numbers
         for level in range(self.max_depth):
             first, width = 2**level - 1, 2**level
             open_ = [0] if level == 0 else [k for k in range(first, first + width) if k in sums]
             if not open_:
                 break
-            task = _histograms(since, self.max_depth, level, tree, n_features, n_bins, scale, self.subsample, self.seed + 7919 * t)
-            g, h = _summed(blocks, parts, task, (2, width, n_features, n_bins)) / scale
+            # the lighter child of each split
+            counted = open_ if level == 0 else [min(k, k + 1, key=lambda c: (sums[c][1], c)) for k in open_[::2]]
+            task = _histograms(since, self.max_depth, level, counted, tree, n_features, n_bins, scale, self.subsample, self.seed + 7919 * t)
+            found = _summed(blocks, parts, task, (2, len(counted), n_features, n_bins))
+            parents, cells = cells, {k: found[:, i] for i, k in enumerate(counted)}
+            for k in counted if level else ():
+                parent = (k - 1) // 2
+                cells[4 * parent + 3 - k] = parents[parent] - cells[k]
             for k in open_:
-                at = k - first
-                sums[k] = (g[at, 0].sum(), h[at, 0].sum())
-                split = best_split(g[at], h[at], cuts, p)
+                g, h = cells[k] / scale
+                sums[k] = (g[0].sum(), h[0].sum())
+                split = best_split(g, h, cuts, p)
                 if split:
                     tree.gain[k], tree.feature[k], tree.cut[k] = split[:3]
                     sums[2 * k + 1], sums[2 * k + 2] = split[3:]

@@ -1,8 +1,8 @@
 """Exact order statistics of many columns by narrowing cells around the wanted ranks.
 
 1. One aggregation gives each column's range and count.
-2. The range is cut into cells, and the rows of each cell are counted by an ordinary
-   ``groupBy`` with partial aggregation; each cell also knows its least and greatest value.
+2. The range is cut into cells, and the rows of each cell are counted: tasks count by cell with array
+   operations, and their counts are summed by cell; each cell also knows its least and greatest value.
 3. Only cells that hold a wanted rank go on, cut again, until a cell has a single value.  After the
    first round their values (a small share of the rows) are stored, so that later rounds read them only;
    when few are left, their different values are counted at once.
@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,6 @@ def column_spans(df: DataFrame, columns: dict[str, Column], extra=()) -> tuple[d
     return {c: Span(row[f"_lo{i}"], row[f"_hi{i}"], int(row[f"_n{i}"])) for i, c in enumerate(columns)}, row
 
 
-def number(v: float) -> str:
-    """A double as SQL text."""
-    return f"double('{v}')" if math.isinf(v) else f"{v!r}D"
-
-
 #: How a cell is cut: evenly, evenly in the logarithm of positive or of negative values, by sign, or its ends apart.
 LINEAR, LOG, MINUS_LOG, SIGN, ENDS = range(5)
 
@@ -76,26 +73,70 @@ def _cut(cell: _Cell, cells: int, logarithm: bool) -> tuple[int, float, float]:
     return (way, low, width) if 0 < width < float("inf") else (ENDS, 0.0, 0.0)
 
 
-def _values(df: DataFrame, columns: dict[str, Column], todo: list[_Cell], cells: int, logarithm: bool) -> DataFrame:
-    """(t, cell, v): values in one of the cells to do, with the cell inside it (never decreasing in v).
-
-    The cells of a column are a constant array, looked up by the number of them that start at or below the
-    value.  As SQL text, since a column object a number would cost the driver a call each."""
-    used, own, found = [], [], []
-    for i, x in enumerate(columns.values()):
+def _placed(columns: int, todo: list[_Cell], cells: int, logarithm: bool):
+    """Function of a batch of double columns: (t, cell, v) arrays of the values that lie in one of the cells to do, column by
+    column, with the cell inside it (never decreasing in v)."""
+    tables = []
+    for i in range(columns):
         rows = sorted((c.low, c.high, t, *_cut(c, cells, logarithm)) for t, c in enumerate(todo) if c.column == i)
-        if not rows:
-            continue
-        used.append(x.alias(f"x{i}"))
-        table = ", ".join(f"named_struct('low', {number(a)}, 'high', {number(b)}, 't', {t}, 'way', {w}, 'start', {number(s)}, 'width', {number(d)})" for a, b, t, w, s, d in rows)
-        below = f"size(filter(array({', '.join(number(r[0]) for r in rows)}), e -> e <= x{i}))"
-        own.append(F.expr(f"try_element_at(array({table}), nullif({below}, 0))").alias(f"o{i}"))
-        scaled = f"(case o{i}.way when {LOG} then ln(x{i}) when {MINUS_LOG} then -ln(-x{i}) else x{i} end)"
-        even = f"int(least(greatest(floor(({scaled} - o{i}.start) / o{i}.width), 0), {cells - 1}))"
-        place = f"case o{i}.way when {SIGN} then int(signum(x{i})) + 1 when {ENDS} then if(x{i} <= o{i}.low, 0, if(x{i} >= o{i}.high, 2, 1)) else {even} end"
-        found.append(f"if(x{i} <= o{i}.high, named_struct('t', o{i}.t, 'cell', {place}, 'v', x{i}), null)")
-    staged = df.select(*used).select("*", *own)
-    return staged.select(F.explode(F.expr(f"array({', '.join(found)})")).alias("x")).where("x is not null").select("x.t", "x.cell", "x.v")
+        tables.append([np.array(x) for x in zip(*rows)])
+
+    def place(batch):
+        for i, table in enumerate(tables):
+            column = batch.column(i).drop_null()
+            if not table or not len(column):
+                continue
+            low, high, t, way, start, width = table
+            v = column.to_numpy(zero_copy_only=False) + 0.0  # no negative zero
+            own = np.searchsorted(low, v, "right") - 1
+            inside = (own >= 0) & (v <= high[own])
+            v, own = v[inside], own[inside]
+            kind = way[own]
+            cell = np.zeros(len(v), np.int64)
+            even = kind == LINEAR
+            cell[even] = np.clip(np.floor((v[even] - start[own[even]]) / width[own[even]]), 0, cells - 1)
+            for o in np.unique(own[(kind == LOG) | (kind == MINUS_LOG)]).tolist():
+                # by borders, as a logarithm need not keep the order of neighbouring values
+                sign = 1.0 if way[o] == LOG else -1.0
+                borders = sign * np.exp(sign * (start[o] + width[o] * np.arange(1, cells)))
+                cell[own == o] = np.searchsorted(np.maximum.accumulate(borders), v[own == o], "right")
+            cell[kind == SIGN] = np.sign(v[kind == SIGN]) + 1
+            ends = kind == ENDS
+            cell[ends] = np.where(v[ends] <= low[own[ends]], 0, np.where(v[ends] >= high[own[ends]], 2, 1))
+            yield t[own], cell, v
+
+    return place
+
+
+def _values(df: DataFrame, columns: dict[str, Column], todo: list[_Cell]) -> DataFrame:
+    """(t, v): values in one of the cells to do."""
+    place = _placed(len(columns), todo, 2, False)
+
+    def run(batches):
+        for batch in batches:
+            for t, _, v in place(batch):
+                yield pa.record_batch([pa.array(t.astype(np.int32)), pa.array(v)], names=["t", "v"])
+
+    return df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(columns.values())]).mapInArrow(run, "t int, v double")
+
+
+def _counted(df: DataFrame, columns: dict[str, Column], todo: list[_Cell], cells: int, logarithm: bool) -> DataFrame:
+    """(t, cell, lo, hi, n) of the cells of the cells to do that hold values."""
+    place, each, n_cells = _placed(len(columns), todo, cells, logarithm), max(cells, 3), len(todo)
+
+    def run(batches):
+        n, lo, hi = np.zeros(n_cells * each, np.int64), np.full(n_cells * each, np.inf), np.full(n_cells * each, -np.inf)
+        for batch in batches:
+            for t, cell, v in place(batch):
+                at = t * each + cell
+                n += np.bincount(at, minlength=len(n))
+                np.minimum.at(lo, at, v)
+                np.maximum.at(hi, at, v)
+        held = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(x) for x in ((held // each).astype(np.int32), (held % each).astype(np.int32), lo[held], hi[held], n[held])], names=["t", "cell", "lo", "hi", "n"])
+
+    parts = df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(columns.values())]).mapInArrow(run, "t int, cell int, lo double, hi double, n long")
+    return parts.groupBy("t", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 
 def select_ranks(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]], spans: dict[str, Span],
@@ -126,9 +167,10 @@ def select_ranks(df: DataFrame, columns: dict[str, Column], ranks: dict[str, lis
             return found
         few = sum(c.n for c in todo) <= most_counted
         each = max(4, cells // len(todo))
-        rows = _values(source, here, todo, each, turn % 3 == 2)
-        by = ["t", "v"] if few else ["t", "cell"]
-        counted = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        if few:
+            counted = _values(source, here, todo).groupBy("t", "v").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        else:
+            counted = _counted(source, here, todo, each, turn % 3 == 2).collect()
         old, todo = todo, []
         at = {t: c.before for t, c in enumerate(old)}
         for r in sorted(counted, key=lambda r: (r["t"], r["lo"])):
@@ -138,7 +180,7 @@ def select_ranks(df: DataFrame, columns: dict[str, Column], ranks: dict[str, lis
         left = sum(c.n for c in todo)
         if todo and 4 * left < sum(c.n for c in old):
             # later rounds read the values of the cells that are left, by column
-            kept = materialize(_values(source, here, todo, 2, False).select("t", "v"))
+            kept = materialize(_values(source, here, todo))
             owner = F.element_at(F.array(*[F.lit(c.column) for c in todo]), F.col("t") + 1)
             source = kept.withColumn("c", owner)
             here = {c: F.when(F.col("c") == i, F.col("v")) for i, c in enumerate(names)}

@@ -101,3 +101,41 @@ def test_subsample_missing_values_and_empty_tables(spark):
         B.PenalisedGBT(reg_alpha=-1)
     with pytest.raises(ValueError):
         gbt_pipeline(["a"], reg_alpha=None, reg_lambda=None, min_child_weight=3)
+
+
+@pytest.mark.parametrize("by_mask", [0, 100])
+def test_nodes_of_rows_are_those_of_a_plain_walk(monkeypatch, by_mask):
+    monkeypatch.setattr(B, "NODES_BY_MASK", by_mask)
+    r = np.random.default_rng(5)
+    bins = r.integers(0, 32, (4, 300)).astype(np.uint8)
+    for depth in (1, 3, 8):
+        size = 2 ** (depth + 1) - 1
+        tree = B.Tree(np.full(size, -1), r.integers(0, 32, size), np.zeros(size), np.zeros(size), np.zeros(size))
+        for k in range(2**depth - 1):
+            if (k == 0 or tree.feature[(k - 1) // 2] >= 0) and r.random() < 0.9:
+                tree.feature[k] = r.integers(0, 4)
+        for levels in range(depth + 1):
+            want = []
+            for row in bins.T:
+                k = 0
+                for _ in range(levels):
+                    if tree.feature[k] >= 0:
+                        k = 2 * k + 1 + int(row[tree.feature[k]] > tree.cut[k])
+                want.append(k)
+            assert tree.nodes(bins, levels).tolist() == want
+
+
+def test_only_the_lighter_child_is_summed(spark, monkeypatch):
+    _, _, df = _data(spark)
+    plain, passes = B._histograms, []
+
+    def watched(*args):
+        passes.append((args[2], len(args[3])))
+        return plain(*args)
+
+    monkeypatch.setattr(B, "_histograms", watched)
+    gbt, _, _ = _fit(df, n_estimators=2, max_depth=3)
+    assert len(gbt.trees) == 2 and passes[:3] == [(0, 1), (1, 1), (2, 2)]
+    for tree in gbt.trees:  # what the children hold is what their parent holds
+        for k in np.flatnonzero(tree.feature >= 0):
+            assert abs(tree.weight[2 * k + 1] + tree.weight[2 * k + 2] - tree.weight[k]) < 1e-6

@@ -141,3 +141,18 @@ def test_one_class_is_refused(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1)], "f string, target int")
     with pytest.raises(Exception, match="both values"):
         W.woe_map(df, ["f"], "target").collect()
+
+
+def test_tasks_count_values_by_cell(spark):
+    """A round shuffles a row a cell and task, and makes no row a value."""
+    df = spark.range(20_000).selectExpr("cast(id * id % 7919 as double) as a", "if(id % 3 = 0, null, -exp(id / 100.0)) as b").repartition(3)
+    exprs = {c: F.col(c) for c in ("a", "b")}
+    spans, _ = selection.column_spans(df, exprs)
+    todo = [selection._Cell(i, spans[c].low, spans[c].high, 0, spans[c].n, [0]) for i, c in enumerate(exprs)]
+    for logarithm in (False, True):
+        counted = selection._counted(df, exprs, todo, 50, logarithm)
+        plan = counted._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "explode" not in plan
+        rows = sorted(counted.collect(), key=lambda r: (r["t"], r["cell"]))
+        assert sum(r["n"] for r in rows) == sum(s.n for s in spans.values()) and len(rows) <= 100
+        assert all(x["hi"] < y["lo"] for x, y in zip(rows, rows[1:]) if x["t"] == y["t"])  # cells keep the order
