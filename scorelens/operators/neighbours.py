@@ -6,7 +6,8 @@
    B are at most d + rA + rB from any point of A, so if B has k points that bounds the k-th neighbour of
    all A; a pair whose d - rA - rB is beyond the least bound of A is dropped with all below it.
 3. Each last cell finds its neighbours inside itself, which bounds the k-th distance of each of its points; the pairs of
-   cells that are left are compared in blocks, and a point's k best remain.
+   cells that are left are compared in blocks, and a point's k best remain.  Of two cells only the points are
+   compared that lie within that distance of the box around the other cell's points.
 
 No cell is compared with all others unless the bounds can't part them (as with many features), and no task
 holds more than two cells.
@@ -110,30 +111,56 @@ def _pairs(levels: list[DataFrame], packed: DataFrame, k: int) -> DataFrame:
     return pairs
 
 
+def _to_box(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each point of ``a`` to the box around ``b``, summed as in ``_pairwise``, so never above a distance there."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += np.maximum(np.maximum(b[:, i].min() - a[:, i], a[:, i] - b[:, i].max()), 0.0) ** 2
+    return np.sqrt(out)
+
+
+def _nearest(a: np.ndarray, limit: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, distance): at most the k nearest of each point of ``a`` that are within its limit,
+    ties by id.  ``same``: both are one cell, and no point is its own neighbour."""
+    mine, theirs = np.arange(len(a)), np.arange(len(b))
+    if not same:
+        mine = np.flatnonzero(_to_box(a, b) <= limit)
+        if len(mine):
+            theirs = np.flatnonzero(_to_box(b, a[mine]) <= limit[mine].max())
+    if not len(mine) or not len(theirs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    d = _pairwise(a[mine], b[theirs])
+    if same:
+        np.fill_diagonal(d, np.inf)
+    i, j = np.nonzero((d <= limit[mine, None]) & (d < np.inf))
+    d, i, j = d[i, j], mine[i], theirs[j]
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((place[j], d, i))
+    d, i, j = d[order], i[order], j[order]
+    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+    best = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+    return i[best], j[best], d[best]
+
+
 def _compare(n_features: int, k: int):
     """Pairs of packed cells to (pid, cid, d): at most k for each point of the first cell."""
 
     def run(batches):
         for batch in batches:
+            kind = batch.schema.field("pids").type.value_type
             pids, cids, dists = [], [], []
             names = ("cell", "other", "pids", "points", "within", "cids", "others")
-            for cell, other, mine, points, within, theirs, others in zip(*(batch.column(c).to_pylist() for c in names)):
-                a, b = (np.frombuffer(x).reshape(-1, n_features) for x in (points, others))
-                limit = np.frombuffer(within)
-                d = _pairwise(a, b)
-                if cell == other:
-                    np.fill_diagonal(d, np.inf)
-                order = np.argsort(np.array(theirs, dtype=object if isinstance(theirs[0], str) else None), kind="stable")
-                d = d[:, order]
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by id
-                for i, row in enumerate(best):
-                    for j in row[d[i, row] <= limit[i]]:
-                        if np.isfinite(d[i, j]):
-                            pids.append(mine[i])
-                            cids.append(theirs[order[j]])
-                            dists.append(float(d[i, j]))
-            kind = batch.schema.field("pids").type.value_type
-            yield pa.record_batch([pa.array(pids, kind), pa.array(cids, kind), pa.array(dists, pa.float64())], names=["pid", "cid", "d"])
+            for cell, other, mine, points, within, theirs, others in zip(*(batch.column(c) for c in names)):
+                a, b = (np.frombuffer(x.as_buffer()).reshape(-1, n_features) for x in (points, others))
+                ids = theirs.values.to_numpy(zero_copy_only=False)
+                i, j, d = _nearest(a, np.frombuffer(within.as_buffer()), b, ids, k, cell.as_py() == other.as_py())
+                if len(i):
+                    pids.append(mine.values.take(pa.array(i)))
+                    cids.append(theirs.values.take(pa.array(j)))
+                    dists.append(d)
+            one = lambda parts: pa.concat_arrays(parts) if parts else pa.array([], kind)  # noqa: B023, E731
+            yield pa.record_batch([one(pids), one(cids), pa.array(np.concatenate(dists) if dists else np.zeros(0))], names=["pid", "cid", "d"])
 
     return run
 

@@ -39,3 +39,22 @@ def test_ties_by_id_and_few_points(spark):
     _check(spark, grid, 5, cell_size=10)
     _check(spark, grid[:4], 5)
     _check(spark, grid[:1], 3)
+
+
+def test_points_away_from_the_other_cell_are_not_compared(monkeypatch):
+    from scorelens.operators import neighbours as N
+
+    r = np.random.default_rng(7)
+    a, b = np.round(r.random((200, 2)), 2), np.round(r.random((200, 2)) + [0.95, 0], 2)
+    ids, limit = r.permutation(200), np.full(200, 0.1)
+    plain, sizes = N._pairwise, []
+
+    def watched(x, y):
+        sizes.append(len(x) * len(y))
+        return plain(x, y)
+
+    monkeypatch.setattr(N, "_pairwise", watched)
+    got = sorted(zip(*(x.tolist() for x in N._nearest(a, limit, b, ids, 3, False))))
+    d = plain(a, b)
+    want = sorted((i, int(j), d[i, j]) for i in range(200) for j in np.lexsort((ids, d[i]))[:3] if d[i, j] <= 0.1)
+    assert got == want and want and sum(sizes) < 0.1 * 200 * 200
