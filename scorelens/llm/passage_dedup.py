@@ -30,6 +30,8 @@ from scorelens.llm.components import components
 from scorelens.llm.shingles import _ODD, similar
 
 SHINGLE = 5
+#: Shingles of texts that are hashed together.
+TOGETHER = 65_536
 #: Classes that one call verifies, and classes up to which the list of units to verify is broadcast.
 GATHER, BROADCAST_CLASSES = 20_000, 2_000_000
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -94,25 +96,35 @@ def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: i
     return cls.view(np.int64), np.stack(keys, 1).view(np.int64)
 
 
-def blocks(shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def blocks(shingles: np.ndarray, size: int, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, class, key) of the blocks of ``size`` words: one in any ``size`` neighbouring positions.
 
     Class and key are two 64-bit hashes of the same words: a block is a repeat only if both are.
 
-    Neighbours of one class (words that repeat with a short period) are thinned, without a gap."""
-    n = len(shingles) - size + SHINGLE
-    if n < 1:
+    Neighbours of one class (words that repeat with a short period) are thinned, without a gap.
+    ``texts`` has the numbers of shingles of several texts that stand one after another; no block crosses two, and
+    first words are positions in the whole array."""
+    texts = np.array([len(shingles)]) if texts is None else texts
+    begin = np.cumsum(texts) - texts
+    n = np.maximum(texts - size + SHINGLE, 0)  # where a block may start
+    begin, n = begin[n > 0], n[n > 0]
+    if not len(n):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = mix64(shingles[:n] ^ _ODD[52])
-    if n <= size:
-        at = np.array([int(order.argmin())])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1) + np.arange(n - size + 1))
+    stop = np.cumsum(n)
+    text = np.repeat(np.arange(len(n)), n)
+    places = np.arange(stop[-1]) + (begin - (stop - n))[text]
+    order = mix64(shingles[places] ^ _ODD[52])
+    at = [a + int(order[a:b].argmin()) for a, b in zip((stop - n)[n < size].tolist(), stop[n < size].tolist())]
+    if len(order) >= size:
+        least = np.lib.stride_tricks.sliding_window_view(order, size).argmin(axis=1) + np.arange(len(order) - size + 1)
+        at = np.append(at, least[text[: len(least)] == text[size - 1 :]])
+    at = np.unique(np.asarray(at, np.int64))
+    text, at = text[at], places[at]
     cls, key = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for j, start in enumerate([*range(0, size - SHINGLE, SHINGLE), size - SHINGLE]):
         cls = mix64(cls + shingles[at + start] * _ODD[53] + np.uint64(j + 1))
         key = mix64(key ^ (shingles[at + start] * _ODD[54] + np.uint64(j + 1)))
-    new = np.append(True, cls[1:] != cls[:-1])
+    new = np.append(True, (cls[1:] != cls[:-1]) | (text[1:] != text[:-1]))
     away = at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
     part = away // max(size // 2, 1)
     keep = new | np.append(True, part[1:] != part[:-1]) | np.append(new[1:], True)
@@ -137,6 +149,29 @@ def _several_ids(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _text_rows(ids: list[int], found: list[tuple], bands: int, min_words: int) -> tuple:
+    """Key rows (key, id, idx, start, stop, words, cls) of some texts, from their units and shingles: one call of each
+    array operation for all of them."""
+    n_units, n_shingles = (np.array([len(x[i]) for x in found]) for i in (0, 2))
+    offset = np.cumsum(n_shingles) - n_shingles
+    first, end, shingles = (np.concatenate([x[i] for x in found]) for i in range(3))
+    unit_text = np.repeat(np.arange(len(found)), n_units)
+    cls, keys = unit_keys(first + offset[unit_text], end + offset[unit_text], shingles, bands)
+    at, block, block_key = blocks(shingles, min_words, n_shingles)
+    block_text = np.searchsorted(offset + n_shingles, at, "right")
+    at = at - offset[block_text]
+    last = np.append(unit_text[1:] != unit_text[:-1], True)[: len(first)]
+    stop = np.where(last, end, np.append(first[1:], 0)[: len(first)])
+    ids, idx = np.array(ids, np.int64), np.arange(len(first)) - (np.cumsum(n_units) - n_units)[unit_text]
+    m = len(at)
+    return (
+        np.concatenate([keys.T.ravel(), block_key]), np.concatenate([np.tile(ids[unit_text], bands), ids[block_text]]),
+        np.concatenate([np.tile(idx, bands), np.full(m, -1)]), np.concatenate([np.tile(first, bands), at]),
+        np.concatenate([np.tile(stop, bands), at + min_words]), np.concatenate([np.tile(end - first, bands), np.full(m, min_words)]),
+        np.concatenate([np.tile(cls, bands), block]),
+    )
+
+
 def _key_rows(bands: int, min_words: int):
     """A row for each key of each unit (idx from 0) and block (idx -1); ``stop`` is the next unit's first word.
     ``home`` says where a row is shuffled to."""
@@ -146,18 +181,18 @@ def _key_rows(bands: int, min_words: int):
         for batch in batches:
             parts: list[tuple] = []
             counts: list[tuple[int, int]] = []
+            some, found, n = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, end, shingles = units(text)
-                cls, keys = unit_keys(first, end, shingles, bands)
-                at, block, block_key = blocks(shingles, min_words)
-                n, m = len(cls), len(at)
-                counts.append((i, n))
-                parts.append((
-                    np.concatenate([keys.T.ravel(), block_key]), np.full(bands * n + m, i),
-                    np.concatenate([np.tile(np.arange(n), bands), np.full(m, -1)]), np.concatenate([np.tile(first, bands), at]),
-                    np.concatenate([np.tile(np.append(first[1:], end[-1:]), bands), at + min_words]),
-                    np.concatenate([np.tile(end - first, bands), np.full(m, min_words)]), np.concatenate([np.tile(cls, bands), block]),
-                ))
+                got = units(text)
+                counts.append((i, len(got[0])))
+                some.append(i)
+                found.append(got)
+                n += len(got[2])
+                if n >= TOGETHER:
+                    parts.append(_text_rows(some, found, bands, min_words))
+                    some, found, n = [], [], 0
+            if some:
+                parts.append(_text_rows(some, found, bands, min_words))
             key, ids, idx, start, stop, words, cls = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 7
             known = _several_ids(key, ids)
             marks = np.unique(key[known])

@@ -70,3 +70,19 @@ def test_copies_lose_all_but_the_smallest(spark, make_docs):
     assert all(out[i]["words_removed"] >= 25 and out[i]["class_id"] == 0 for i in [*range(1, 6), *range(10, 30)])
     assert np.all([x["words_removed"] <= 120 for x in out.values()])
     assert P.repeated_passages(make_docs(docs).where(F.lit(False))).count() == 0
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w + ("." if r.random() < 0.1 else "") for w in r.choice(words, n)) for n in (0, 3, 24, 25, 26, 48, 49, 50, 200, 400) * 6]
+    texts += ["", None, "a b c d e " * 40, "x\ny\nz"]
+    make, _ = P._key_rows(3, 25)
+    rows = lambda some: sorted(x for b in make(some) for x in zip(*(c.to_pylist() for c in b.columns)) if x[1] != P.MARK)
+    batch = lambda i, t: pa.record_batch([pa.array(i, pa.int64()), pa.array(t, pa.string())], names=["__id", "__text"])
+    alone = rows([batch([i], [t]) for i, t in enumerate(texts)])
+    calls, plain = [], P.blocks
+    monkeypatch.setattr(P, "blocks", lambda *a: calls.append(1) or plain(*a))
+    together = rows([batch(list(range(len(texts))), texts)])
+    unlike = lambda found: sorted((x[0], *x[2:8]) for x in found)  # noqa: E731  (a key's kind and home depend on its batch)
+    assert unlike(together) == unlike(alone) and len(calls) == 1
