@@ -11,8 +11,11 @@ at least one block is the same in both.
    similarity 0.8).  Keys that units of two documents share stay: a batch of texts knows some of them itself
    (their rows are spread at will, and one mark a key goes to the key's home); all other rows are
    shuffled once, by key, and pass if their key has a mark or a second document.
-2. Colliding units are collapsed to classes of equal units; inside a bucket different classes are
-   compared by exact Jaccard similarity of their shingles, and links give components.
+2. Colliding units are collapsed to classes of equal units.  Units of common words collide by chance, in pairs
+   that grow with the square of the corpus: a bucket's classes are first held against each other by sketches
+   alone (64 bits a unit, a lower bound of the shingles that two units do not share), and only those that some
+   other one may be similar to are looked up in the texts.  These are compared by exact Jaccard similarity of
+   their shingles, and links give components.
 3. A component that two documents hold is a repeat, as is a block (equal ones only): it stays in the
    smallest id.  Runs of neighbouring repeated units and blocks of ``min_words`` words or more are the
    passages that are removed.
@@ -30,10 +33,12 @@ from scorelens.llm.components import components
 from scorelens.llm.shingles import _ODD, similar
 
 SHINGLE = 5
-#: Shingles of texts that are hashed together.
-TOGETHER = 65_536
+#: Shingles of texts that are hashed together, and key rows that leave a worker together.
+TOGETHER, SENT = 65_536, 100_000
 #: Classes that one call verifies, and classes up to which the list of units to verify is broadcast.
 GATHER, BROADCAST_CLASSES = 20_000, 2_000_000
+#: Classes of a bucket up to which it is compared together with others.
+FEW = 32
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _END = np.isin(np.arange(256), list(b".!?"))
 
@@ -96,6 +101,25 @@ def unit_keys(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: i
     return cls.view(np.int64), np.stack(keys, 1).view(np.int64)
 
 
+def bits(shingles: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each shingle."""
+    return np.uint64(1) << (shingles >> np.uint64(58))
+
+
+def unit_sketches(first: np.ndarray, end: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The bits of each unit's shingles."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    at = np.stack([first, end - SHINGLE + 1], 1).ravel()
+    return np.bitwise_or.reduceat(np.append(bits(shingles), np.uint64(0)), at)[::2].view(np.int64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with the sketches ``a`` and ``b`` can reach ``percent`` of similarity; ``sizes`` is the sum of
+    their sizes, or more.  A bit that one sketch lacks is a shingle that its set lacks, so no similar pair is lost."""
+    return (100 + percent) * np.bitwise_count(a ^ b).astype(np.int64) <= (100 - percent) * sizes
+
+
 def blocks(shingles: np.ndarray, size: int, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, class, key) of the blocks of ``size`` words: one in any ``size`` neighbouring positions.
 
@@ -133,7 +157,8 @@ def blocks(shingles: np.ndarray, size: int, texts: np.ndarray | None = None) ->
 
 #: What a row is: a key's mark, a row whose key may repeat, one whose key does, and a document's number of units.
 MARK, OPEN, KNOWN, COUNT = range(4)
-_ROW = {"key": "long", "kind": "int", "id": "long", "idx": "int", "start": "int", "stop": "int", "words": "int", "cls": "long"}
+_ROW = {"key": "long", "kind": "int", "id": "long", "idx": "int", "start": "int", "stop": "int", "words": "int", "cls": "long", "sketch": "long"}
+_KINDS = [np.int64 if t == "long" else np.int32 for n, t in _ROW.items() if n != "kind"]
 
 
 def _several_ids(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -150,13 +175,14 @@ def _several_ids(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _text_rows(ids: list[int], found: list[tuple], bands: int, min_words: int) -> tuple:
-    """Key rows (key, id, idx, start, stop, words, cls) of some texts, from their units and shingles: one call of each
+    """Key rows (key, id, idx, start, stop, words, cls, sketch) of some texts, from their units and shingles: one call of each
     array operation for all of them."""
     n_units, n_shingles = (np.array([len(x[i]) for x in found]) for i in (0, 2))
     offset = np.cumsum(n_shingles) - n_shingles
     first, end, shingles = (np.concatenate([x[i] for x in found]) for i in range(3))
     unit_text = np.repeat(np.arange(len(found)), n_units)
     cls, keys = unit_keys(first + offset[unit_text], end + offset[unit_text], shingles, bands)
+    sketch = unit_sketches(first + offset[unit_text], end + offset[unit_text], shingles)
     at, block, block_key = blocks(shingles, min_words, n_shingles)
     block_text = np.searchsorted(offset + n_shingles, at, "right")
     at = at - offset[block_text]
@@ -164,18 +190,22 @@ def _text_rows(ids: list[int], found: list[tuple], bands: int, min_words: int) -
     stop = np.where(last, end, np.append(first[1:], 0)[: len(first)])
     ids, idx = np.array(ids, np.int64), np.arange(len(first)) - (np.cumsum(n_units) - n_units)[unit_text]
     m = len(at)
-    return (
+    rows = (
         np.concatenate([keys.T.ravel(), block_key]), np.concatenate([np.tile(ids[unit_text], bands), ids[block_text]]),
         np.concatenate([np.tile(idx, bands), np.full(m, -1)]), np.concatenate([np.tile(first, bands), at]),
         np.concatenate([np.tile(stop, bands), at + min_words]), np.concatenate([np.tile(end - first, bands), np.full(m, min_words)]),
-        np.concatenate([np.tile(cls, bands), block]),
+        np.concatenate([np.tile(cls, bands), block]), np.concatenate([np.tile(sketch, bands), np.zeros(m, np.int64)]),
     )
+    return tuple(x.astype(kind, copy=False) for x, kind in zip(rows, _KINDS))
 
 
 def _key_rows(bands: int, min_words: int):
     """A row for each key of each unit (idx from 0) and block (idx -1); ``stop`` is the next unit's first word.
     ``home`` says where a row is shuffled to."""
 
+    batch_of = lambda *columns: pa.record_batch([pa.array(x) for x in columns], names=[*_ROW, "home"])
+    spread = lambda k, i: mix64(k.view(np.uint64) + mix64(i.view(np.uint64))).view(np.int64)
+
     def run(batches):
         units = Units()
         for batch in batches:
@@ -193,27 +223,39 @@ def _key_rows(bands: int, min_words: int):
                     some, found, n = [], [], 0
             if some:
                 parts.append(_text_rows(some, found, bands, min_words))
-            key, ids, idx, start, stop, words, cls = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 7
+            columns = [np.concatenate([x[j] for x in parts]) if parts else np.zeros(0, kind) for j, kind in enumerate(_KINDS)]
+            parts.clear()
+            key, ids = columns[:2]
             known = _several_ids(key, ids)
+            kind = np.where(known, KNOWN, OPEN).astype(np.int32)
+            for s in range(0, len(key), SENT):
+                of = slice(s, s + SENT)
+                yield batch_of(key[of], kind[of], *(x[of] for x in columns[1:]), np.where(known[of], spread(key[of], ids[of]), key[of]))
             marks = np.unique(key[known])
-            n_marks, n_counts = len(marks), len(counts)
             of = np.array(counts, np.int64).reshape(-1, 2)
-            none = np.zeros(n_marks + n_counts, np.int64)
-            kind = np.concatenate([np.where(known, KNOWN, OPEN), np.full(n_marks, MARK), np.full(n_counts, COUNT)])
-            key = np.concatenate([key, marks, np.zeros(n_counts, np.int64)])
-            ids = np.concatenate([ids, np.zeros(n_marks, np.int64), of[:, 0]])
-            with np.errstate(over="ignore"):
-                spread = mix64(key.view(np.uint64) + mix64(ids.view(np.uint64))).view(np.int64)
-            out = {
-                "key": key, "kind": kind.astype(np.int32), "id": ids, "idx": np.concatenate([idx, none]).astype(np.int32), "start": np.concatenate([start, none]).astype(np.int32),
-                "stop": np.concatenate([stop, none]).astype(np.int32), "words": np.concatenate([words, none[:n_marks], of[:, 1]]).astype(np.int32),
-                "cls": np.concatenate([cls, none]), "home": np.where(kind >= KNOWN, spread, key),
-            }
-            yield pa.record_batch([pa.array(x) for x in out.values()], names=list(out))
+            own, units_of, none, nothing = of[:, 0].copy(), of[:, 1].astype(np.int32), np.zeros(len(of), np.int32), np.zeros(len(of), np.int64)
+            yield batch_of(nothing, np.full(len(of), COUNT, np.int32), own, none, none, none, units_of, nothing, nothing, spread(nothing, own))
+            none, nothing = np.zeros(len(marks), np.int32), np.zeros(len(marks), np.int64)
+            yield batch_of(marks, np.full(len(marks), MARK, np.int32), nothing, none, none, none, none, nothing, nothing, marks)
 
     return run, ", ".join(f"{n} {t}" for n, t in _ROW.items()) + ", home long"
 
 
+#: Two columns for the five small ones of a key row while it is shuffled, and the way back.  A text has fewer than 2**30 words.
+_PACKED = {"place": "shiftleft(bigint(idx), 32) | bigint(start)", "rest": "shiftleft(bigint(stop) - start - words, 32) | shiftleft(bigint(words), 2) | kind"}
+_UNPACKED = {
+    "kind": "int(rest & 3)", "idx": "int(shiftright(place, 32))", "start": "int(place & 4294967295)",
+    "stop": "int((place & 4294967295) + (shiftright(rest, 2) & 1073741823) + shiftright(rest, 32))", "words": "int(shiftright(rest, 2) & 1073741823)",
+}
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Key rows at their homes, sorted by key, kind and id."""
+    packed = rows.select("key", "id", *(F.expr(x).alias(n) for n, x in _PACKED.items()), "cls", "sketch", "home")
+    dealt = packed.repartition("home").drop("home").sortWithinPartitions("key", F.expr("rest & 3"), "id")
+    return dealt.select(*(F.expr(_UNPACKED[n]).alias(n) if n in _UNPACKED else n for n in _ROW))
+
+
 def _repeated(batches):
     """Rows sorted by key and kind to those whose key several ids have, and all known and count rows.
 
@@ -265,6 +307,32 @@ def _set_rows():
     return run
 
 
+def _with_partners(percent: int):
+    """(key, cls, id) of the classes whose sketch leaves another class of their bucket (``sub``) as a similar one.
+    ``words`` counts a shingle that repeats in its unit each time, so the sizes are never too small."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(np.argsort(t.column("sub").to_numpy(), kind="stable"))
+        of, size = t.column("sub").to_numpy(), t.column("words").to_numpy().astype(np.int64) - SHINGLE + 1
+        sketch, found = t.column("sketch").to_numpy().view(np.uint64), np.zeros(t.num_rows, bool)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: t.num_rows]
+        stop = np.append(first[1:], t.num_rows)[: len(first)]
+        behind = np.repeat(stop, stop - first) - np.arange(t.num_rows) - 1  # rows of the same bucket that follow
+        at, away = np.flatnonzero(np.repeat(stop - first <= FEW, stop - first)), 0
+        while len(at := at[behind[at] > away]):  # all small buckets together
+            away += 1
+            hit = at[may_be_similar(sketch[at], sketch[at + away], size[at] + size[at + away], percent)]
+            found[hit] = found[hit + away] = True
+        for a, b in zip(first[stop - first > FEW].tolist(), stop[stop - first > FEW].tolist()):
+            for i in range(a, b - 1):
+                hit = may_be_similar(sketch[i], sketch[i + 1 : b], size[i] + size[i + 1 : b], percent)
+                found[i] |= hit.any()
+                found[i + 1 : b] |= hit
+        return t.select(["key", "cls", "id"]).filter(pa.array(found))
+
+    return run
+
+
 def _verify(percent: int):
     def run(t: pa.Table) -> pa.Table:
         keys, cls, raw = t.column("key").to_numpy(), t.column("cls").to_numpy(), t.column("set").to_pylist()
@@ -274,12 +342,14 @@ def _verify(percent: int):
             sets = [np.frombuffer(raw[i], np.uint64) for i in g]
             sizes = np.array([len(s) for s in sets])
             flat, starts, label = np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum(sizes) - sizes, np.arange(len(g))
+            sketch = np.bitwise_or.reduceat(bits(flat), starts) if len(flat) else np.zeros(len(g), np.uint64)
             for lead in range(len(g)):  # each pair is compared, or joined already
                 rows = lead + np.flatnonzero(label[lead:] != label[lead])
                 if not len(rows):
                     if (label[lead:] == label[lead]).all():
                         break
                     continue
+                rows = rows[may_be_similar(sketch[lead], sketch[rows], sizes[lead] + sizes[rows], percent)]
                 rows = rows[similar(sets[lead], flat, starts, sizes, rows, percent)]
                 if len(rows):
                     edges |= {(max(cls[g[lead]], cls[g[r]]), min(cls[g[lead]], cls[g[r]])) for r in rows}
@@ -289,24 +359,37 @@ def _verify(percent: int):
     return run
 
 
+def _dealt(held: DataFrame) -> DataFrame:
+    """The rows (key, cls, blocks) with the number ``sub`` of their bucket, or of each pair of its blocks that holds them, and
+    the ``part`` they are gathered in."""
+    own = F.expr("pmod(xxhash64(cls), blocks)")
+    with_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    dealt = held.withColumn("pair", F.explode(with_others)).withColumn("sub", F.when(F.col("blocks") > 1, F.xxhash64("key", "pair.i", "pair.j")).otherwise(F.col("key")))
+    parts = blocks_of(held.count(), GATHER)
+    return dealt.withColumn("part", F.when(F.col("blocks") > 1, F.col("sub")).otherwise(F.expr(f"pmod(key, {parts}L)")))
+
+
+def _held(pairs: DataFrame) -> DataFrame:
+    """The rows (key, cls) of buckets of several classes, with the number of blocks they are dealt in."""
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / (GATHER // 4)).alias("blocks"))
+    return pairs.join(sizes, "key")
+
+
 def similar_classes(plain: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(cls, root) of the classes that share a bucket with another class, verified on full sets.
 
     A bucket that holds very many classes is dealt in blocks of its classes, in pairs."""
-    pairs = stored(members.where("idx >= 0").select("key", "cls").distinct(), "passage-pairs")
-    sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / (GATHER // 4)).alias("blocks"))
-    held = stored(pairs.join(sizes, "key"), "passage-buckets")
-    one = members.where("idx >= 0").groupBy("cls").agg(F.min("id").alias("id")).join(held.select("cls").distinct(), "cls", "left_semi")
+    pairs = members.where("idx >= 0").groupBy("key", "cls").agg(F.min("id").alias("id"), F.max("words").alias("words"), F.max("sketch").alias("sketch"))
+    held = stored(_held(stored(pairs, "passage-pairs")), "passage-buckets")
+    alike = _dealt(held).groupBy("part").applyInArrow(_with_partners(percent), "key long, cls long, id long").dropDuplicates(["key", "cls"])
+    held = stored(_held(stored(alike, "passage-alike")), "passage-open")
+    one = held.groupBy("cls").agg(F.min("id").alias("id"))
     wanted = stored(one.groupBy("id").agg(F.collect_list("cls").alias("wanted")), "passage-wanted")  # classes of one text
     classes = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     texts = plain.join(F.broadcast(wanted) if classes <= BROADCAST_CLASSES else wanted, plain["__id"] == wanted["id"])
     sets = texts.select(F.col("__text").alias("text"), "wanted").mapInArrow(_set_rows(), "cls long, set binary").dropDuplicates(["cls"])
-    own = F.expr("pmod(xxhash64(cls), blocks)")
-    with_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = held.withColumn("pair", F.explode(with_others)).withColumn("sub", F.when(F.col("blocks") > 1, F.xxhash64("key", "pair.i", "pair.j")).otherwise(F.col("key")))
-    parts = blocks_of(held.count(), GATHER)
-    dealt = dealt.withColumn("part", F.when(F.col("blocks") > 1, F.col("sub")).otherwise(F.expr(f"pmod(key, {parts}L)")))
-    edges = dealt.select("part", F.col("sub").alias("key"), "cls").join(sets, "cls").groupBy("part").applyInArrow(_verify(percent), "a long, b long")
+    dealt = _dealt(held).select("part", F.col("sub").alias("key"), "cls")
+    edges = dealt.join(sets, "cls").groupBy("part").applyInArrow(_verify(percent), "a long, b long")
     return components(edges, "passage-links").select(F.col("node").alias("cls"), "root")
 
 
@@ -373,8 +456,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     plain = with_id(docs.select(F.col(id_col).alias("__in"), F.col(text_col).alias("__text")), "__in", "__id").select("__id", "__text")
     make, schema = _key_rows(bands, min_words)
-    rows = plain.mapInArrow(make, schema).repartition("home").sortWithinPartitions("key", "kind", "id")
-    members = stored(rows.mapInArrow(_repeated, ", ".join(f"{n} {t}" for n, t in _ROW.items())), "passage-members")
+    members = stored(_by_key(plain.mapInArrow(make, schema)).mapInArrow(_repeated, ", ".join(f"{n} {t}" for n, t in _ROW.items())), "passage-members")
     counts = members.where(f"kind = {COUNT}").groupBy("id").agg(F.sum("words").alias("n_units"))
     members = members.where(f"kind < {COUNT}")
     roots = similar_classes(plain, members, percent)
